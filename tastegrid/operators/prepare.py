@@ -167,11 +167,13 @@ def add_business_priors(biz: DataFrame, tip_count: DataFrame | None = None,
         "_n_chk": F.log1p(F.col("checkin_count")),
     }
     out = out.withColumns(feats)
-    stats = out.agg(*[F.min(c).alias("min" + c) for c in feats], *[F.max(c).alias("max" + c) for c in feats])
+    # One global aggregate; referenced as a single scalar subquery (reused by the planner).
+    stats = out.agg(F.struct(*[F.min(c).alias("lo" + c) for c in feats],
+                             *[F.max(c).alias("hi" + c) for c in feats]).alias("s")).scalar()
     normed = []
     for c in feats:
-        lo = stats.select("min" + c).scalar()
-        hi = stats.select("max" + c).scalar()
+        lo = stats.getField("lo" + c)
+        hi = stats.getField("hi" + c)
         normed.append(F.when(lo.isNull() | hi.isNull() | (hi <= lo), F.lit(0.0))
                       .otherwise((F.col(c) - lo) / (hi - lo)))
     prior = (F.lit(K.PRIOR_W_REVIEWS) * normed[0] + F.lit(K.PRIOR_W_STARS) * normed[1]

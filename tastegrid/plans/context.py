@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,9 @@ class Ctx:
 
     @cached_property
     def interactions(self) -> DataFrame:
-        return prepare.build_interactions(self.review_sel)
+        # Read by many branches of one job: computed once, kept in memory and
+        # disk (recomputed from lineage if an executor is lost).
+        return prepare.build_interactions(self.review_sel).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def tip_count(self) -> DataFrame:
@@ -54,7 +57,8 @@ class Ctx:
     @cached_property
     def biz_prior(self) -> DataFrame:
         """Catalogue with tip / check-in counts and the popularity prior (the business index)."""
-        return prepare.add_business_priors(self.catalogue, self.tip_count, self.checkin_count)
+        return (prepare.add_business_priors(self.catalogue, self.tip_count, self.checkin_count)
+                .persist(StorageLevel.MEMORY_AND_DISK))
 
     @cached_property
     def priors(self) -> DataFrame:

@@ -127,3 +127,68 @@ def with_views(body: str, *names: str) -> str:
 
 
 STOP_WORDS_SQL = _STOP
+
+
+def _tfidf_views(prefix: str, docs_sql: str, deps: tuple[str, ...]) -> None:
+    """M1-M3 for one corpus: {prefix}_docs(business_id, soup) -> {prefix}_tfidf(business_id, term, weight)."""
+    _view(f"{prefix}_docs", deps, docs_sql)
+    _view(f"{prefix}_toks", (f"{prefix}_docs",), f"""
+SELECT business_id, list_filter(regexp_extract_all(lower(COALESCE(soup, '')), '{K.TOKEN_PATTERN_RE2}'),
+                                lambda x: NOT list_contains([{_STOP}], x)) AS t
+FROM {prefix}_docs""")
+    _view(f"{prefix}_terms", (f"{prefix}_toks",), f"""
+SELECT business_id, list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS terms
+FROM {prefix}_toks""")
+    _view(f"{prefix}_tf", (f"{prefix}_terms",), f"""
+SELECT business_id, term, COUNT(*) AS tf FROM (SELECT business_id, unnest(terms) AS term FROM {prefix}_terms)
+GROUP BY business_id, term""")
+    _view(f"{prefix}_stats", (f"{prefix}_tf",), f"""
+SELECT term, COUNT(*) AS df, CAST(SUM(tf) AS BIGINT) AS tf FROM {prefix}_tf GROUP BY term""")
+    _view(f"{prefix}_vocab", (f"{prefix}_stats",), f"""
+SELECT term, df, tf FROM {prefix}_stats
+WHERE df >= CASE WHEN (SELECT MAX(df) FROM {prefix}_stats) >= {K.MIN_DF} THEN {K.MIN_DF} ELSE 1 END
+ORDER BY tf DESC, term LIMIT {K.MAX_FEATURES}""")
+    _view(f"{prefix}_tfidf", (f"{prefix}_vocab", f"{prefix}_tf", f"{prefix}_docs"), f"""
+SELECT business_id, term, w / sqrt(SUM(w * w) OVER (PARTITION BY business_id)) AS weight FROM (
+  SELECT t.business_id, t.term,
+         t.tf * (ln((1.0 + (SELECT COUNT(*) FROM {prefix}_docs)) / (1.0 + v.df)) + 1.0) AS w
+  FROM {prefix}_tf t JOIN {prefix}_vocab v ON v.term = t.term)""")
+
+
+_tfidf_views("cat", "SELECT business_id, soup FROM catalogue", ("catalogue",))
+_tfidf_views("doc", "SELECT CAST(doc_id AS VARCHAR) AS business_id, text AS soup FROM documents", ())
+
+# CF: rating table (A8), biases (A9), given factors.
+_view("ratings", ("interactions",), """
+SELECT user_id, business_id, AVG(stars) AS stars FROM interactions
+WHERE user_id IS NOT NULL AND business_id IS NOT NULL AND stars IS NOT NULL GROUP BY user_id, business_id""")
+_view("mu", ("ratings",), "SELECT AVG(stars) AS mu FROM ratings")
+_view("ubias", ("ratings", "mu"), """
+SELECT user_id, AVG(stars) - (SELECT mu FROM mu) AS bias FROM ratings GROUP BY user_id""")
+_view("ibias", ("ratings", "mu"), """
+SELECT business_id, AVG(stars) - (SELECT mu FROM mu) AS bias FROM ratings GROUP BY business_id""")
+_view("ufac", ("ratings",), """
+SELECT u.user_id, CAST(e.embedding AS DOUBLE[]) AS f
+FROM (SELECT DISTINCT user_id FROM ratings) u
+JOIN embeddings e ON e.vec_id = CAST(u.user_id AS BIGINT) % (SELECT COUNT(*) FROM embeddings)""")
+_view("ifac", ("ratings",), """
+SELECT i.business_id, CAST(e.embedding AS DOUBLE[]) AS f
+FROM (SELECT DISTINCT business_id FROM ratings) i
+JOIN embeddings e ON e.vec_id = CAST(i.business_id AS BIGINT) % (SELECT COUNT(*) FROM embeddings)""")
+
+# History order: date ascending (nulls last), then business_id.
+_view("hist", ("interactions",), """
+SELECT user_id, business_id, stars, date,
+       ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY date ASC NULLS LAST, business_id) AS pos,
+       COUNT(*) OVER (PARTITION BY user_id) AS n_hist
+FROM interactions""")
+
+# Content profile with raw ratings as weights (the "content" algorithm) and its norm.
+_view("prof_raw", ("hist", "cat_tfidf"), """
+SELECT h.user_id, x.term, SUM(h.w * x.weight) / MAX(h.wsum) AS weight FROM (
+  SELECT user_id, business_id, w, SUM(w) OVER (PARTITION BY user_id) AS wsum FROM (
+    SELECT user_id, business_id, CASE WHEN tot > 0 THEN stars ELSE 1.0 END AS w FROM (
+      SELECT user_id, business_id, stars, SUM(stars) OVER (PARTITION BY user_id) AS tot
+      FROM hist WHERE business_id IN (SELECT business_id FROM cat_tfidf)))) h
+JOIN cat_tfidf x ON x.business_id = h.business_id
+GROUP BY h.user_id, x.term""")
