@@ -127,3 +127,185 @@ def fit_given(interactions: DataFrame, user_factors: DataFrame | None, item_fact
     r = ratings(interactions)
     mu, ub, ib = fit_biases(r)
     return CFModel(mu, ub, ib, user_factors, item_factors, r.select("user_id", "business_id"))
+
+
+# ---------------------------------------------------------------------------
+# Truncated SVD of the residual matrix by block subspace iteration
+# ---------------------------------------------------------------------------
+
+import numpy as np  # noqa: E402
+import pandas as pd  # noqa: E402
+from pyspark import StorageLevel  # noqa: E402
+from pyspark.sql import Window  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+# The item basis Q (n_items x (rank + oversampling)) is broadcast each pass;
+# it is model-sized, and its size is checked against this bound.
+MAX_BASIS_BYTES = 1 << 30
+ITEM_CHUNK = 2048
+
+
+def effective_rank(n_components: int, n_users: int, n_items: int) -> int:
+    """max(1, min(n_components, min(n_users, n_items) - 1))."""
+    return max(1, min(n_components, min(n_users, n_items) - 1))
+
+
+def _stream_users(it, on_user_block):
+    """Feed complete users (rows sorted by user within the partition) to ``on_user_block``.
+
+    A user's rows may span Arrow batches; the trailing user of each batch is
+    carried into the next one.
+    """
+    carry = None
+    for pdf in it:
+        if pdf.empty:
+            continue
+        if carry is not None:
+            pdf = pd.concat([carry, pdf], ignore_index=True)
+        users = pdf["user_id"].to_numpy()
+        last = users[-1]
+        tail = users == last
+        carry = pdf[tail]
+        if (~tail).any():
+            on_user_block(pdf[~tail])
+    if carry is not None and not carry.empty:
+        on_user_block(carry)
+
+
+def _user_products(block: pd.DataFrame, Q: np.ndarray):
+    """Rows of whole users -> (user ids, item idx, values, per-row user code, Z = R_block Q)."""
+    users = block["user_id"].to_numpy()
+    items = block["iidx"].to_numpy(dtype=np.int64)
+    vals = block["residual"].to_numpy(dtype=np.float64)
+    starts = np.flatnonzero(np.r_[True, users[1:] != users[:-1]])
+    codes = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(users)]))
+    Z = np.add.reduceat(vals[:, None] * Q[items], starts, axis=0)
+    return users[starts], items, vals, codes, Z
+
+
+def _rtrq_pass(spark, R: DataFrame, Q: np.ndarray) -> np.ndarray:
+    """Y = R^T (R Q), reduced by item chunk in Spark."""
+    n_items, width = Q.shape
+    bq = spark.sparkContext.broadcast(Q)
+
+    def fn(it):
+        Qv = bq.value
+        Y = np.zeros_like(Qv)
+        seen = [False]
+
+        def acc(block):
+            seen[0] = True
+            _, items, vals, codes, Z = _user_products(block, Qv)
+            for j in range(Qv.shape[1]):
+                Y[:, j] += np.bincount(items, weights=vals * Z[codes, j], minlength=Qv.shape[0])
+
+        _stream_users(it, acc)
+        if seen[0]:
+            for c0 in range(0, Qv.shape[0], ITEM_CHUNK):
+                yield pd.DataFrame({"chunk": [c0 // ITEM_CHUNK], "data": [Y[c0:c0 + ITEM_CHUNK].tobytes()]})
+
+    def reduce_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = None
+        for b in pdf["data"]:
+            arr = np.frombuffer(b, dtype=np.float64)
+            total = arr.copy() if total is None else total + arr
+        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "data": [total.tobytes()]})
+
+    schema = "chunk int, data binary"
+    parts = R.mapInPandas(fn, schema).groupBy("chunk").applyInPandas(reduce_chunk, schema).collect()
+    Y = np.zeros_like(Q)
+    for row in parts:
+        c0 = row["chunk"] * ITEM_CHUNK
+        blk = np.frombuffer(row["data"], dtype=np.float64).reshape(-1, width)
+        Y[c0:c0 + blk.shape[0]] = blk
+    bq.unpersist()
+    return Y
+
+
+def _gram_pass(spark, R: DataFrame, Q: np.ndarray) -> np.ndarray:
+    """G = (R Q)^T (R Q), an (l x l) matrix."""
+    bq = spark.sparkContext.broadcast(Q)
+
+    def fn(it):
+        Qv = bq.value
+        G = np.zeros((Qv.shape[1], Qv.shape[1]))
+        seen = [False]
+
+        def acc(block):
+            seen[0] = True
+            _, _, _, _, Z = _user_products(block, Qv)
+            G[:] += Z.T @ Z
+
+        _stream_users(it, acc)
+        if seen[0]:
+            yield pd.DataFrame({"data": [G.tobytes()]})
+
+    rows = R.mapInPandas(fn, "data binary").collect()
+    bq.unpersist()
+    G = np.zeros((Q.shape[1], Q.shape[1]))
+    for r in rows:
+        G += np.frombuffer(r["data"], dtype=np.float64).reshape(G.shape)
+    return G
+
+
+def fit_svd(spark, resid: DataFrame, n_components: int = K.N_COMPONENTS, n_iter: int = 6,
+            oversample: int = 10, seed: int = K.SEED) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Rank-r truncated SVD of the residual matrix.
+
+    Returns (user_factors = U * S, item_factors = V, singular values).  Residual
+    rows are partitioned and sorted by user and persisted for the passes.
+    """
+    items = resid.select("business_id").distinct()
+    item_idx = items.withColumn("iidx", (F.row_number().over(Window.orderBy("business_id")) - 1).cast("int"))
+    item_idx = item_idx.persist(StorageLevel.MEMORY_AND_DISK)
+    n_items = item_idx.count()
+    n_users = resid.select("user_id").distinct().count()
+    rank = effective_rank(n_components, n_users, n_items)
+    width = min(rank + oversample, n_items)
+    if n_items * width * 8 > MAX_BASIS_BYTES:
+        raise ValueError("item basis too large to broadcast; reduce n_components or split the catalogue")
+    n_parts = max(1, spark.sparkContext.defaultParallelism)
+    R = (resid.join(F.broadcast(item_idx) if n_items <= 2_000_000 else item_idx, "business_id")
+         .select("user_id", "iidx", "residual")
+         .repartition(n_parts, "user_id").sortWithinPartitions("user_id")
+         .persist(StorageLevel.MEMORY_AND_DISK))
+    rng = np.random.RandomState(seed)
+    Q, _ = np.linalg.qr(rng.normal(size=(n_items, width)))
+    for _ in range(n_iter):
+        Q, _ = np.linalg.qr(_rtrq_pass(spark, R, Q))
+    G = _gram_pass(spark, R, Q)
+    evals, W = np.linalg.eigh(G)
+    order = np.argsort(evals)[::-1][:rank]
+    evals, W = np.clip(evals[order], 0.0, None), W[:, order]
+    V = Q @ W                                   # item factors (n_items x rank)
+    bqw = spark.sparkContext.broadcast((Q, W))
+
+    def user_fn(it):
+        Qv, Wv = bqw.value
+        out = []
+
+        def emit(block):
+            users, _, _, _, Z = _user_products(block, Qv)
+            F_ = Z @ Wv
+            out.append(pd.DataFrame({"user_id": users, "factors": list(F_)}))
+
+        _stream_users(it, emit)
+        for o in out:
+            yield o
+
+    user_factors = R.mapInPandas(user_fn, T.StructType([T.StructField("user_id", T.StringType()),
+                                                         T.StructField("factors", T.ArrayType(T.DoubleType()))]))
+    ids = item_idx.orderBy("iidx").select("business_id").toPandas()["business_id"].to_numpy()
+    item_pdf = pd.DataFrame({"business_id": ids, "factors": list(V)})
+    item_factors = spark.createDataFrame(item_pdf, "business_id string, factors array<double>")
+    return user_factors, item_factors, np.sqrt(evals)
+
+
+def fit(spark, interactions: DataFrame, n_components: int = K.N_COMPONENTS, n_iter: int = 6,
+        seed: int = K.SEED) -> CFModel:
+    """A8 -> A9 -> A10 -> C2, plus the seen pairs."""
+    r = ratings(interactions).persist(StorageLevel.MEMORY_AND_DISK)
+    mu, ub, ib = fit_biases(r)
+    resid = residuals(r, mu, ub, ib)
+    uf, itf, _ = fit_svd(spark, resid, n_components, n_iter, seed=seed)
+    return CFModel(mu, ub, ib, uf, itf, r.select("user_id", "business_id"))
