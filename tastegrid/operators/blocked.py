@@ -35,6 +35,8 @@ USERS_PER_BLOCK = 20_000
 MIN_USERS_PER_BLOCK = 64
 DENSE_CHUNK = 256               # users scored at once: 256 x 20k doubles ~ 40 MB
 SPARSE_PAIR_CHUNK = 4_000_000   # term matches expanded at once
+HYBRID_MAX_ITEMS = 200_000      # one-pass hybrid candidates need the catalogue in one block
+CHUNK_CELLS = 4_000_000         # users x items cells scored at once
 
 OUT_SCHEMA = T.StructType([
     T.StructField("user_id", T.StringType()),
@@ -55,6 +57,11 @@ class ScoreSpec:
     lo: float = 1.0
     hi: float = 5.0
     prior_weight: float = 0.1
+    # "hybrid_gen" only: candidate limits (H5) and what to emit ("topk" or "candidates")
+    cf_limit: int = 800
+    content_limit: int = 800
+    prior_limit: int = 400
+    emit: str = "topk"
 
 
 def _dense(series: pd.Series, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +156,34 @@ def _top_k_select(S: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(take)
 
 
+def _hybrid_candidates(spec: ScoreSpec, u: pd.DataFrame, cf_gen: np.ndarray, content: np.ndarray,
+                       hist: np.ndarray, i_known: np.ndarray, prior_top: np.ndarray, n_cf_items: int,
+                       n_items: int) -> np.ndarray:
+    """H5 for a chunk of users over the whole catalogue: boolean (users x items) candidate mask.
+
+    top cf_limit unseen items by C4 prediction, union top content_limit
+    non-history items by cosine (users with a resolvable history only), union
+    the first prior_limit items of the prior order; history removed; an empty
+    set falls back to the whole catalogue minus history.
+    """
+    cand = np.zeros(hist.shape, dtype=bool)
+    if n_cf_items:
+        g = np.where(hist, -np.inf, cf_gen)
+        r, c = _top_k_select(g, min(spec.cf_limit, n_cf_items))
+        cand[r, c] = True
+    has_profile = np.array([v is not None and not isinstance(v, float) and len(v) > 0 for v in u["p_idx"].to_numpy()])
+    if has_profile.any():
+        g = np.where(hist | ~has_profile[:, None], -np.inf, np.round(content, 6))
+        r, c = _top_k_select(g, min(spec.content_limit, n_items))
+        cand[r, c] = True
+    cand |= prior_top[None, :]
+    cand &= ~hist
+    empty = ~cand.any(axis=1)
+    if empty.any():
+        cand[empty] = ~hist[empty]
+    return cand
+
+
 def _make_block_fn(spec: ScoreSpec, k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"user_id": pd.Series([], dtype=object), "business_id": pd.Series([], dtype=object),
@@ -173,8 +208,8 @@ def _make_block_fn(spec: ScoreSpec, k: int):
             su = si = np.zeros(0, np.int64)
 
         # item-side features, prepared once per block
-        need_cf = spec.mode in ("cf", "cf_pair", "hybrid")
-        need_ct = spec.mode in ("content", "hybrid")
+        need_cf = spec.mode in ("cf", "cf_pair", "hybrid", "hybrid_gen")
+        need_ct = spec.mode in ("content", "hybrid", "hybrid_gen")
         if need_cf:
             ivec, ivec_ok = _dense(items["i_vec"])
             ib = items["i_bias"].astype(float)
@@ -182,12 +217,20 @@ def _make_block_fn(spec: ScoreSpec, k: int):
             ib = ib.fillna(0.0).to_numpy()
         if need_ct:
             iterms = _ItemTerms(items["t_idx"], items["t_val"])
-        if spec.mode == "hybrid":
-            prior = np.clip(items["prior"].astype(float).fillna(0.0).to_numpy(), 0.0, 1.0)
+        if spec.mode in ("hybrid", "hybrid_gen"):
+            prior_raw = items["prior"].astype(float).fillna(0.0).to_numpy()
+            prior = np.clip(prior_raw, 0.0, 1.0)
+        if spec.mode == "hybrid_gen":
+            # The first prior_limit items of the global prior order (this block holds the whole catalogue)
+            order = np.lexsort((np.arange(n_items), -np.round(prior_raw, 6)))
+            prior_top = np.zeros(n_items, dtype=bool)
+            prior_top[order[:spec.prior_limit]] = True
+            n_cf_items = int(i_known.sum())
 
         frames = []
-        for a in range(0, len(users), DENSE_CHUNK):
-            u = users.iloc[a:a + DENSE_CHUNK]
+        chunk = int(max(8, min(DENSE_CHUNK, CHUNK_CELLS // max(1, n_items))))
+        for a in range(0, len(users), chunk):
+            u = users.iloc[a:a + chunk]
             S = None
             if need_cf:
                 uvec, uvec_ok = _dense(u["u_vec"], ivec.shape[1])
@@ -196,6 +239,11 @@ def _make_block_fn(spec: ScoreSpec, k: int):
                 ubias = ubias.fillna(0.0).to_numpy()
                 dot = uvec @ ivec.T
                 both = (u_known & uvec_ok)[:, None] & (i_known & ivec_ok)[None, :]
+                if spec.mode == "hybrid_gen":
+                    # C4 ranks CF candidates: unknown user -> mu + b_i; items outside the model excluded
+                    cf_gen = np.clip(spec.mu + ib[None, :] + np.where(u_known[:, None], ubias[:, None] + dot, 0.0),
+                                     spec.lo, spec.hi)
+                    cf_gen = np.where(i_known[None, :], np.round(cf_gen, 6), -np.inf)
                 if spec.mode == "cf":
                     cf = spec.mu + ib[None, :] + np.where(u_known[:, None], ubias[:, None] + dot, 0.0)
                 else:
@@ -210,7 +258,7 @@ def _make_block_fn(spec: ScoreSpec, k: int):
                 norms = np.where(np.diff(indptr) > 0, norms, 0.0)
                 content = np.where(norms[:, None] > 0, dots / np.where(norms > 0, norms, 1.0)[:, None], 0.0)
                 S = content
-            if spec.mode == "hybrid":
+            if spec.mode in ("hybrid", "hybrid_gen"):
                 alpha = u["alpha"].astype(float).to_numpy()[:, None]
                 rng = spec.hi - spec.lo
                 cf_n = np.clip((cf - spec.lo) / rng, 0.0, 1.0) if rng > 0 else np.zeros_like(cf)
@@ -218,8 +266,19 @@ def _make_block_fn(spec: ScoreSpec, k: int):
                 S = (1.0 - spec.prior_weight) * core + spec.prior_weight * prior[None, :]
             S = np.round(S, 6)
             m = (su >= a) & (su < a + len(u))
+            hist = np.zeros(S.shape, dtype=bool)
             if m.any():
-                S[su[m] - a, si[m]] = -np.inf
+                hist[su[m] - a, si[m]] = True
+            if spec.mode == "hybrid_gen":
+                cand = _hybrid_candidates(spec, u, cf_gen, content, hist, i_known, prior_top, n_cf_items, n_items)
+                S[~cand] = -np.inf
+                if spec.emit == "candidates":
+                    rows, cols = np.nonzero(cand)
+                    frames.append(pd.DataFrame({"user_id": uid[a + rows], "business_id": item_ids[cols],
+                                                "score": S[rows, cols]}))
+                    continue
+            else:
+                S[hist] = -np.inf
             rows, cols = _top_k_select(S, k)
             frames.append(pd.DataFrame({"user_id": uid[a + rows], "business_id": item_ids[cols],
                                         "score": S[rows, cols]}))
@@ -240,6 +299,11 @@ def grid_top_k(users: DataFrame, items: DataFrame, k: int, spec: ScoreSpec, seen
     n_items = n_items if n_items is not None else items.count()
     par = max(1, spark.sparkContext.defaultParallelism)
     n_ib = max(1, math.ceil(n_items / ITEMS_PER_BLOCK))
+    if spec.mode == "hybrid_gen":
+        # Candidate gates are global per user: the whole catalogue must sit in one item block.
+        if n_items > HYBRID_MAX_ITEMS:
+            raise ValueError("catalogue too large for one item block")
+        n_ib = 1
     n_ub = max(1, min(math.ceil(n_users / MIN_USERS_PER_BLOCK),
                       max(math.ceil(n_users / USERS_PER_BLOCK), math.ceil(2 * par / n_ib))))
     ub = F.pmod(F.xxhash64("user_id"), F.lit(n_ub)).cast("int")
@@ -262,7 +326,6 @@ def grid_top_k(users: DataFrame, items: DataFrame, k: int, spec: ScoreSpec, seen
     fn = _make_block_fn(spec, k)
     block_top = (left.groupBy("_ub", "_ib").cogroup(right.groupBy("_ub", "_ib"))
                  .applyInPandas(fn, OUT_SCHEMA))
-    if n_ib == 1:
-        # One item block: each user's block top-k is already global; add the rank only.
-        return top_k_per_user(block_top, k)
+    if spec.mode == "hybrid_gen" and spec.emit == "candidates":
+        return block_top
     return top_k_per_user(block_top, k)

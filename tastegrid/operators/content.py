@@ -109,8 +109,9 @@ def user_profiles(history: DataFrame, item_tfidf: DataFrame, weight_col: str | N
     """
     h = history_weights_or_mean(history.select("user_id", "business_id", *( [weight_col] if weight_col else [])),
                                 item_tfidf, weight_col)
+    h = h.select("user_id", "business_id", "_w")
     wsum = h.groupBy("user_id").agg(F.sum("_w").alias("_wsum"))
-    contrib = (h.join(item_tfidf, "business_id")
+    contrib = (h.join(item_tfidf.select("business_id", "term", "weight"), "business_id")
                .groupBy("user_id", "term").agg(F.sum(F.col("_w") * F.col("weight")).alias("_s")))
     return (contrib.join(wsum, "user_id")
             .select("user_id", "term", (F.col("_s") / F.col("_wsum")).alias("weight")))

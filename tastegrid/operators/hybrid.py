@@ -20,3 +20,140 @@ def fallback_scores(biz_index: DataFrame) -> DataFrame:
 def popularity_fallback(users: DataFrame, biz_index: DataFrame, history: DataFrame | None, k: int = 10) -> DataFrame:
     """H8: per user the k most popular businesses outside the user's history."""
     return top_k_of_global_order(users, fallback_scores(biz_index), history, k)
+
+
+# ---------------------------------------------------------------------------
+# H1-H7
+# ---------------------------------------------------------------------------
+
+from pyspark.sql import Window  # noqa: E402
+
+from tastegrid.functions.exprs import alpha_expr, clip01, normalize_cf  # noqa: E402
+from tastegrid.operators import cf as cfm  # noqa: E402
+from tastegrid.operators import content as ct  # noqa: E402
+from tastegrid.operators.blocked import HYBRID_MAX_ITEMS, ScoreSpec, grid_top_k  # noqa: E402
+from tastegrid.operators.ranking import top_k_per_user  # noqa: E402
+
+
+def history_order(history: DataFrame) -> DataFrame:
+    """Adds ``pos`` (1 = oldest) and ``n_hist``: date ascending (nulls last), then business_id."""
+    w = Window.partitionBy("user_id").orderBy(F.col("date").asc_nulls_last(), F.col("business_id"))
+    return (history.withColumn("pos", F.row_number().over(w))
+            .withColumn("n_hist", F.count(F.lit(1)).over(Window.partitionBy("user_id"))))
+
+
+def alpha_by_user(history: DataFrame) -> DataFrame:
+    """H1 per user from the history length."""
+    n = history.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_history"))
+    return n.withColumn("alpha", alpha_expr("n_history"))
+
+
+def history_weights(history: DataFrame, e_fold: float = K.RECENCY_E_FOLD,
+                    lo: float = K.MIN_RATING, hi: float = K.MAX_RATING) -> DataFrame:
+    """H2 + W2: exp(-steps / 6) * max(0, (r - lo) / (hi - lo)); recency alone when the sum is <= 0.
+
+    ``steps`` counts positions from the newest entry (0 = newest).
+    """
+    h = history_order(history)
+    steps = F.col("n_hist") - F.col("pos")
+    recency = F.exp(-steps.cast("double") / F.lit(max(1.0, e_fold)))
+    rng = max(hi - lo, 1e-6)
+    pref = F.greatest(F.lit(0.0), (F.col("stars").cast("double") - F.lit(lo)) / F.lit(rng))
+    w = F.when(F.col("stars").isNull(), recency).otherwise(recency * pref)
+    out = h.withColumn("steps", steps).withColumn("_w", w).withColumn("_rec", recency)
+    total = F.sum("_w").over(Window.partitionBy("user_id"))
+    return (out.withColumn("weight", F.when(total > 0, F.col("_w")).otherwise(F.col("_rec")))
+            .drop("_w", "_rec"))
+
+
+def prior_scores(priors: DataFrame) -> DataFrame:
+    """H4: clip(prior, 0, 1), missing -> 0 (NULL prior deliberately 0, not NaN)."""
+    return priors.select("business_id", clip01(F.coalesce(F.col("popularity_prior"), F.lit(0.0))).alias("prior"))
+
+
+class HybridInputs:
+    """Everything the blend needs, as tables: CF model, item TF-IDF + vocabulary, priors, histories."""
+
+    def __init__(self, model: cfm.CFModel, item_tfidf: DataFrame, vocab: DataFrame, priors: DataFrame,
+                 history: DataFrame, catalogue: DataFrame, prior_weight: float = K.PRIOR_WEIGHT):
+        self.model = model
+        self.item_tfidf = item_tfidf
+        self.vocab_idx = ct.vocab_index(vocab)
+        self.priors = prior_scores(priors)
+        self.history = history.select("user_id", "business_id", "stars", "date")
+        self.catalogue = catalogue.select("business_id")
+        self.prior_weight = float(min(max(prior_weight, 0.0), 0.5))
+
+    def weighted_history(self) -> DataFrame:
+        return history_weights(self.history)
+
+    def profiles(self) -> DataFrame:
+        """H2-weighted content profiles (what the hybrid uses)."""
+        return ct.user_profiles(self.weighted_history(), self.item_tfidf, "weight")
+
+    def user_side(self, users: DataFrame) -> DataFrame:
+        u = cfm.user_side(self.model, users)
+        prof = ct.sparse_profile_arrays(self.profiles(), self.vocab_idx)
+        al = alpha_by_user(self.history)
+        return (u.join(prof, "user_id", "left").join(al.select("user_id", "alpha"), "user_id", "left")
+                .withColumn("alpha", F.coalesce(F.col("alpha"), alpha_expr(F.lit(0)))))
+
+    def item_side(self) -> DataFrame:
+        items = cfm.item_side(self.model, self.catalogue, keep_unknown=True)
+        arrays = ct.sparse_item_arrays(self.item_tfidf, self.vocab_idx)
+        return items.join(arrays, "business_id", "left").join(self.priors, "business_id", "left")
+
+    def spec(self, **kw) -> ScoreSpec:
+        return ScoreSpec(kw.pop("mode", "hybrid_gen"), mu=self.model.mu, lo=self.model.lo, hi=self.model.hi,
+                         prior_weight=self.prior_weight, **kw)
+
+
+def recommend(inp: HybridInputs, users: DataFrame, k: int = 10, emit: str = "topk",
+              cf_limit: int = K.CF_CANDIDATES, content_limit: int = K.CONTENT_CANDIDATES,
+              prior_limit: int = K.PRIOR_CANDIDATES) -> DataFrame:
+    """H5 + H6 + H7 for every user: candidates, blend, top-k (or the candidate set with scores)."""
+    lim = dict(cf_limit=max(K.CANDIDATE_FLOOR, cf_limit), content_limit=max(K.CANDIDATE_FLOOR, content_limit),
+               prior_limit=max(K.CANDIDATE_FLOOR, prior_limit))
+    items = inp.item_side()
+    n_items = inp.catalogue.count()
+    if n_items <= HYBRID_MAX_ITEMS:
+        return grid_top_k(inp.user_side(users), items, k, inp.spec(emit=emit, **lim),
+                          seen=inp.history.select("user_id", "business_id"), n_items=n_items)
+    return _recommend_by_pairs(inp, users, k, emit, **lim)
+
+
+def _recommend_by_pairs(inp: HybridInputs, users: DataFrame, k: int, emit: str, cf_limit: int,
+                        content_limit: int, prior_limit: int) -> DataFrame:
+    """Large-catalogue path: explicit candidate lists (three top-k scans), then pair scoring."""
+    seen = inp.history.select("user_id", "business_id")
+    cf_c = cfm.recommend_top_k(inp.model, users, cf_limit).select("user_id", "business_id")
+    uside = inp.user_side(users)
+    ct_c = grid_top_k(uside.select("user_id", "p_idx", "p_val"), inp.item_side().select("business_id", "t_idx", "t_val"),
+                      content_limit, ScoreSpec("content"), seen=seen).select("user_id", "business_id")
+    ct_c = ct_c.join(uside.filter(F.size("p_idx") > 0).select("user_id"), "user_id", "left_semi")
+    # The first prior_limit items of the prior order for every user (rank-slot equi join), history removed below
+    pr_c = top_k_of_global_order(users, inp.priors.withColumnRenamed("prior", "score"), None, prior_limit)
+    pr_c = pr_c.select("user_id", "business_id")
+    cand = (cf_c.unionByName(ct_c).unionByName(pr_c).distinct()
+            .join(seen, ["user_id", "business_id"], "left_anti")
+            .join(inp.catalogue, "business_id", "left_semi"))
+    scored = score_pairs(inp, cand)
+    if emit == "candidates":
+        return scored.select("user_id", "business_id", F.col("hybrid_score").alias("score"))
+    return top_k_per_user(scored.withColumnRenamed("hybrid_score", "score"), k).select("user_id", "business_id", "score", "rank")
+
+
+def score_pairs(inp: HybridInputs, pairs: DataFrame, history_count: DataFrame | None = None) -> DataFrame:
+    """H6 for explicit (user_id, business_id) pairs; adds content_score, cf_pred, prior, alpha, hybrid_score.
+
+    ``history_count`` (user_id, n_history) overrides the history length used for alpha.
+    """
+    p = pairs.select("user_id", "business_id").distinct()
+    withc = ct.score_pairs(inp.profiles(), inp.item_tfidf, p)
+    withc = cfm.predict_pairs(inp.model, withc)
+    counts = history_count if history_count is not None else alpha_by_user(inp.history).select("user_id", "n_history")
+    out = (withc.join(inp.priors, "business_id", "left").join(counts, "user_id", "left")
+           .withColumn("prior", F.coalesce("prior", F.lit(0.0)))
+           .withColumn("alpha", alpha_expr(F.coalesce(F.col("n_history"), F.lit(0)))))
+    core = F.col("alpha") * F.col("content_score") + (F.lit(1.0) - F.col("alpha")) * normalize_cf(F.col("cf_pred"), inp.model.lo, inp.model.hi)
+    return out.withColumn("hybrid_score", F.lit(1.0 - inp.prior_weight) * core + F.lit(inp.prior_weight) * F.col("prior"))

@@ -192,3 +192,57 @@ SELECT h.user_id, x.term, SUM(h.w * x.weight) / MAX(h.wsum) AS weight FROM (
       FROM hist WHERE business_id IN (SELECT business_id FROM cat_tfidf)))) h
 JOIN cat_tfidf x ON x.business_id = h.business_id
 GROUP BY h.user_id, x.term""")
+
+# Hybrid (H1-H7) on the given factors.
+_view("hw", ("hist",), f"""
+SELECT user_id, business_id, stars, date, pos, n_hist, n_hist - pos AS steps,
+       CASE WHEN SUM(w) OVER (PARTITION BY user_id) > 0 THEN w ELSE rec END AS weight
+FROM (SELECT *, exp(-(n_hist - pos) / {K.RECENCY_E_FOLD}) AS rec,
+             exp(-(n_hist - pos) / {K.RECENCY_E_FOLD}) * GREATEST(0.0, (stars - 1.0) / 4.0) AS w FROM hist)""")
+_view("prof_h2", ("hw", "cat_tfidf"), """
+SELECT h.user_id, x.term, SUM(h.w * x.weight) / MAX(h.wsum) AS weight FROM (
+  SELECT user_id, business_id, w, SUM(w) OVER (PARTITION BY user_id) AS wsum FROM (
+    SELECT user_id, business_id, CASE WHEN tot > 0 THEN weight ELSE 1.0 END AS w FROM (
+      SELECT user_id, business_id, weight, SUM(weight) OVER (PARTITION BY user_id) AS tot
+      FROM hw WHERE business_id IN (SELECT business_id FROM cat_tfidf)))) h
+JOIN cat_tfidf x ON x.business_id = h.business_id
+GROUP BY h.user_id, x.term""")
+_view("prior_clip", ("biz_prior",), """
+SELECT business_id, LEAST(1.0, GREATEST(0.0, COALESCE(popularity_prior, 0.0))) AS prior FROM biz_prior""")
+_view("alpha_u", ("interactions",), f"""
+SELECT user_id, COUNT(*) AS n_history,
+       LEAST(1.0, GREATEST({K.MIN_ALPHA}, {K.MIN_ALPHA} + {1 - K.MIN_ALPHA} * exp(-GREATEST(COUNT(*), 0) / {K.ALPHA_E_FOLD}))) AS alpha
+FROM interactions GROUP BY user_id""")
+# Every (user, catalogue item) with all blend components; hist = already in the history.
+_view("hy_all", ("prof_h2", "catalogue", "cat_tfidf", "mu", "ubias", "ibias", "ufac", "ifac", "prior_clip",
+                 "alpha_u", "interactions"), """
+SELECT u.user_id, c.business_id, u.alpha,
+       CASE WHEN pn.pnorm > 0 THEN COALESCE(d.dot, 0.0) / pn.pnorm ELSE 0.0 END AS content,
+       pn.user_id IS NOT NULL AS has_profile,
+       CASE WHEN ib.bias IS NOT NULL THEN LEAST(5.0, GREATEST(1.0, (SELECT mu FROM mu) + ib.bias
+            + CASE WHEN ub.bias IS NOT NULL THEN ub.bias + list_inner_product(uf.f, xf.f) ELSE 0.0 END)) END AS cf4,
+       LEAST(5.0, GREATEST(1.0, (SELECT mu FROM mu) + COALESCE(ub.bias, 0.0) + COALESCE(ib.bias, 0.0)
+            + CASE WHEN ub.bias IS NOT NULL AND ib.bias IS NOT NULL AND uf.f IS NOT NULL AND xf.f IS NOT NULL
+                   THEN list_inner_product(uf.f, xf.f) ELSE 0.0 END)) AS cf3,
+       COALESCE(pc.prior, 0.0) AS prior,
+       EXISTS (SELECT 1 FROM interactions i WHERE i.user_id = u.user_id AND i.business_id = c.business_id) AS hist
+FROM alpha_u u CROSS JOIN catalogue c
+LEFT JOIN (SELECT user_id, sqrt(SUM(weight * weight)) AS pnorm FROM prof_h2 GROUP BY user_id) pn ON pn.user_id = u.user_id
+LEFT JOIN (SELECT p.user_id, x.business_id, SUM(p.weight * x.weight) AS dot
+           FROM prof_h2 p JOIN cat_tfidf x ON x.term = p.term GROUP BY 1, 2) d
+       ON d.user_id = u.user_id AND d.business_id = c.business_id
+LEFT JOIN ubias ub ON ub.user_id = u.user_id LEFT JOIN ibias ib ON ib.business_id = c.business_id
+LEFT JOIN ufac uf ON uf.user_id = u.user_id LEFT JOIN ifac xf ON xf.business_id = c.business_id
+LEFT JOIN prior_clip pc ON pc.business_id = c.business_id""")
+_view("hy_cand", ("hy_all",), f"""
+SELECT *, {1 - K.PRIOR_WEIGHT} * (alpha * content + (1 - alpha) * LEAST(1.0, GREATEST(0.0, (cf3 - 1.0) / 4.0)))
+          + {K.PRIOR_WEIGHT} * prior AS score
+FROM (
+  SELECT *,
+    CASE WHEN cf4 IS NOT NULL AND NOT hist THEN ROW_NUMBER() OVER (PARTITION BY user_id, (cf4 IS NOT NULL AND NOT hist)
+         ORDER BY ROUND(cf4, 6) DESC, business_id) END AS cf_rank,
+    CASE WHEN has_profile AND NOT hist THEN ROW_NUMBER() OVER (PARTITION BY user_id, (has_profile AND NOT hist)
+         ORDER BY ROUND(content, 6) DESC, business_id) END AS ct_rank,
+    DENSE_RANK() OVER (ORDER BY ROUND(prior, 6) DESC, business_id) AS pr_rank
+  FROM hy_all)
+WHERE NOT hist AND (cf_rank <= {K.CF_CANDIDATES} OR ct_rank <= {K.CONTENT_CANDIDATES} OR pr_rank <= {K.PRIOR_CANDIDATES})""")
