@@ -32,7 +32,7 @@ from tastegrid.functions.exprs import alpha_expr, clip01, normalize_cf  # noqa:
 from tastegrid.operators import cf as cfm  # noqa: E402
 from tastegrid.operators import content as ct  # noqa: E402
 from tastegrid.operators.blocked import HYBRID_MAX_ITEMS, ScoreSpec, grid_top_k  # noqa: E402
-from tastegrid.operators.ranking import top_k_per_user  # noqa: E402
+from tastegrid.operators.ranking import top_k_of_global_order, top_k_per_user  # noqa: E402,F811
 
 
 def history_order(history: DataFrame) -> DataFrame:
@@ -157,3 +157,131 @@ def score_pairs(inp: HybridInputs, pairs: DataFrame, history_count: DataFrame |
            .withColumn("alpha", alpha_expr(F.coalesce(F.col("n_history"), F.lit(0)))))
     core = F.col("alpha") * F.col("content_score") + (F.lit(1.0) - F.col("alpha")) * normalize_cf(F.col("cf_pred"), inp.model.lo, inp.model.hi)
     return out.withColumn("hybrid_score", F.lit(1.0 - inp.prior_weight) * core + F.lit(inp.prior_weight) * F.col("prior"))
+
+
+# ---------------------------------------------------------------------------
+# H9, H10, H12, U4, U5, J14
+# ---------------------------------------------------------------------------
+
+from tastegrid.functions.exprs import split_categories  # noqa: E402
+from tastegrid.operators import profiles as pf  # noqa: E402
+
+
+def content_recommend(inp: HybridInputs, users: DataFrame, k: int, weight_col: str | None) -> DataFrame:
+    """M7 for every user: profile from raw ratings (``weight_col="stars"``) or the plain mean (None)."""
+    hist = inp.history
+    prof = ct.user_profiles(hist, inp.item_tfidf, weight_col)
+    uside = users.select("user_id").distinct().join(ct.sparse_profile_arrays(prof, inp.vocab_idx), "user_id")
+    items = inp.catalogue.join(ct.sparse_item_arrays(inp.item_tfidf, inp.vocab_idx), "business_id", "left")
+    return grid_top_k(uside, items, k, ScoreSpec("content"), seen=hist.select("user_id", "business_id"))
+
+
+def with_fallback(ranked: DataFrame, users: DataFrame, biz_index: DataFrame, history: DataFrame, k: int) -> DataFrame:
+    """U4 + J14: users without any ranked row get the popularity fallback (history excluded)."""
+    missing = users.select("user_id").distinct().join(ranked.select("user_id").distinct(), "user_id", "left_anti")
+    fb = popularity_fallback(missing, biz_index, history.select("user_id", "business_id"), k)
+    return ranked.select("user_id", "business_id", "score", "rank").unionByName(fb.select("user_id", "business_id", "score", "rank"))
+
+
+def dispatch(inp: HybridInputs, users: DataFrame, biz_index: DataFrame, k: int = 10,
+             algorithms: tuple[str, ...] = ("content", "cf", "hybrid")) -> DataFrame:
+    """H9: per algorithm, its ranking; the popularity fallback fills users left empty.
+
+    content: raw ratings weigh the profile; the fallback only applies to an
+    empty history (an unresolvable history stays empty).  cf: C5 (unknown users
+    rank by item bias).  hybrid: H7.
+    """
+    out = []
+    for algo in algorithms:
+        if algo == "content":
+            r = content_recommend(inp, users, k, "stars")
+            no_hist = users.select("user_id").distinct().join(inp.history.select("user_id").distinct(), "user_id", "left_anti")
+            fb = popularity_fallback(no_hist, biz_index, None, k)
+            r = r.select("user_id", "business_id", "score", "rank").unionByName(fb.select("user_id", "business_id", "score", "rank"))
+        elif algo in ("cf", "collaborative"):
+            r = with_fallback(cfm.recommend_top_k(inp.model, users, k), users, biz_index, inp.history, k)
+        else:
+            r = with_fallback(recommend(inp, users, k), users, biz_index, inp.history, k)
+        out.append(r.withColumn("algorithm", F.lit(algo)))
+    res = out[0]
+    for r in out[1:]:
+        res = res.unionByName(r)
+    return res
+
+
+def explain(inp: HybridInputs, recs: DataFrame, biz_index: DataFrame, algorithm: str = "hybrid") -> DataFrame:
+    """Enrich (user_id, business_id, score, rank) with business info, components and reason tags."""
+    hist = pf.user_history(inp.history)
+    counts = hist.groupBy("user_id").agg(F.count(F.lit(1)).alias("history_count"))
+    top = pf.top_category_arrays(pf.user_top_categories(hist, biz_index))
+    parts = score_pairs(inp, recs.select("user_id", "business_id"))
+    info = biz_index.select("business_id", "name", "city", "state", "address", "latitude", "longitude", "stars",
+                            "review_count", "categories", "popularity_prior")
+    out = (recs.join(parts.select("user_id", "business_id", "content_score", "cf_pred"), ["user_id", "business_id"], "left")
+           .join(info, "business_id", "left")
+           .join(counts, "user_id", "left").join(top, "user_id", "left")
+           .withColumn("history_count", F.coalesce("history_count", F.lit(0)).cast("bigint"))
+           .withColumn("hybrid_alpha", alpha_expr(F.col("history_count")))
+           .withColumn("activity_level", pf.activity_level("history_count"))
+           .withColumn("prior_score", F.coalesce(F.col("popularity_prior"), F.lit(0.0)))
+           .withColumn("content_score", F.when(F.col("history_count") > 0, F.coalesce("content_score", F.lit(0.0)))
+                       .otherwise(F.lit(0.0)))
+           .withColumn("category_overlap", F.array_sort(F.array_intersect(
+               F.array_distinct(split_categories("categories")),
+               F.coalesce(F.col("top_categories"), F.array().cast("array<string>"))))))
+    tags = F.array_compact(F.array(
+        F.when(F.size("category_overlap") > 0,
+               F.format_string(K.TEXT_CATEGORY, F.array_join(F.slice("category_overlap", 1, 3), ", "))),
+        F.when(F.col("content_score") >= K.CONTENT_REASON_THRESHOLD, F.format_string(K.TEXT_CONTENT, F.col("content_score"))),
+        F.when(F.col("cf_pred") >= K.CF_REASON_THRESHOLD, F.format_string(K.TEXT_CF, F.col("cf_pred"))),
+        F.when(F.lit(algorithm == "hybrid"), F.format_string(K.TEXT_ALPHA, F.col("hybrid_alpha"), F.col("activity_level")))))
+    tags = F.when(F.col("history_count") == 0, F.array(F.lit(K.TEXT_COLD_START))).otherwise(tags)
+    tags = F.when(F.size(tags) == 0, F.array(F.lit(K.TEXT_DEFAULT))).otherwise(tags)
+    return (out.withColumn("reason_tags", tags)
+            .withColumn("explanation", F.array_join("reason_tags", " "))
+            .withColumn("category_overlap", F.slice("category_overlap", 1, 5))
+            .withColumn("algorithm", F.lit(algorithm))
+            .withColumnRenamed("cf_pred", "cf_pred_rating"))
+
+
+def full_ranking_page(inp: HybridInputs, users: DataFrame, biz_index: DataFrame, algorithm: str,
+                      offset: int = 0, limit: int = 20) -> DataFrame:
+    """H12 + W7: one page of the whole-catalogue ranking, with total, has_more and next_offset.
+
+    Only the first offset + limit positions are ever produced per user (top-k
+    in the blocked scorer), the total is counted, not materialised.
+    """
+    limit = max(1, min(40, int(limit)))
+    offset = max(0, int(offset))
+    depth = offset + limit
+    seen = inp.history.select("user_id", "business_id")
+    n_cat = inp.catalogue.count()
+    in_cat_hist = seen.join(inp.catalogue, "business_id", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("_h"))
+    base_users = users.select("user_id").distinct()
+    if algorithm == "content":
+        ranked = content_recommend(inp, users, depth, None)
+        total = base_users.join(in_cat_hist, "user_id", "left").select(
+            "user_id", (F.lit(n_cat) - F.coalesce("_h", F.lit(0))).alias("total"))
+    elif algorithm in ("cf", "collaborative"):
+        cf_rank = cfm.recommend_top_k(inp.model, users, depth)
+        n_cf = inp.model.item_bias.count()
+        cf_seen = seen.join(inp.model.item_bias.select("business_id"), "business_id", "left_semi") \
+                      .groupBy("user_id").agg(F.count(F.lit(1)).alias("_s"))
+        t0 = base_users.join(cf_seen, "user_id", "left").select("user_id", (F.lit(n_cf) - F.coalesce("_s", F.lit(0))).alias("_t0"))
+        tier1_items = inp.catalogue.join(inp.model.item_bias.select("business_id"), "business_id", "left_anti")
+        tier1 = popularity_fallback(base_users, biz_index.join(tier1_items, "business_id", "left_semi"), seen, depth)
+        tier1 = tier1.join(t0, "user_id").withColumn("rank", F.col("rank") + F.col("_t0")).drop("_t0")
+        ranked = cf_rank.select("user_id", "business_id", "score", "rank").unionByName(tier1.select("user_id", "business_id", "score", "rank"))
+        n_t1 = tier1_items.count()
+        total = t0.select("user_id", (F.col("_t0") + F.lit(n_t1)).alias("total"))
+    else:
+        uside = inp.user_side(users)
+        ranked = grid_top_k(uside, inp.item_side(), depth, inp.spec(mode="hybrid"), seen=seen, n_items=n_cat)
+        total = base_users.join(in_cat_hist, "user_id", "left").select(
+            "user_id", (F.lit(n_cat) - F.coalesce("_h", F.lit(0))).alias("total"))
+    page = ranked.filter((F.col("rank") > offset) & (F.col("rank") <= depth))
+    has_more = F.lit(depth) < F.col("total")
+    return (page.join(total, "user_id")
+            .select("user_id", F.lit(algorithm).alias("algorithm"), F.col("rank").cast("bigint").alias("rank"), "business_id",
+                    F.col("total").cast("bigint").alias("total"), has_more.alias("has_more"),
+                    F.when(has_more, F.lit(depth)).cast("bigint").alias("next_offset")))

@@ -246,3 +246,65 @@ FROM (
     DENSE_RANK() OVER (ORDER BY ROUND(prior, 6) DESC, business_id) AS pr_rank
   FROM hy_all)
 WHERE NOT hist AND (cf_rank <= {K.CF_CANDIDATES} OR ct_rank <= {K.CONTENT_CANDIDATES} OR pr_rank <= {K.PRIOR_CANDIDATES})""")
+
+# Unweighted (mean) content profile, used by the full-catalogue content ranking.
+_view("prof_mean", ("hist", "cat_tfidf"), """
+SELECT h.user_id, x.term, SUM(x.weight) / MAX(h.cnt) AS weight FROM (
+  SELECT user_id, business_id, COUNT(*) OVER (PARTITION BY user_id) AS cnt
+  FROM hist WHERE business_id IN (SELECT business_id FROM cat_tfidf)) h
+JOIN cat_tfidf x ON x.business_id = h.business_id
+GROUP BY h.user_id, x.term""")
+_view("ct_mean_all", ("prof_mean", "catalogue", "cat_tfidf", "interactions"), """
+SELECT u.user_id, c.business_id,
+       CASE WHEN u.pnorm > 0 THEN COALESCE(d.dot, 0.0) / u.pnorm ELSE 0.0 END AS score
+FROM (SELECT user_id, sqrt(SUM(weight * weight)) AS pnorm FROM prof_mean GROUP BY user_id) u
+CROSS JOIN (SELECT business_id FROM catalogue) c
+LEFT JOIN (SELECT p.user_id, x.business_id, SUM(p.weight * x.weight) AS dot
+           FROM prof_mean p JOIN cat_tfidf x ON x.term = p.term GROUP BY 1, 2) d
+       ON d.user_id = u.user_id AND d.business_id = c.business_id
+WHERE NOT EXISTS (SELECT 1 FROM interactions i WHERE i.user_id = u.user_id AND i.business_id = c.business_id)""")
+_view("cf_all", ("mu", "ubias", "ibias", "ufac", "ifac", "ratings"), """
+SELECT ub.user_id, ib.business_id,
+       LEAST(5.0, GREATEST(1.0, (SELECT mu FROM mu) + ub.bias + ib.bias + list_inner_product(uf.f, xf.f))) AS score
+FROM ubias ub JOIN ufac uf ON uf.user_id = ub.user_id
+CROSS JOIN ibias ib JOIN ifac xf ON xf.business_id = ib.business_id
+WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = ub.user_id AND r.business_id = ib.business_id)""")
+# Per-user top-5 categories (A14): count desc, then first position in the history.
+_view("user_cats", ("hist", "catalogue"), """
+SELECT user_id, category, cat_count, cat_rank FROM (
+  SELECT user_id, category, cat_count,
+         ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY cat_count DESC, first_pos, first_cpos) AS cat_rank
+  FROM (SELECT user_id, category, COUNT(*) AS cat_count, arg_min(pos, pos * 1000 + cpos) AS first_pos,
+               arg_min(cpos, pos * 1000 + cpos) AS first_cpos
+        FROM (SELECT h.user_id, h.pos, c.business_id, trim(s.cat) AS category, s.cpos
+              FROM hist h JOIN catalogue c ON c.business_id = h.business_id,
+              LATERAL (SELECT unnest(string_split(COALESCE(c.categories, ''), ',')) AS cat,
+                              generate_subscripts(string_split(COALESCE(c.categories, ''), ','), 1) AS cpos) s
+              WHERE trim(s.cat) <> '')
+        GROUP BY user_id, category))
+WHERE cat_rank <= 5""")
+
+_view("ct_raw_top", ("prof_raw", "catalogue", "cat_tfidf", "interactions"), """
+SELECT user_id, business_id, score, rank FROM (
+  SELECT user_id, business_id, ROUND(score, 6) AS score,
+         ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ROUND(score, 6) DESC, business_id) AS rank
+  FROM (
+    SELECT u.user_id, c.business_id,
+           CASE WHEN u.pnorm > 0 THEN COALESCE(d.dot, 0.0) / u.pnorm ELSE 0.0 END AS score
+    FROM (SELECT user_id, sqrt(SUM(weight * weight)) AS pnorm FROM prof_raw GROUP BY user_id) u
+    CROSS JOIN (SELECT business_id FROM catalogue) c
+    LEFT JOIN (SELECT p.user_id, x.business_id, SUM(p.weight * x.weight) AS dot
+               FROM prof_raw p JOIN cat_tfidf x ON x.term = p.term GROUP BY 1, 2) d
+           ON d.user_id = u.user_id AND d.business_id = c.business_id
+    WHERE NOT EXISTS (SELECT 1 FROM interactions i WHERE i.user_id = u.user_id AND i.business_id = c.business_id)))
+WHERE rank <= 10""")
+_view("cf_top", ("cf_all",), """
+SELECT user_id, business_id, score, rank FROM (
+  SELECT user_id, business_id, ROUND(score, 6) AS score,
+         ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ROUND(score, 6) DESC, business_id) AS rank FROM cf_all)
+WHERE rank <= 10""")
+_view("hy_top", ("hy_cand",), """
+SELECT user_id, business_id, score, rank FROM (
+  SELECT user_id, business_id, ROUND(score, 6) AS score,
+         ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ROUND(score, 6) DESC, business_id) AS rank FROM hy_cand)
+WHERE rank <= 10""")

@@ -31,6 +31,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     if master:
         builder = builder.master(master)
     conf = dict(_BASE_CONF)
+    if master and master.startswith("local"):
+        # Local mode runs every task inside the driver JVM.
+        conf["spark.driver.memory"] = os.environ.get("TASTEGRID_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
