@@ -308,3 +308,85 @@ SELECT user_id, business_id, score, rank FROM (
   SELECT user_id, business_id, ROUND(score, 6) AS score,
          ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ROUND(score, 6) DESC, business_id) AS rank FROM hy_cand)
 WHERE rank <= 10""")
+
+
+def clone_chain(prefix: str, names: tuple[str, ...], source_from: str, source_to: str) -> None:
+    """Register a copy of the views ``names`` with every reference to a chain view (and the
+    source table) renamed, e.g. the hybrid chain re-targeted at the training split."""
+    import re
+    mapping = {n: prefix + n for n in names}
+    mapping[source_from] = source_to
+    pat = re.compile(r"\b(" + "|".join(sorted(map(re.escape, mapping), key=len, reverse=True)) + r")\b")
+    for n in names:
+        deps, sql = VIEWS[n]
+        new_deps = tuple(mapping.get(d, d) for d in deps)
+        if source_from in deps:
+            new_deps = tuple(source_to if d == source_from else d for d in new_deps)
+        _view(prefix + n, new_deps, pat.sub(lambda m: mapping[m.group(1)], sql))
+
+
+# Temporal leave-last-1 split (users with fewer than min_history + 1 rows dropped).
+_view("split", ("hist",), f"""
+SELECT user_id, business_id, stars, date, pos, n_hist,
+       CASE WHEN pos > n_hist - 1 THEN 'test' ELSE 'train' END AS split
+FROM hist WHERE n_hist >= {K.MIN_USER_REVIEWS} + 1""")
+_view("train", ("split",), "SELECT user_id, business_id, stars, date FROM split WHERE split = 'train'")
+_view("test", ("split",), "SELECT user_id, business_id, stars, date FROM split WHERE split = 'test'")
+_view("relevant", ("test",), f"SELECT user_id, business_id FROM test WHERE stars >= {K.RELEVANCE_THRESHOLD}")
+
+clone_chain("tr_", ("ratings", "mu", "ubias", "ibias", "ufac", "ifac", "hist", "hw", "prof_h2", "alpha_u",
+                    "hy_all", "hy_cand", "hy_top"), "interactions", "train")
+
+# Evaluation (E1-E8) on the given factors, CF biases refit on the training split.
+_view("eval_users", ("relevant", "train"), """
+SELECT DISTINCT user_id FROM relevant WHERE user_id IN (SELECT user_id FROM train)""")
+_view("eval_recs", ("tr_hy_top", "eval_users"), """
+SELECT * FROM tr_hy_top WHERE user_id IN (SELECT user_id FROM eval_users)""")
+
+
+def metric_sql(recs: str, rel: str = "relevant", k: int = 10) -> str:
+    return f"""
+SELECT p.user_id, p.hits / {float(k)} AS precision, p.hits / n.n_rel AS recall,
+       CASE WHEN idcg > 0 THEN p.dcg / idcg ELSE 0.0 END AS ndcg,
+       CASE WHEN p.hits > 0 THEN 1.0 ELSE 0.0 END AS hit_rate
+FROM (SELECT r.user_id, SUM(CASE WHEN x.business_id IS NOT NULL THEN 1 ELSE 0 END) AS hits,
+             SUM(CASE WHEN x.business_id IS NOT NULL THEN 1.0 / log2(r.rank + 1) ELSE 0.0 END) AS dcg
+      FROM (SELECT * FROM {recs} WHERE rank <= {k}) r
+      LEFT JOIN {rel} x ON x.user_id = r.user_id AND x.business_id = r.business_id
+      GROUP BY r.user_id) p
+JOIN (SELECT user_id, COUNT(*) AS n_rel,
+             list_sum(list_transform(range(1, LEAST({k}, COUNT(*)) + 1), lambda i: 1.0 / log2(i + 1))) AS idcg
+      FROM {rel} GROUP BY user_id) n ON n.user_id = p.user_id"""
+
+
+_view("per_user_full", ("eval_recs", "relevant"), metric_sql("eval_recs"))
+_view("neg_excl", ("train", "relevant", "eval_users"), """
+SELECT DISTINCT user_id, business_id FROM (SELECT user_id, business_id FROM train UNION ALL
+                                           SELECT user_id, business_id FROM relevant)
+WHERE user_id IN (SELECT user_id FROM eval_users)""")
+_view("negatives", ("tr_ratings", "neg_excl", "eval_users"), f"""
+SELECT user_id, business_id FROM (
+  SELECT s.user_id, pm.business_id, ROW_NUMBER() OVER (PARTITION BY s.user_id ORDER BY s.j) AS r
+  FROM (SELECT u.user_id, j, (u.b + j) % u.n AS p FROM (
+          SELECT e.user_id, COALESCE(x.ne, 0) AS ne, nu.n,
+                 ('0x' || substring(md5('{K.SEED}|' || e.user_id), 1, 8))::BIGINT % nu.n AS b
+          FROM eval_users e
+          CROSS JOIN (SELECT COUNT(DISTINCT business_id) AS n FROM tr_ratings) nu
+          LEFT JOIN (SELECT user_id, COUNT(*) AS ne FROM neg_excl GROUP BY user_id) x ON x.user_id = e.user_id) u,
+        LATERAL (SELECT unnest(range(0, LEAST(u.n, {K.N_NEGATIVES} + u.ne))) AS j)) s
+  JOIN (SELECT business_id, ROW_NUMBER() OVER (ORDER BY md5('{K.SEED}|' || business_id), business_id) - 1 AS p
+        FROM (SELECT DISTINCT business_id FROM tr_ratings)) pm ON pm.p = s.p
+  WHERE NOT EXISTS (SELECT 1 FROM neg_excl x WHERE x.user_id = s.user_id AND x.business_id = pm.business_id))
+WHERE r <= {K.N_NEGATIVES}""")
+_view("sampled_recs", ("negatives", "relevant", "tr_hy_all"), f"""
+SELECT user_id, business_id, score, rank FROM (
+  SELECT c.user_id, c.business_id, ROUND(a.score, 6) AS score,
+         ROW_NUMBER() OVER (PARTITION BY c.user_id ORDER BY ROUND(a.score, 6) DESC, c.business_id) AS rank
+  FROM (SELECT user_id, business_id FROM relevant WHERE user_id IN (SELECT user_id FROM negatives)
+        UNION SELECT user_id, business_id FROM negatives) c
+  JOIN (SELECT user_id, business_id,
+               {1 - K.PRIOR_WEIGHT} * (alpha * content + (1 - alpha) * LEAST(1.0, GREATEST(0.0, (cf3 - 1.0) / 4.0)))
+               + {K.PRIOR_WEIGHT} * prior AS score FROM tr_hy_all) a
+    ON a.user_id = c.user_id AND a.business_id = c.business_id)
+WHERE rank <= 10""")
+_view("per_user_sampled", ("sampled_recs", "relevant"), metric_sql("sampled_recs"))
