@@ -14,10 +14,22 @@ from tastegrid import constants as K
 __all__ = [
     "round6", "attributes_text", "wide_attributes_text", "soup_expr", "split_categories",
     "clamp_rating", "parse_ts", "alpha_expr", "activity_level", "is_elite",
-    "hour_token_minutes", "open_now", "normalize_cf", "clip01", "json_key",
+    "hour_token_minutes", "open_now", "normalize_cf", "clip01", "json_key", "fixed",
 ]
 
 
+def fixed(x: Column, n: int) -> Column:
+    """Non-negative number as text with n decimals, half-up on the scaled double.
+
+    Done with integer arithmetic so that every engine prints the same digits
+    (printf-style formatting rounds half-way cases differently across runtimes).
+    """
+    scale = 10 ** n
+    s = F.floor(x.cast("double") * F.lit(float(scale)) + F.lit(0.5)).cast("long")
+    return F.concat((s / F.lit(scale)).cast("long").cast("string"), F.lit("."),
+                    F.lpad(F.pmod(s, F.lit(scale)).cast("string"), n, "0"))
+
+
 def round6(c: Column | str) -> Column:
     """Round doubles to 6 decimals so that results compare across engines."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6)

@@ -163,7 +163,7 @@ def score_pairs(inp: HybridInputs, pairs: DataFrame, history_count: DataFrame |
 # H9, H10, H12, U4, U5, J14
 # ---------------------------------------------------------------------------
 
-from tastegrid.functions.exprs import split_categories  # noqa: E402
+from tastegrid.functions.exprs import fixed, split_categories  # noqa: E402
 from tastegrid.operators import profiles as pf  # noqa: E402
 
 
@@ -232,9 +232,12 @@ def explain(inp: HybridInputs, recs: DataFrame, biz_index: DataFrame, algorithm:
     tags = F.array_compact(F.array(
         F.when(F.size("category_overlap") > 0,
                F.format_string(K.TEXT_CATEGORY, F.array_join(F.slice("category_overlap", 1, 3), ", "))),
-        F.when(F.col("content_score") >= K.CONTENT_REASON_THRESHOLD, F.format_string(K.TEXT_CONTENT, F.col("content_score"))),
-        F.when(F.col("cf_pred") >= K.CF_REASON_THRESHOLD, F.format_string(K.TEXT_CF, F.col("cf_pred"))),
-        F.when(F.lit(algorithm == "hybrid"), F.format_string(K.TEXT_ALPHA, F.col("hybrid_alpha"), F.col("activity_level")))))
+        F.when(F.col("content_score") >= K.CONTENT_REASON_THRESHOLD,
+               F.format_string(K.TEXT_CONTENT.replace("%.3f", "%s"), fixed(F.col("content_score"), 3))),
+        F.when(F.col("cf_pred") >= K.CF_REASON_THRESHOLD,
+               F.format_string(K.TEXT_CF.replace("%.2f", "%s"), fixed(F.col("cf_pred"), 2))),
+        F.when(F.lit(algorithm == "hybrid"), F.format_string(K.TEXT_ALPHA.replace("%.3f", "%s"),
+                                                             fixed(F.col("hybrid_alpha"), 3), F.col("activity_level")))))
     tags = F.when(F.col("history_count") == 0, F.array(F.lit(K.TEXT_COLD_START))).otherwise(tags)
     tags = F.when(F.size(tags) == 0, F.array(F.lit(K.TEXT_DEFAULT))).otherwise(tags)
     return (out.withColumn("reason_tags", tags)

@@ -129,6 +129,13 @@ def with_views(body: str, *names: str) -> str:
 STOP_WORDS_SQL = _STOP
 
 
+def fixed_sql(expr: str, n: int) -> str:
+    """SQL twin of ``functions.exprs.fixed``."""
+    scale = 10 ** n
+    s = f"CAST(floor(({expr}) * {float(scale)} + 0.5) AS BIGINT)"
+    return f"(CAST({s} // {scale} AS VARCHAR) || '.' || lpad(CAST({s} % {scale} AS VARCHAR), {n}, '0'))"
+
+
 def _tfidf_views(prefix: str, docs_sql: str, deps: tuple[str, ...]) -> None:
     """M1-M3 for one corpus: {prefix}_docs(business_id, soup) -> {prefix}_tfidf(business_id, term, weight)."""
     _view(f"{prefix}_docs", deps, docs_sql)
