@@ -14,10 +14,16 @@ from tastegrid import constants as K
 __all__ = [
     "round6", "attributes_text", "wide_attributes_text", "soup_expr", "split_categories",
     "clamp_rating", "parse_ts", "alpha_expr", "activity_level", "is_elite",
-    "hour_token_minutes", "open_now", "normalize_cf", "clip01", "json_key", "fixed",
+    "hour_token_minutes", "open_now", "normalize_cf", "clip01", "json_key", "fixed", "round_half_up",
 ]
 
 
+def round_half_up(x: Column, n: int) -> Column:
+    """floor(x * 10^n + 0.5) / 10^n: the same IEEE operations in every engine, unlike round()."""
+    scale = float(10 ** n)
+    return F.floor(x.cast("double") * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+
+
 def fixed(x: Column, n: int) -> Column:
     """Non-negative number as text with n decimals, half-up on the scaled double.
 

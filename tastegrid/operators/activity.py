@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastegrid import constants as K
+from tastegrid.functions.exprs import round_half_up
 
 
 def _ts(value: dt.datetime) -> F.Column:
@@ -65,7 +66,7 @@ def algorithm_usage(requests: DataFrame, as_of: dt.datetime, hours: int = 24) ->
 def request_latency(requests: DataFrame) -> DataFrame:
     """Number of requests and mean latency in ms rounded to 3 decimals (0 when none)."""
     return requests.agg(F.count(F.lit(1)).alias("recommend_requests"),
-                        F.round(F.coalesce(F.avg("latency_ms"), F.lit(0.0)), 3).alias("average_recommend_latency_ms"))
+                        round_half_up(F.coalesce(F.avg("latency_ms"), F.lit(0.0)), 3).alias("average_recommend_latency_ms"))
 
 
 def trim_events(requests: DataFrame, keep: int = K.MAX_EVENT_HISTORY) -> DataFrame:
