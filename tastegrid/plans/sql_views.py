@@ -356,9 +356,9 @@ def metric_sql(recs: str, rel: str = "relevant", k: int = 10) -> str:
 SELECT p.user_id, p.hits / {float(k)} AS precision, p.hits / n.n_rel AS recall,
        CASE WHEN idcg > 0 THEN p.dcg / idcg ELSE 0.0 END AS ndcg,
        CASE WHEN p.hits > 0 THEN 1.0 ELSE 0.0 END AS hit_rate
-FROM (SELECT r.user_id, SUM(CASE WHEN x.business_id IS NOT NULL THEN 1 ELSE 0 END) AS hits,
-             SUM(CASE WHEN x.business_id IS NOT NULL THEN 1.0 / log2(r.rank + 1) ELSE 0.0 END) AS dcg
-      FROM (SELECT * FROM {recs} WHERE rank <= {k}) r
+FROM (SELECT r.user_id, SUM(CASE WHEN x.business_id IS NOT NULL AND r.rank <= {k} THEN 1 ELSE 0 END) AS hits,
+             SUM(CASE WHEN x.business_id IS NOT NULL AND r.rank <= {k} THEN 1.0 / log2(r.rank + 1) ELSE 0.0 END) AS dcg
+      FROM {recs} r
       LEFT JOIN {rel} x ON x.user_id = r.user_id AND x.business_id = r.business_id
       GROUP BY r.user_id) p
 JOIN (SELECT user_id, COUNT(*) AS n_rel,
