@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +38,7 @@ DENSE_CHUNK = 256               # users scored at once: 256 x 20k doubles ~ 40 M
 SPARSE_PAIR_CHUNK = 4_000_000   # term matches expanded at once
 HYBRID_MAX_ITEMS = 200_000      # one-pass hybrid candidates need the catalogue in one block
 CHUNK_CELLS = 4_000_000         # users x items cells scored at once
+DENSE_TERM_CELLS = 40_000_000   # items x local vocabulary kept dense (320 MB) before falling back to sparse
 
 OUT_SCHEMA = T.StructType([
     T.StructField("user_id", T.StringType()),
@@ -93,12 +95,22 @@ def _csr(idx: pd.Series, val: pd.Series) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 class _ItemTerms:
-    """Items of one block as a term-major (CSC) index for sparse dot products."""
+    """Items of one block as a term-major (CSC) index for sparse dot products.
+
+    When the block's own vocabulary is small, the items are also kept as a
+    dense (items x local terms) matrix and dot products become one GEMM.
+    """
 
     def __init__(self, t_idx: pd.Series, t_val: pd.Series):
         indptr, terms, vals = _csr(t_idx, t_val)
         n_items = len(indptr) - 1
         item_of = np.repeat(np.arange(n_items), np.diff(indptr))
+        self.dense = None
+        local_terms, local_of = np.unique(terms, return_inverse=True)
+        if len(local_terms) and n_items * len(local_terms) <= DENSE_TERM_CELLS:
+            X = np.zeros((n_items, len(local_terms)))
+            X[item_of, local_of] = vals
+            self.dense = (local_terms, X)
         order = np.argsort(terms, kind="stable")
         self.terms_sorted = terms[order]
         self.items = item_of[order]
@@ -111,6 +123,15 @@ class _ItemTerms:
     def dot(self, indptr: np.ndarray, terms: np.ndarray, vals: np.ndarray) -> np.ndarray:
         """(rows x items) dot products of the given sparse rows with every item."""
         n_rows = len(indptr) - 1
+        if self.dense is not None:
+            local_terms, X = self.dense
+            P = np.zeros((n_rows, len(local_terms)))
+            if len(terms):
+                pos = np.minimum(np.searchsorted(local_terms, terms), len(local_terms) - 1)
+                hit = local_terms[pos] == terms
+                rows = np.repeat(np.arange(n_rows), np.diff(indptr))
+                np.add.at(P, (rows[hit], pos[hit]), vals[hit])
+            return P @ X.T
         out = np.zeros(n_rows * self.n_items, dtype=np.float64)
         if len(terms) == 0 or len(self.uniq) == 0:
             return out.reshape(n_rows, self.n_items)
@@ -184,7 +205,7 @@ def _hybrid_candidates(spec: ScoreSpec, u: pd.DataFrame, cf_gen: np.ndarray, con
     return cand
 
 
-def _make_block_fn(spec: ScoreSpec, k: int):
+def _make_block_fn(spec: ScoreSpec, k: int, restrict: bool = False):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"user_id": pd.Series([], dtype=object), "business_id": pd.Series([], dtype=object),
                               "score": pd.Series([], dtype=np.float64)})
@@ -192,6 +213,7 @@ def _make_block_fn(spec: ScoreSpec, k: int):
             return empty
         users = left[left["_kind"] == 0].reset_index(drop=True)
         seen = left[left["_kind"] == 1]
+        allowed = left[left["_kind"] == 2]
         if users.empty:
             return empty
         items = right.sort_values("business_id", kind="stable").reset_index(drop=True)
@@ -206,6 +228,11 @@ def _make_block_fn(spec: ScoreSpec, k: int):
             su, si = su[ok], si[ok]
         else:
             su = si = np.zeros(0, np.int64)
+        if restrict:
+            au = upos.get_indexer(allowed["user_id"])
+            ai = pd.Index(item_ids).get_indexer(allowed["business_id"])
+            ok = (au >= 0) & (ai >= 0)
+            au, ai = au[ok], ai[ok]
 
         # item-side features, prepared once per block
         need_cf = spec.mode in ("cf", "cf_pair", "hybrid", "hybrid_gen")
@@ -279,6 +306,11 @@ def _make_block_fn(spec: ScoreSpec, k: int):
                     continue
             else:
                 S[hist] = -np.inf
+            if restrict:
+                keep = np.zeros(S.shape, dtype=bool)
+                ma = (au >= a) & (au < a + len(u))
+                keep[au[ma] - a, ai[ma]] = True
+                S[~keep] = -np.inf
             rows, cols = _top_k_select(S, k)
             frames.append(pd.DataFrame({"user_id": uid[a + rows], "business_id": item_ids[cols],
                                         "score": S[rows, cols]}))
@@ -287,14 +319,19 @@ def _make_block_fn(spec: ScoreSpec, k: int):
 
 
 def grid_top_k(users: DataFrame, items: DataFrame, k: int, spec: ScoreSpec, seen: DataFrame | None = None,
-               n_users: int | None = None, n_items: int | None = None) -> DataFrame:
+               n_users: int | None = None, n_items: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """Top-k items per user under ``spec`` -> (user_id, business_id, score, rank).
 
     users: user_id + u_vec/u_bias (cf), p_idx/p_val (content), alpha (hybrid).
     items: business_id + i_vec/i_bias (cf), t_idx/t_val (content), prior (hybrid).
     seen:  (user_id, business_id) pairs never returned.
+    allowed: optional (user_id, business_id) pairs; when given, only these can be returned
+             (explicit candidate lists), carried like ``seen`` on the user side.
     """
     spark = users.sparkSession
+    # Scorer inputs are read twice (size, then the grid): keep them.
+    users = users.persist(StorageLevel.MEMORY_AND_DISK)
+    items = items.persist(StorageLevel.MEMORY_AND_DISK)
     n_users = n_users if n_users is not None else users.count()
     n_items = n_items if n_items is not None else items.count()
     par = max(1, spark.sparkContext.defaultParallelism)
@@ -319,11 +356,15 @@ def grid_top_k(users: DataFrame, items: DataFrame, k: int, spec: ScoreSpec, seen
         s = (seen.select("user_id", "business_id").withColumn("_ub", ub).withColumn("_ib", ib)
              .withColumn("_kind", F.lit(1)))
         left = left.unionByName(s, allowMissingColumns=True)
+    if allowed is not None:
+        al = (allowed.select("user_id", "business_id").withColumn("_ub", ub).withColumn("_ib", ib)
+              .withColumn("_kind", F.lit(2)))
+        left = left.unionByName(al, allowMissingColumns=True)
     i_cols = [c for c in ("i_vec", "i_bias", "t_idx", "t_val", "prior") if c in items.columns]
     right = (items.select("business_id", *i_cols)
              .withColumn("_ib", ib)
              .withColumn("_ub", F.explode(F.sequence(F.lit(0), F.lit(n_ub - 1)))))
-    fn = _make_block_fn(spec, k)
+    fn = _make_block_fn(spec, k, restrict=allowed is not None)
     block_top = (left.groupBy("_ub", "_ib").cogroup(right.groupBy("_ub", "_ib"))
                  .applyInPandas(fn, OUT_SCHEMA))
     if spec.mode == "hybrid_gen" and spec.emit == "candidates":

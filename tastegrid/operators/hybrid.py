@@ -122,6 +122,16 @@ def recommend(inp: HybridInputs, users: DataFrame, k: int = 10, emit: str = "top
     return _recommend_by_pairs(inp, users, k, emit, **lim)
 
 
+def recommend_among(inp: HybridInputs, candidates: DataFrame, k: int = 10) -> DataFrame:
+    """H7 with explicit candidates: H6 scores of each user's own candidate list, top k.
+
+    Runs in the blocked scorer restricted to the listed pairs (no per-pair joins).
+    """
+    users = candidates.select("user_id").distinct()
+    return grid_top_k(inp.user_side(users), inp.item_side(), k, inp.spec(mode="hybrid"),
+                      allowed=candidates.select("user_id", "business_id"))
+
+
 def _recommend_by_pairs(inp: HybridInputs, users: DataFrame, k: int, emit: str, cf_limit: int,
                         content_limit: int, prior_limit: int) -> DataFrame:
     """Large-catalogue path: explicit candidate lists (three top-k scans), then pair scoring."""
