@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +41,12 @@ class CFModel:
 
 def fit_biases(r: DataFrame) -> tuple[float, DataFrame, DataFrame]:
     """mu = mean rating; b_u = mean_u - mu; b_i = mean_i - mu (no shrinkage)."""
+    r = r.persist(StorageLevel.MEMORY_AND_DISK)
     mu = r.agg(F.avg("stars")).first()[0]
     mu = float(mu) if mu is not None else 0.0
-    ub = r.groupBy("user_id").agg((F.avg("stars") - F.lit(mu)).alias("bias"))
-    ib = r.groupBy("business_id").agg((F.avg("stars") - F.lit(mu)).alias("bias"))
+    # One row per user / item: model-sized tables read by every prediction.
+    ub = r.groupBy("user_id").agg((F.avg("stars") - F.lit(mu)).alias("bias")).persist(StorageLevel.MEMORY_AND_DISK)
+    ib = r.groupBy("business_id").agg((F.avg("stars") - F.lit(mu)).alias("bias")).persist(StorageLevel.MEMORY_AND_DISK)
     return mu, ub, ib
 
 
@@ -135,7 +138,6 @@ def fit_given(interactions: DataFrame, user_factors: DataFrame | None, item_fact
 
 import numpy as np  # noqa: E402
 import pandas as pd  # noqa: E402
-from pyspark import StorageLevel  # noqa: E402
 from pyspark.sql import Window  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 

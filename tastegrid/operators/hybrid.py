@@ -26,6 +26,7 @@ def popularity_fallback(users: DataFrame, biz_index: DataFrame, history: DataFra
 # H1-H7
 # ---------------------------------------------------------------------------
 
+from pyspark import StorageLevel  # noqa: E402
 from pyspark.sql import Window  # noqa: E402
 
 from tastegrid.functions.exprs import alpha_expr, clip01, normalize_cf  # noqa: E402
@@ -78,30 +79,49 @@ class HybridInputs:
                  history: DataFrame, catalogue: DataFrame, prior_weight: float = K.PRIOR_WEIGHT):
         self.model = model
         self.item_tfidf = item_tfidf
-        self.vocab_idx = ct.vocab_index(vocab)
+        self.vocab_idx = ct.vocab_index(vocab).persist(StorageLevel.MEMORY_AND_DISK)
         self.priors = prior_scores(priors)
         self.history = history.select("user_id", "business_id", "stars", "date")
         self.catalogue = catalogue.select("business_id")
         self.prior_weight = float(min(max(prior_weight, 0.0), 0.5))
+        self._memo: dict[str, DataFrame] = {}
+
+    def _keep(self, key: str, build) -> DataFrame:
+        """Build once per job and persist: these tables feed several branches and actions."""
+        if key not in self._memo:
+            self._memo[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+        return self._memo[key]
 
     def weighted_history(self) -> DataFrame:
-        return history_weights(self.history)
+        return self._keep("weighted_history", lambda: history_weights(self.history))
 
     def profiles(self) -> DataFrame:
         """H2-weighted content profiles (what the hybrid uses)."""
-        return ct.user_profiles(self.weighted_history(), self.item_tfidf, "weight")
+        return self._keep("profiles", lambda: ct.user_profiles(self.weighted_history(), self.item_tfidf, "weight"))
+
+    def _all_user_side(self) -> DataFrame:
+        def build():
+            users = self.history.select("user_id").distinct().unionByName(
+                self.model.user_bias.select("user_id")).distinct()
+            u = cfm.user_side(self.model, users)
+            prof = ct.sparse_profile_arrays(self.profiles(), self.vocab_idx)
+            al = alpha_by_user(self.history)
+            return u.join(prof, "user_id", "left").join(al.select("user_id", "alpha"), "user_id", "left")
+        return self._keep("user_side", build)
 
     def user_side(self, users: DataFrame) -> DataFrame:
-        u = cfm.user_side(self.model, users)
-        prof = ct.sparse_profile_arrays(self.profiles(), self.vocab_idx)
-        al = alpha_by_user(self.history)
-        return (u.join(prof, "user_id", "left").join(al.select("user_id", "alpha"), "user_id", "left")
-                .withColumn("alpha", F.coalesce(F.col("alpha"), alpha_expr(F.lit(0)))))
+        """Scorer rows for ``users``; users without history or CF rows get alpha(0) and no profile."""
+        wanted = users.select("user_id").distinct()
+        known = self._all_user_side()
+        rows = wanted.join(known, "user_id", "left")
+        return rows.withColumn("alpha", F.coalesce(F.col("alpha"), alpha_expr(F.lit(0))))
 
     def item_side(self) -> DataFrame:
-        items = cfm.item_side(self.model, self.catalogue, keep_unknown=True)
-        arrays = ct.sparse_item_arrays(self.item_tfidf, self.vocab_idx)
-        return items.join(arrays, "business_id", "left").join(self.priors, "business_id", "left")
+        def build():
+            items = cfm.item_side(self.model, self.catalogue, keep_unknown=True)
+            arrays = ct.sparse_item_arrays(self.item_tfidf, self.vocab_idx)
+            return items.join(arrays, "business_id", "left").join(self.priors, "business_id", "left")
+        return self._keep("item_side", build)
 
     def spec(self, **kw) -> ScoreSpec:
         return ScoreSpec(kw.pop("mode", "hybrid_gen"), mu=self.model.mu, lo=self.model.lo, hi=self.model.hi,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ def catalogue_tfidf(c: Ctx):
     """Item TF-IDF over the catalogue text, cached on the context."""
     if not hasattr(c, "_tfidf"):
         item, vocab = content.tfidf(c.catalogue, "business_id", "soup")
-        c._tfidf = (item.persist(), vocab)
+        c._tfidf = (item.persist(StorageLevel.MEMORY_AND_DISK), vocab.persist(StorageLevel.MEMORY_AND_DISK))
     return c._tfidf
 
 
