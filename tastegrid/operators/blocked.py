@@ -64,6 +64,8 @@ class ScoreSpec:
     content_limit: int = 800
     prior_limit: int = 400
     emit: str = "topk"
+    # build content profiles inside the block from weighted history rows (needs one item block)
+    profile_from_history: bool = False
 
 
 def _dense(series: pd.Series, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +105,7 @@ class _ItemTerms:
 
     def __init__(self, t_idx: pd.Series, t_val: pd.Series):
         indptr, terms, vals = _csr(t_idx, t_val)
+        self.csr = (indptr, terms, vals)
         n_items = len(indptr) - 1
         item_of = np.repeat(np.arange(n_items), np.diff(indptr))
         self.dense = None
@@ -159,6 +162,39 @@ class _ItemTerms:
         return out.reshape(n_rows, self.n_items)
 
 
+def _profiles_from_history(n_rows: int, hu: np.ndarray, hi: np.ndarray, hw: np.ndarray,
+                           item_csr: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """M5 inside a block: profile_u = sum_h w_h x_h over the user's history rows (repeats count).
+
+    Weights summing to <= 0 over a user's resolved rows fall back to 1 each (plain
+    mean; the cosine ignores the common scale).  Returns CSR rows (indptr,
+    terms, values) and a mask of users with at least one resolved row.
+    """
+    indptr, terms, vals = item_csr
+    has = np.zeros(n_rows, dtype=bool)
+    if len(hu) == 0:
+        return np.zeros(n_rows + 1, np.int64), np.zeros(0, np.int64), np.zeros(0), has
+    has[hu] = True
+    wsum = np.bincount(hu, weights=hw, minlength=n_rows)
+    w = np.where(wsum[hu] > 0, hw, 1.0)
+    cnt = indptr[hi + 1] - indptr[hi]
+    tot = int(cnt.sum())
+    if tot == 0:
+        return np.zeros(n_rows + 1, np.int64), np.zeros(0, np.int64), np.zeros(0), has
+    offs = np.arange(tot) - np.repeat(np.cumsum(cnt) - cnt, cnt) + np.repeat(indptr[hi], cnt)
+    rows = np.repeat(hu, cnt)
+    t = terms[offs]
+    v = np.repeat(w, cnt) * vals[offs]
+    span = int(t.max()) + 1
+    key, inv = np.unique(rows.astype(np.int64) * span + t, return_inverse=True)
+    agg = np.bincount(inv, weights=v)
+    prow = key // span
+    pterm = key % span
+    pindptr = np.zeros(n_rows + 1, np.int64)
+    np.cumsum(np.bincount(prow, minlength=n_rows), out=pindptr[1:])
+    return pindptr, pterm, agg, has
+
+
 def _top_k_select(S: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Per row the k largest finite entries; ties go to the lower column (= lower id)."""
     n_rows, n_cols = S.shape
@@ -177,7 +213,7 @@ def _top_k_select(S: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(take)
 
 
-def _hybrid_candidates(spec: ScoreSpec, u: pd.DataFrame, cf_gen: np.ndarray, content: np.ndarray,
+def _hybrid_candidates(spec: ScoreSpec, has_profile: np.ndarray, cf_gen: np.ndarray, content: np.ndarray,
                        hist: np.ndarray, i_known: np.ndarray, prior_top: np.ndarray, n_cf_items: int,
                        n_items: int) -> np.ndarray:
     """H5 for a chunk of users over the whole catalogue: boolean (users x items) candidate mask.
@@ -192,7 +228,6 @@ def _hybrid_candidates(spec: ScoreSpec, u: pd.DataFrame, cf_gen: np.ndarray, con
         g = np.where(hist, -np.inf, cf_gen)
         r, c = _top_k_select(g, min(spec.cf_limit, n_cf_items))
         cand[r, c] = True
-    has_profile = np.array([v is not None and not isinstance(v, float) and len(v) > 0 for v in u["p_idx"].to_numpy()])
     if has_profile.any():
         g = np.where(hist | ~has_profile[:, None], -np.inf, np.round(content, 6))
         r, c = _top_k_select(g, min(spec.content_limit, n_items))
@@ -214,6 +249,7 @@ def _make_block_fn(spec: ScoreSpec, k: int, restrict: bool = False):
         users = left[left["_kind"] == 0].reset_index(drop=True)
         seen = left[left["_kind"] == 1]
         allowed = left[left["_kind"] == 2]
+        hist_rows = left[left["_kind"] == 3]
         if users.empty:
             return empty
         items = right.sort_values("business_id", kind="stable").reset_index(drop=True)
@@ -228,6 +264,12 @@ def _make_block_fn(spec: ScoreSpec, k: int, restrict: bool = False):
             su, si = su[ok], si[ok]
         else:
             su = si = np.zeros(0, np.int64)
+        if spec.profile_from_history:
+            hu_all = upos.get_indexer(hist_rows["user_id"])
+            hi_all = pd.Index(item_ids).get_indexer(hist_rows["business_id"])
+            hw_all = hist_rows["hw"].astype(float).fillna(0.0).to_numpy()
+            okh = (hu_all >= 0) & (hi_all >= 0)
+            hu_all, hi_all, hw_all = hu_all[okh], hi_all[okh], hw_all[okh]
         if restrict:
             au = upos.get_indexer(allowed["user_id"])
             ai = pd.Index(item_ids).get_indexer(allowed["business_id"])
@@ -279,7 +321,13 @@ def _make_block_fn(spec: ScoreSpec, k: int, restrict: bool = False):
                 cf = np.clip(cf, spec.lo, spec.hi)
                 S = cf
             if need_ct:
-                indptr, terms, vals = _csr(u["p_idx"], u["p_val"])
+                if spec.profile_from_history:
+                    mh = (hu_all >= a) & (hu_all < a + len(u))
+                    indptr, terms, vals, has_profile = _profiles_from_history(
+                        len(u), hu_all[mh] - a, hi_all[mh], hw_all[mh], iterms.csr)
+                else:
+                    indptr, terms, vals = _csr(u["p_idx"], u["p_val"])
+                    has_profile = np.diff(indptr) > 0
                 dots = iterms.dot(indptr, terms, vals)
                 norms = np.sqrt(np.add.reduceat(vals * vals, indptr[:-1])) if len(vals) else np.zeros(len(u))
                 norms = np.where(np.diff(indptr) > 0, norms, 0.0)
@@ -292,12 +340,14 @@ def _make_block_fn(spec: ScoreSpec, k: int, restrict: bool = False):
                 core = alpha * content + (1.0 - alpha) * cf_n
                 S = (1.0 - spec.prior_weight) * core + spec.prior_weight * prior[None, :]
             S = np.round(S, 6)
+            if spec.mode == "content" and spec.profile_from_history:
+                S[~has_profile] = -np.inf            # no resolvable history -> no content ranking
             m = (su >= a) & (su < a + len(u))
             hist = np.zeros(S.shape, dtype=bool)
             if m.any():
                 hist[su[m] - a, si[m]] = True
             if spec.mode == "hybrid_gen":
-                cand = _hybrid_candidates(spec, u, cf_gen, content, hist, i_known, prior_top, n_cf_items, n_items)
+                cand = _hybrid_candidates(spec, has_profile, cf_gen, content, hist, i_known, prior_top, n_cf_items, n_items)
                 S[~cand] = -np.inf
                 if spec.emit == "candidates":
                     rows, cols = np.nonzero(cand)
@@ -319,7 +369,8 @@ def _make_block_fn(spec: ScoreSpec, k: int, restrict: bool = False):
 
 
 def grid_top_k(users: DataFrame, items: DataFrame, k: int, spec: ScoreSpec, seen: DataFrame | None = None,
-               n_users: int | None = None, n_items: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+               n_users: int | None = None, n_items: int | None = None, allowed: DataFrame | None = None,
+               history: DataFrame | None = None) -> DataFrame:
     """Top-k items per user under ``spec`` -> (user_id, business_id, score, rank).
 
     users: user_id + u_vec/u_bias (cf), p_idx/p_val (content), alpha (hybrid).
@@ -327,6 +378,8 @@ def grid_top_k(users: DataFrame, items: DataFrame, k: int, spec: ScoreSpec, seen
     seen:  (user_id, business_id) pairs never returned.
     allowed: optional (user_id, business_id) pairs; when given, only these can be returned
              (explicit candidate lists), carried like ``seen`` on the user side.
+    history: optional (user_id, business_id, hw) weighted history rows; with
+             ``spec.profile_from_history`` the content profiles are formed inside the block.
     """
     spark = users.sparkSession
     # Scorer inputs are read twice (size, then the grid): keep them.
@@ -341,6 +394,8 @@ def grid_top_k(users: DataFrame, items: DataFrame, k: int, spec: ScoreSpec, seen
         if n_items > HYBRID_MAX_ITEMS:
             raise ValueError("catalogue too large for one item block")
         n_ib = 1
+    if spec.profile_from_history and n_ib > 1:
+        raise ValueError("profiles from history need the catalogue in one item block")
     n_ub = max(1, min(math.ceil(n_users / MIN_USERS_PER_BLOCK),
                       max(math.ceil(n_users / USERS_PER_BLOCK), math.ceil(2 * par / n_ib))))
     ub = F.pmod(F.xxhash64("user_id"), F.lit(n_ub)).cast("int")
@@ -356,6 +411,10 @@ def grid_top_k(users: DataFrame, items: DataFrame, k: int, spec: ScoreSpec, seen
         s = (seen.select("user_id", "business_id").withColumn("_ub", ub).withColumn("_ib", ib)
              .withColumn("_kind", F.lit(1)))
         left = left.unionByName(s, allowMissingColumns=True)
+    if history is not None:
+        hrows = (history.select("user_id", "business_id", F.col("hw").cast("double"))
+                 .withColumn("_ub", ub).withColumn("_ib", ib).withColumn("_kind", F.lit(3)))
+        left = left.unionByName(hrows, allowMissingColumns=True)
     if allowed is not None:
         al = (allowed.select("user_id", "business_id").withColumn("_ub", ub).withColumn("_ib", ib)
               .withColumn("_kind", F.lit(2)))

@@ -32,7 +32,7 @@ from pyspark.sql import Window  # noqa: E402
 from tastegrid.functions.exprs import alpha_expr, clip01, normalize_cf  # noqa: E402
 from tastegrid.operators import cf as cfm  # noqa: E402
 from tastegrid.operators import content as ct  # noqa: E402
-from tastegrid.operators.blocked import HYBRID_MAX_ITEMS, ScoreSpec, grid_top_k  # noqa: E402
+from tastegrid.operators.blocked import HYBRID_MAX_ITEMS, ITEMS_PER_BLOCK, ScoreSpec, grid_top_k  # noqa: E402
 from tastegrid.operators.ranking import top_k_of_global_order, top_k_per_user  # noqa: E402,F811
 
 
@@ -109,10 +109,22 @@ class HybridInputs:
             return u.join(prof, "user_id", "left").join(al.select("user_id", "alpha"), "user_id", "left")
         return self._keep("user_side", build)
 
-    def user_side(self, users: DataFrame) -> DataFrame:
+    def _all_user_side_no_profile(self) -> DataFrame:
+        def build():
+            users = self.history.select("user_id").distinct().unionByName(
+                self.model.user_bias.select("user_id")).distinct()
+            al = alpha_by_user(self.history)
+            return cfm.user_side(self.model, users).join(al.select("user_id", "alpha"), "user_id", "left")
+        return self._keep("user_side_np", build)
+
+    def history_rows(self) -> DataFrame:
+        """(user_id, business_id, hw): H2-weighted history rows for in-block profiles."""
+        return self.weighted_history().select("user_id", "business_id", F.col("weight").alias("hw"))
+
+    def user_side(self, users: DataFrame, with_profile: bool = True) -> DataFrame:
         """Scorer rows for ``users``; users without history or CF rows get alpha(0) and no profile."""
         wanted = users.select("user_id").distinct()
-        known = self._all_user_side()
+        known = self._all_user_side() if with_profile else self._all_user_side_no_profile()
         rows = wanted.join(known, "user_id", "left")
         return rows.withColumn("alpha", F.coalesce(F.col("alpha"), alpha_expr(F.lit(0))))
 
@@ -137,8 +149,11 @@ def recommend(inp: HybridInputs, users: DataFrame, k: int = 10, emit: str = "top
     items = inp.item_side()
     n_items = inp.catalogue.count()
     if n_items <= HYBRID_MAX_ITEMS:
-        return grid_top_k(inp.user_side(users), items, k, inp.spec(emit=emit, **lim),
-                          seen=inp.history.select("user_id", "business_id"), n_items=n_items)
+        # one item block: profiles are formed inside the block from the weighted history rows
+        return grid_top_k(inp.user_side(users, with_profile=False), items, k,
+                          inp.spec(emit=emit, profile_from_history=True, **lim),
+                          seen=inp.history.select("user_id", "business_id"), n_items=n_items,
+                          history=inp.history_rows())
     return _recommend_by_pairs(inp, users, k, emit, **lim)
 
 
@@ -148,8 +163,12 @@ def recommend_among(inp: HybridInputs, candidates: DataFrame, k: int = 10) -> Da
     Runs in the blocked scorer restricted to the listed pairs (no per-pair joins).
     """
     users = candidates.select("user_id").distinct()
-    return grid_top_k(inp.user_side(users), inp.item_side(), k, inp.spec(mode="hybrid"),
-                      allowed=candidates.select("user_id", "business_id"))
+    n_items = inp.catalogue.count()
+    one_block = n_items <= ITEMS_PER_BLOCK
+    return grid_top_k(inp.user_side(users, with_profile=not one_block), inp.item_side(), k,
+                      inp.spec(mode="hybrid", profile_from_history=one_block),
+                      allowed=candidates.select("user_id", "business_id"), n_items=n_items,
+                      history=inp.history_rows() if one_block else None)
 
 
 def _recommend_by_pairs(inp: HybridInputs, users: DataFrame, k: int, emit: str, cf_limit: int,
@@ -200,6 +219,13 @@ from tastegrid.operators import profiles as pf  # noqa: E402
 def content_recommend(inp: HybridInputs, users: DataFrame, k: int, weight_col: str | None) -> DataFrame:
     """M7 for every user: profile from raw ratings (``weight_col="stars"``) or the plain mean (None)."""
     hist = inp.history
+    items = inp.catalogue.join(ct.sparse_item_arrays(inp.item_tfidf, inp.vocab_idx), "business_id", "left")
+    n_items = inp.catalogue.count()
+    if n_items <= ITEMS_PER_BLOCK:
+        hw = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+        rows = hist.select("user_id", "business_id", hw.alias("hw"))
+        return grid_top_k(users.select("user_id").distinct(), items, k, ScoreSpec("content", profile_from_history=True),
+                          seen=hist.select("user_id", "business_id"), n_items=n_items, history=rows)
     prof = ct.user_profiles(hist, inp.item_tfidf, weight_col)
     uside = users.select("user_id").distinct().join(ct.sparse_profile_arrays(prof, inp.vocab_idx), "user_id")
     items = inp.catalogue.join(ct.sparse_item_arrays(inp.item_tfidf, inp.vocab_idx), "business_id", "left")
@@ -308,8 +334,10 @@ def full_ranking_page(inp: HybridInputs, users: DataFrame, biz_index: DataFrame,
         n_t1 = tier1_items.count()
         total = t0.select("user_id", (F.col("_t0") + F.lit(n_t1)).alias("total"))
     else:
-        uside = inp.user_side(users)
-        ranked = grid_top_k(uside, inp.item_side(), depth, inp.spec(mode="hybrid"), seen=seen, n_items=n_cat)
+        one_block = n_cat <= ITEMS_PER_BLOCK
+        uside = inp.user_side(users, with_profile=not one_block)
+        ranked = grid_top_k(uside, inp.item_side(), depth, inp.spec(mode="hybrid", profile_from_history=one_block),
+                            seen=seen, n_items=n_cat, history=inp.history_rows() if one_block else None)
         total = base_users.join(in_cat_hist, "user_id", "left").select(
             "user_id", (F.lit(n_cat) - F.coalesce("_h", F.lit(0))).alias("total"))
     page = ranked.filter((F.col("rank") > offset) & (F.col("rank") <= depth))

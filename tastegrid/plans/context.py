@@ -34,7 +34,8 @@ class Ctx:
     @cached_property
     def catalogue(self) -> DataFrame:
         """Model catalogue: businesses with enough reviews, any category."""
-        return prepare.filter_businesses(self.business, K.MIN_BUSINESS_REVIEWS, category_keyword=None)
+        return (prepare.filter_businesses(self.business, K.MIN_BUSINESS_REVIEWS, category_keyword=None)
+                .persist(StorageLevel.MEMORY_AND_DISK))
 
     @cached_property
     def review_sel(self) -> DataFrame:

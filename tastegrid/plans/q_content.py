@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tastegrid.functions.exprs import round6
 from tastegrid.operators import content
-from tastegrid.operators.blocked import ScoreSpec, grid_top_k
+from tastegrid.operators.blocked import ITEMS_PER_BLOCK, ScoreSpec, grid_top_k
 from tastegrid.plans.context import Ctx
 from tastegrid.plans.registry import query
 from tastegrid.plans.sql_views import with_views
@@ -118,8 +118,18 @@ SELECT user_id, business_id, score, rank FROM (
 WHERE rank <= 10""", "prof_raw", "catalogue", "cat_tfidf", "interactions"))
 def content_topk(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    item, _ = catalogue_tfidf(c)
-    prof = content.user_profiles(c.interactions, item, "stars")
-    users, items = content_scorer_inputs(c, prof)
-    out = grid_top_k(users, items, 10, ScoreSpec("content"), seen=c.interactions.select("user_id", "business_id"))
+    item, vocab = catalogue_tfidf(c)
+    seen = c.interactions.select("user_id", "business_id")
+    n_items = c.catalogue.count()
+    if n_items <= ITEMS_PER_BLOCK:
+        # profiles (raw-rating weights) are formed inside the scorer block from the history rows
+        items = c.catalogue.select("business_id").join(
+            content.sparse_item_arrays(item, content.vocab_index(vocab)), "business_id", "left")
+        hist = c.interactions.select("user_id", "business_id", F.col("stars").alias("hw"))
+        out = grid_top_k(c.interactions.select("user_id").distinct(), items, 10,
+                         ScoreSpec("content", profile_from_history=True), seen=seen, n_items=n_items, history=hist)
+    else:
+        prof = content.user_profiles(c.interactions, item, "stars")
+        users, items = content_scorer_inputs(c, prof)
+        out = grid_top_k(users, items, 10, ScoreSpec("content"), seen=seen)
     return out.select("user_id", "business_id", round6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
