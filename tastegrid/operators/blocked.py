@@ -329,8 +329,8 @@ def _make_block_fn(spec: ScoreSpec, k: int, restrict: bool = False):
                     indptr, terms, vals = _csr(u["p_idx"], u["p_val"])
                     has_profile = np.diff(indptr) > 0
                 dots = iterms.dot(indptr, terms, vals)
-                norms = np.sqrt(np.add.reduceat(vals * vals, indptr[:-1])) if len(vals) else np.zeros(len(u))
-                norms = np.where(np.diff(indptr) > 0, norms, 0.0)
+                row_of = np.repeat(np.arange(len(u)), np.diff(indptr))
+                norms = np.sqrt(np.bincount(row_of, weights=vals * vals, minlength=len(u)))
                 content = np.where(norms[:, None] > 0, dots / np.where(norms > 0, norms, 1.0)[:, None], 0.0)
                 S = content
             if spec.mode in ("hybrid", "hybrid_gen"):
