@@ -44,6 +44,9 @@ OUT_SCHEMA = T.StructType([
     T.StructField("user_id", T.StringType()),
     T.StructField("business_id", T.StringType()),
     T.StructField("score", T.DoubleType()),
+    # components of the score for the emitted rows (null when the mode has none)
+    T.StructField("content_score", T.DoubleType()),
+    T.StructField("cf_pred", T.DoubleType()),
 ])
 
 
@@ -243,7 +246,13 @@ def _hybrid_candidates(spec: ScoreSpec, has_profile: np.ndarray, cf_gen: np.ndar
 def _make_block_fn(spec: ScoreSpec, k: int, restrict: bool = False):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"user_id": pd.Series([], dtype=object), "business_id": pd.Series([], dtype=object),
-                              "score": pd.Series([], dtype=np.float64)})
+                              "score": pd.Series([], dtype=np.float64), "content_score": pd.Series([], dtype=np.float64),
+                              "cf_pred": pd.Series([], dtype=np.float64)})
+
+        def emit(rows, cols, S, content, cf):
+            return pd.DataFrame({"user_id": uid[a + rows], "business_id": item_ids[cols], "score": S[rows, cols],
+                                 "content_score": content[rows, cols] if content is not None else np.nan,
+                                 "cf_pred": cf[rows, cols] if cf is not None else np.nan})
         if left.empty or right.empty:
             return empty
         users = left[left["_kind"] == 0].reset_index(drop=True)
@@ -301,6 +310,7 @@ def _make_block_fn(spec: ScoreSpec, k: int, restrict: bool = False):
         for a in range(0, len(users), chunk):
             u = users.iloc[a:a + chunk]
             S = None
+            content = cf = None
             if need_cf:
                 uvec, uvec_ok = _dense(u["u_vec"], ivec.shape[1])
                 ubias = u["u_bias"].astype(float)
@@ -351,8 +361,7 @@ def _make_block_fn(spec: ScoreSpec, k: int, restrict: bool = False):
                 S[~cand] = -np.inf
                 if spec.emit == "candidates":
                     rows, cols = np.nonzero(cand)
-                    frames.append(pd.DataFrame({"user_id": uid[a + rows], "business_id": item_ids[cols],
-                                                "score": S[rows, cols]}))
+                    frames.append(emit(rows, cols, S, content, cf))
                     continue
             else:
                 S[hist] = -np.inf
@@ -362,8 +371,7 @@ def _make_block_fn(spec: ScoreSpec, k: int, restrict: bool = False):
                 keep[au[ma] - a, ai[ma]] = True
                 S[~keep] = -np.inf
             rows, cols = _top_k_select(S, k)
-            frames.append(pd.DataFrame({"user_id": uid[a + rows], "business_id": item_ids[cols],
-                                        "score": S[rows, cols]}))
+            frames.append(emit(rows, cols, S, content, cf))
         return pd.concat(frames, ignore_index=True) if frames else empty
     return run
 

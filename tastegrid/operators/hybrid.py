@@ -189,7 +189,8 @@ def _recommend_by_pairs(inp: HybridInputs, users: DataFrame, k: int, emit: str,
     scored = score_pairs(inp, cand)
     if emit == "candidates":
         return scored.select("user_id", "business_id", F.col("hybrid_score").alias("score"))
-    return top_k_per_user(scored.withColumnRenamed("hybrid_score", "score"), k).select("user_id", "business_id", "score", "rank")
+    return top_k_per_user(scored.withColumnRenamed("hybrid_score", "score"), k).select(
+        "user_id", "business_id", "score", "rank", "content_score", "cf_pred")
 
 
 def score_pairs(inp: HybridInputs, pairs: DataFrame, history_count: DataFrame | None = None) -> DataFrame:
@@ -270,7 +271,12 @@ def explain(inp: HybridInputs, recs: DataFrame, biz_index: DataFrame, algorithm:
     hist = pf.user_history(inp.history)
     counts = hist.groupBy("user_id").agg(F.count(F.lit(1)).alias("history_count"))
     top = pf.top_category_arrays(pf.user_top_categories(hist, biz_index))
-    parts = score_pairs(inp, recs.select("user_id", "business_id"))
+    if "content_score" in recs.columns and "cf_pred" in recs.columns:
+        # the blocked scorer already emitted the blend's components for these rows
+        parts = recs.select("user_id", "business_id", "content_score", "cf_pred")
+        recs = recs.drop("content_score", "cf_pred")
+    else:
+        parts = score_pairs(inp, recs.select("user_id", "business_id"))
     info = biz_index.select("business_id", "name", "city", "state", "address", "latitude", "longitude", "stars",
                             "review_count", "categories", "popularity_prior")
     out = (recs.join(parts.select("user_id", "business_id", "content_score", "cf_pred"), ["user_id", "business_id"], "left")
