@@ -250,32 +250,100 @@ def _gram_pass(spark, R: DataFrame, Q: np.ndarray) -> np.ndarray:
     return G
 
 
+HOT_USER_ROWS = 1_000_000      # users above this many ratings take the skew-safe path
+
+
+def _hot_z(spark, R_hot: DataFrame, Q: np.ndarray) -> dict:
+    """z_u = r_u Q for the few hot users: partial vectors per task, summed per user (tiny), on the driver."""
+    bq = spark.sparkContext.broadcast(Q)
+
+    def partial(it):
+        Qv = bq.value
+        for pdf in it:
+            if pdf.empty:
+                continue
+            users, inv = np.unique(pdf["user_id"].to_numpy().astype(str), return_inverse=True)
+            items = pdf["iidx"].to_numpy(dtype=np.int64)
+            vals = pdf["residual"].to_numpy(dtype=np.float64)
+            Z = np.zeros((len(users), Qv.shape[1]))
+            for j in range(Qv.shape[1]):
+                Z[:, j] = np.bincount(inv, weights=vals * Qv[items, j], minlength=len(users))
+            yield pd.DataFrame({"user_id": users, "z": [z.tobytes() for z in Z]})
+
+    out: dict = {}
+    for r in R_hot.mapInPandas(partial, "user_id string, z binary").collect():   # hot users x tasks rows
+        z = np.frombuffer(r["z"], dtype=np.float64)
+        out[r["user_id"]] = out.get(r["user_id"], 0.0) + z
+    bq.unpersist()
+    return out
+
+
+def _hot_rtrq(spark, R_hot: DataFrame, Q: np.ndarray, zh: dict) -> np.ndarray:
+    """R_hot^T (R_hot Q) with the hot users' z broadcast (bounded: few users x rank)."""
+    bz = spark.sparkContext.broadcast((Q.shape, zh))
+
+    def fn(it):
+        (n_items, width), zmap = bz.value
+        Y = np.zeros((n_items, width))
+        seen = False
+        for pdf in it:
+            if pdf.empty:
+                continue
+            seen = True
+            items = pdf["iidx"].to_numpy(dtype=np.int64)
+            vals = pdf["residual"].to_numpy(dtype=np.float64)
+            Zr = np.stack([zmap[u] for u in pdf["user_id"].to_numpy()])
+            for j in range(width):
+                Y[:, j] += np.bincount(items, weights=vals * Zr[:, j], minlength=n_items)
+        if seen:
+            yield pd.DataFrame({"data": [Y.tobytes()]})
+
+    Y = np.zeros_like(Q)
+    for r in R_hot.mapInPandas(fn, "data binary").collect():
+        Y += np.frombuffer(r["data"], dtype=np.float64).reshape(Q.shape)
+    bz.unpersist()
+    return Y
+
+
 def fit_svd(spark, resid: DataFrame, n_components: int = K.N_COMPONENTS, n_iter: int = 6,
             oversample: int = 10, seed: int = K.SEED) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """Rank-r truncated SVD of the residual matrix.
+    """Rank-r truncated SVD of the residual matrix by block subspace iteration.
 
-    Returns (user_factors = U * S, item_factors = V, singular values).  Residual
-    rows are partitioned and sorted by user and persisted for the passes.
+    Returns (user_factors = U * S, item_factors = V, singular values).  Only the
+    item basis (model-sized, checked) is broadcast.  Ordinary users' rows are
+    hash-partitioned and sorted by user and streamed; users with more than
+    HOT_USER_ROWS ratings are spread round-robin and handled with partial sums,
+    so no task ever holds one huge user.
     """
     items = resid.select("business_id").distinct()
     item_idx = items.withColumn("iidx", (F.row_number().over(Window.orderBy("business_id")) - 1).cast("int"))
     item_idx = item_idx.persist(StorageLevel.MEMORY_AND_DISK)
     n_items = item_idx.count()
-    n_users = resid.select("user_id").distinct().count()
+    counts = resid.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
+    n_users = counts.count()
+    hot_ids = [r.user_id for r in counts.filter(F.col("_n") > HOT_USER_ROWS).select("user_id").collect()]
     rank = effective_rank(n_components, n_users, n_items)
     width = min(rank + oversample, n_items)
     if n_items * width * 8 > MAX_BASIS_BYTES:
         raise ValueError("item basis too large to broadcast; reduce n_components or split the catalogue")
     n_parts = max(1, spark.sparkContext.defaultParallelism)
-    R = (resid.join(F.broadcast(item_idx) if n_items <= 2_000_000 else item_idx, "business_id")
-         .select("user_id", "iidx", "residual")
-         .repartition(n_parts, "user_id").sortWithinPartitions("user_id")
+    base = (resid.join(F.broadcast(item_idx) if n_items <= 2_000_000 else item_idx, "business_id")
+            .select("user_id", "iidx", "residual"))
+    hot = F.col("user_id").isin(*hot_ids) if hot_ids else F.lit(False)
+    R = (base.filter(~hot).repartition(n_parts, "user_id").sortWithinPartitions("user_id")
          .persist(StorageLevel.MEMORY_AND_DISK))
+    R_hot = base.filter(hot).repartition(n_parts).persist(StorageLevel.MEMORY_AND_DISK) if hot_ids else None
     rng = np.random.RandomState(seed)
     Q, _ = np.linalg.qr(rng.normal(size=(n_items, width)))
     for _ in range(n_iter):
-        Q, _ = np.linalg.qr(_rtrq_pass(spark, R, Q))
+        Y = _rtrq_pass(spark, R, Q)
+        if R_hot is not None:
+            Y += _hot_rtrq(spark, R_hot, Q, _hot_z(spark, R_hot, Q))
+        Q, _ = np.linalg.qr(Y)
     G = _gram_pass(spark, R, Q)
+    zh = _hot_z(spark, R_hot, Q) if R_hot is not None else {}
+    for z in zh.values():
+        G += np.outer(z, z)
     evals, W = np.linalg.eigh(G)
     order = np.argsort(evals)[::-1][:rank]
     evals, W = np.clip(evals[order], 0.0, None), W[:, order]
@@ -288,15 +356,18 @@ def fit_svd(spark, resid: DataFrame, n_components: int = K.N_COMPONENTS, n_iter:
 
         def emit(block):
             users, _, _, _, Z = _user_products(block, Qv)
-            F_ = Z @ Wv
-            out.append(pd.DataFrame({"user_id": users, "factors": list(F_)}))
+            out.append(pd.DataFrame({"user_id": users, "factors": list(Z @ Wv)}))
 
         _stream_users(it, emit)
         for o in out:
             yield o
 
-    user_factors = R.mapInPandas(user_fn, T.StructType([T.StructField("user_id", T.StringType()),
-                                                         T.StructField("factors", T.ArrayType(T.DoubleType()))]))
+    schema = T.StructType([T.StructField("user_id", T.StringType()),
+                           T.StructField("factors", T.ArrayType(T.DoubleType()))])
+    user_factors = R.mapInPandas(user_fn, schema)
+    if zh:
+        hot_rows = pd.DataFrame({"user_id": list(zh), "factors": [z @ W for z in zh.values()]})
+        user_factors = user_factors.unionByName(spark.createDataFrame(hot_rows, schema))
     ids = item_idx.orderBy("iidx").select("business_id").toPandas()["business_id"].to_numpy()
     item_pdf = pd.DataFrame({"business_id": ids, "factors": list(V)})
     item_factors = spark.createDataFrame(item_pdf, "business_id string, factors array<double>")

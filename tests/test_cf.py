@@ -81,3 +81,14 @@ def test_unknown_user_ranks_by_item_bias(spark, fitted):
     top = cf.recommend_top_k(fitted, users, 3).orderBy("rank").collect()
     best = fitted.item_bias.orderBy(F.col("bias").desc(), "business_id").limit(3).collect()
     assert [r.business_id for r in top] == [b.business_id for b in best]
+
+
+def test_svd_hot_user_path_matches(spark, interactions, monkeypatch):
+    r = cf.ratings(interactions)
+    mu, ub, ib = cf.fit_biases(r)
+    res = cf.residuals(r, mu, ub, ib)
+    _, _, s_plain = cf.fit_svd(spark, res, n_components=3, n_iter=20)
+    monkeypatch.setattr(cf, "HOT_USER_ROWS", 3)          # every user with 4 ratings becomes "hot"
+    uf, itf, s_hot = cf.fit_svd(spark, res, n_components=3, n_iter=20)
+    assert np.allclose(s_plain, s_hot, atol=1e-6)
+    assert uf.count() == 4 and itf.count() == 10
