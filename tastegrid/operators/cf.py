@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tastegrid import constants as K
 from tastegrid.operators.blocked import ScoreSpec, grid_top_k
@@ -136,10 +139,6 @@ def fit_given(interactions: DataFrame, user_factors: DataFrame | None, item_fact
 # Truncated SVD of the residual matrix by block subspace iteration
 # ---------------------------------------------------------------------------
 
-import numpy as np  # noqa: E402
-import pandas as pd  # noqa: E402
-from pyspark.sql import Window  # noqa: E402
-from pyspark.sql import types as T  # noqa: E402
 
 # The item basis Q (n_items x (rank + oversampling)) is broadcast each pass;
 # it is model-sized, and its size is checked against this bound.

@@ -1,12 +1,19 @@
-"""Hybrid blend (H1-H12, U2, U4) -- first part: popularity fallback."""
+"""Hybrid blend: popularity fallback, alpha, history weights, candidates, blend, dispatch,
+explanations and the paged full-catalogue ranking (H1-H12, U2, U4, U5, J8-J10, J14, W5, W7)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastegrid import constants as K
-from tastegrid.operators.ranking import top_k_of_global_order
+from tastegrid.functions.exprs import alpha_expr, clip01, fixed, normalize_cf, split_categories
+from tastegrid.operators import cf as cfm
+from tastegrid.operators import content as ct
+from tastegrid.operators import profiles as pf
+from tastegrid.operators.blocked import HYBRID_MAX_ITEMS, ITEMS_PER_BLOCK, ScoreSpec, grid_top_k
+from tastegrid.operators.ranking import top_k_of_global_order, top_k_per_user
 
 
 def fallback_scores(biz_index: DataFrame) -> DataFrame:
@@ -26,14 +33,7 @@ def popularity_fallback(users: DataFrame, biz_index: DataFrame, history: DataFra
 # H1-H7
 # ---------------------------------------------------------------------------
 
-from pyspark import StorageLevel  # noqa: E402
-from pyspark.sql import Window  # noqa: E402
 
-from tastegrid.functions.exprs import alpha_expr, clip01, normalize_cf  # noqa: E402
-from tastegrid.operators import cf as cfm  # noqa: E402
-from tastegrid.operators import content as ct  # noqa: E402
-from tastegrid.operators.blocked import HYBRID_MAX_ITEMS, ITEMS_PER_BLOCK, ScoreSpec, grid_top_k  # noqa: E402
-from tastegrid.operators.ranking import top_k_of_global_order, top_k_per_user  # noqa: E402,F811
 
 
 def history_order(history: DataFrame) -> DataFrame:
@@ -213,8 +213,6 @@ def score_pairs(inp: HybridInputs, pairs: DataFrame, history_count: DataFrame |
 # H9, H10, H12, U4, U5, J14
 # ---------------------------------------------------------------------------
 
-from tastegrid.functions.exprs import fixed, split_categories  # noqa: E402
-from tastegrid.operators import profiles as pf  # noqa: E402
 
 
 def content_recommend(inp: HybridInputs, users: DataFrame, k: int, weight_col: str | None) -> DataFrame:
