@@ -365,11 +365,12 @@ def fit_svd(spark, resid: DataFrame, n_components: int = K.N_COMPONENTS, n_iter:
                            T.StructField("factors", T.ArrayType(T.DoubleType()))])
     user_factors = R.mapInPandas(user_fn, schema)
     if zh:
-        hot_rows = pd.DataFrame({"user_id": list(zh), "factors": [z @ W for z in zh.values()]})
+        hot_rows = [(str(u), [float(x) for x in (z @ W)]) for u, z in zh.items()]
         user_factors = user_factors.unionByName(spark.createDataFrame(hot_rows, schema))
     ids = item_idx.orderBy("iidx").select("business_id").toPandas()["business_id"].to_numpy()
-    item_pdf = pd.DataFrame({"business_id": ids, "factors": list(V)})
-    item_factors = spark.createDataFrame(item_pdf, "business_id string, factors array<double>")
+    # model-sized (items x rank); plain Python rows work with or without Arrow conversion
+    item_rows = [(str(b), [float(x) for x in v]) for b, v in zip(ids, V)]
+    item_factors = spark.createDataFrame(item_rows, "business_id string, factors array<double>")
     return user_factors, item_factors, np.sqrt(evals)
 
 
