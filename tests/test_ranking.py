@@ -40,3 +40,24 @@ def test_large_catalogue_path_equals_one_pass(spark, businesses, interactions, m
     assert one_pass.keys() == by_pairs.keys()
     for key, (b, s) in one_pass.items():
         assert by_pairs[key][0] == b and by_pairs[key][1] == pytest.approx(s, abs=1e-6)
+
+
+def test_multi_block_content_equals_single_block(spark, businesses, interactions, monkeypatch):
+    from tastegrid.operators import blocked
+    item, vocab = content.tfidf(businesses, min_df=1, max_features=500, ngram_max=1)
+    model = cf.fit(spark, interactions, n_components=4)
+    priors = spark.createDataFrame([(f"b{i:02d}", i / 10.0) for i in range(1, 11)], "business_id string, popularity_prior double")
+    users = interactions.select("user_id").distinct()
+
+    def run():
+        inp = hybrid.HybridInputs(model, item, vocab, priors, interactions, businesses)
+        return {(r.user_id, r["rank"]): (r.business_id, r.score)
+                for r in hybrid.content_recommend(inp, users, 4, "stars").collect()}
+
+    single = run()                                         # one item block, profiles formed in-block
+    monkeypatch.setattr(blocked, "ITEMS_PER_BLOCK", 3)     # four item blocks, profiles from Spark
+    monkeypatch.setattr(hybrid, "ITEMS_PER_BLOCK", 3)
+    multi = run()
+    assert single.keys() == multi.keys()
+    for key, (b, s) in single.items():
+        assert multi[key][0] == b and multi[key][1] == pytest.approx(s, abs=1e-6)
