@@ -23,10 +23,15 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 EM_ROUNDS = 50
-#: Pseudo-counts that each rule's vote table starts from, per class: P(good), P(bad), P(abstain) votes.
-PRIOR_GOOD, PRIOR_BAD = (0.80, 0.02, 0.18), (0.45, 0.35, 0.20)
-PRIOR_WEIGHT = 10.0
+#: What a rule is expected to vote on a good and on a bad text: P(good), P(bad), P(abstains).  Bad texts
+#: are of many kinds, most of which a given rule takes for good; good texts seldom get a bad vote.
+PRIOR_GOOD, PRIOR_BAD = (0.795, 0.005, 0.20), (0.60, 0.25, 0.15)
+#: Weight of these expectations against the corpus, as a share of its texts (so that the estimate
+#: does not depend on the corpus' size).
+WEIGHT_GOOD, WEIGHT_BAD = 3.0, 0.1
 START_SHARE_GOOD = 0.8
+#: Least posterior probability of a kept text.
+THRESHOLD = 0.95
 
 
 class Vote(NamedTuple):
@@ -39,14 +44,14 @@ class Vote(NamedTuple):
 RULES = (
     Vote("symbols", "n_symbols <= 0.05 * n_words", "n_symbols > 0.10 * n_words"),
     Vote("repeated_words", "n_repeat_words <= 0.10 * n_words", "n_repeat_words > 0.20 * n_words"),
-    Vote("repeated_lines", "n_dup_lines <= 0.10 * n_lines AND n_lines > 2", "n_dup_lines > 0.30 * n_lines"),
+    Vote("repeated_lines", "n_dup_lines <= 0.10 * n_lines AND n_lines > 2", "n_dup_lines > 0.40 * n_lines"),
     Vote("upper_case", "n_upper <= 0.10 * word_chars", "n_upper > 0.30 * word_chars"),
     Vote("shouting", "n_exclaim <= 0.02 * n_words", "n_exclaim > 0.10 * n_words"),
     Vote("word_length", "word_chars BETWEEN 3 * n_words AND 10 * n_words",
          "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
     Vote("line_ends", "n_ended_lines >= 0.90 * n_lines", "n_ended_lines < 0.30 * n_lines AND n_words >= 50"),
     Vote("vocabulary", "n_distinct_words >= 0.50 * n_words", "n_distinct_words < 0.20 * n_words AND n_words < 2000"),
-    Vote("not_words", "n_not_words <= 0.05 * n_words", "n_not_words > 0.20 * n_words"),
+    Vote("not_words", "n_not_words <= 0.05 * n_words", "n_not_words > 0.30 * n_words"),
 )
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines",
@@ -128,7 +133,8 @@ def fit(patterns: Sequence[tuple[tuple[int, ...], int]], rounds: int = EM_ROUNDS
     total = sum(n for _, n in rows)
     for _ in range(rounds if total else 0):
         base, adds = log_odds(model)
-        counts = [[[w * PRIOR_WEIGHT for w in prior] for _ in range(n_rules)] for prior in (PRIOR_GOOD, PRIOR_BAD)]
+        counts = [[[p * weight * total for p in prior] for _ in range(n_rules)]
+                  for prior, weight in ((PRIOR_GOOD, WEIGHT_GOOD), (PRIOR_BAD, WEIGHT_BAD))]
         sum_good = 0.0
         for votes, n in rows:
             z = base + sum(adds[j][_side(v)] for j, v in enumerate(votes))
@@ -137,7 +143,7 @@ def fit(patterns: Sequence[tuple[tuple[int, ...], int]], rounds: int = EM_ROUNDS
             for j, v in enumerate(votes):
                 counts[0][j][_side(v)] += good
                 counts[1][j][_side(v)] += n - good
-        share = (sum_good + PRIOR_WEIGHT * START_SHARE_GOOD) / (total + PRIOR_WEIGHT)
+        share = (sum_good + WEIGHT_BAD * total * START_SHARE_GOOD) / ((1 + WEIGHT_BAD) * total)
         norm = [[tuple(x / sum(c) for x in c) for c in side] for side in counts]
         model = Model(share, norm[0], norm[1])
     return model
@@ -153,7 +159,7 @@ def score(model: Model, rules: Sequence[Vote] = RULES) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def judge_measured(df: DataFrame, rules: Sequence[Vote] = RULES, threshold: float = 0.5) -> DataFrame:
+def judge_measured(df: DataFrame, rules: Sequence[Vote] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """Rows with the columns of ``MEASURES``, plus ``vote_<rule>``, ``base_failed``, ``posterior``, ``kept``.
 
     ``df`` is read twice (once for the vote patterns, once for the verdicts).
@@ -169,7 +175,7 @@ def judge_measured(df: DataFrame, rules: Sequence[Vote] = RULES, threshold: floa
             .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)))
 
 
-def judge(df: DataFrame, text: str = "text", rules: Sequence[Vote] = RULES, threshold: float = 0.5) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", rules: Sequence[Vote] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with the measures, ``vote_<rule>``, ``base_failed``, ``posterior`` and ``kept``.
 
     Every row counts, repeated ones as often as they occur, and stays.  Null and empty texts have no
