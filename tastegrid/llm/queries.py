@@ -1,6 +1,6 @@
 """Imports every operator module, whose queries and SQL then stand in ``QUERIES`` and ``ORACLE``."""
 
-from tastegrid.llm import bpe, line_dedup, near_dup, quality, token_counts, url_filter  # noqa: F401
+from tastegrid.llm import bpe, decontaminate, line_dedup, near_dup, quality, token_counts, url_filter  # noqa: F401
 from tastegrid.llm.common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
