@@ -283,6 +283,32 @@ def find_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
+                      item_text: str = "text", max_edits: float = MAX_EDITS) -> DataFrame:
+    """``docs`` without the rows in which some item is found; each row is judged by itself, without a shuffle.
+
+    Null and empty texts stay, repeated rows go or stay together, and an empty benchmark drops nothing.
+    """
+    spark = docs.sparkSession
+    at = docs.columns.index(text)
+    for block in _blocks(benchmark, item_id, item_text):
+        items = Items(sorted(set(block), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), max_edits)
+        if not items.items:
+            continue
+        shared = spark.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo in range(0, b.num_rows, 1_000):
+                    part = b.slice(lo, 1_000)
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[g[0] for g in _found(shared.value, part.column(at).to_pylist())]] = False
+                    yield part.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 @query("op7_decontaminate")
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items found in all documents."""

@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tastegrid.llm.common import documents, query, saved
+from tastegrid.llm.common import documents, query, saved, text_or_empty
 
 BANDS, BAND_ROWS = 30, 4
 REGISTERS = BANDS * BAND_ROWS
@@ -133,8 +133,9 @@ def _batch(columns: dict) -> pa.RecordBatch:
 
 
 def sketches(df: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, n, digest, regs), one for each row of ``df``; digest and regs are null for empty sets."""
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    """Rows (doc_id, version, n, digest, regs), one for each row of ``df``; digest and regs are null for empty sets."""
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
+                     F.xxhash64(text_or_empty(text)).alias("version"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(k)
@@ -145,10 +146,10 @@ def sketches(df: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text")
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 regs.append(registers(s).tobytes() if len(s) else None)
-            yield _batch({"doc_id": b.column(0), "n": pa.array(n, pa.int64()),
+            yield _batch({"doc_id": b.column(0), "version": b.column(2), "n": pa.array(n, pa.int64()),
                           "digest": pa.array(digest, pa.binary()), "regs": pa.array(regs, pa.binary())})
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, digest binary, regs binary")
+    return docs.mapInArrow(run, "doc_id bigint, version bigint, n bigint, digest binary, regs binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -279,7 +280,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5,
                     percent: int = 80) -> DataFrame:
-    """One row per row of ``df``: doc_id (long), n_shingles, component_id, kept.
+    """One row per row of ``df``: doc_id (long), version (hash of the text), n_shingles, component_id, kept.
 
     Rows whose shingle sets have 100 * intersection >= ``percent`` * union are linked; component_id
     is the least id reachable, kept says that it is the row's own.  Null and empty texts, and texts
@@ -312,12 +313,27 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     by_class = by_class.withColumn("label", F.coalesce("label", "digest"))
     least = by_class.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = by_class.join(least, "label").select("digest", "component_id")
-    out = base.select("doc_id", "n", "digest").join(named, "digest", "left")
+    out = base.select("doc_id", "version", "n", "digest").join(named, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+    return out.select("doc_id", "version", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5,
+                         percent: int = 80) -> DataFrame:
+    """``df`` with one document of each component, the one with the least id; rows with equal id and text are one.
+
+    Null and empty texts stay; see ``near_duplicates`` for null and shared ids.
+    """
+    key = ["_id", "_no_id", "_version"]
+    found = near_duplicates(df, doc_id, text, k, percent).where("kept")
+    found = found.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_no_id"),
+                         F.col("version").alias("_version")).distinct()
+    docs = df.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)),
+                           "_no_id": F.col(doc_id).cast("long").isNull(), "_version": F.xxhash64(text_or_empty(text))})
+    return docs.join(found, key, "left_semi").dropDuplicates(key).select(*df.columns)
+
+
 def _sets(df: DataFrame, members: DataFrame, base: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
     """Rows (digest, hashes): the full set of each member, from the text of one document that has it."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -342,4 +358,4 @@ def _sets(df: DataFrame, members: DataFrame, base: DataFrame, k: int, doc_id: st
 @query("op9_near_dup")
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on three-word shingles at 0.85."""
-    return near_duplicates(documents(spark, sf_dir), k=3, percent=85)
+    return near_duplicates(documents(spark, sf_dir), k=3, percent=85).drop("version")
