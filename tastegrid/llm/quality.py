@@ -23,9 +23,9 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 EM_ROUNDS = 50
-#: What a rule is expected to vote on a good and on a bad text: P(good), P(bad), P(abstains).  Bad texts
-#: are of many kinds, most of which a given rule takes for good; good texts seldom get a bad vote.
-PRIOR_GOOD, PRIOR_BAD = (0.795, 0.005, 0.20), (0.60, 0.25, 0.15)
+#: Share of bad votes that a rule is expected to cast on good and on bad texts.  Bad texts are of many
+#: kinds, most of which a given rule takes for good; good texts seldom get a bad vote.
+EXPECT_GOOD, EXPECT_BAD = 0.005, 0.30
 #: Weight of these expectations against the corpus, as a share of its texts (so that the estimate
 #: does not depend on the corpus' size).
 WEIGHT_GOOD, WEIGHT_BAD = 3.0, 0.1
@@ -110,42 +110,40 @@ def vote(rule: Vote) -> Column:
 
 class Model(NamedTuple):
     share_good: float
-    good: list[tuple[float, float, float]]  # per rule: P(vote good, bad, none | good text)
-    bad: list[tuple[float, float, float]]
+    good: list[float]  # per rule: P(it votes bad | good text, it votes)
+    bad: list[float]
 
 
-def _side(v: int) -> int:
-    return {1: 0, -1: 1, 0: 2}[v]
-
-
-def log_odds(model: Model) -> tuple[float, list[tuple[float, float, float]]]:
-    """Log prior odds of good, and for each rule what its vote (good, bad, none) adds."""
-    adds = [tuple(math.log(g / b) for g, b in zip(gs, bs, strict=True))
-            for gs, bs in zip(model.good, model.bad, strict=True)]
+def log_odds(model: Model) -> tuple[float, list[dict[int, float]]]:
+    """Log prior odds of good, and for each rule what its vote adds; abstaining adds nothing."""
+    adds = [{1: math.log((1 - g) / (1 - b)), -1: math.log(g / b), 0: 0.0}
+            for g, b in zip(model.good, model.bad, strict=True)]
     return math.log(model.share_good / (1 - model.share_good)), adds
 
 
 def fit(patterns: Sequence[tuple[tuple[int, ...], int]], rounds: int = EM_ROUNDS) -> Model:
     """EM over (votes, number of texts) rows; without rows the starting values come back."""
     n_rules = len(patterns[0][0]) if patterns else len(RULES)
-    model = Model(START_SHARE_GOOD, [PRIOR_GOOD] * n_rules, [PRIOR_BAD] * n_rules)
+    model = Model(START_SHARE_GOOD, [EXPECT_GOOD] * n_rules, [EXPECT_BAD] * n_rules)
     rows = sorted(patterns)
     total = sum(n for _, n in rows)
     for _ in range(rounds if total else 0):
         base, adds = log_odds(model)
-        counts = [[[p * weight * total for p in prior] for _ in range(n_rules)]
-                  for prior, weight in ((PRIOR_GOOD, WEIGHT_GOOD), (PRIOR_BAD, WEIGHT_BAD))]
+        # per class and rule: bad votes, votes
+        cast = [[[e * w * total, w * total] for _ in range(n_rules)]
+                for e, w in ((EXPECT_GOOD, WEIGHT_GOOD), (EXPECT_BAD, WEIGHT_BAD))]
         sum_good = 0.0
         for votes, n in rows:
-            z = base + sum(adds[j][_side(v)] for j, v in enumerate(votes))
+            z = base + sum(a[v] for a, v in zip(adds, votes, strict=True))
             good = n / (1 + math.exp(-max(-700.0, min(700.0, z))))
             sum_good += good
             for j, v in enumerate(votes):
-                counts[0][j][_side(v)] += good
-                counts[1][j][_side(v)] += n - good
+                if v:
+                    for side, weight in ((0, good), (1, n - good)):
+                        cast[side][j][0] += weight * (v < 0)
+                        cast[side][j][1] += weight
         share = (sum_good + WEIGHT_BAD * total * START_SHARE_GOOD) / ((1 + WEIGHT_BAD) * total)
-        norm = [[tuple(x / sum(c) for x in c) for c in side] for side in counts]
-        model = Model(share, norm[0], norm[1])
+        model = Model(share, *([bad / votes for bad, votes in side] for side in cast))
     return model
 
 
@@ -153,9 +151,9 @@ def score(model: Model, rules: Sequence[Vote] = RULES) -> Column:
     """Posterior probability of good from the vote columns ``vote_<name>``."""
     base, adds = log_odds(model)
     z = F.lit(base)
-    for rule, (g, b, none) in zip(rules, adds, strict=True):
+    for rule, add in zip(rules, adds, strict=True):
         v = F.col(f"vote_{rule.name}")
-        z = z + F.when(v == 1, F.lit(g)).when(v == -1, F.lit(b)).otherwise(F.lit(none))
+        z = z + F.when(v == 1, F.lit(add[1])).when(v == -1, F.lit(add[-1])).otherwise(F.lit(0.0))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
