@@ -107,6 +107,10 @@ SELECT user_id, COUNT(*) AS n_hist FROM interactions GROUP BY user_id""")
 _view("stop_words", (), f"""SELECT unnest([{_STOP}]) AS w""")
 
 
+#: Small views over the user x item ones, named more than once in a statement: computed once.
+MATERIALIZED = {"hy_top"}
+
+
 def with_views(body: str, *names: str) -> str:
     order: list[str] = []
 
@@ -122,7 +126,7 @@ def with_views(body: str, *names: str) -> str:
         visit(n)
     if not order:
         return body.strip()
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n][1].strip()}\n)" for n in order)
+    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' * (n in MATERIALIZED)}({VIEWS[n][1].strip()}\n)" for n in order)
     return f"WITH {ctes}\n{body.strip()}"
 
 
@@ -311,8 +315,8 @@ SELECT user_id, business_id, score, rank FROM (
          ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ROUND(score, 6) DESC, business_id) AS rank FROM cf_all)
 WHERE rank <= 10""")
 _view("hy_top", ("hy_cand",), """
-SELECT user_id, business_id, score, rank FROM (
-  SELECT user_id, business_id, ROUND(score, 6) AS score,
+SELECT user_id, business_id, score, rank, content, cf3, alpha FROM (
+  SELECT user_id, business_id, ROUND(score, 6) AS score, content, cf3, alpha,
          ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ROUND(score, 6) DESC, business_id) AS rank FROM hy_cand)
 WHERE rank <= 10""")
 

@@ -2,9 +2,10 @@
 
 Sources are file streams (new Parquet/JSON files in a folder are new data);
 event time is cast from TIMESTAMP_NTZ to TIMESTAMP because watermarks need
-the latter.  Windowed aggregates run in append mode behind a watermark, so a
-window is written once, when the watermark passes its end, and the state for
-it is dropped.  ``run_available_now`` drives a query to completion with
+the latter.  Windowed aggregates run in update mode: every micro-batch writes the
+windows that it changed, open ones too, and readers take the latest row of
+each key; the watermark only bounds the state.  ``run_available_now`` drives an
+append-only query, ``run_updates`` a windowed one to completion with
 ``Trigger.AvailableNow`` (sink and checkpoint in the shared checkpoint folder)
 and returns what it wrote as a batch DataFrame.
 """
@@ -91,3 +92,25 @@ def run_available_now(df: DataFrame, name: str, output_mode: str = "append", fmt
     q.awaitTermination()
     schema = df.schema
     return spark.read.schema(schema).format(fmt).load(f"{root}/data")
+
+
+def run_updates(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run a windowed streaming DataFrame in update mode; the latest row of each key (batch).
+
+    A micro-batch that runs again overwrites its own folder, so nothing is counted twice.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    root = f"{base}/tastegrid-streams/{name}-{uuid.uuid4().hex}"
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/data/batch={batch_id}")
+
+    q = (df.writeStream.outputMode("update").foreachBatch(upsert)
+         .option("checkpointLocation", f"{root}/checkpoint").queryName(f"{name}_{uuid.uuid4().hex[:8]}")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    written = spark.read.option("basePath", f"{root}/data").parquet(f"{root}/data/batch=*")
+    rest = [c for c in df.columns if c not in keys]
+    latest = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+    return latest.select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
