@@ -165,6 +165,26 @@ class _ItemTerms:
         return out.reshape(n_rows, self.n_items)
 
 
+def _pair_dots(profile: tuple, item_csr: tuple, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Dot product of profile ``rows[i]`` with item ``cols[i]`` for each listed pair (work: the items' terms)."""
+    p_ptr, p_terms, p_vals = profile
+    ptr, terms, vals = item_csr
+    count = ptr[cols + 1] - ptr[cols]
+    total = int(count.sum())
+    out = np.zeros(len(rows))
+    if not total or not len(p_terms):
+        return out
+    span = int(max(terms.max(), p_terms.max())) + 1
+    keys = np.repeat(np.arange(len(p_ptr) - 1), np.diff(p_ptr)) * span + p_terms
+    order = np.argsort(keys, kind="stable")
+    keys, weights = keys[order], p_vals[order]
+    at = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(ptr[cols], count)
+    want = np.repeat(rows, count) * span + terms[at]
+    spot = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+    hit = np.where(keys[spot] == want, weights[spot] * vals[at], 0.0)
+    return np.bincount(np.repeat(np.arange(len(rows)), count), weights=hit, minlength=len(rows))
+
+
 def _profiles_from_history(n_rows: int, hu: np.ndarray, hi: np.ndarray, hw: np.ndarray,
                            item_csr: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """M5 inside a block: profile_u = sum_h w_h x_h over the user's history rows (repeats count).
@@ -305,10 +325,43 @@ def _make_block_fn(spec: ScoreSpec, k: int, restrict: bool = False):
             prior_top[order[:spec.prior_limit]] = True
             n_cf_items = int(i_known.sum())
 
+        def score_listed(a, u):
+            """H6 of the listed pairs of a chunk of users alone, and the first k of each user."""
+            mine = (au >= a) & (au < a + len(u))
+            r, c = au[mine] - a, ai[mine]
+            uvec, uvec_ok = _dense(u["u_vec"], ivec.shape[1])
+            ubias = u["u_bias"].astype(float)
+            known = ubias.notna().to_numpy()
+            ubias = ubias.fillna(0.0).to_numpy()
+            both = (known & uvec_ok)[r] & (i_known & ivec_ok)[c]
+            dots = np.where(both, np.einsum("ij,ij->i", uvec[r], ivec[c]), 0.0)
+            cf = np.clip(spec.mu + np.where(known, ubias, 0.0)[r] + np.where(i_known, ib, 0.0)[c] + dots, spec.lo, spec.hi)
+            if spec.profile_from_history:
+                mh = (hu_all >= a) & (hu_all < a + len(u))
+                *profile, _ = _profiles_from_history(len(u), hu_all[mh] - a, hi_all[mh], hw_all[mh], iterms.csr)
+            else:
+                profile = _csr(u["p_idx"], u["p_val"])
+            row_of = np.repeat(np.arange(len(u)), np.diff(profile[0]))
+            norms = np.sqrt(np.bincount(row_of, weights=profile[2] ** 2, minlength=len(u)))
+            content = np.where(norms[r] > 0, _pair_dots(profile, iterms.csr, r, c) / np.where(norms > 0, norms, 1.0)[r], 0.0)
+            rng = spec.hi - spec.lo
+            cf_n = np.clip((cf - spec.lo) / rng, 0.0, 1.0) if rng > 0 else np.zeros_like(cf)
+            alpha = u["alpha"].astype(float).to_numpy()[r]
+            score = np.round((1.0 - spec.prior_weight) * (alpha * content + (1.0 - alpha) * cf_n) + spec.prior_weight * prior[c], 6)
+            order = np.lexsort((c, -score, r))
+            first = np.flatnonzero(np.diff(r[order], prepend=-1))
+            place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            top = order[place < k]
+            return pd.DataFrame({"user_id": uid[a + r[top]], "business_id": item_ids[c[top]], "score": score[top],
+                                 "content_score": content[top], "cf_pred": cf[top]})
+
         frames = []
         chunk = int(max(8, min(DENSE_CHUNK, CHUNK_CELLS // max(1, n_items))))
         for a in range(0, len(users), chunk):
             u = users.iloc[a:a + chunk]
+            if restrict:
+                frames.append(score_listed(a, u))
+                continue
             S = None
             content = cf = None
             if need_cf:
@@ -365,11 +418,6 @@ def _make_block_fn(spec: ScoreSpec, k: int, restrict: bool = False):
                     continue
             else:
                 S[hist] = -np.inf
-            if restrict:
-                keep = np.zeros(S.shape, dtype=bool)
-                ma = (au >= a) & (au < a + len(u))
-                keep[au[ma] - a, ai[ma]] = True
-                S[~keep] = -np.inf
             rows, cols = _top_k_select(S, k)
             frames.append(emit(rows, cols, S, content, cf))
         return pd.concat(frames, ignore_index=True) if frames else empty

@@ -140,6 +140,36 @@ class HybridInputs:
                          prior_weight=self.prior_weight, **kw)
 
 
+def save_inputs(inp: HybridInputs, path: str) -> None:
+    """The fitted model and all that scoring needs, one Parquet table each."""
+    m = inp.model
+    tables = {"user_bias": m.user_bias, "item_bias": m.item_bias, "user_factors": m.user_factors,
+              "item_factors": m.item_factors, "seen": m.seen, "item_tfidf": inp.item_tfidf, "vocabulary": inp.vocab_idx,
+              "priors": inp.priors, "history": inp.history, "catalogue": inp.catalogue}
+    spark = inp.history.sparkSession
+    tables["scalars"] = spark.createDataFrame([(m.mu, m.lo, m.hi, inp.prior_weight)],
+                                              "mu double, lo double, hi double, prior_weight double")
+    for name, df in tables.items():
+        if df is not None:
+            df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+
+
+def load_inputs(spark, path: str) -> HybridInputs:
+    """The scorer of ``save_inputs``, read from its files."""
+    from tastegrid.sources.files import path_exists
+
+    base = path.rstrip("/")
+    table = lambda n: spark.read.parquet(f"{base}/{n}") if path_exists(spark, f"{base}/{n}") else None
+    one = table("scalars").first()
+    model = cfm.CFModel(one["mu"], table("user_bias"), table("item_bias"), table("user_factors"), table("item_factors"),
+                        table("seen"), one["lo"], one["hi"])
+    out = HybridInputs.__new__(HybridInputs)
+    out.model, out.item_tfidf, out.vocab_idx = model, table("item_tfidf"), table("vocabulary")
+    out.priors, out.history, out.catalogue = table("priors"), table("history"), table("catalogue")
+    out.prior_weight, out._memo = one["prior_weight"], {}
+    return out
+
+
 def recommend(inp: HybridInputs, users: DataFrame, k: int = 10, emit: str = "topk",
               cf_limit: int = K.CF_CANDIDATES, content_limit: int = K.CONTENT_CANDIDATES,
               prior_limit: int = K.PRIOR_CANDIDATES) -> DataFrame:
