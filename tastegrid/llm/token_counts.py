@@ -2,25 +2,26 @@
 
 A sentencepiece BPE model never merges across the start of a run of its space mark, and never
 across a line feed, if no piece of its vocabulary holds either inside.  Texts then fall into
-pre-tokens whose token counts add up.  Each task turns a batch of documents into postings
-(pre-token, batch, which documents hold it how often); the distinct pre-tokens are counted by the
-library once each, joined to the postings, and the products summed per batch and document.
-
-The join may be skewed (the commonest pre-token is in every batch): its rows are one per batch,
-not per occurrence, and Spark's adaptive skew join splits them, as nothing above needs a
-pre-token's rows together.
+pre-tokens whose token counts add up.  Each task turns a batch of documents into
+postings (pre-token, and which documents of the batch hold it how often), packed by hash bucket of
+the pre-tokens; the distinct pre-tokens of a bucket are counted by the library once each, joined to
+the postings of the bucket, and the products summed per batch and document.
+
+The commonest pre-tokens are in every batch, but a row of postings is one batch's bucket, so a
+bucket has as many rows as there are batches; where its bytes stand out, Spark's adaptive skew join
+splits them, as nothing above the join needs a bucket's rows together.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -31,13 +32,12 @@ TOKEN_LIMIT = 4096
 MARK = "▁"
 #: A batch of postings ends after so many documents or characters.
 BATCH_DOCS, BATCH_CHARS = 16_384, 24_000_000
-#: Rows that leave a task at once, and entries that it sums at once.
-ROWS_OUT, ENTRIES_HELD = 50_000, 3_000_000
+#: Entries that a task sums at once, and buckets of pre-tokens for each shuffle partition.
+ENTRIES_HELD, BUCKETS_PER_PARTITION = 3_000_000, 32
 
 _PRE_TOKEN = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
-_ENTRY = np.dtype([("doc", "<u2"), ("n", "u1")])
 _HEAD = np.dtype([("has_id", "?"), ("id", "<i8"), ("n_bytes", "<i8")])
-_POSTING, _SUM = ("pre_token", "batch", "entries"), ("batch", "place", "n", "id", "n_bytes")
+_POSTING, _SUM = ("bucket", "batch", "entries"), ("batch", "sums", "held")
 _MODELS: dict = {}
 
 
@@ -90,45 +90,103 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[s
         yield ids, texts
 
 
-def _distinct(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _number(texts: list[str]) -> tuple[dict[str, int], list[np.ndarray]]:
+    """Numbers for the pre-tokens in the order in which they come, and each text as such numbers."""
+    number: defaultdict[str, int] = defaultdict()
+    number.default_factory = number.__len__
+    get = number.__getitem__
+    return number, [np.fromiter(map(get, pre_tokens(t)), np.int64) for t in texts]
+
+
+def _pack(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays behind their sizes, compressed."""
+    raw = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
+    body = np.array([len(r) for r in raw], "<u8").tobytes() + b"".join(raw)
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes, n: int) -> list[bytes]:
+    body = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    at, out = 8 * n, []
+    for size in np.frombuffer(body, "<u8", n).tolist():
+        out.append(body[at:at + size])
+        at += size
+    return out
+
+
+def _spelled(tokens: list[str]) -> tuple[np.ndarray, bytes]:
+    """Lengths in characters, and all characters together."""
+    return np.fromiter(map(len, tokens), "<u4", len(tokens)), "".join(tokens).encode()
+
+
+def _tokens(lengths: bytes, chars: bytes) -> list[str]:
+    text, ends = chars.decode(), np.cumsum(np.frombuffer(lengths, "<u4").astype(np.int64)).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _by_bucket(tokens: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the tokens by bucket (a hash of the token), the buckets held and where each begins."""
+    of = np.fromiter((crc32(t.encode()) for t in tokens), np.int64, len(tokens)) % buckets
+    order = np.argsort(of, kind="stable")
+    held, first = np.unique(of[order], return_index=True)
+    return order, held, np.append(first, len(tokens))
+
+
+def _distinct(rows: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, packed pre-tokens) of each batch."""
     for _, texts in _batches(rows):
         found: set[str] = set()
         for t in texts:
             found.update(pre_tokens(t))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["pre_token"])
+        tokens = list(found)
+        order, held, first = _by_bucket(tokens, buckets)
+        tokens = [tokens[i] for i in order.tolist()]
+        yield _rows(("bucket", "tokens"), held.astype(np.int32),
+                    [_pack(*_spelled(tokens[a:b])) for a, b in zip(first, first[1:], strict=False)])
+
 
+def _counted(rows: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by bucket: (bucket, packed pre-tokens and pieces), each pre-token counted once."""
+    def out(bucket: int, found: set[str]) -> pa.RecordBatch:
+        tokens = list(found)
+        pieces = np.array(count_pieces(model, tokens), "<u4")
+        return _rows(("bucket", "pieces"), pa.array([bucket], pa.int32()), [_pack(*_spelled(tokens), pieces)])
 
-def _postings(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, found = None, set()
+    for rb in rows:
+        for bucket, blob in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+            if bucket != now:
+                if found:
+                    yield out(now, found)
+                now, found = bucket, set()
+            found.update(_tokens(*_unpack(blob, 2)))
+    if found:
+        yield out(now, found)
+
+
+def _postings(rows: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, batch, packed pre-tokens with the documents that hold them); buckets under 0: what the batch holds."""
     part = TaskContext.get().partitionId()
     for k, (ids, texts) in enumerate(_batches(rows)):
         name = (part << 24) + k  # the same when the task runs again
-        # what the batch holds goes along under a key that no text can have, and no pre-token's count meets it
         head = np.array([(d is not None, d or 0, len(t.encode())) for d, t in zip(ids, texts, strict=True)], _HEAD)
-        number: dict[str, int] = {}
-        of, doc, n = [], [], []
-        for d, t in enumerate(texts):
-            c = Counter(pre_tokens(t))
-            of.extend(number.setdefault(k, len(number)) for k in c)
-            doc.extend([d] * len(c))
-            n.extend(c.values())
-        of_, doc_, n_ = np.array(of, np.int64), np.array(doc, np.int64), np.array(n, np.int64)
-        # counts over 255 go into several entries
-        times = (n_ + 254) // 255
-        of_, doc_ = np.repeat(of_, times), np.repeat(doc_, times)
-        share = np.full(len(of_), 255, np.int64)
-        share[np.cumsum(times) - 1] = n_ - 255 * (times - 1)
-        order = np.argsort(of_, kind="stable")
-        entries = np.empty(len(of_), _ENTRY)
-        entries["doc"], entries["n"] = doc_[order], share[order]
-        ends = np.cumsum(np.bincount(of_, minlength=len(number))) * _ENTRY.itemsize
-        offsets = np.concatenate([[0], ends]).astype(np.int32)
-        held = pa.BinaryArray.from_buffers(pa.binary(), len(number),
-                                           [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
-        yield _rows(_POSTING, [f"\n\n{name}"], [name], [head.tobytes()])
-        keys = list(number)
-        for at in range(0, len(keys), ROWS_OUT):
-            some = keys[at:at + ROWS_OUT]
-            yield _rows(_POSTING, some, np.full(len(some), name), held.slice(at, ROWS_OUT))
+        yield _rows(_POSTING, pa.array([-1 - crc32(str(name).encode()) % buckets], pa.int32()), [name], [head.tobytes()])
+        number, held = _number(texts)
+        tokens = list(number)
+        order, names, first = _by_bucket(tokens, buckets)
+        rank = np.empty(len(tokens), np.int64)
+        rank[order] = np.arange(len(tokens))
+        doc = np.repeat(np.arange(len(texts)), [len(h) for h in held])
+        pairs, times = np.unique(rank[np.concatenate(held)] * BATCH_DOCS + doc if tokens else doc, return_counts=True)
+        of, doc = np.divmod(pairs, BATCH_DOCS)
+        entries = np.searchsorted(of, np.arange(len(tokens) + 1))  # where each pre-token's entries begin
+        tokens = [tokens[i] for i in order.tolist()]
+        blobs = []
+        for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
+            cut = slice(entries[a], entries[b])
+            blobs.append(_pack(*_spelled(tokens[a:b]), np.diff(entries[a:b + 1]).astype("<u2"),
+                               np.diff(doc[cut], prepend=0).astype("<i2"), times[cut].astype("<u4")))
+        yield _rows(_POSTING, names.astype(np.int32), np.full(len(names), name), blobs)
 
 
 def _rows(names: tuple[str, ...], *columns) -> pa.RecordBatch:
@@ -136,37 +194,63 @@ def _rows(names: tuple[str, ...], *columns) -> pa.RecordBatch:
 
 
 def _sums(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Frequency times pieces, summed per batch and document as far as memory allows, and what batches hold."""
+    """Frequency times pieces, summed per document of a batch: one row for each batch that a task has met.
+
+    Also passes on what the batches hold.
+    """
     slots, weights, held = [], [], 0
 
     def out() -> pa.RecordBatch:
         slot, which = np.unique(np.concatenate(slots), return_inverse=True)
-        n = np.bincount(which, weights=np.concatenate(weights)).astype(np.int64)
-        none = pa.nulls(len(slot), pa.int64())
-        return _rows(_SUM, slot >> 16, (slot & 0xFFFF).astype(np.int32), n, none, none)
+        n = np.bincount(which, weights=np.concatenate(weights)).astype("<u8")
+        batch, first = np.unique(slot >> 16, return_index=True)
+        ends = np.append(first[1:], len(slot))
+        packed = [_pack((slot[a:b] & 0xFFFF).astype("<u2"), n[a:b]) for a, b in zip(first, ends, strict=True)]
+        return _rows(_SUM, batch, packed, pa.nulls(len(batch), pa.binary()))
 
+    now, pieces = None, {}
     for rb in rows:
-        heads = pc.is_null(rb.column(2))
-        for name, raw in zip(*(rb.column(c).filter(heads).to_pylist() for c in (0, 1)), strict=True):
-            head = np.frombuffer(raw, _HEAD)
-            yield _rows(_SUM, np.full(len(head), name), np.arange(len(head), dtype=np.int32),
-                        np.zeros(len(head), np.int64), pa.array(head["id"], mask=~head["has_id"]),
-                        head["n_bytes"].copy())
-        rb = rb.filter(pc.is_valid(rb.column(2)))
-        if not rb.num_rows:
-            continue
-        size = pc.binary_length(rb.column(1)).to_numpy(zero_copy_only=False).astype(np.int64) // _ENTRY.itemsize
-        entries = np.frombuffer(b"".join(rb.column(1).to_pylist()), _ENTRY)
-        slots.append(np.repeat(rb.column(0).to_numpy(), size) << 16 | entries["doc"])
-        weights.append(np.repeat(rb.column(2).to_numpy(zero_copy_only=False), size) * entries["n"].astype(np.float64))
-        held += len(entries)
-        if held >= ENTRIES_HELD:
-            yield out()
-            slots, weights, held = [], [], 0
+        for bucket, name, blob, counted in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+            if bucket < 0:
+                yield _rows(_SUM, [name], pa.nulls(1, pa.binary()), [blob])
+                continue
+            if bucket != now:
+                *spelled, n = _unpack(counted, 3)
+                now, pieces = bucket, dict(zip(_tokens(*spelled), np.frombuffer(n, "<u4").tolist(), strict=True))
+            *spelled, size, doc, times = _unpack(blob, 5)
+            n = np.array([pieces[t] for t in _tokens(*spelled)], np.float64)
+            slots.append(name << 16 | np.cumsum(np.frombuffer(doc, "<i2").astype(np.int64)))
+            weights.append(np.repeat(n, np.frombuffer(size, "<u2")) * np.frombuffer(times, "<u4"))
+            held += len(slots[-1])
+            if held >= ENTRIES_HELD:
+                yield out()
+                slots, weights, held = [], [], 0
     if held:
         yield out()
 
 
+def _documents(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by batch: (doc_id, n_bytes, n_tokens) of the documents of each."""
+    def out(head: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+        return _rows(("doc_id", "n_bytes", "n_tokens"), pa.array(head["id"], mask=~head["has_id"]),
+                     head["n_bytes"].copy(), total[:len(head)])
+
+    now = head = total = None
+    for rb in rows:
+        for name, sums, held in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+            if name != now:
+                if now is not None:
+                    yield out(head, total)
+                now, total = name, np.zeros(BATCH_DOCS, np.int64)
+            if held is not None:
+                head = np.frombuffer(held, _HEAD)
+            else:
+                place, n = _unpack(sums, 2)
+                total[np.frombuffer(place, "<u2")] += np.frombuffer(n, "<u8").astype(np.int64)
+    if now is not None:
+        yield out(head, total)
+
+
 def count_tokens(df: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id (long), n_bytes, n_tokens.
 
@@ -179,20 +263,16 @@ def count_tokens(df: DataFrame, model_path: str, doc_id: str = "doc_id", text: s
     check_separable(_model(shared.value))
     docs = df.select(F.col(doc_id).cast("long"), F.col(text).cast("string"))
 
-    def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(shared.value)
-        for rb in rows:
-            yield _rows(("pre_token", "pieces"), rb.column(0),
-                        np.array(count_pieces(model, rb.column(0).to_pylist()), np.int32))
-
-    pieces = (docs.mapInArrow(_distinct, "pre_token string").distinct()
-              .mapInArrow(counted, "pre_token string, pieces int"))
-    postings = docs.mapInArrow(_postings, "pre_token string, batch bigint, entries binary")
-    joined = postings.join(pieces, "pre_token", "left").select("batch", "entries", "pieces")
-    sums = joined.mapInArrow(_sums, "batch bigint, place int, n bigint, id bigint, n_bytes bigint")
-    return (sums.groupBy("batch", "place")
-            .agg(F.max("id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
-            .select("doc_id", "n_bytes", "n_tokens"))
+    # one bucket is what a task holds of the vocabulary at once
+    buckets = BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = (docs.mapInArrow(lambda rows: _distinct(rows, buckets), "bucket int, tokens binary")
+              .repartition("bucket").sortWithinPartitions("bucket")
+              .mapInArrow(lambda rows: _counted(rows, _model(shared.value)), "bucket int, pieces binary"))
+    postings = docs.mapInArrow(lambda rows: _postings(rows, buckets), "bucket int, batch bigint, entries binary")
+    joined = postings.join(pieces, "bucket", "left").select("bucket", "batch", "entries", "pieces")
+    sums = joined.mapInArrow(_sums, "batch bigint, sums binary, held binary")
+    return (sums.repartition("batch").sortWithinPartitions("batch")
+            .mapInArrow(_documents, "doc_id bigint, n_bytes bigint, n_tokens bigint"))
 
 
 @query("op8_token_counts")
