@@ -11,10 +11,12 @@ Jaccard similarity.  Bands of registers are hashed into buckets; pairs in a buck
 the likelihood of their register orders given both set sizes, and what may reach the threshold is
 verified on the full sets.
 
-Links only have to connect.  First every class is tried with the least and the greatest digest of
-its buckets; then, between classes that a bucket holds but that are not yet connected, all pairs
-are estimated in tasks (large buckets in blocks), and those that may reach the threshold are
-verified.  Connected components come from alternating star operations.
+Links only have to connect.  First every class is tried with the least digest of each of its
+buckets, its hub.  Buckets whose classes are then connected are done.  In the others all pairs are
+settled: each class is written as its difference from the hub's set, a task counts what two differences
+share, which gives the exact similarity of every pair, and reports a link for each two parts that
+belong together (large buckets go in blocks).  No pairs are written but those links.  Connected
+components come from alternating star operations.
 """
 
 from __future__ import annotations
@@ -24,24 +26,25 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tastegrid.llm.common import documents, query, saved, text_or_empty
 
-BANDS, BAND_ROWS = 30, 4
-REGISTERS = BANDS * BAND_ROWS
+BANDS, BAND_ROWS = 24, 4
+REGISTERS = 128
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: Estimates so many standard deviations under the threshold still go to verification.
 MARGIN = 4.5
-#: Members of a bucket that are compared with each other at once.
-BLOCK = 1_024
+#: Members of a bucket that are compared with as many others at once, and columns of what they share.
+BLOCK, COLUMNS = 512, 8_192
 
 _U = np.uint64
 _CONST = np.random.default_rng(20_240_607).integers(1, 2**63, size=(2, REGISTERS), dtype=np.uint64)
 _MULTIPLY, _ADD = (_CONST[0] << _U(1)) | _U(1), _CONST[1]
-_MIX = _U(0xBF58476D1CE4E5B9)
+_MULTIPLY32, _ADD32 = (_CONST[0] >> _U(31)).astype(np.uint32) | np.uint32(1), _CONST[1].astype(np.uint32)
+_MIX, _MIX32 = _U(0xBF58476D1CE4E5B9), np.uint32(0x85EBCA6B)
+ROWS_AT_ONCE = 128  # the working arrays stay in the processor's cache
 
 
 class Shingler:
@@ -75,13 +78,20 @@ class Shingler:
 
 def registers(hashes: np.ndarray) -> np.ndarray:
     """SetSketch registers (uint16) of a set of hashes."""
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 512):
-        x = hashes[at:at + 512, None] * _MULTIPLY + _ADD
-        x ^= x >> _U(32)
-        x *= _MIX
-        np.minimum(least, x.min(axis=0), out=least)
-    exponential = -np.log1p(-(least.astype(np.float64) + 1) / (2.0**64 + 4096)) / RATE
+    least = np.full(REGISTERS, np.iinfo(np.uint32).max, np.uint32)
+    short = (hashes ^ (hashes >> _U(32))).astype(np.uint32)
+    x = np.empty((ROWS_AT_ONCE, REGISTERS), np.uint32)
+    y = np.empty_like(x)
+    for at in range(0, len(short), ROWS_AT_ONCE):
+        some = short[at:at + ROWS_AT_ONCE, None]
+        u, v = x[:len(some)], y[:len(some)]
+        np.multiply(some, _MULTIPLY32, out=u)
+        u += _ADD32
+        np.right_shift(u, 15, out=v)
+        u ^= v
+        u *= _MIX32
+        np.minimum(least, u.min(axis=0), out=least)
+    exponential = -np.log1p(-(least + 0.5) / 2.0**32) / RATE
     return np.clip(np.floor(1 - np.log(exponential) / math.log(BASE)) + TOP // 4, 0, TOP).astype("<u2")
 
 
@@ -159,7 +169,8 @@ def _bands(classes: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            regs = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u2").reshape(-1, BANDS, BAND_ROWS)
+            regs = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u2").reshape(-1, REGISTERS)
+            regs = regs[:, :BANDS * BAND_ROWS].reshape(-1, BANDS, BAND_ROWS)
             h = (regs.astype(np.uint64) * weights).sum(axis=2, dtype=np.uint64) + _ADD[:BANDS]
             h = (h ^ (h >> _U(31))) * _MIX
             h ^= h >> _U(30)
@@ -205,44 +216,116 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(run, "a binary, b binary"))
 
 
-def _cross_pairs(bands: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of one bucket, not connected yet, that may reach the threshold."""
+def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (digest, hub, n_hub, missing, extra) for (digest, hub): what the set lacks of the hub's, and has besides."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, missing, extra = [], [], []
+            for x, y in zip(b.column("own"), b.column("hubs"), strict=True):
+                s, h = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+                n.append(len(h))
+                missing.append(np.flatnonzero(~np.isin(h, s, assume_unique=True)).astype("<u4").tobytes())
+                extra.append(s[~np.isin(s, h, assume_unique=True)].tobytes())
+            yield _batch({"digest": b.column("digest"), "hub": b.column("hub"), "n_hub": pa.array(n, pa.int64()),
+                          "missing": pa.array(missing, pa.binary()), "extra": pa.array(extra, pa.binary())})
+
+    joined = (pairs.join(sets.select("digest", F.col("hashes").alias("own")), "digest")
+              .join(sets.select(F.col("digest").alias("hub"), F.col("hashes").alias("hubs")), "hub"))
+    return joined.select("digest", "hub", "own", "hubs").mapInArrow(
+        run, "digest binary, hub binary, n_hub bigint, missing binary, extra binary")
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each array of ``left`` shares with each of ``right``."""
+    a, b = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (left, right))
+    known = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float32)
+    place = lambda rows: np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    row_a, row_b = place(left), place(right)
+    hit_a, hit_b = np.isin(a, known), np.isin(b, known)
+    row_a, col_a = row_a[hit_a], np.searchsorted(known, a[hit_a])
+    row_b, col_b = row_b[hit_b], np.searchsorted(known, b[hit_b])
+    for at in range(0, len(known), COLUMNS):
+        width = min(COLUMNS, len(known) - at)
+        m, w = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+        in_a, in_b = (col_a >= at) & (col_a < at + width), (col_b >= at) & (col_b < at + width)
+        m[row_a[in_a], col_a[in_a] - at] = 1
+        w[row_b[in_b], col_b[in_b] - at] = 1
+        out += m @ w.T
+    return out
+
+
+def _links_in_block(rows: list[dict], percent: int) -> list[tuple[bytes, bytes]]:
+    """A link between each two parts with a linked pair, as far as they connect parts anew."""
+    i, j, n_hub = rows[0]["i"], rows[0]["j"], rows[0]["n_hub"]
+    features, lacks, sizes = [], [], []
+    for r in rows:
+        missing, extra = np.frombuffer(r["missing"], "<u4"), np.frombuffer(r["extra"], "<u8")
+        # places in the hub's set stand for themselves, other hashes for the rest
+        features.append(np.concatenate([missing.astype(np.uint64), extra | _U(1 << 32)]))
+        lacks.append(len(missing))
+        sizes.append(n_hub - len(missing) + len(extra))
+    own = np.array([r["own"] for r in rows])
+    at_l, at_r = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    part = np.unique([r["part"] for r in rows], return_inverse=True)[1]
+    lacks, sizes = np.array(lacks, np.int64), np.array(sizes, np.int64)
+    both = _shared([features[k] for k in at_l], [features[k] for k in at_r]).astype(np.int64)
+    both += n_hub - lacks[at_l][:, None] - lacks[at_r][None, :]
+    union = sizes[at_l][:, None] + sizes[at_r][None, :] - both
+    x, y = np.nonzero((100 * both >= percent * union) & (part[at_l][:, None] != part[at_r][None, :]))
+    root = list(range(int(part.max()) + 1))
+
+    def find(p: int) -> int:
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        return p
+
+    out = []
+    code = part[at_l[x]] * len(root) + part[at_r[y]]
+    for k in np.unique(code, return_index=True)[1].tolist():
+        a, b = at_l[x[k]], at_r[y[k]]
+        p, q = find(int(part[a])), find(int(part[b]))
+        if p != q:
+            root[p] = q
+            out.append((rows[a]["digest"], rows[b]["digest"]))
+    return out
+
+
+def _cross_links(bands: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (a, b): links of one bucket between classes that are not connected yet, enough to connect them."""
     placed = bands.join(labels, "digest", "left").withColumn("part", F.coalesce("label", "digest")).drop("label")
     mixed = (placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("x"), F.max("part").alias("y"))
              .where(F.col("x") < F.col("y")).select("bucket", "size"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("digest"), blocks.cast("long")).cast("int")
-    rows = (placed.join(mixed, "bucket").withColumns({"blocks": blocks, "own": own})
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("bucket", "digest", "part", "own", F.least("own", "other").alias("i"),
-                    F.greatest("own", "other").alias("j")))
-    rows = rows.join(classes.select("digest", "n", "regs"), "digest")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        sketch = lambda p: np.frombuffer(b"".join(p["regs"]), "<u2").reshape(-1, REGISTERS)
-        regs_l, regs_r = sketch(left), sketch(right)
-        n_l, n_r = left["n"].to_numpy(), right["n"].to_numpy()
-        d_l, d_r = left["digest"].to_numpy(), right["digest"].to_numpy()
-        part = pd.factorize(pdf["part"])[0]
-        p_l, p_r = part[(pdf["own"] == i).to_numpy()], part[(pdf["own"] == j).to_numpy()]
-        a, b = [], []
-        step = max(1, 400_000 // max(1, len(right)))
-        for at in range(0, len(left), step):
-            cut = slice(at, at + step)
-            apart = p_l[cut, None] != p_r[None, :]
-            if i == j:
-                apart &= np.arange(len(left))[cut, None] < np.arange(len(right))[None, :]
-            x, y = np.nonzero(apart)
-            for lo in range(0, len(x), 400_000):
-                xs, ys = x[lo:lo + 400_000] + at, y[lo:lo + 400_000]
-                ok = may_reach(regs_l[xs], regs_r[ys], n_l[xs], n_r[ys], threshold)
-                a.extend(d_l[xs[ok]])
-                b.extend(d_r[ys[ok]])
-        return pd.DataFrame({"a": [min(p) for p in zip(a, b)], "b": [max(p) for p in zip(a, b)]}, dtype=object)
-
-    return rows.groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
+    own = F.pmod(F.xxhash64("digest"), F.col("blocks").cast("long")).cast("int")
+    rows = placed.join(mixed, "bucket").withColumn("blocks", blocks).withColumn("own", own)
+    rows = rows.join(_differences(rows.select("digest", "hub").distinct(), sets), ["digest", "hub"])
+    rows = (rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+            .select("bucket", "i", "j", "digest", "part", "own", "n_hub", "missing", "extra"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, now = [], None
+
+        def out() -> pa.RecordBatch:
+            links = _links_in_block(group, percent) if len(group) > 1 else []
+            return _batch({"a": pa.array([min(p) for p in links], pa.binary()),
+                           "b": pa.array([max(p) for p in links], pa.binary())})
+
+        for b in batches:
+            for r in b.to_pylist():
+                key = (r["bucket"], r["i"], r["j"])
+                if key != now:
+                    if group:
+                        yield out()
+                    group, now = [], key
+                group.append(r)
+        if group:
+            yield out()
+
+    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -294,19 +377,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     classes = saved(base.where("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.max("regs").alias("regs")))
     bands = _bands(classes)
-    shared = bands.groupBy("bucket").agg(F.min("digest").alias("first"), F.max("digest").alias("last"),
-                                         F.count(F.lit(1)).alias("size")).where("size > 1")
-    bands = saved(bands.join(shared, "bucket"))
-    hubs = bands.select("digest", F.explode(F.array("first", "last")).alias("hub")).where("digest <> hub")
-    tries = hubs.select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")).distinct()
-    tries = saved(_estimated(_with_sketches(tries, classes), threshold))
-    members = bands.select("digest").distinct()
-    sets = saved(_sets(df, members, base, k, doc_id, text))
+    shared = bands.groupBy("bucket").agg(F.min("digest").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    bands = saved(bands.join(shared.drop("size"), "bucket"))
+    tries = bands.where("digest <> hub").select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct()
+    tries = _estimated(_with_sketches(tries, classes), threshold)
+    sets = saved(_sets(df, bands.select("digest").distinct(), base, k, doc_id, text))
     links = saved(_verified(tries, sets, percent))
     labels = saved(components(links))
-    cross = _cross_pairs(bands.select("bucket", "digest"), labels, classes, threshold)
-    cross = saved(cross.join(tries, ["a", "b"], "left_anti"))
-    more = saved(_verified(cross, sets, percent))
+    more = saved(_cross_links(bands, labels, sets, percent))
     if not more.isEmpty():
         labels = saved(components(links.union(more)))
     by_class = classes.select("digest", "least_id").join(labels, "digest", "left")
