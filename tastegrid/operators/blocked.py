@@ -13,6 +13,13 @@ product.  It is never materialised as rows:
   NumPy in bounded chunks and emits only that block's top-k per user;
 * a window keeps the global top-k per user out of at most B * k rows.
 
+Hybrid candidates (H5) take two passes over the grid, whatever the catalogue's
+size.  The first emits, per user and item block, the best CF and content scores
+alone; their merge over the blocks gives each user the score that the last
+candidate of each gate has, and how many items with just that score each block
+may still take (blocks are ranges of business_id, so ties go to the lower id).
+The second pass blends the items that pass a gate and emits the block's top-k.
+
 Ties are broken the same way everywhere: score rounded to 6 decimals
 descending, then business_id ascending.
 """
@@ -20,12 +27,13 @@ descending, then business_id ascending.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +44,6 @@ USERS_PER_BLOCK = 20_000
 MIN_USERS_PER_BLOCK = 64
 DENSE_CHUNK = 256               # users scored at once: 256 x 20k doubles ~ 40 MB
 SPARSE_PAIR_CHUNK = 4_000_000   # term matches expanded at once
-HYBRID_MAX_ITEMS = 200_000      # one-pass hybrid candidates need the catalogue in one block
 CHUNK_CELLS = 4_000_000         # users x items cells scored at once
 DENSE_TERM_CELLS = 40_000_000   # items x local vocabulary kept dense (320 MB) before falling back to sparse
 
@@ -55,20 +62,19 @@ class ScoreSpec:
     """What to score.
 
     mode: "cf" (C4: known items; unknown user -> mu + b_i), "cf_pair" (C3: unknown
-    user or item drops its terms), "content" (M6 cosine), "hybrid" (H6 blend).
+    user or item drops its terms), "content" (M6 cosine), "hybrid" (H6 blend),
+    "gates" and "hybrid_gen" (the two passes of H5).
     """
     mode: str
     mu: float = 0.0
     lo: float = 1.0
     hi: float = 5.0
     prior_weight: float = 0.1
-    # "hybrid_gen" only: candidate limits (H5) and what to emit ("topk" or "candidates")
+    # H5 only: candidate limits, whether the history is left out, what to emit ("topk" or "candidates")
     cf_limit: int = 800
     content_limit: int = 800
-    prior_limit: int = 400
+    exclude_history: bool = True
     emit: str = "topk"
-    # build content profiles inside the block from weighted history rows (needs one item block)
-    profile_from_history: bool = False
 
 
 def _dense(series: pd.Series, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -185,39 +191,6 @@ def _pair_dots(profile: tuple, item_csr: tuple, rows: np.ndarray, cols: np.ndarr
     return np.bincount(np.repeat(np.arange(len(rows)), count), weights=hit, minlength=len(rows))
 
 
-def _profiles_from_history(n_rows: int, hu: np.ndarray, hi: np.ndarray, hw: np.ndarray,
-                           item_csr: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """M5 inside a block: profile_u = sum_h w_h x_h over the user's history rows (repeats count).
-
-    Weights summing to <= 0 over a user's resolved rows fall back to 1 each (plain
-    mean; the cosine ignores the common scale).  Returns CSR rows (indptr,
-    terms, values) and a mask of users with at least one resolved row.
-    """
-    indptr, terms, vals = item_csr
-    has = np.zeros(n_rows, dtype=bool)
-    if len(hu) == 0:
-        return np.zeros(n_rows + 1, np.int64), np.zeros(0, np.int64), np.zeros(0), has
-    has[hu] = True
-    wsum = np.bincount(hu, weights=hw, minlength=n_rows)
-    w = np.where(wsum[hu] > 0, hw, 1.0)
-    cnt = indptr[hi + 1] - indptr[hi]
-    tot = int(cnt.sum())
-    if tot == 0:
-        return np.zeros(n_rows + 1, np.int64), np.zeros(0, np.int64), np.zeros(0), has
-    offs = np.arange(tot) - np.repeat(np.cumsum(cnt) - cnt, cnt) + np.repeat(indptr[hi], cnt)
-    rows = np.repeat(hu, cnt)
-    t = terms[offs]
-    v = np.repeat(w, cnt) * vals[offs]
-    span = int(t.max()) + 1
-    key, inv = np.unique(rows.astype(np.int64) * span + t, return_inverse=True)
-    agg = np.bincount(inv, weights=v)
-    prow = key // span
-    pterm = key % span
-    pindptr = np.zeros(n_rows + 1, np.int64)
-    np.cumsum(np.bincount(prow, minlength=n_rows), out=pindptr[1:])
-    return pindptr, pterm, agg, has
-
-
 def _top_k_select(S: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Per row the k largest finite entries; ties go to the lower column (= lower id)."""
     n_rows, n_cols = S.shape
@@ -236,38 +209,44 @@ def _top_k_select(S: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(take)
 
 
-def _hybrid_candidates(spec: ScoreSpec, has_profile: np.ndarray, cf_gen: np.ndarray, content: np.ndarray,
-                       hist: np.ndarray, i_known: np.ndarray, prior_top: np.ndarray, n_cf_items: int,
-                       n_items: int) -> np.ndarray:
-    """H5 for a chunk of users over the whole catalogue: boolean (users x items) candidate mask.
+def _best(S: np.ndarray, k: int) -> list[bytes]:
+    """Per row the k largest finite values, in falling order, as bytes."""
+    k = min(k, S.shape[1])
+    if not k:
+        return [b""] * len(S)
+    top = -np.sort(np.partition(-S, k - 1, axis=1)[:, :k], axis=1) if k < S.shape[1] else -np.sort(-S, axis=1)
+    return [row[np.isfinite(row)].tobytes() for row in top]
 
-    top cf_limit unseen items by C4 prediction, union top content_limit
-    non-history items by cosine (users with a resolvable history only), union
-    the first prior_limit items of the prior order; history removed; an empty
-    set falls back to the whole catalogue minus history.
-    """
-    cand = np.zeros(hist.shape, dtype=bool)
-    if n_cf_items:
-        g = np.where(hist, -np.inf, cf_gen)
-        r, c = _top_k_select(g, min(spec.cf_limit, n_cf_items))
-        cand[r, c] = True
-    if has_profile.any():
-        g = np.where(hist | ~has_profile[:, None], -np.inf, np.round(content, 6))
-        r, c = _top_k_select(g, min(spec.content_limit, n_items))
-        cand[r, c] = True
-    cand |= prior_top[None, :]
-    cand &= ~hist
-    empty = ~cand.any(axis=1)
-    if empty.any():
-        cand[empty] = ~hist[empty]
-    return cand
+
+def _passes(S: np.ndarray, bound: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """Cells over their row's bound, and the first ``ties`` cells of each row that equal it."""
+    equal = S == bound[:, None]
+    return ((S > bound[:, None]) | (equal & (np.cumsum(equal, axis=1) <= ties[:, None]))) & np.isfinite(S)
+
+
+def _bounds(best: list[np.ndarray], k: int) -> tuple[float, list[int]]:
+    """The k-th best value over a user's item blocks, and how many of the values equal to it each block takes."""
+    merged = np.sort(np.concatenate(best))[::-1] if best else np.empty(0)
+    if len(merged) < k or not k:
+        return (-np.inf if k else np.inf), [0] * len(best)
+    bound = merged[k - 1]
+    left, ties = k - int((merged > bound).sum()), []
+    for b in best:
+        ties.append(min(left, int((b == bound).sum())))
+        left -= ties[-1]
+    return float(bound), ties
 
 
 def _make_block_fn(spec: ScoreSpec, k: int, restrict: bool = False):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"user_id": pd.Series([], dtype=object), "business_id": pd.Series([], dtype=object),
-                              "score": pd.Series([], dtype=np.float64), "content_score": pd.Series([], dtype=np.float64),
-                              "cf_pred": pd.Series([], dtype=np.float64)})
+        if spec.mode == "gates":
+            empty = pd.DataFrame({"user_id": [], "_ib": [], "cf": [], "ct": []})
+        else:
+            empty = pd.DataFrame({"user_id": pd.Series([], dtype=object), "business_id": pd.Series([], dtype=object),
+                                  "score": pd.Series([], dtype=np.float64), "content_score": pd.Series([], dtype=np.float64),
+                                  "cf_pred": pd.Series([], dtype=np.float64)})
+            if spec.mode == "hybrid_gen":
+                empty["spare"] = pd.Series([], dtype=np.int32)
 
         def emit(rows, cols, S, content, cf):
             return pd.DataFrame({"user_id": uid[a + rows], "business_id": item_ids[cols], "score": S[rows, cols],
@@ -278,7 +257,7 @@ def _make_block_fn(spec: ScoreSpec, k: int, restrict: bool = False):
         users = left[left["_kind"] == 0].reset_index(drop=True)
         seen = left[left["_kind"] == 1]
         allowed = left[left["_kind"] == 2]
-        hist_rows = left[left["_kind"] == 3]
+        model_seen = left[left["_kind"] == 4]
         if users.empty:
             return empty
         items = right.sort_values("business_id", kind="stable").reset_index(drop=True)
@@ -286,28 +265,31 @@ def _make_block_fn(spec: ScoreSpec, k: int, restrict: bool = False):
         n_items = len(items)
         uid = users["user_id"].to_numpy()
         upos = pd.Index(uid)
-        if not seen.empty:
-            su = upos.get_indexer(seen["user_id"])
-            si = pd.Index(item_ids).get_indexer(seen["business_id"])
-            ok = (su >= 0) & (si >= 0)
-            su, si = su[ok], si[ok]
-        else:
-            su = si = np.zeros(0, np.int64)
-        if spec.profile_from_history:
-            hu_all = upos.get_indexer(hist_rows["user_id"])
-            hi_all = pd.Index(item_ids).get_indexer(hist_rows["business_id"])
-            hw_all = hist_rows["hw"].astype(float).fillna(0.0).to_numpy()
-            okh = (hu_all >= 0) & (hi_all >= 0)
-            hu_all, hi_all, hw_all = hu_all[okh], hi_all[okh], hw_all[okh]
+        def cells(pairs):
+            """Places (user, item) of the pairs that this block holds, by user."""
+            r, c = upos.get_indexer(pairs["user_id"]), pd.Index(item_ids).get_indexer(pairs["business_id"])
+            ok = (r >= 0) & (c >= 0)
+            order = np.argsort(r[ok], kind="stable")
+            return r[ok][order], c[ok][order]
+
+        def mask(pairs, a, n):
+            """Cells of the pairs of users a to a + n."""
+            r, c = pairs
+            lo, hi = np.searchsorted(r, (a, a + n))
+            out = np.zeros((n, n_items), dtype=bool)
+            out[r[lo:hi] - a, c[lo:hi]] = True
+            return out
+
+        seen = cells(seen)
+        if spec.mode in ("gates", "hybrid_gen"):
+            model_seen = cells(model_seen)
         if restrict:
-            au = upos.get_indexer(allowed["user_id"])
-            ai = pd.Index(item_ids).get_indexer(allowed["business_id"])
-            ok = (au >= 0) & (ai >= 0)
-            au, ai = au[ok], ai[ok]
+            au, ai = cells(allowed)
 
         # item-side features, prepared once per block
-        need_cf = spec.mode in ("cf", "cf_pair", "hybrid", "hybrid_gen")
-        need_ct = spec.mode in ("content", "hybrid", "hybrid_gen")
+        gen = spec.mode in ("gates", "hybrid_gen")
+        need_cf = gen or spec.mode in ("cf", "cf_pair", "hybrid")
+        need_ct = gen or spec.mode in ("content", "hybrid")
         if need_cf:
             ivec, ivec_ok = _dense(items["i_vec"])
             ib = items["i_bias"].astype(float)
@@ -318,17 +300,14 @@ def _make_block_fn(spec: ScoreSpec, k: int, restrict: bool = False):
         if spec.mode in ("hybrid", "hybrid_gen"):
             prior_raw = items["prior"].astype(float).fillna(0.0).to_numpy()
             prior = np.clip(prior_raw, 0.0, 1.0)
-        if spec.mode == "hybrid_gen":
-            # The first prior_limit items of the global prior order (this block holds the whole catalogue)
-            order = np.lexsort((np.arange(n_items), -np.round(prior_raw, 6)))
-            prior_top = np.zeros(n_items, dtype=bool)
-            prior_top[order[:spec.prior_limit]] = True
-            n_cf_items = int(i_known.sum())
+        if gen:
+            in_cat = items["in_cat"].to_numpy().astype(bool)
+            prior_top = items["prior_top"].to_numpy().astype(bool)
 
         def score_listed(a, u):
             """H6 of the listed pairs of a chunk of users alone, and the first k of each user."""
-            mine = (au >= a) & (au < a + len(u))
-            r, c = au[mine] - a, ai[mine]
+            lo, hi = np.searchsorted(au, (a, a + len(u)))
+            r, c = au[lo:hi] - a, ai[lo:hi]
             uvec, uvec_ok = _dense(u["u_vec"], ivec.shape[1])
             ubias = u["u_bias"].astype(float)
             known = ubias.notna().to_numpy()
@@ -336,11 +315,7 @@ def _make_block_fn(spec: ScoreSpec, k: int, restrict: bool = False):
             both = (known & uvec_ok)[r] & (i_known & ivec_ok)[c]
             dots = np.where(both, np.einsum("ij,ij->i", uvec[r], ivec[c]), 0.0)
             cf = np.clip(spec.mu + np.where(known, ubias, 0.0)[r] + np.where(i_known, ib, 0.0)[c] + dots, spec.lo, spec.hi)
-            if spec.profile_from_history:
-                mh = (hu_all >= a) & (hu_all < a + len(u))
-                *profile, _ = _profiles_from_history(len(u), hu_all[mh] - a, hi_all[mh], hw_all[mh], iterms.csr)
-            else:
-                profile = _csr(u["p_idx"], u["p_val"])
+            profile = _csr(u["p_idx"], u["p_val"])
             row_of = np.repeat(np.arange(len(u)), np.diff(profile[0]))
             norms = np.sqrt(np.bincount(row_of, weights=profile[2] ** 2, minlength=len(u)))
             content = np.where(norms[r] > 0, _pair_dots(profile, iterms.csr, r, c) / np.where(norms > 0, norms, 1.0)[r], 0.0)
@@ -371,7 +346,7 @@ def _make_block_fn(spec: ScoreSpec, k: int, restrict: bool = False):
                 ubias = ubias.fillna(0.0).to_numpy()
                 dot = uvec @ ivec.T
                 both = (u_known & uvec_ok)[:, None] & (i_known & ivec_ok)[None, :]
-                if spec.mode == "hybrid_gen":
+                if gen:
                     # C4 ranks CF candidates: unknown user -> mu + b_i; items outside the model excluded
                     cf_gen = np.clip(spec.mu + ib[None, :] + np.where(u_known[:, None], ubias[:, None] + dot, 0.0),
                                      spec.lo, spec.hi)
@@ -384,18 +359,24 @@ def _make_block_fn(spec: ScoreSpec, k: int, restrict: bool = False):
                 cf = np.clip(cf, spec.lo, spec.hi)
                 S = cf
             if need_ct:
-                if spec.profile_from_history:
-                    mh = (hu_all >= a) & (hu_all < a + len(u))
-                    indptr, terms, vals, has_profile = _profiles_from_history(
-                        len(u), hu_all[mh] - a, hi_all[mh], hw_all[mh], iterms.csr)
-                else:
-                    indptr, terms, vals = _csr(u["p_idx"], u["p_val"])
-                    has_profile = np.diff(indptr) > 0
+                indptr, terms, vals = _csr(u["p_idx"], u["p_val"])
+                has_profile = np.diff(indptr) > 0
                 dots = iterms.dot(indptr, terms, vals)
                 row_of = np.repeat(np.arange(len(u)), np.diff(indptr))
                 norms = np.sqrt(np.bincount(row_of, weights=vals * vals, minlength=len(u)))
                 content = np.where(norms[:, None] > 0, dots / np.where(norms > 0, norms, 1.0)[:, None], 0.0)
                 S = content
+            hist = mask(seen, a, len(u))
+            if gen:
+                # H5: unseen items by C4 prediction; catalogue items outside the history by cosine
+                g_cf = np.where(mask(model_seen, a, len(u)), -np.inf, cf_gen)
+                g_ct = np.where(in_cat[None, :] & has_profile[:, None], np.round(content, 6), -np.inf)
+                if spec.exclude_history:
+                    g_ct[hist] = -np.inf
+            if spec.mode == "gates":
+                frames.append(pd.DataFrame({"user_id": u["user_id"].to_numpy(), "_ib": u["_ib"].to_numpy(),
+                                            "cf": _best(g_cf, spec.cf_limit), "ct": _best(g_ct, spec.content_limit)}))
+                continue
             if spec.mode in ("hybrid", "hybrid_gen"):
                 alpha = u["alpha"].astype(float).to_numpy()[:, None]
                 rng = spec.hi - spec.lo
@@ -403,19 +384,25 @@ def _make_block_fn(spec: ScoreSpec, k: int, restrict: bool = False):
                 core = alpha * content + (1.0 - alpha) * cf_n
                 S = (1.0 - spec.prior_weight) * core + spec.prior_weight * prior[None, :]
             S = np.round(S, 6)
-            if spec.mode == "content" and spec.profile_from_history:
+            if spec.mode == "content":
                 S[~has_profile] = -np.inf            # no resolvable history -> no content ranking
-            m = (su >= a) & (su < a + len(u))
-            hist = np.zeros(S.shape, dtype=bool)
-            if m.any():
-                hist[su[m] - a, si[m]] = True
             if spec.mode == "hybrid_gen":
-                cand = _hybrid_candidates(spec, has_profile, cf_gen, content, hist, i_known, prior_top, n_cf_items, n_items)
-                S[~cand] = -np.inf
+                cand = (_passes(g_cf, u["cf_bound"].to_numpy(float), u["cf_ties"].to_numpy())
+                        | _passes(g_ct, u["ct_bound"].to_numpy(float), u["ct_ties"].to_numpy()) | prior_top[None, :])
+                cand &= in_cat[None, :]
+                if spec.exclude_history:
+                    cand &= ~hist
                 if spec.emit == "candidates":
                     rows, cols = np.nonzero(cand)
-                    frames.append(emit(rows, cols, S, content, cf))
+                    frames.append(emit(rows, cols, S, content, cf).assign(spare=0))
                     continue
+                # Where this block has no candidate its best other items go along as spare ones
+                none = ~cand.any(axis=1)
+                other = in_cat[None, :] & ~hist if spec.exclude_history else np.broadcast_to(in_cat, S.shape)
+                S[~np.where(none[:, None], other, cand)] = -np.inf
+                rows, cols = _top_k_select(S, k)
+                frames.append(emit(rows, cols, S, content, cf).assign(spare=none[rows].astype(np.int32)))
+                continue
             else:
                 S[hist] = -np.inf
             rows, cols = _top_k_select(S, k)
@@ -424,9 +411,34 @@ def _make_block_fn(spec: ScoreSpec, k: int, restrict: bool = False):
     return run
 
 
+GEN_SCHEMA = T.StructType([*OUT_SCHEMA.fields, T.StructField("spare", T.IntegerType())])
+GATE_SCHEMA = "user_id string, _ib int, cf binary, ct binary"
+_USER = ("u_vec", "u_bias", "p_idx", "p_val", "alpha")
+_ITEM = ("i_vec", "i_bias", "t_idx", "t_val", "prior", "in_cat", "prior_top")
+
+
+def _user_blocks(spark, n_users: int, n_ib: int) -> int:
+    par = max(1, spark.sparkContext.defaultParallelism)
+    return max(1, min(math.ceil(n_users / MIN_USERS_PER_BLOCK),
+                      max(math.ceil(n_users / USERS_PER_BLOCK), math.ceil(2 * par / n_ib))))
+
+
+def _grid(users: DataFrame, items: DataFrame, pairs: list[tuple[int, DataFrame]], n_ub: int, n_ib: int, fn, schema):
+    """Run ``fn`` on every (user block, item block).  ``users``, ``items`` and pairs carry _ib; users may lack it
+    (they then go to all item blocks)."""
+    ub = F.pmod(F.xxhash64("user_id"), F.lit(n_ub)).cast("int")
+    left = users.withColumn("_ub", ub).withColumn("_kind", F.lit(0)).withColumn("business_id", F.lit(None).cast("string"))
+    if "_ib" not in users.columns:
+        left = left.withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(n_ib - 1))))
+    for kind, rows in pairs:
+        rows = rows.select("user_id", "business_id", "_ib").withColumn("_ub", ub).withColumn("_kind", F.lit(kind))
+        left = left.unionByName(rows, allowMissingColumns=True)
+    right = items.withColumn("_ub", F.explode(F.sequence(F.lit(0), F.lit(n_ub - 1))))
+    return left.groupBy("_ub", "_ib").cogroup(right.groupBy("_ub", "_ib")).applyInPandas(fn, schema)
+
+
 def grid_top_k(users: DataFrame, items: DataFrame, k: int, spec: ScoreSpec, seen: DataFrame | None = None,
-               n_users: int | None = None, n_items: int | None = None, allowed: DataFrame | None = None,
-               history: DataFrame | None = None) -> DataFrame:
+               n_users: int | None = None, n_items: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """Top-k items per user under ``spec`` -> (user_id, business_id, score, rank).
 
     users: user_id + u_vec/u_bias (cf), p_idx/p_val (content), alpha (hybrid).
@@ -434,8 +446,6 @@ def grid_top_k(users: DataFrame, items: DataFrame, k: int, spec: ScoreSpec, seen
     seen:  (user_id, business_id) pairs never returned.
     allowed: optional (user_id, business_id) pairs; when given, only these can be returned
              (explicit candidate lists), carried like ``seen`` on the user side.
-    history: optional (user_id, business_id, hw) weighted history rows; with
-             ``spec.profile_from_history`` the content profiles are formed inside the block.
     """
     spark = users.sparkSession
     # Scorer inputs are read twice (size, then the grid): keep them.
@@ -443,45 +453,71 @@ def grid_top_k(users: DataFrame, items: DataFrame, k: int, spec: ScoreSpec, seen
     items = items.persist(StorageLevel.MEMORY_AND_DISK)
     n_users = n_users if n_users is not None else users.count()
     n_items = n_items if n_items is not None else items.count()
-    par = max(1, spark.sparkContext.defaultParallelism)
     n_ib = max(1, math.ceil(n_items / ITEMS_PER_BLOCK))
-    if spec.mode == "hybrid_gen":
-        # Candidate gates are global per user: the whole catalogue must sit in one item block.
-        if n_items > HYBRID_MAX_ITEMS:
-            raise ValueError("catalogue too large for one item block")
-        n_ib = 1
-    if spec.profile_from_history and n_ib > 1:
-        raise ValueError("profiles from history need the catalogue in one item block")
-    n_ub = max(1, min(math.ceil(n_users / MIN_USERS_PER_BLOCK),
-                      max(math.ceil(n_users / USERS_PER_BLOCK), math.ceil(2 * par / n_ib))))
-    ub = F.pmod(F.xxhash64("user_id"), F.lit(n_ub)).cast("int")
     ib = F.pmod(F.xxhash64("business_id"), F.lit(n_ib)).cast("int")
-
-    u_cols = [c for c in ("u_vec", "u_bias", "p_idx", "p_val", "alpha") if c in users.columns]
-    left = (users.select("user_id", *u_cols)
-            .withColumn("_ub", ub)
-            .withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(n_ib - 1))))
-            .withColumn("_kind", F.lit(0))
-            .withColumn("business_id", F.lit(None).cast("string")))
-    if seen is not None:
-        s = (seen.select("user_id", "business_id").withColumn("_ub", ub).withColumn("_ib", ib)
-             .withColumn("_kind", F.lit(1)))
-        left = left.unionByName(s, allowMissingColumns=True)
-    if history is not None:
-        hrows = (history.select("user_id", "business_id", F.col("hw").cast("double"))
-                 .withColumn("_ub", ub).withColumn("_ib", ib).withColumn("_kind", F.lit(3)))
-        left = left.unionByName(hrows, allowMissingColumns=True)
-    if allowed is not None:
-        al = (allowed.select("user_id", "business_id").withColumn("_ub", ub).withColumn("_ib", ib)
-              .withColumn("_kind", F.lit(2)))
-        left = left.unionByName(al, allowMissingColumns=True)
-    i_cols = [c for c in ("i_vec", "i_bias", "t_idx", "t_val", "prior") if c in items.columns]
-    right = (items.select("business_id", *i_cols)
-             .withColumn("_ib", ib)
-             .withColumn("_ub", F.explode(F.sequence(F.lit(0), F.lit(n_ub - 1)))))
+    pairs = [(kind, p.withColumn("_ib", ib)) for kind, p in ((1, seen), (2, allowed)) if p is not None]
     fn = _make_block_fn(spec, k, restrict=allowed is not None)
-    block_top = (left.groupBy("_ub", "_ib").cogroup(right.groupBy("_ub", "_ib"))
-                 .applyInPandas(fn, OUT_SCHEMA))
-    if spec.mode == "hybrid_gen" and spec.emit == "candidates":
-        return block_top
+    block_top = _grid(users.select("user_id", *[c for c in _USER if c in users.columns]),
+                      items.select("business_id", *[c for c in _ITEM if c in items.columns]).withColumn("_ib", ib),
+                      pairs, _user_blocks(spark, n_users, n_ib), n_ib, fn, OUT_SCHEMA)
     return top_k_per_user(block_top, k)
+
+
+def _merge_gates(batches, cf_limit: int, content_limit: int):
+    """From gate rows sorted by user and block: the bounds of each row (see ``_bounds``)."""
+    now, rows = None, []
+
+    def out():
+        cf_bound, cf_ties = _bounds([np.frombuffer(r["cf"], "<f8") for r in rows], cf_limit)
+        ct_bound, ct_ties = _bounds([np.frombuffer(r["ct"], "<f8") for r in rows], content_limit)
+        return [{"user_id": r["user_id"], "_ib": r["_ib"], "cf_bound": cf_bound, "cf_ties": a, "ct_bound": ct_bound, "ct_ties": b}
+                for r, a, b in zip(rows, cf_ties, ct_ties, strict=True)]
+
+    done = []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["user_id"] != now:
+                done += out() if rows else []
+                now, rows = r["user_id"], []
+            rows.append(r)
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema=_BOUND_ARROW)
+            done = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(out(), schema=_BOUND_ARROW)
+
+
+BOUND_SCHEMA = "user_id string, _ib int, cf_bound double, cf_ties bigint, ct_bound double, ct_ties bigint"
+_BOUND_ARROW = pa.schema([("user_id", pa.string()), ("_ib", pa.int32()), ("cf_bound", pa.float64()), ("cf_ties", pa.int64()),
+                          ("ct_bound", pa.float64()), ("ct_ties", pa.int64())])
+
+
+def generate_top_k(users: DataFrame, items: DataFrame, k: int, spec: ScoreSpec, history: DataFrame, model_seen: DataFrame,
+                   n_users: int | None = None, n_items: int | None = None) -> DataFrame:
+    """H5 + H7: candidates by the CF, content and prior gates, blended; top-k or all candidates per user.
+
+    users and items as for ``grid_top_k``; items also in_cat (belongs to the catalogue) and prior_top (in the
+    prior gate), and those of the CF model outside the catalogue.  ``history`` pairs are left out of the content
+    gate and of the result (``spec.exclude_history``), ``model_seen`` pairs of the CF gate.
+    """
+    spark = users.sparkSession
+    users = users.persist(StorageLevel.MEMORY_AND_DISK)
+    n_items = n_items if n_items is not None else items.count()
+    n_users = n_users if n_users is not None else users.count()
+    n_ib = max(1, math.ceil(n_items / ITEMS_PER_BLOCK))
+    n_ub = _user_blocks(spark, n_users, n_ib)
+    # ranges of business_id: among equal scores the lower block has the lower ids
+    items = (items.select("business_id", *[c for c in _ITEM if c in items.columns]).repartitionByRange(n_ib, "business_id")
+             .withColumn("_ib", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK))
+    place = items.select("business_id", "_ib")
+    pairs = [(1, history.join(place, "business_id")), (4, model_seen.join(place, "business_id"))]
+    users = users.select("user_id", *[c for c in _USER if c in users.columns])
+    gates = _grid(users, items, pairs, n_ub, n_ib, _make_block_fn(replace(spec, mode="gates"), k), GATE_SCHEMA)
+    limits = spec.cf_limit, spec.content_limit
+    bounds = (gates.repartition("user_id").sortWithinPartitions("user_id", "_ib")
+              .mapInArrow(lambda it: _merge_gates(it, *limits), BOUND_SCHEMA))
+    out = _grid(users.join(bounds, "user_id"), items, pairs, n_ub, n_ib, _make_block_fn(spec, k), GEN_SCHEMA)
+    # spare items count only for users without a candidate in any block
+    out = (out.withColumn("_least", F.min("spare").over(Window.partitionBy("user_id")))
+           .where(F.col("spare") == F.col("_least")).drop("spare", "_least"))
+    return out if spec.emit == "candidates" else top_k_per_user(out, k)

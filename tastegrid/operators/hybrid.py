@@ -12,7 +12,7 @@ from tastegrid.functions.exprs import alpha_expr, clip01, fixed, normalize_cf, s
 from tastegrid.operators import cf as cfm
 from tastegrid.operators import content as ct
 from tastegrid.operators import profiles as pf
-from tastegrid.operators.blocked import HYBRID_MAX_ITEMS, ITEMS_PER_BLOCK, ScoreSpec, grid_top_k
+from tastegrid.operators.blocked import ScoreSpec, generate_top_k, grid_top_k
 from tastegrid.operators.ranking import top_k_of_global_order, top_k_per_user
 
 
@@ -109,23 +109,10 @@ class HybridInputs:
             return u.join(prof, "user_id", "left").join(al.select("user_id", "alpha"), "user_id", "left")
         return self._keep("user_side", build)
 
-    def _all_user_side_no_profile(self) -> DataFrame:
-        def build():
-            users = self.history.select("user_id").distinct().unionByName(
-                self.model.user_bias.select("user_id")).distinct()
-            al = alpha_by_user(self.history)
-            return cfm.user_side(self.model, users).join(al.select("user_id", "alpha"), "user_id", "left")
-        return self._keep("user_side_np", build)
-
-    def history_rows(self) -> DataFrame:
-        """(user_id, business_id, hw): H2-weighted history rows for in-block profiles."""
-        return self.weighted_history().select("user_id", "business_id", F.col("weight").alias("hw"))
-
-    def user_side(self, users: DataFrame, with_profile: bool = True) -> DataFrame:
+    def user_side(self, users: DataFrame) -> DataFrame:
         """Scorer rows for ``users``; users without history or CF rows get alpha(0) and no profile."""
         wanted = users.select("user_id").distinct()
-        known = self._all_user_side() if with_profile else self._all_user_side_no_profile()
-        rows = wanted.join(known, "user_id", "left")
+        rows = wanted.join(self._all_user_side(), "user_id", "left")
         return rows.withColumn("alpha", F.coalesce(F.col("alpha"), alpha_expr(F.lit(0))))
 
     def item_side(self) -> DataFrame:
@@ -172,55 +159,35 @@ def load_inputs(spark, path: str) -> HybridInputs:
 
 def recommend(inp: HybridInputs, users: DataFrame, k: int = 10, emit: str = "topk",
               cf_limit: int = K.CF_CANDIDATES, content_limit: int = K.CONTENT_CANDIDATES,
-              prior_limit: int = K.PRIOR_CANDIDATES) -> DataFrame:
-    """H5 + H6 + H7 for every user: candidates, blend, top-k (or the candidate set with scores)."""
-    lim = dict(cf_limit=max(K.CANDIDATE_FLOOR, cf_limit), content_limit=max(K.CANDIDATE_FLOOR, content_limit),
-               prior_limit=max(K.CANDIDATE_FLOOR, prior_limit))
-    items = inp.item_side()
-    n_items = inp.catalogue.count()
-    if n_items <= HYBRID_MAX_ITEMS:
-        # one item block: profiles are formed inside the block from the weighted history rows
-        return grid_top_k(inp.user_side(users, with_profile=False), items, k,
-                          inp.spec(emit=emit, profile_from_history=True, **lim),
-                          seen=inp.history.select("user_id", "business_id"), n_items=n_items,
-                          history=inp.history_rows())
-    return _recommend_by_pairs(inp, users, k, emit, **lim)
+              prior_limit: int = K.PRIOR_CANDIDATES, exclude_history: bool = True) -> DataFrame:
+    """H5 + H6 + H7 for every user: candidates, blend, top-k (or the candidate set with scores).
+
+    The CF gate ranks all items of the model that the user has not rated, the content gate the catalogue
+    outside the history, the prior gate is the head of the prior order; what is in the catalogue and outside
+    the history is blended.  Users whose gates leave nothing get the whole catalogue (U2).
+    """
+    floor = K.CANDIDATE_FLOOR
+    spec = inp.spec(emit=emit, cf_limit=max(floor, cf_limit), content_limit=max(floor, content_limit),
+                    exclude_history=exclude_history)
+    head = (inp.priors.orderBy(F.round("prior", 6).desc(), "business_id").limit(max(floor, prior_limit))
+            .select("business_id", F.lit(True).alias("prior_top")))
+    cat = inp.item_side().withColumn("in_cat", F.lit(True))
+    other = cfm.item_side(inp.model, inp.model.item_bias.select("business_id").join(inp.catalogue, "business_id", "left_anti"),
+                          keep_unknown=True).withColumn("in_cat", F.lit(False))
+    items = (cat.unionByName(other, allowMissingColumns=True).join(head, "business_id", "left")
+             .withColumn("prior_top", F.coalesce("prior_top", F.lit(False))))
+    history = inp.history.select("user_id", "business_id").distinct()
+    return generate_top_k(inp.user_side(users), items, k, spec, history, inp.model.seen.select("user_id", "business_id"))
 
 
 def recommend_among(inp: HybridInputs, candidates: DataFrame, k: int = 10) -> DataFrame:
     """H7 with explicit candidates: H6 scores of each user's own candidate list, top k.
 
-    Runs in the blocked scorer restricted to the listed pairs (no per-pair joins).
+    Runs in the blocked scorer on the listed pairs alone (no per-pair joins).
     """
     users = candidates.select("user_id").distinct()
-    n_items = inp.catalogue.count()
-    one_block = n_items <= ITEMS_PER_BLOCK
-    return grid_top_k(inp.user_side(users, with_profile=not one_block), inp.item_side(), k,
-                      inp.spec(mode="hybrid", profile_from_history=one_block),
-                      allowed=candidates.select("user_id", "business_id"), n_items=n_items,
-                      history=inp.history_rows() if one_block else None)
-
-
-def _recommend_by_pairs(inp: HybridInputs, users: DataFrame, k: int, emit: str, cf_limit: int,
-                        content_limit: int, prior_limit: int) -> DataFrame:
-    """Large-catalogue path: explicit candidate lists (three top-k scans), then pair scoring."""
-    seen = inp.history.select("user_id", "business_id")
-    cf_c = cfm.recommend_top_k(inp.model, users, cf_limit).select("user_id", "business_id")
-    uside = inp.user_side(users)
-    ct_c = grid_top_k(uside.select("user_id", "p_idx", "p_val"), inp.item_side().select("business_id", "t_idx", "t_val"),
-                      content_limit, ScoreSpec("content"), seen=seen).select("user_id", "business_id")
-    ct_c = ct_c.join(uside.filter(F.size("p_idx") > 0).select("user_id"), "user_id", "left_semi")
-    # The first prior_limit items of the prior order for every user (rank-slot equi join), history removed below
-    pr_c = top_k_of_global_order(users, inp.priors.withColumnRenamed("prior", "score"), None, prior_limit)
-    pr_c = pr_c.select("user_id", "business_id")
-    cand = (cf_c.unionByName(ct_c).unionByName(pr_c).distinct()
-            .join(seen, ["user_id", "business_id"], "left_anti")
-            .join(inp.catalogue, "business_id", "left_semi"))
-    scored = score_pairs(inp, cand)
-    if emit == "candidates":
-        return scored.select("user_id", "business_id", F.col("hybrid_score").alias("score"))
-    return top_k_per_user(scored.withColumnRenamed("hybrid_score", "score"), k).select(
-        "user_id", "business_id", "score", "rank", "content_score", "cf_pred")
+    return grid_top_k(inp.user_side(users), inp.item_side(), k, inp.spec(mode="hybrid"),
+                      allowed=candidates.select("user_id", "business_id"))
 
 
 def score_pairs(inp: HybridInputs, pairs: DataFrame, history_count: DataFrame | None = None) -> DataFrame:
@@ -248,13 +215,6 @@ def score_pairs(inp: HybridInputs, pairs: DataFrame, history_count: DataFrame |
 def content_recommend(inp: HybridInputs, users: DataFrame, k: int, weight_col: str | None) -> DataFrame:
     """M7 for every user: profile from raw ratings (``weight_col="stars"``) or the plain mean (None)."""
     hist = inp.history
-    items = inp.catalogue.join(ct.sparse_item_arrays(inp.item_tfidf, inp.vocab_idx), "business_id", "left")
-    n_items = inp.catalogue.count()
-    if n_items <= ITEMS_PER_BLOCK:
-        hw = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
-        rows = hist.select("user_id", "business_id", hw.alias("hw"))
-        return grid_top_k(users.select("user_id").distinct(), items, k, ScoreSpec("content", profile_from_history=True),
-                          seen=hist.select("user_id", "business_id"), n_items=n_items, history=rows)
     prof = ct.user_profiles(hist, inp.item_tfidf, weight_col)
     uside = users.select("user_id").distinct().join(ct.sparse_profile_arrays(prof, inp.vocab_idx), "user_id")
     items = inp.catalogue.join(ct.sparse_item_arrays(inp.item_tfidf, inp.vocab_idx), "business_id", "left")
@@ -368,10 +328,7 @@ def full_ranking_page(inp: HybridInputs, users: DataFrame, biz_index: DataFrame,
         n_t1 = tier1_items.count()
         total = t0.select("user_id", (F.col("_t0") + F.lit(n_t1)).alias("total"))
     else:
-        one_block = n_cat <= ITEMS_PER_BLOCK
-        uside = inp.user_side(users, with_profile=not one_block)
-        ranked = grid_top_k(uside, inp.item_side(), depth, inp.spec(mode="hybrid", profile_from_history=one_block),
-                            seen=seen, n_items=n_cat, history=inp.history_rows() if one_block else None)
+        ranked = grid_top_k(inp.user_side(users), inp.item_side(), depth, inp.spec(mode="hybrid"), seen=seen, n_items=n_cat)
         total = base_users.join(in_cat_hist, "user_id", "left").select(
             "user_id", (F.lit(n_cat) - F.coalesce("_h", F.lit(0))).alias("total"))
     page = ranked.filter((F.col("rank") > offset) & (F.col("rank") <= depth))

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tastegrid.operators import cf, content, hybrid
+from tastegrid.operators import blocked, cf, content, hybrid
 from tastegrid.operators.ranking import top_k_of_global_order
 
 
@@ -24,39 +24,81 @@ def test_global_order_minus_own_items_matches_brute_force(spark):
         assert [b for _, b in sorted(got.get(u, []))] == want
 
 
-def test_large_catalogue_path_equals_one_pass(spark, businesses, interactions, monkeypatch):
+def _inputs(spark, businesses, interactions, history=None):
     item, vocab = content.tfidf(businesses, min_df=1, max_features=500, ngram_max=1)
     model = cf.fit(spark, interactions, n_components=4)
     priors = spark.createDataFrame([(f"b{i:02d}", i / 10.0) for i in range(1, 11)], "business_id string, popularity_prior double")
-    users = interactions.select("user_id").distinct()
+    # b03 is rated, but not in the catalogue
+    catalogue = businesses.where("business_id <> 'b03'")
+    return hybrid.HybridInputs(model, item, vocab, priors, interactions if history is None else history, catalogue)
+
+
+def _brute(inp, users, k, limits, exclude_history):
+    """H5 to H7 from the scores of all pairs."""
+    pairs = users.crossJoin(inp.catalogue.unionByName(inp.model.item_bias.select("business_id")).distinct())
+    scored = {(r.user_id, r.business_id): r for r in hybrid.score_pairs(inp, pairs).collect()}
+    cf4 = {(r.user_id, r.business_id): r.score for r in cf.recommend_top_k(
+        cf.CFModel(inp.model.mu, inp.model.user_bias, inp.model.item_bias, inp.model.user_factors, inp.model.item_factors,
+                   inp.model.seen), users, 100).collect()}
+    cat = sorted(r.business_id for r in inp.catalogue.collect())
+    prior = {r.business_id: r.prior or 0.0 for r in inp.priors.collect()}
+    head = sorted(prior, key=lambda b: (-round(prior[b], 6), b))[:limits[2]]
+    with_profile = {r.user_id for r in inp.profiles().select("user_id").distinct().collect()}
+    out = {}
+    for u in sorted(r.user_id for r in users.collect()):
+        hist = {r.business_id for r in inp.history.where(f"user_id = '{u}'").collect()} if exclude_history else set()
+        by_cf = sorted((b for (w, b) in cf4 if w == u), key=lambda b: (-round(cf4[u, b], 6), b))[:limits[0]]
+        by_ct = sorted((b for b in cat if b not in hist), key=lambda b: (-round(scored[u, b].content_score, 6), b))[:limits[1]]
+        cand = (set(by_cf) | (set(by_ct) if u in with_profile else set()) | set(head)) & set(cat) - hist
+        cand = cand or set(cat) - hist
+        top = sorted(cand, key=lambda b: (-round(scored[u, b].hybrid_score, 6), b))[:k]
+        out.update({(u, i + 1): (b, round(scored[u, b].hybrid_score, 6)) for i, b in enumerate(top)})
+    return out
+
+
+@pytest.mark.parametrize("exclude_history", [True, False])
+@pytest.mark.parametrize("limits", [(2, 2, 1), (1, 3, 2), (5, 1, 3)])
+def test_gates_smaller_than_the_catalogue(spark, businesses, interactions, monkeypatch, limits, exclude_history):
+    monkeypatch.setattr(hybrid.K, "CANDIDATE_FLOOR", 1)
+    # histories differ from what the model has seen: u1 has one entry more, u4 none, u9 is unknown to the model
+    history = (interactions.where("user_id <> 'u4'")
+               .unionByName(spark.createDataFrame([("u1", "b02", 4.0, None), ("u9", "b05", 5.0, None)], interactions.schema)))
+    users = spark.createDataFrame([(u,) for u in ("u1", "u2", "u3", "u4", "u9", "new")], "user_id string")
+    inp = _inputs(spark, businesses, interactions, history)
+    want = _brute(inp, users, 4, limits, exclude_history)
 
     def run():
-        inp = hybrid.HybridInputs(model, item, vocab, priors, interactions, businesses)
-        return {(r.user_id, r["rank"]): (r.business_id, r.score) for r in hybrid.recommend(inp, users, 4).collect()}
+        rows = hybrid.recommend(_inputs(spark, businesses, interactions, history), users, 4, cf_limit=limits[0],
+                                content_limit=limits[1], prior_limit=limits[2], exclude_history=exclude_history).collect()
+        return {(r.user_id, r["rank"]): (r.business_id, pytest.approx(r.score, abs=2e-6)) for r in rows}
 
-    one_pass = run()
-    monkeypatch.setattr(hybrid, "HYBRID_MAX_ITEMS", 1)                  # force the explicit-candidate path
-    by_pairs = run()
-    assert one_pass.keys() == by_pairs.keys()
-    for key, (b, s) in one_pass.items():
-        assert by_pairs[key][0] == b and by_pairs[key][1] == pytest.approx(s, abs=1e-6)
+    assert run() == want
+    monkeypatch.setattr(blocked, "ITEMS_PER_BLOCK", 3)     # four item blocks
+    assert run() == want
+
+
+def test_gates_may_leave_nothing(spark, businesses, interactions, monkeypatch):
+    monkeypatch.setattr(hybrid.K, "CANDIDATE_FLOOR", 0)
+    # a history of all the prior gate holds and of what the user's CF and content gates find
+    inp = _inputs(spark, businesses, interactions)
+    users = spark.createDataFrame([("u1",)], "user_id string")
+    first = {r.business_id for r in hybrid.recommend(inp, users, 10, emit="candidates", cf_limit=1, content_limit=0, prior_limit=1).collect()}
+    more = spark.createDataFrame([("u1", b, None, None) for b in sorted(first)], interactions.schema)
+    full = _inputs(spark, businesses, interactions, interactions.unionByName(more))
+    got = hybrid.recommend(full, users, 3, cf_limit=1, content_limit=0, prior_limit=1).collect()
+    assert len(got) == 3 and not first & {r.business_id for r in got}
 
 
 def test_multi_block_content_equals_single_block(spark, businesses, interactions, monkeypatch):
-    from tastegrid.operators import blocked
-    item, vocab = content.tfidf(businesses, min_df=1, max_features=500, ngram_max=1)
-    model = cf.fit(spark, interactions, n_components=4)
-    priors = spark.createDataFrame([(f"b{i:02d}", i / 10.0) for i in range(1, 11)], "business_id string, popularity_prior double")
     users = interactions.select("user_id").distinct()
 
     def run():
-        inp = hybrid.HybridInputs(model, item, vocab, priors, interactions, businesses)
+        inp = _inputs(spark, businesses, interactions)
         return {(r.user_id, r["rank"]): (r.business_id, r.score)
                 for r in hybrid.content_recommend(inp, users, 4, "stars").collect()}
 
-    single = run()                                         # one item block, profiles formed in-block
-    monkeypatch.setattr(blocked, "ITEMS_PER_BLOCK", 3)     # four item blocks, profiles from Spark
-    monkeypatch.setattr(hybrid, "ITEMS_PER_BLOCK", 3)
+    single = run()
+    monkeypatch.setattr(blocked, "ITEMS_PER_BLOCK", 3)     # four item blocks
     multi = run()
     assert single.keys() == multi.keys()
     for key, (b, s) in single.items():
