@@ -326,7 +326,7 @@ def fit_svd(spark, resid: DataFrame, n_components: int = K.N_COMPONENTS, n_iter:
     if n_items * width * 8 > MAX_BASIS_BYTES:
         raise ValueError("item basis too large to broadcast; reduce n_components or split the catalogue")
     n_parts = max(1, spark.sparkContext.defaultParallelism)
-    base = (resid.join(F.broadcast(item_idx) if n_items <= 2_000_000 else item_idx, "business_id")
+    base = (resid.join(item_idx, "business_id")
             .select("user_id", "iidx", "residual"))
     hot = F.col("user_id").isin(*hot_ids) if hot_ids else F.lit(False)
     R = (base.filter(~hot).repartition(n_parts, "user_id").sortWithinPartitions("user_id")

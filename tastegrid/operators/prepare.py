@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tastegrid import constants as K
 from tastegrid.functions.exprs import clamp_rating, parse_ts, soup_expr, wide_attributes_text
 
+# FIXED VALUES: the columns of the business table, in its order.
 BUSINESS_KEEP = ("business_id", "name", "city", "state", "address", "latitude", "longitude", "stars",
                  "review_count", "is_open", "categories", "attributes", "soup", "tip_count",
                  "checkin_count", "popularity_prior")
@@ -95,15 +96,15 @@ def select_reviews(review: DataFrame, businesses: DataFrame, include_text: bool
     Reviews of the selected businesses (left semi join; Spark broadcasts the id
     side when it is small and shuffles otherwise).  ``max_rows`` reproduces the
     two row caps: JSON caps rows *read* (before the filter), Parquet caps rows
-    *kept* (after it).
+    *kept* (after it); the order of user, business and date says which.
     """
     cols = ["user_id", "business_id", "stars", "date"] + (["text"] if include_text and "text" in review.columns else [])
     src = review.select(*cols)
     if max_rows is not None and cap_before_filter:
-        src = src.limit(max_rows)
+        src = src.orderBy("user_id", "business_id", "date").limit(max_rows)
     out = src.join(businesses.select("business_id"), "business_id", "left_semi").select(*cols)
     if max_rows is not None and not cap_before_filter:
-        out = out.limit(max_rows)
+        out = out.orderBy("user_id", "business_id", "date").limit(max_rows)
     if dict(out.dtypes)["date"] == "string":
         out = out.withColumn("date", parse_ts("date"))
     return out.dropna(subset=["user_id", "business_id", "stars"])
@@ -205,10 +206,9 @@ def local_log_rows(log: DataFrame, catalogue: DataFrame | None = None) -> DataFr
 
 def merge_datasets(base: DataFrame, local: DataFrame, mode: str = "merged") -> DataFrame:
     """Base only, local only, or both concatenated (duplicates kept)."""
-    base = base.select("user_id", "business_id", "stars", "date")
-    if "source" not in base.columns:
-        base = base.withColumn("source", F.lit("base"))
-    if mode == "yelp_only" or mode == "base_only":
+    source = F.col("source") if "source" in base.columns else F.lit("base")
+    base = base.select("user_id", "business_id", "stars", "date", source.alias("source"))
+    if mode == "base_only":
         return base
     if mode == "local_only":
         return local

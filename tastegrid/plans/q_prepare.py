@@ -53,7 +53,7 @@ def review_semi_business(spark, sf_dir):
     return prepare.select_reviews(c.review, biz)
 
 
-@query("attribute_text", "P6, P7", """
+@query("attribute_text", "P7", """
 SELECT CAST(p_partkey AS VARCHAR) AS business_id,
        'size ' || CAST(p_size AS VARCHAR) || ' type ' || p_type AS attributes_map_text,
        'brand ' || trim(p_brand) || ' size ' || CAST(p_size AS VARCHAR) || ' type ' || trim(p_type) AS attributes_wide_text
@@ -145,7 +145,7 @@ def run_summary(spark, sf_dir):
     return out
 
 
-@query("region_filter", "P3, P4, F3", """
+@query("region_filter", "P3, F3", """
 SELECT CAST(s.s_suppkey AS VARCHAR) AS business_id, s.s_name AS name, n.n_name AS state
 FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
 WHERE upper(n.n_name) IN (SELECT upper(n2.n_name) FROM nation n2 JOIN region r ON n2.n_regionkey = r.r_regionkey

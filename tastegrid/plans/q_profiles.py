@@ -54,9 +54,9 @@ def user_profile(spark, sf_dir):
                       "activity_level", "activity_summary")
 
 
-@query("user_tier", "A16, J16, S12, P18", with_views("""
+@query("user_tier", "A16, J16, S12", with_views("""
 SELECT h.user_id, h.interaction_count, a.name, ROUND(a.average_stars, 6) AS average_stars_profile, a.elite,
-       strftime(h.first_date, '%Y-%m-%d') AS yelping_since,
+       strftime(h.first_date, '%Y-%m-%d') AS member_since,
        (COALESCE(a.elite_year_count, 0) > 0 OR trim(COALESCE(a.elite, '')) <> '') AS is_elite_user,
        CASE WHEN (COALESCE(a.elite_year_count, 0) > 0 OR trim(COALESCE(a.elite, '')) <> '') THEN 'elite' ELSE 'regular' END AS user_tier
 FROM (SELECT user_id, COUNT(*) AS interaction_count, MIN(date) AS first_date FROM interactions GROUP BY user_id) h
@@ -66,15 +66,15 @@ LEFT JOIN (SELECT CAST(c_custkey AS VARCHAR) AS user_id, c_name AS name, c_acctb
 def user_tier(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     beh = c.interactions.groupBy("user_id").agg(F.count(F.lit(1)).alias("interaction_count"),
-                                                F.date_format(F.min("date"), "yyyy-MM-dd").alias("yelping_since"))
+                                                F.date_format(F.min("date"), "yyyy-MM-dd").alias("member_since"))
     # Only the requested users' account rows are read (left semi join), friends never loaded
     acct = catalog.account_profiles(spark, sf_dir).join(beh.select("user_id"), "user_id", "left_semi")
     out = profiles.compose_profile(beh, acct)
     return out.select("user_id", "interaction_count", "name", round6("average_stars_profile").alias("average_stars_profile"),
-                      "elite", "yelping_since", "is_elite_user", "user_tier")
+                      "elite", "member_since", "is_elite_user", "user_tier")
 
 
-@query("user_events", "W6, J11, J15, W12", with_views("""
+@query("user_events", "W6, J11", with_views("""
 SELECT e.user_id, CAST(e.event_rank AS BIGINT) AS event_rank, e.date, e.business_id, b.name AS business_name, b.city,
        ROUND(e.stars, 6) AS stars, b.categories
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY date DESC NULLS LAST, business_id) AS event_rank
