@@ -12,20 +12,22 @@ from __future__ import annotations
 
 import base64
 import json
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tastegrid.llm.common import documents, query
 
 RANKS_NAME = "byte_bpe_50k.tiktoken"
 #: Distinct matches whose ids a task keeps at most; beyond it the memory is emptied and filled anew.
-MEMORY_ENTRIES = 500_000
-#: Text characters handled at once within an Arrow batch.
-SLICE_CHARS = 8_000_000
+MEMORY_ENTRIES = 400_000
+#: Text characters (in decoding: tokens) handled and returned at once within an Arrow batch.
+SLICE_CHARS = 1_000_000
 
 
 def byte_table() -> list[str]:
@@ -82,19 +84,35 @@ class Encoder:
 
         self.model = Tokenizer.from_str(spec)
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self._forget()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        matches = [self.find(t) for t in texts]
-        if len(self.known) > MEMORY_ENTRIES:
-            self.known.clear()
-        fresh = list(set(chain.from_iterable(matches)).difference(self.known))
+    def _forget(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict()  # of each match met
+        self.number.default_factory = self.number.__len__
+        self.ids = np.empty(0, "<u4")  # of all matches, one after the other
+        self.ends = np.zeros(1, np.int64)  # where match number i - 1 ends and number i starts
+
+    def _learn(self) -> None:
+        """Ids of the matches that have a number only."""
+        fresh = list(islice(self.number, len(self.ends) - 1, None))
         for at in range(0, len(fresh), 20_000):
-            part = fresh[at:at + 20_000]
-            got = self.model.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((m, tuple(e.ids)) for m, e in zip(part, got, strict=True))
-        get = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, ms)), dtype="<u4") for ms in matches]
+            got = [e.ids for e in self.model.encode_batch_fast(fresh[at:at + 20_000], add_special_tokens=False)]
+            self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(got), "<u4"))
+            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum([len(ids) for ids in got]))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        if len(self.number) > MEMORY_ENTRIES:
+            self._forget()
+        get = self.number.__getitem__
+        met = [np.fromiter(map(get, self.find(t)), np.int64) for t in texts]
+        self._learn()
+        which = np.concatenate(met) if met else np.empty(0, np.int64)
+        start, size = self.ends[which], self.ends[which + 1] - self.ends[which]
+        upto = np.cumsum(size)
+        packed = self.ids[np.arange(upto[-1] if len(upto) else 0) + np.repeat(start - upto + size, size)].tobytes()
+        cuts = (4 * np.append(0, upto)[np.cumsum([0, *map(len, met)])]).tolist()
+        return [packed[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
 def _encoder(spec: str, pattern: str) -> Encoder:
@@ -128,17 +146,15 @@ def _schema(df: DataFrame, added: str) -> str:
     return f"{have}, {added}" if have else added
 
 
-def _slices(column: pa.Array) -> Iterator[list[str]]:
-    """The texts of a batch in order, some characters at a time; null is empty."""
-    part, size = [], 0
-    for t in column:
-        s = t.as_py() or ""
-        part.append(s)
-        size += len(s)
-        if size >= SLICE_CHARS:
-            yield part
-            part, size = [], 0
-    yield part
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch, each of about ``SLICE_CHARS`` in size."""
+    number = np.cumsum(sizes) // SLICE_CHARS
+    ends = np.flatnonzero(np.diff(number)) + 1
+    yield from zip([0, *ends.tolist()], [*ends.tolist(), len(sizes)], strict=True)
+
+
+def _sizes(lengths: pa.Array) -> np.ndarray:
+    return lengths.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def encode(df: DataFrame, spec: str, pattern: str, text: str = "text", offsets: bool = False) -> DataFrame:
@@ -158,19 +174,16 @@ def encode(df: DataFrame, spec: str, pattern: str, text: str = "text", offsets:
         model = _encoder(shared.value, pattern)
         lengths = token_lengths(shared.value) if offsets else None
         for batch in batches:
-            packed, counts, starts, ends = [], [], [], []
-            for texts in _slices(batch.column(at)):
-                for t, ids in zip(texts, model.encode(texts), strict=True):
-                    packed.append(ids.tobytes())
-                    counts.append(len(ids))
-                    if offsets:
-                        a, b = char_offsets(t.encode(), ids, lengths) if len(ids) else (ids, ids)
-                        starts.append(a)
-                        ends.append(b)
-            more = [pa.array(packed, pa.binary()), pa.array(counts, pa.int64())]
-            if offsets:
-                more += [pa.array(x, pa.list_(pa.int32())) for x in (starts, ends)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
+            for lo, hi in _slices(_sizes(pc.utf8_length(batch.column(at)))):
+                part = batch.slice(lo, hi - lo)
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                packed = model.encode(texts)
+                more = [pa.array(packed, pa.binary()), pa.array([len(x) // 4 for x in packed], pa.int64())]
+                if offsets:
+                    places = [char_offsets(t.encode(), np.frombuffer(x, "<u4"), lengths) if x else ((), ())
+                              for t, x in zip(texts, packed, strict=True)]
+                    more += [pa.array([p[k] for p in places], pa.list_(pa.int32())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *names])
 
     added = "ids binary, n_tokens bigint" + ", starts array<int>, ends array<int>" * offsets
     return df.mapInArrow(run, _schema(df, added))
@@ -193,12 +206,21 @@ def decode(df: DataFrame, spec: str, ids: str = "ids") -> DataFrame:
         token = [b""] * (max(vocab.values(), default=-1) + 1)
         for spelled, i in vocab.items():
             token[i] = bytes(back[c] for c in spelled)
+        flat = np.frombuffer(b"".join(token), np.uint8)
+        ends = np.append(0, np.cumsum([len(t) for t in token]))
         for batch in batches:
-            raw = [b"".join(map(token.__getitem__, np.frombuffer(x.as_py() or b"", dtype="<u4").tolist()))
-                   for x in batch.column(at)]
-            more = [pa.array(raw, pa.binary()), pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more],
-                                             names=[*batch.schema.names, "decoded", "decoded_text"])
+            for lo, hi in _slices(_sizes(pc.binary_length(batch.column(at))) // 4):
+                part = batch.slice(lo, hi - lo)
+                packed = [x or b"" for x in part.column(at).to_pylist()]
+                which = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
+                size = ends[which + 1] - ends[which]
+                upto = np.cumsum(size)
+                text = flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(ends[which] - upto + size, size)].tobytes()
+                cuts = np.append(0, upto)[np.cumsum([0, *(len(x) // 4 for x in packed)])].tolist()
+                raw = [text[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+                more = [pa.array(raw, pa.binary()), pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more],
+                                                 names=[*part.schema.names, "decoded", "decoded_text"])
 
     return df.mapInArrow(run, _schema(df, "decoded binary, decoded_text string"))
 
