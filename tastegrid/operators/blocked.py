@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tastegrid.operators.ranking import top_k_per_user
+from tastegrid.session import cut_lineage
 
 ITEMS_PER_BLOCK = 20_000        # dense factor block: 20k x 64 doubles ~ 10 MB
 USERS_PER_BLOCK = 20_000
@@ -501,17 +502,17 @@ def generate_top_k(users: DataFrame, items: DataFrame, k: int, spec: ScoreSpec,
     gate and of the result (``spec.exclude_history``), ``model_seen`` pairs of the CF gate.
     """
     spark = users.sparkSession
-    users = users.persist(StorageLevel.MEMORY_AND_DISK)
+    # both passes start from written rows, which keeps their plan short
+    users = cut_lineage(users.select("user_id", *[c for c in _USER if c in users.columns]))
     n_items = n_items if n_items is not None else items.count()
     n_users = n_users if n_users is not None else users.count()
     n_ib = max(1, math.ceil(n_items / ITEMS_PER_BLOCK))
     n_ub = _user_blocks(spark, n_users, n_ib)
     # ranges of business_id: among equal scores the lower block has the lower ids
-    items = (items.select("business_id", *[c for c in _ITEM if c in items.columns]).repartitionByRange(n_ib, "business_id")
-             .withColumn("_ib", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK))
+    items = cut_lineage(items.select("business_id", *[c for c in _ITEM if c in items.columns])
+                        .repartitionByRange(n_ib, "business_id").withColumn("_ib", F.spark_partition_id()))
     place = items.select("business_id", "_ib")
     pairs = [(1, history.join(place, "business_id")), (4, model_seen.join(place, "business_id"))]
-    users = users.select("user_id", *[c for c in _USER if c in users.columns])
     gates = _grid(users, items, pairs, n_ub, n_ib, _make_block_fn(replace(spec, mode="gates"), k), GATE_SCHEMA)
     limits = spec.cf_limit, spec.content_limit
     bounds = (gates.repartition("user_id").sortWithinPartitions("user_id", "_ib")

@@ -3,7 +3,6 @@ explanations and the paged full-catalogue ranking (H1-H12, U2, U4, U5, J8-J10, J
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +12,8 @@ from tastegrid.operators import cf as cfm
 from tastegrid.operators import content as ct
 from tastegrid.operators import profiles as pf
 from tastegrid.operators.blocked import ScoreSpec, generate_top_k, grid_top_k
-from tastegrid.operators.ranking import top_k_of_global_order, top_k_per_user
+from tastegrid.operators.ranking import top_k_of_global_order
+from tastegrid.session import cut_lineage
 
 
 def fallback_scores(biz_index: DataFrame) -> DataFrame:
@@ -79,17 +79,17 @@ class HybridInputs:
                  history: DataFrame, catalogue: DataFrame, prior_weight: float = K.PRIOR_WEIGHT):
         self.model = model
         self.item_tfidf = item_tfidf
-        self.vocab_idx = ct.vocab_index(vocab).persist(StorageLevel.MEMORY_AND_DISK)
-        self.priors = prior_scores(priors)
+        self.vocab_idx = cut_lineage(ct.vocab_index(vocab))
+        self.priors = cut_lineage(prior_scores(priors))
         self.history = history.select("user_id", "business_id", "stars", "date")
         self.catalogue = catalogue.select("business_id")
         self.prior_weight = float(min(max(prior_weight, 0.0), 0.5))
         self._memo: dict[str, DataFrame] = {}
 
     def _keep(self, key: str, build) -> DataFrame:
-        """Build once per job and persist: these tables feed several branches and actions."""
+        """Build once per job and write: these tables feed several branches, whose plans then start from the rows."""
         if key not in self._memo:
-            self._memo[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+            self._memo[key] = cut_lineage(build())
         return self._memo[key]
 
     def weighted_history(self) -> DataFrame:
