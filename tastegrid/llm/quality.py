@@ -157,19 +157,24 @@ def score(model: Model, rules: Sequence[Vote] = RULES) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def judge_measured(df: DataFrame, rules: Sequence[Vote] = RULES, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows with the columns of ``MEASURES``, plus ``vote_<rule>``, ``base_failed``, ``posterior``, ``kept``.
+def _voted(measured: DataFrame, rules: Sequence[Vote]) -> DataFrame:
+    """Rows with the columns of ``MEASURES``, plus ``vote_<rule>`` and ``base_failed``."""
+    base_failed = (F.col("n_words") < MIN_WORDS) | (
+        F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"))
+    return (measured.drop("base_failed", "posterior", "kept", *[f"vote_{r.name}" for r in rules])
+            .withColumns({f"vote_{r.name}": vote(r) for r in rules}).withColumn("base_failed", base_failed))
+
 
-    ``df`` is read twice (once for the vote patterns, once for the verdicts).
+def judge_measured(counted: DataFrame, rows: DataFrame, rules: Sequence[Vote] = RULES,
+                   threshold: float = THRESHOLD) -> DataFrame:
+    """``rows`` with the votes, ``posterior`` and ``kept``; the rules' accuracies come from ``counted``.
+
+    Both have the columns of ``MEASURES``, of the same texts.
     """
     names = [f"vote_{r.name}" for r in rules]
-    base_failed = (F.col("n_words") < MIN_WORDS) | (
-        F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"))
-    voted = (df.drop("base_failed", "posterior", "kept", *names)
-             .withColumns({f"vote_{r.name}": vote(r) for r in rules}).withColumn("base_failed", base_failed))
-    counts = voted.groupBy(*names).count().collect()
+    counts = _voted(counted, rules).groupBy(*names).count().collect()
     model = fit([(tuple(r[n] for n in names), r["count"]) for r in counts])
-    return (voted.withColumn("posterior", score(model, rules))
+    return (_voted(rows, rules).withColumn("posterior", score(model, rules))
             .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)))
 
 
@@ -178,16 +183,19 @@ def judge(df: DataFrame, text: str = "text", rules: Sequence[Vote] = RULES, thre
 
     Every row counts, repeated ones as often as they occur, and stays.  Null and empty texts have no
     words, so ``base_failed`` is true and ``kept`` false.  Columns of the added names are replaced.
-    An empty table gives an empty table.  The measured rows are written to the shared checkpoint
-    folder, as both the estimation and the verdicts read them.
+    An empty table gives an empty table.  The texts are measured twice, once for the estimation and
+    once for the verdicts: they are not written in between.
     """
-    return judge_measured(saved(measures(df, text)), rules, threshold)
+    # a row number that the verdict asks for keeps a filter on it above the measures, which are dear to repeat
+    rows = measures(df, text).withColumn("_row", F.monotonically_increasing_id())
+    judged = judge_measured(measures(df.select(text), text), rows, rules, threshold)
+    return judged.withColumn("kept", F.col("kept") & (F.col("_row") >= 0)).drop("_row")
 
 
 @query("op4_quality_rules")
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures, posterior and verdict of every document."""
     measured = saved(measures(documents(spark, sf_dir).select("doc_id", "text")).drop("text"))
-    return judge_measured(measured).select(
+    return judge_measured(measured, measured).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "posterior")
