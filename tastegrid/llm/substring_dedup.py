@@ -326,9 +326,11 @@ def repeated_spans(docs: DataFrame, base: DataFrame, length: int = LENGTH, keep_
     ``docs`` has (doc, version, text); ``base`` the same as _doc, _version, _text among its columns, in the
     form in which the spans will be joined to it.
     """
-    counts = (_run_table(docs, length, False).groupBy("key")
-              .agg(F.count(F.lit(1)).alias("n"), (F.min("edge") != F.max("edge")).alias("mixed")).where("n > 1"))
-    members = saved(_run_table(docs, length, True).join(counts.select("key", "mixed"), "key"))
+    # written, so that the join has a plain shuffle on both sides, whose hot keys Spark can split
+    counts = saved(_run_table(docs, length, False).groupBy("key")
+                   .agg(F.count(F.lit(1)).alias("n"), (F.min("edge") != F.max("edge")).alias("mixed"))
+                   .where("n > 1").select("key", "mixed"))
+    members = saved(_run_table(docs, length, True).join(counts, "key"))
     me = F.struct(F.col("doc").isNull().alias("no_doc"), "doc", "version", "place")
     kinds = members.groupBy("key", "edge", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("first"))
     if keep_first:
@@ -341,10 +343,10 @@ def repeated_spans(docs: DataFrame, base: DataFrame, length: int = LENGTH, keep_
     hot = saved(apart.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > HOT).select("key"))
 
     def ask(rows: DataFrame) -> tuple[DataFrame, tuple[int, ...]]:
-        wanted = rows.groupBy("doc", "version").agg(F.collect_list(F.struct("key", "place")).alias("_wanted"))
+        wanted = (rows.groupBy(F.col("doc").alias("_of"), F.col("version").alias("_in"))
+                  .agg(F.collect_list(F.struct("key", "place")).alias("_wanted")))
         asked = base.join(wanted.hint("shuffle_hash"),
-                          base["_doc"].eqNullSafe(wanted["doc"]) & (base["_version"] == wanted["version"]))
-        asked = asked.drop("doc", "version")
+                          base["_doc"].eqNullSafe(wanted["_of"]) & (base["_version"] == wanted["_in"])).drop("_of", "_in")
         return asked, tuple(asked.columns.index(c) for c in ("_doc", "_version", "_text", "_wanted"))
 
     if hot.isEmpty():
@@ -374,10 +376,10 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                            "_text": text_or_empty(text)})
     docs = base.select(F.col("_doc").alias("doc"), F.col("_version").alias("version"), F.col("_text").alias("text"))
     spans = repeated_spans(docs, base, length, keep_first)
-    by_doc = spans.groupBy("doc", "version").agg(F.collect_list(F.struct("start", "end")).alias("_found"))
+    by_doc = (spans.groupBy(F.col("doc").alias("_of"), F.col("version").alias("_in"))
+              .agg(F.collect_list(F.struct("start", "end")).alias("_found")))
     joined = base.join(by_doc.hint("shuffle_hash"),
-                       base["_doc"].eqNullSafe(by_doc["doc"]) & (base["_version"] == by_doc["version"]), "left")
-    joined = joined.drop("doc", "version")
+                       base["_doc"].eqNullSafe(by_doc["_of"]) & (base["_version"] == by_doc["_in"]), "left").drop("_of", "_in")
     at = [joined.columns.index(c) for c in ("_text", "_found")]
     carried = [joined.columns.index(c) for c in names]
 
