@@ -36,8 +36,9 @@ REGISTERS = 128
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: Estimates so many standard deviations under the threshold still go to verification.
 MARGIN = 4.5
+EDGES_PER_PARTITION = 200_000
 #: Members of a bucket that are compared with as many others at once, and columns of what they share.
-BLOCK, COLUMNS = 512, 8_192
+BLOCK, COLUMNS = 2_048, 8_192
 
 _U = np.uint64
 _CONST = np.random.default_rng(20_240_607).integers(1, 2**63, size=(2, REGISTERS), dtype=np.uint64)
@@ -338,21 +339,24 @@ def components(edges: DataFrame) -> DataFrame:
         return e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
 
     def mark(e: DataFrame):
-        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") / 2**20)).first()
+        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
 
-    e = saved(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-              .distinct())
-    before = mark(e)
+    def kept(rows: DataFrame) -> tuple[DataFrame, tuple]:
+        """The written edges, in as many partitions as their number asks for, and what tells them from others."""
+        written = saved(rows.where(F.col("a") != F.col("b")).distinct())
+        seen = mark(written)
+        return written.coalesce(1 + seen[0] // EDGES_PER_PARTITION), seen
+
+    e, before = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     while before[0]:
         both = turned(e)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        e1 = large.where(F.col("a") != F.col("b")).distinct()
+        e1, _ = kept(large)
         low = e1.groupBy("a").agg(F.min("b").alias("m"))
         small = e1.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        e = saved(small.where(F.col("a") != F.col("b")).distinct())
-        after = mark(e)
+        e, after = kept(small)
         if after == before:
             break
         before = after
