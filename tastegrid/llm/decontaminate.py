@@ -3,14 +3,11 @@
 Texts are read as lower-case words with one blank between.  A benchmark item is found in a document
 if some stretch of the document is within ``MAX_EDITS`` of the item's length in character edits.
 
-Candidates come from a CGK embedding: a random walk reads a string and, at each step, writes the
-character it stands on and moves on or stays, as a random bit for (step, character) says.  Two
-strings at a small edit distance then agree in most steps, so edit distance becomes Hamming distance.
-Bit-sampling LSH hashes a few steps of the walk; several walks with several samples each are
-repeated until a pair at the limit is met with the target recall.  Windows of the size of the items
-start where a word triple of some item stands as it would stand in the item (a document without
-any common triple has no candidate).  Every item that shares a bucket with a window is compared with
-the surroundings of the window exactly (bit-parallel edit distance to the best substring).
+Candidates come from pieces, without loss.  An item that may have k edits is cut into k + 1 pieces: a copy within
+the limit holds one of them unchanged.  Every place of every text is looked up, by a rolling hash, among the items'
+pieces.  Neighbouring pieces form groups of up to 64 characters; by the same argument some group of g pieces has at
+most g - 1 edits and holds an unchanged piece, so a place goes on only if the group around it is that near
+(bit-parallel edit distance of many places at once).  What is left is compared exactly with the whole item.
 
 Items go to the tasks in blocks of bounded size; documents are read where they lie, without a shuffle.
 """
@@ -19,8 +16,8 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -32,23 +29,19 @@ from tastegrid.sources.tables import read_table
 
 #: Edits allowed, as a share of the item's characters.
 MAX_EDITS = 0.10
-#: Shorter items cannot be told from chance and are not searched.
-MIN_ITEM_CHARS = 40
-#: Independent walks, samples of each, steps in a sample.
-WALKS, SAMPLES, STEPS = 10, 16, 5
-#: Steps of some walk in which a candidate must agree.  Measured: items with 10 % edits 0.57 and more, other
-#: windows that share a bucket 0.36 and less.
-MIN_AGREEMENT = 0.45
-#: Items whose lengths differ by less than this factor share the steps that are sampled.
-CLASS_FACTOR = 1.25
+#: Shorter items, and those of fewer words, are not searched.
+MIN_ITEM_CHARS, MIN_ITEM_WORDS = 40, 3
 #: Characters of the items that are sent to the tasks at once.
 BLOCK_CHARS = 8_000_000
-#: Windows embedded at once.
-WINDOWS = 8_192
-#: Texts searched at once.
-TEXTS = 10_000
-SEED = 7_919
-TRIPLE = 3
+#: Characters of texts and places that are searched at once, candidates compared at once.
+TEXT_CHARS, PLACES, CANDIDATES = 1 << 20, 1 << 18, 8_192
+#: Characters of a piece that are looked up, and of a group.
+PIECE, GROUP = 16, 64
+#: Character classes in the comparison of groups (classes that are shared let more through, never less).
+CLASSES = 128
+#: Room before and behind the texts, so that groups at their borders can be read.
+ROOM = 4 * GROUP
+MULTIPLIER, SPREAD = 0x9E3779B1, 0x85EBCA6B
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -85,171 +78,167 @@ def best_distance(item: str, text: str, limit: int) -> tuple[int, int] | None:
     return best if best[0] <= limit else None
 
 
-class Walks(NamedTuple):
-    moves: np.ndarray  # walk, step, character class: 0 or 1
-    samples: list[np.ndarray]  # for each class of item lengths: walk, sample, step numbers
-    lengths: list[int]  # least length of each class
-
-
-def _classes(lengths: list[int]) -> list[int]:
-    out: list[int] = []
-    for n in sorted(set(lengths)):
-        if not out or n > out[-1] * CLASS_FACTOR:
-            out.append(n)
+def piece_hashes(codes: np.ndarray, lengths: Iterable[int]) -> dict[int, np.ndarray]:
+    """For each length, the hash of the characters from each place on (places that have so many)."""
+    lengths = sorted(lengths)
+    spans, powers = [codes.astype(np.uint32)], [MULTIPLIER]  # of 1, 2, 4 ... characters
+    while lengths and 2 << len(spans) - 1 <= lengths[-1]:
+        step, last = 1 << len(spans) - 1, spans[-1]
+        spans.append(last[:max(0, len(last) - step)] * np.uint32(powers[-1]) + last[step:])
+        powers.append(powers[-1] ** 2 % (1 << 32))
+    out = {}
+    for n in lengths:
+        places = max(0, len(codes) - n + 1)
+        at, key = 0, np.zeros(places, np.uint32)
+        for bit in range(len(spans) - 1, -1, -1):
+            if n >> bit & 1:
+                key = key * np.uint32(powers[bit]) + spans[bit][at:at + places]
+                at += 1 << bit
+        out[n] = key * np.uint32(SPREAD)
     return out
 
 
-def make_walks(lengths: list[int]) -> Walks:
-    """Random walks and samples for items of these lengths; the same for the same lengths."""
-    least = _classes(lengths)
-    rng = np.random.default_rng(SEED)
-    moves = rng.integers(0, 2, size=(WALKS, 2 * max(least), 256), dtype=np.uint8)
-    # a walk moves on every other step, so twice the length reads the item once
-    samples = [rng.integers(0, 2 * n, size=(WALKS, SAMPLES, STEPS)) for n in least]
-    return Walks(moves, samples, least)
-
-
-def _symbols(strings: list[str], width: int) -> np.ndarray:
-    """Strings as rows of character classes (1 to 255; 0 behind the end), cut or filled to ``width``."""
-    joined = "".join(s[:width].ljust(width, "\0") for s in strings)
-    codes = np.frombuffer(joined.encode("utf-32-le"), "<u4").reshape(len(strings), width)
-    return np.where(codes == 0, 0, codes % 255 + 1).astype(np.uint8)
-
-
-def embed(strings: list[str], walks: Walks) -> np.ndarray:
-    """What each walk writes: walk, step, string."""
-    steps = walks.moves.shape[1]
-    text = _symbols(strings, steps + 1)
-    flat, base = text.reshape(-1), np.arange(len(strings)) * (steps + 1)
-    out = np.empty((WALKS, steps, len(strings)), np.uint8)
-    for w in range(WALKS):
-        at = base.copy()
-        for j in range(steps):
-            c = flat[at]
-            out[w, j] = c
-            at += walks.moves[w, j][c]
-    return out
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def bucket_keys(walked: np.ndarray, samples: np.ndarray) -> np.ndarray:
-    """Bucket of each string (column) in each table (row)."""
-    out = np.zeros((WALKS * SAMPLES, walked.shape[2]), np.int64)
-    for w in range(WALKS):
-        for s in range(SAMPLES):
-            key = out[w * SAMPLES + s]
-            for step in samples[w, s]:
-                key *= 256
-                key += walked[w, step]
-    return out
+class Table(NamedTuple):
+    """The pieces of one length."""
+    shift: np.uint32
+    known: np.ndarray  # by the upper bits of the hash: some piece has them
+    keys: np.ndarray  # sorted hashes, one for each piece
+    offset: np.ndarray  # where the piece stands in its item
+    group: np.ndarray
 
 
 class Items:
     """The items of a block, as the tasks look them up."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]], max_edits: float):
-        self.items, self.words = [], []
+        self.items: list[tuple[int | None, str, int]] = []
+        groups: list[tuple[int, int, int, int]] = []  # item, first character, characters, edits
+        pieces = defaultdict(list)  # length -> (text, offset, group)
         for item_id, text in rows:
-            words = normal_words(text)
-            spelled = " ".join(words)
-            if len(spelled) >= MIN_ITEM_CHARS and len(words) >= TRIPLE:
-                self.items.append((item_id, spelled, int(max_edits * len(spelled))))
-                self.words.append(words)
-        if not self.items:
-            return
-        self.vocabulary: dict[str, int] = {}
-        for words in self.words:
-            for w in words:
-                self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-        size = len(self.vocabulary) + 1
-        places = defaultdict(set)  # triple -> where it stands in items
-        for words in self.words:
-            ids = [self.vocabulary[w] for w in words]
-            for o in range(len(ids) - TRIPLE + 1):
-                places[(ids[o] * size + ids[o + 1]) * size + ids[o + 2]].add(o)
-        self.triples = np.array(sorted(places), np.int64)
-        self.places = [sorted(places[t]) for t in self.triples.tolist()]
-        self.size = size
-        self.walks = make_walks([len(s) for _, s, _ in self.items])
-        self.width = max(len(s) + d for _, s, d in self.items)
-        least = np.array(self.walks.lengths)
-        of = np.searchsorted(least, [len(s) for _, s, _ in self.items], side="right") - 1
-        self.walked = walked = embed([s for _, s, _ in self.items], self.walks)
-        self.tables = []  # of each class: of each table: sorted keys, items
-        for c, samples in enumerate(self.walks.samples):
-            mine = np.flatnonzero(of == c)
-            keys = bucket_keys(walked[:, :, mine], samples)
-            order = np.argsort(keys, axis=1, kind="stable")
-            self.tables.append([(k[o], mine[o]) for k, o in zip(keys, order, strict=True)])
-
-    def starts(self, words: list[str]) -> list[int]:
-        """Words of a document at which an item would start, going by a triple of it."""
-        n = len(words) - TRIPLE + 1
-        if n < 1:
-            return []
-        get = self.vocabulary.get
-        ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
-        known = (ids[:n] > 0) & (ids[1:n + 1] > 0) & (ids[2:] > 0)
-        at = np.flatnonzero(known)
-        if not len(at):
-            return []
-        triple = (ids[at] * self.size + ids[at + 1]) * self.size + ids[at + 2]
-        slot = np.minimum(np.searchsorted(self.triples, triple), len(self.triples) - 1)
-        hit = self.triples[slot] == triple
-        return sorted({max(0, p - o) for p, s in zip(at[hit].tolist(), slot[hit].tolist(), strict=True)
-                       for o in self.places[s]})
-
-    def candidates(self, windows: list[str]) -> set[tuple[int, int]]:
-        """(window, item) that share a bucket and whose embeddings agree in enough steps of some walk."""
-        out: set[tuple[int, int]] = set()
-        for lo in range(0, len(windows), WINDOWS):
-            walked = embed(windows[lo:lo + WINDOWS], self.walks)
-            for least, tables, samples in zip(self.walks.lengths, self.tables, self.walks.samples, strict=True):
-                pairs = []
-                for keys, (own, item) in zip(bucket_keys(walked, samples), tables, strict=True):
-                    a, b = np.searchsorted(own, keys), np.searchsorted(own, keys, side="right")
-                    hit = np.flatnonzero(b > a)
-                    count = (b - a)[hit]
-                    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    pairs.append(np.repeat(hit, count) * len(self.items) + item[np.repeat(a[hit], count) + place])
-                pairs = np.unique(np.concatenate(pairs))
-                for at in range(0, len(pairs), WINDOWS):
-                    window, item = np.divmod(pairs[at:at + WINDOWS], len(self.items))
-                    agree = np.zeros(len(window), bool)
-                    for w in range(WALKS):
-                        same = walked[w, :2 * least][:, window] == self.walked[w, :2 * least][:, item]
-                        agree |= same.mean(axis=0) >= MIN_AGREEMENT
-                    out.update(zip((window[agree] + lo).tolist(), item[agree].tolist(), strict=True))
+            spelled = " ".join(normal_words(text))
+            n = len(spelled)
+            if n < MIN_ITEM_CHARS or spelled.count(" ") < MIN_ITEM_WORDS - 1:
+                continue
+            limit = min(int(max_edits * n), n - 1)
+            cuts = [j * n // (limit + 1) for j in range(limit + 2)]
+            of_group = -(-(limit + 1) // max(1, GROUP // -(-n // (limit + 1))))
+            looked_up = min(PIECE, n // (limit + 1))
+            for g in range(of_group):
+                first, last = g * (limit + 1) // of_group, (g + 1) * (limit + 1) // of_group
+                for j in range(first, last):
+                    pieces[looked_up].append((spelled[cuts[j]:cuts[j] + looked_up], cuts[j], len(groups)))
+                groups.append((len(self.items), cuts[first], min(GROUP, cuts[last] - cuts[first]), last - first - 1))
+            self.items.append((item_id, spelled, limit))
+        self.of, self.first, self.size, self.edits = np.array(groups, np.int64).reshape(-1, 4).T
+        self.classes = np.zeros((len(groups), GROUP), np.uint8)
+        for g, (i, first, size, _) in enumerate(groups):
+            self.classes[g, :size] = _codes(self.items[i][1][first:first + size]) % CLASSES
+        self.tables: dict[int, Table] = {}
+        for n, found in pieces.items():
+            keys = piece_hashes(_codes("".join(t for t, _, _ in found)), [n])[n][::n]
+            order = np.argsort(keys, kind="stable")
+            shift = np.uint32(32 - min(26, max(16, (32 * len(found)).bit_length())))
+            known = np.zeros(1 << 32 - int(shift), bool)
+            known[keys >> shift] = True
+            self.tables[n] = Table(shift, known, keys[order], np.array([o for _, o, _ in found])[order],
+                                   np.array([g for _, _, g in found])[order])
+
+    def near(self, codes: np.ndarray, group: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Whether each group is within its edits of a stretch of ``codes`` around the place where it would start."""
+        out = np.zeros(len(group), bool)
+        one = np.uint64(1)
+        for lo in range(0, len(group), CANDIDATES):
+            mine, of = np.unique(group[lo:lo + CANDIDATES], return_inverse=True)
+            size, edits = self.size[mine], self.edits[mine]
+            equal = np.zeros((len(mine), CLASSES), np.uint64)
+            for j in range(int(size.max())):
+                has = np.flatnonzero(size > j)
+                equal[has, self.classes[mine[has], j]] |= one << np.uint64(j)
+            equal, row = equal.reshape(-1), of * CLASSES
+            top = (size - 1).astype(np.uint64)[of]
+            at = start[lo:lo + CANDIDATES] - edits[of]
+            up, down = np.full(len(of), ~np.uint64(0)), np.zeros(len(of), np.uint64)
+            score = size[of].astype(np.int64)
+            best = score.copy()
+            for j in range(int((size + 2 * edits).max())):
+                eq = equal[row + codes[at + j] % CLASSES]
+                x = eq | down
+                d = (((eq & up) + up) ^ up) | x
+                hp, hn = down | ~(d | up), up & d
+                score += (hp >> top & one).astype(np.int64)
+                score -= (hn >> top & one).astype(np.int64)
+                hp, hn = hp << one, hn << one
+                up, down = hn | ~(x | hp), hp & x
+                np.minimum(best, score, out=best)
+            out[lo:lo + CANDIDATES] = best <= edits[of]
         return out
 
+    def candidates(self, texts: list[str]) -> list[tuple[int, int, int]]:
+        """Sorted (text, item, place where the item would start): near every copy within the limit there is one."""
+        begin = np.cumsum([0] + [len(t) + 1 for t in texts])
+        codes = np.zeros(int(begin[-1]) + 2 * ROOM, np.uint32)
+        codes[ROOM:ROOM + int(begin[-1])] = _codes("".join(t + "\0" for t in texts))
+        out: set[tuple[int, int, int]] = set()
+        longest = max(self.tables)
+        for lo in range(0, int(begin[-1]), PLACES):
+            hashes = piece_hashes(codes[ROOM + lo:ROOM + min(int(begin[-1]), lo + PLACES + longest - 1)], self.tables)
+            for n, table in self.tables.items():
+                key = hashes[n][:PLACES]
+                at = np.flatnonzero(table.known[key >> table.shift])
+                a = np.searchsorted(table.keys, key[at])
+                count = np.searchsorted(table.keys, key[at], side="right") - a
+                piece = np.arange(count.sum()) + np.repeat(a - (np.cumsum(count) - count), count)
+                place = np.repeat(at, count) + lo
+                group, text = table.group[piece], np.searchsorted(begin, place, side="right") - 1
+                start = place - table.offset[piece]
+                # pieces of a group that stand in their places count once
+                order = np.lexsort((start, text, group))
+                group, text, start = group[order], text[order], start[order]
+                new = np.ones(len(order), bool)
+                new[1:] = (np.diff(group) != 0) | (np.diff(text) != 0) | (np.diff(start) != 0)
+                group, text, start = group[new], text[new], start[new]
+                ok = self.near(codes, group, start + self.first[group] + ROOM)
+                out.update(zip(text[ok].tolist(), self.of[group[ok]].tolist(), (start - begin[text])[ok].tolist(), strict=True))
+        return sorted(out)
+
+
+def _best(item: str, limit: int, text: str, starts: list[int]) -> tuple[int, int] | None:
+    """(edits, first character) of the text's best stretch around the sorted places; the first of the best."""
+    around: list[list[int]] = []
+    for s in starts:
+        lo, hi = max(0, s - limit), s + len(item) + limit
+        if around and lo <= around[-1][1]:
+            around[-1][1] = hi
+        else:
+            around.append([lo, hi])
+    best = None
+    for lo, hi in around:
+        hit = best_distance(item, text[lo:hi], limit)
+        if hit and (best is None or hit[0] < best[0]):
+            back = best_distance(item[::-1], text[lo:lo + hit[1]][::-1], hit[0])
+            best = hit[0], lo + hit[1] - back[1]
+    return best
+
 
 def _found(items: Items, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, edits, first word, length in characters), the best place of each item in each text."""
-    where, windows, spelled = [], [], []
+    spelled: list[str] = []
+    size = first = 0
     for t, text in enumerate(texts):
-        words = normal_words(text)
-        starts = items.starts(words)
-        if not starts:
-            spelled.append(("", []))
+        spelled.append(" ".join(normal_words(text)))
+        size += len(spelled[-1])
+        if size < TEXT_CHARS and t + 1 < len(texts):
             continue
-        whole = " ".join(words)
-        begin = np.cumsum([0] + [len(w) + 1 for w in words])
-        spelled.append((whole, begin))
-        for s in starts:
-            where.append((t, s))
-            windows.append(whole[begin[s]:begin[s] + items.width])
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for w, i in sorted(items.candidates(windows)):
-        t, s = where[w]
-        _, item, limit = items.items[i]
-        whole, begin = spelled[t]
-        if (t, i) in best and begin[s] - begin[best[t, i][1]] <= limit:
-            continue  # the stretch around the place already found holds this one's
-        lo = max(0, begin[s] - limit)
-        hit = best_distance(item, whole[lo:begin[s] + len(item) + limit], limit)
-        if hit and (hit[0], s) < best.get((t, i), (limit + 1, 0))[:2]:
-            best[t, i] = (hit[0], s, len(item))
-    for (t, i), (edits, s, n) in best.items():
-        yield t, i, edits, s, n
+        for (k, i), places in groupby(items.candidates(spelled), key=lambda c: c[:2]):
+            _, item, limit = items.items[i]
+            hit = _best(item, limit, spelled[k], [c[2] for c in places])
+            if hit:
+                yield first + k, i, hit[0], spelled[k].count(" ", 0, hit[1]), len(item)
+        spelled, size, first = [], 0, t + 1
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int | None, str | None]]]:
@@ -265,8 +254,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
                item_id: str = "item_id", item_text: str = "text", max_edits: float = MAX_EDITS) -> DataFrame:
     """Rows (doc_id, item_id, edits, first_word, item_chars), one for each item found in a document.
 
-    edits is the least number of character edits, first_word the word of the document near which the
-    best place starts (of equals the first).  Null and empty texts hold nothing; null or short items
+    edits is the least number of character edits, first_word the word of the document in which the
+    best place starts (of equals the first).  Null and empty texts hold nothing; null items and short ones
     (under ``MIN_ITEM_CHARS`` characters or three words) are found nowhere.  Repeated rows of either
     table give one result; documents that share an id are one document; null ids are kept as null.  An empty table
     on either side gives an empty table.
@@ -285,14 +274,13 @@ def find_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
             known = shared.value
             for b in batches:
                 ids = b.column(0).to_pylist()
-                for lo in range(0, b.num_rows, TEXTS):
-                    got = list(_found(known, b.column(1).slice(lo, TEXTS).to_pylist()))
-                    yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array([ids[lo + g[0]] for g in got], pa.int64()),
-                        "item_id": pa.array([known.items[g[1]][0] for g in got], pa.int64()),
-                        "edits": pa.array([g[2] for g in got], pa.int32()),
-                        "first_word": pa.array([g[3] for g in got], pa.int32()),
-                        "item_chars": pa.array([g[4] for g in got], pa.int32())})
+                got = list(_found(known, b.column(1).to_pylist()))
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": pa.array([ids[g[0]] for g in got], pa.int64()),
+                    "item_id": pa.array([known.items[g[1]][0] for g in got], pa.int64()),
+                    "edits": pa.array([g[2] for g in got], pa.int32()),
+                    "first_word": pa.array([g[3] for g in got], pa.int32()),
+                    "item_chars": pa.array([g[4] for g in got], pa.int32())})
 
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.union(part)
@@ -318,11 +306,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for lo in range(0, b.num_rows, TEXTS):
-                    part = b.slice(lo, TEXTS)
-                    keep = np.ones(part.num_rows, bool)
-                    keep[[g[0] for g in _found(shared.value, part.column(at).to_pylist())]] = False
-                    yield part.filter(pa.array(keep))
+                keep = np.ones(b.num_rows, bool)
+                keep[[g[0] for g in _found(shared.value, b.column(at).to_pylist())]] = False
+                yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -80,3 +80,51 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(dc, "BLOCK_CHARS", 400)
     got = {(r["doc_id"], r["item_id"]) for r in dc.find_items(docs(spark, rows), bench(spark, items)).collect()}
     assert got == {(i, i) for i in range(12)}
+
+
+def every_third_word(text):
+    """One character changed in every third word: no three words of the text follow each other unchanged."""
+    words = text.split()
+    for i in range(1, len(words), 3):
+        words[i] = "q" + words[i][1:] if words[i][0] != "q" else "x" + words[i][1:]
+    return " ".join(words)
+
+
+def test_all_within_the_limit_are_found():
+    rnd = random.Random(11)
+    items = dc.Items([(i, prose(rnd, rnd.randint(12, 60))) for i in range(150)], dc.MAX_EDITS)
+    for i, (_, item, limit) in enumerate(items.items):
+        texts = [every_third_word(item), edited(rnd, item, 0.1), edited(rnd, item, 0.1).replace(" ", "")[: len(item)]]
+        # as many edits as the limit allows, one in each piece but one
+        cuts = [j * len(item) // (limit + 1) for j in range(limit + 2)]
+        spare = rnd.randrange(limit + 1)
+        texts.append("".join(item[a:b] if j == spare else "q" + item[a + 1:b] for j, (a, b) in enumerate(zip(cuts, cuts[1:]))))
+        texts = [prose(rnd, 20) + " " + t + " " + prose(rnd, 20) for t in texts]
+        got = {t: e for t, k, e, _, _ in dc._found(items, texts) if k == i}
+        want = {t: distance(item, " ".join(dc.normal_words(x))) for t, x in enumerate(texts)}
+        assert got == {t: e for t, e in want.items() if e <= limit}
+        assert 3 in got or limit == 0
+
+
+def test_copy_with_an_edit_in_every_third_word(spark):
+    rnd = random.Random(12)
+    items = [(i, " ".join(prose(rnd, 1) + "ing" for _ in range(30))) for i in range(20)]
+    rows = [(i, prose(rnd, 40) + " " + every_third_word(t) + " " + prose(rnd, 40)) for i, t in items]
+    got = {(r["doc_id"], r["item_id"], r["edits"]) for r in dc.find_items(docs(spark, rows), bench(spark, items)).collect()}
+    assert got == {(i, i, 10) for i in range(20)}
+
+
+def test_long_texts_are_searched_in_parts(monkeypatch):
+    rnd = random.Random(13)
+    monkeypatch.setattr(dc, "PLACES", 64)
+    monkeypatch.setattr(dc, "TEXT_CHARS", 500)
+    monkeypatch.setattr(dc, "CANDIDATES", 3)
+    words = [prose(rnd, 12) for _ in range(30)]
+    items = dc.Items(list(enumerate(words)), dc.MAX_EDITS)
+    texts = [prose(rnd, rnd.randint(0, 60)) + " " + edited(rnd, t, 0.05) for t in words] + [None, ""]
+    spelled = [" ".join(dc.normal_words(t)) for t in texts]
+    want = {(t, i, distance(item, x)) for t, x in enumerate(spelled) for i, (_, item, k) in enumerate(items.items)
+            if distance(item, x) <= k}
+    got = list(dc._found(items, texts))
+    assert {g[:3] for g in got} == want and len(got) == len(want)
+    assert all(dc.best_distance(words[i], " ".join(spelled[t].split()[w:]), e) for t, i, e, w, _ in got)
