@@ -9,6 +9,9 @@ pieces.  Neighbouring pieces form groups of up to 64 characters; by the same arg
 most g - 1 edits and holds an unchanged piece, so a place goes on only if the group around it is that near
 (bit-parallel edit distance of many places at once).  What is left is compared exactly with the whole item.
 
+Items under ``SHORT`` characters must stand unchanged, between word borders (scripts that are written without
+blanks have none), since edited ones could not be told from chance.
+
 Items go to the tasks in blocks of bounded size; documents are read where they lie, without a shuffle.
 """
 
@@ -29,8 +32,10 @@ from tastegrid.sources.tables import read_table
 
 #: Edits allowed, as a share of the item's characters.
 MAX_EDITS = 0.10
-#: Shorter items, and those of fewer words, are not searched.
-MIN_ITEM_CHARS, MIN_ITEM_WORDS = 40, 3
+#: Shorter items are found as exact copies only.
+SHORT = 20
+#: Items of fewer letters and digits are not searched.
+MIN_LETTERS = 4
 #: Characters of the items that are sent to the tasks at once.
 BLOCK_CHARS = 8_000_000
 #: Characters of texts and places that are searched at once, candidates compared at once.
@@ -43,6 +48,8 @@ CLASSES = 128
 ROOM = 4 * GROUP
 MULTIPLIER, SPREAD = 0x9E3779B1, 0x85EBCA6B
 _WORD = re.compile(r"[^\W_]+")
+#: Letters of scripts without blanks between words: Thai and Lao, Tibetan, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normal_words(text: str | None) -> list[str]:
@@ -121,9 +128,9 @@ class Items:
         for item_id, text in rows:
             spelled = " ".join(normal_words(text))
             n = len(spelled)
-            if n < MIN_ITEM_CHARS or spelled.count(" ") < MIN_ITEM_WORDS - 1:
+            if n - spelled.count(" ") < MIN_LETTERS:
                 continue
-            limit = min(int(max_edits * n), n - 1)
+            limit = min(int(max_edits * n), n - 1) if n >= SHORT else 0
             cuts = [j * n // (limit + 1) for j in range(limit + 2)]
             of_group = -(-(limit + 1) // max(1, GROUP // -(-n // (limit + 1))))
             looked_up = min(PIECE, n // (limit + 1))
@@ -206,8 +213,18 @@ class Items:
         return sorted(out)
 
 
+def _at_borders(item: str, text: str, start: int) -> bool:
+    """Whether the item stands unchanged at this place of the text, between word borders."""
+    end = start + len(item)
+    return (start >= 0 and text.startswith(item, start)
+            and (start == 0 or text[start - 1] == " " or bool(_UNSPACED.match(item[0])))
+            and (end == len(text) or text[end] == " " or bool(_UNSPACED.match(item[-1]))))
+
+
 def _best(item: str, limit: int, text: str, starts: list[int]) -> tuple[int, int] | None:
     """(edits, first character) of the text's best stretch around the sorted places; the first of the best."""
+    if len(item) < SHORT:
+        return next(((0, s) for s in starts if _at_borders(item, text, s)), None)
     around: list[list[int]] = []
     for s in starts:
         lo, hi = max(0, s - limit), s + len(item) + limit
@@ -255,8 +272,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """Rows (doc_id, item_id, edits, first_word, item_chars), one for each item found in a document.
 
     edits is the least number of character edits, first_word the word of the document in which the
-    best place starts (of equals the first).  Null and empty texts hold nothing; null items and short ones
-    (under ``MIN_ITEM_CHARS`` characters or three words) are found nowhere.  Repeated rows of either
+    best place starts (of equals the first).  Null and empty texts hold nothing; null items and those of
+    fewer than ``MIN_LETTERS`` letters and digits are found nowhere, items under ``SHORT`` characters only
+    as exact copies between word borders.  Repeated rows of either
     table give one result; documents that share an id are one document; null ids are kept as null.  An empty table
     on either side gives an empty table.
     """

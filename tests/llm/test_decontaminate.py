@@ -92,7 +92,7 @@ def every_third_word(text):
 
 def test_all_within_the_limit_are_found():
     rnd = random.Random(11)
-    items = dc.Items([(i, prose(rnd, rnd.randint(12, 60))) for i in range(150)], dc.MAX_EDITS)
+    items = dc.Items([(i, prose(rnd, rnd.randint(4, 60))) for i in range(150)], dc.MAX_EDITS)
     for i, (_, item, limit) in enumerate(items.items):
         texts = [every_third_word(item), edited(rnd, item, 0.1), edited(rnd, item, 0.1).replace(" ", "")[: len(item)]]
         # as many edits as the limit allows, one in each piece but one
@@ -101,8 +101,8 @@ def test_all_within_the_limit_are_found():
         texts.append("".join(item[a:b] if j == spare else "q" + item[a + 1:b] for j, (a, b) in enumerate(zip(cuts, cuts[1:]))))
         texts = [prose(rnd, 20) + " " + t + " " + prose(rnd, 20) for t in texts]
         got = {t: e for t, k, e, _, _ in dc._found(items, texts) if k == i}
-        want = {t: distance(item, " ".join(dc.normal_words(x))) for t, x in enumerate(texts)}
-        assert got == {t: e for t, e in want.items() if e <= limit}
+        want = {t: distance(item, " ".join(dc.normal_words(x))) for t, x in enumerate(texts)} if len(item) >= dc.SHORT else {}
+        assert got == {t: e for t, e in want.items() if e <= limit} or not want
         assert 3 in got or limit == 0
 
 
@@ -128,3 +128,17 @@ def test_long_texts_are_searched_in_parts(monkeypatch):
     got = list(dc._found(items, texts))
     assert {g[:3] for g in got} == want and len(got) == len(want)
     assert all(dc.best_distance(words[i], " ".join(spelled[t].split()[w:]), e) for t, i, e, w, _ in got)
+
+
+def test_short_items_and_scripts_without_blanks_are_found(spark):
+    rnd = random.Random(14)
+    question, capital, han = "What is the capital of France?", "Capital: Lima", "\u6cd5\u56fd\u7684\u9996\u90fd\u662f\u54ea\u91cc"
+    long_han = "".join(chr(0x4e00 + rnd.randrange(3000)) for _ in range(60))
+    items = [(1, question), (2, capital), (3, han), (4, long_han), (5, "word")]
+    rows = [(1, prose(rnd, 30) + " " + question + " " + prose(rnd, 30)), (2, "the capital, Lima is"), (3, "xcapital lima"), (4, "capital limas"),
+            (5, "\u8bf7\u95ee" + han + "\u5462"), (6, "\u524d" + long_han[:20] + "\u524d\u524d" + long_han[21:] + "\u5462"), (7, "words sword"),
+            (8, "a WORD!"), (9, "what was the capital of frances"), (10, "capitol lima")]
+    got = {(r["doc_id"], r["item_id"], r["edits"], r["first_word"]) for r in dc.find_items(docs(spark, rows), bench(spark, items)).collect()}
+    assert got == {(1, 1, 0, 30), (2, 2, 0, 1), (5, 3, 0, 0), (6, 4, 2, 0), (8, 5, 0, 1), (9, 1, 2, 0)}
+    clean = dc.drop_contaminated(docs(spark, rows), bench(spark, items))
+    assert {r["doc_id"] for r in clean.collect()} == {3, 4, 7, 10}
