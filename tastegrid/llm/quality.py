@@ -1,9 +1,14 @@
 """Quality rules as weak supervision (DataFrame functions only).
 
-Each rule looks at one measure of a text and votes good, votes bad or abstains.  Expectation
-maximisation over the vote patterns of the whole corpus estimates how often each rule votes
-what on good and on bad texts (its accuracies) and the share of good texts; every text then
-gets the posterior probability of being good, which replaces passing all rules at once.
+Each rule looks at one measure of a text and votes good, votes bad or abstains.  Texts are good or of one of
+several kinds of bad ones; expectation maximisation over the vote patterns of the whole corpus estimates the shares
+of these classes and how often each rule votes what on each.  Every text then gets the posterior probability of
+being good, which replaces passing all rules at once.
+
+A bad vote alone cannot tell a kind of bad texts from good texts on which the rule errs.  So a kind counts only if a
+second rule votes bad on it more often than on good texts, and if the votes are likelier with it than without by more
+than its parameters cost (Bayesian information criterion); else its texts fall to the other classes, and the
+rule's error rate on good texts rises.
 
 Only the counts by vote pattern leave the executors: at most 3 ** len(RULES) rows at any
 corpus size.
@@ -13,8 +18,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tastegrid.llm.common import SPACE, documents, query, saved, text_or_empty, words
@@ -23,15 +30,16 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 EM_ROUNDS = 50
-#: Share of bad votes that a rule is expected to cast on good and on bad texts.  Bad texts are of many
-#: kinds, most of which a given rule takes for good; good texts seldom get a bad vote.
-EXPECT_GOOD, EXPECT_BAD = 0.005, 0.30
-#: Weight of these expectations against the corpus, as a share of its texts (so that the estimate
-#: does not depend on the corpus' size).
-WEIGHT_GOOD, WEIGHT_BAD = 3.0, 0.1
+#: Where the estimation starts: shares of bad votes on good texts, and on a kind by the rule that it starts from and
+#: by the others.
+START_GOOD, START_OWN, START_OTHER = 0.005, 0.6, 0.1
+#: Weight of the starting values in the estimates, in texts a class; it does not grow with the corpus.
+PSEUDO_TEXTS = 5.0
 START_SHARE_GOOD = 0.8
-#: Least posterior probability of a kept text.
-THRESHOLD = 0.95
+#: Least excess over good texts of the second rule's share of bad votes in a kind.
+MIN_BACKING = 0.1
+#: Least posterior probability of a kept text: both errors cost the same.
+THRESHOLD = 0.5
 
 
 class Vote(NamedTuple):
@@ -111,50 +119,101 @@ def vote(rule: Vote) -> Column:
 class Model(NamedTuple):
     share_good: float
     good: list[float]  # per rule: P(it votes bad | good text, it votes)
-    bad: list[float]
+    bad: list[float]  # the same for bad texts of all kinds together
+    shares: np.ndarray  # of the classes; the first is good
+    outcomes: np.ndarray  # class, rule: probabilities of a bad vote, abstaining, a good vote
 
 
 def log_odds(model: Model) -> tuple[float, list[dict[int, float]]]:
-    """Log prior odds of good, and for each rule what its vote adds; abstaining adds nothing."""
+    """Log prior odds of good, and for each rule what its vote adds if nothing else is known; abstaining adds nothing."""
     adds = [{1: math.log((1 - g) / (1 - b)), -1: math.log(g / b), 0: 0.0}
             for g, b in zip(model.good, model.bad, strict=True)]
     return math.log(model.share_good / (1 - model.share_good)), adds
 
 
+def _em(is_vote: np.ndarray, n: np.ndarray, shares: np.ndarray, outcomes: np.ndarray,
+        rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Shares, outcomes and log likelihood after the rounds, from the given ones on."""
+    flat = is_vote.reshape(len(n), 3 * is_vote.shape[1])
+    start_shares, start, fit_to = shares, outcomes, -math.inf
+    for last in [False] * rounds + [True]:
+        z = np.log(shares) + flat @ np.log(outcomes).reshape(len(shares), -1).T
+        top = z.max(axis=1, keepdims=True)
+        of = np.exp(z - top)
+        total = of.sum(axis=1, keepdims=True)
+        if last:
+            fit_to = float(n @ (top + np.log(total))[:, 0])
+            break
+        mass = of / total * n[:, None]
+        shares = mass.sum(axis=0) + PSEUDO_TEXTS * start_shares
+        shares = shares / shares.sum()
+        outcomes = (mass.T @ flat).reshape(outcomes.shape) + PSEUDO_TEXTS * start
+        outcomes = outcomes / outcomes.sum(axis=2, keepdims=True)
+    return shares, outcomes, fit_to
+
+
 def fit(patterns: Sequence[tuple[tuple[int, ...], int]], rounds: int = EM_ROUNDS) -> Model:
-    """EM over (votes, number of texts) rows; without rows the starting values come back."""
+    """Classes from (votes, number of texts) rows; without rows the starting values come back.
+
+    There is a kind of bad texts for each rule at first; those that nothing backs are left out one by one.
+    """
     n_rules = len(patterns[0][0]) if patterns else len(RULES)
-    model = Model(START_SHARE_GOOD, [EXPECT_GOOD] * n_rules, [EXPECT_BAD] * n_rules)
     rows = sorted(patterns)
-    total = sum(n for _, n in rows)
-    for _ in range(rounds if total else 0):
-        base, adds = log_odds(model)
-        # per class and rule: bad votes, votes
-        cast = [[[e * w * total, w * total] for _ in range(n_rules)]
-                for e, w in ((EXPECT_GOOD, WEIGHT_GOOD), (EXPECT_BAD, WEIGHT_BAD))]
-        sum_good = 0.0
-        for votes, n in rows:
-            z = base + sum(a[v] for a, v in zip(adds, votes, strict=True))
-            good = n / (1 + math.exp(-max(-700.0, min(700.0, z))))
-            sum_good += good
-            for j, v in enumerate(votes):
-                if v:
-                    for side, weight in ((0, good), (1, n - good)):
-                        cast[side][j][0] += weight * (v < 0)
-                        cast[side][j][1] += weight
-        share = (sum_good + WEIGHT_BAD * total * START_SHARE_GOOD) / ((1 + WEIGHT_BAD) * total)
-        model = Model(share, *([bad / votes for bad, votes in side] for side in cast))
-    return model
+    votes = np.array([v for v, _ in rows]).reshape(-1, n_rules)
+    n = np.array([k for _, k in rows], float)
+    is_vote = np.stack([votes == -1, votes == 0, votes == 1], axis=-1).astype(float)
+    # rules abstain alike on all classes at first
+    silent = np.clip(n @ is_vote[:, :, 1] / max(1.0, n.sum()), 0.001, 0.9)
+
+    def start(bad: np.ndarray) -> np.ndarray:
+        return np.stack([bad * (1 - silent), silent, (1 - bad) * (1 - silent)], axis=-1)
+
+    good = start(np.full(n_rules, START_GOOD))
+    kinds = [start(np.where(np.arange(n_rules) == j, START_OWN, START_OTHER)) for j in range(n_rules)]
+    parameters = 1 + sum(1 + bool(is_vote[:, j, 1].any()) for j in range(n_rules))
+
+    def model(alive: list[int]) -> tuple[Model, np.ndarray, float]:
+        """Also how much the second rule backs each kind, and the information criterion."""
+        shares = np.array([START_SHARE_GOOD] + [(1 - START_SHARE_GOOD) / max(1, len(alive))] * len(alive))
+        shares, outcomes, fit_to = _em(is_vote, n, shares / shares.sum(), np.array([good] + [kinds[k] for k in alive]),
+                                       rounds if len(rows) else 0)
+        bad = outcomes[:, :, 0] / (1 - outcomes[:, :, 1])
+        backing = np.sort(bad[1:] - bad[0], axis=1)[:, -2] if n_rules > 1 else np.full(len(alive), -math.inf)
+        both = np.tensordot(shares[1:], outcomes[1:], axes=1) if alive else start(np.full(n_rules, START_OTHER))
+        return (Model(float(shares[0]), bad[0].tolist(), (both[:, 0] / (both[:, 0] + both[:, 2])).tolist(), shares, outcomes),
+                backing, fit_to - 0.5 * math.log(max(1.0, n.sum())) * parameters * len(alive))
+
+    alive = list(range(n_rules))
+    now = model(alive)
+    while alive and len(rows):
+        weakest = int(now[1].argmin())
+        if now[1][weakest] < MIN_BACKING:
+            alive.pop(weakest)
+            now = model(alive)
+            continue
+        without = [model(alive[:k] + alive[k + 1:]) for k in range(len(alive))]
+        k = max(range(len(alive)), key=lambda i: without[i][2])
+        if without[k][2] < now[2]:
+            break
+        alive.pop(k)
+        now = without[k]
+    return now[0]
 
 
 def score(model: Model, rules: Sequence[Vote] = RULES) -> Column:
-    """Posterior probability of good from the vote columns ``vote_<name>``."""
-    base, adds = log_odds(model)
-    z = F.lit(base)
-    for rule, add in zip(rules, adds, strict=True):
-        v = F.col(f"vote_{rule.name}")
-        z = z + F.when(v == 1, F.lit(add[1])).when(v == -1, F.lit(add[-1])).otherwise(F.lit(0.0))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+    """Posterior probability of good from the vote columns ``vote_<name>``.
+
+    Abstaining tells classes apart on texts with some bad vote; it is no vote against a text by itself.
+    """
+    cast = [F.col(f"vote_{r.name}") for r in rules]
+    objected = reduce(lambda a, b: a | b, [v == -1 for v in cast])
+    odds = F.lit(1.0)
+    for share, outcomes in zip(model.shares[1:], model.outcomes[1:], strict=True):
+        z = F.lit(math.log(share / model.shares[0]))
+        for v, (bad, silent, good) in zip(cast, np.log(outcomes / model.outcomes[0]).tolist(), strict=True):
+            z = z + F.when(v == 1, F.lit(good)).when(v == -1, F.lit(bad)).when(objected, F.lit(silent)).otherwise(F.lit(0.0))
+        odds = odds + F.exp(F.least(z, F.lit(700.0)))
+    return F.lit(1.0) / odds
 
 
 def _voted(measured: DataFrame, rules: Sequence[Vote]) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tastegrid.llm import quality as q
 
@@ -67,3 +68,47 @@ def test_labels_are_met(spark):
     good = [r["kept"] for r in rows if r["quality"] == 1]
     bad = [r["kept"] for r in rows if r["quality"] == 0]
     assert sum(good) / len(good) > 0.97 and sum(bad) / max(1, len(bad)) < 0.2
+
+
+def noisy(rnd, errs):
+    """Votes of six rules: two kinds of bad texts that two rules each see; rule 4 errs on the share ``errs`` of good texts."""
+    rows = collections.Counter()
+    for _ in range(20_000):
+        kind = 0 if rnd.random() < 0.85 else rnd.choice((1, 2))
+        rates = {0: [0.003] * 4 + [errs, 0.003], 1: [0.95, 0.6, 0.003, 0.003, errs, 0.003], 2: [0.003, 0.003, 0.95, 0.6, errs, 0.003]}[kind]
+        rows[tuple(-1 if rnd.random() < p else 1 for p in rates)] += 1
+    return list(rows.items())
+
+
+def posterior(spark, model, votes):
+    rules = [q.Vote(f"r{j}", "", "") for j in range(len(votes))]
+    row = spark.range(1).select(*[F.lit(v).alias(f"vote_r{j}") for j, v in enumerate(votes)])
+    return row.select(q.score(model, rules).alias("p")).first()["p"]
+
+
+def test_a_rule_that_errs_does_not_reject_alone(spark):
+    for errs in (0.1, 0.2):
+        model = q.fit(noisy(random.Random(3), errs))
+        assert errs - 0.02 < model.good[4] < errs + 0.02 and 0.82 < model.share_good < 0.88
+        assert posterior(spark, model, (1, 1, 1, 1, 1, 1)) > 0.9
+        assert posterior(spark, model, (1, 1, 1, 1, -1, 1)) > q.THRESHOLD
+        assert posterior(spark, model, (-1, -1, 1, 1, 1, 1)) < 0.1 and posterior(spark, model, (1, 1, -1, -1, -1, 1)) < 0.1
+        # the better rule of a kind needs no other
+        assert posterior(spark, model, (-1, 1, 1, 1, 1, 1)) < q.THRESHOLD
+
+
+def test_estimates_do_not_depend_on_the_weight_of_the_start():
+    rows = noisy(random.Random(4), 0.1)
+    small, large = q.fit(rows), q.fit([(v, 50 * n) for v, n in rows])
+    assert max(abs(a - b) for a, b in zip(small.good, large.good)) < 0.01
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
+def test_texts_on_which_one_rule_errs_stay(spark):
+    """Word length votes bad on 10 % of the texts to which no rule objects."""
+    rules = [r._replace(bad=f"({r.bad}) OR errs") if r.name == "word_length" else r for r in q.RULES]
+    errs = (F.pmod("doc_id", F.lit(10)) == 0) & (F.col("n_symbols") <= 0.05 * F.col("n_words")) & (F.col("n_repeat_words") == 0)
+    measured = q.measures(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")).withColumn("errs", errs).cache()
+    rows = q.judge_measured(measured, measured, rules).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("NOT base_failed")
+    rows = rows.where("quality = 1 AND errs AND vote_word_length = -1").collect()
+    assert len(rows) > 10 and sum(r["kept"] for r in rows) > 0.95 * len(rows)
