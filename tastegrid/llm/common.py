@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -55,6 +56,32 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shielded(*named: str):
+    """Decorator: ``fn(df, ...)`` sees the columns of ``df`` under names that its own cannot clash with.
+
+    ``named`` are the parameters that name columns.  Of the result's columns, those of ``df`` get their names back, but for
+    the ones whose names the function adds: these are replaced.
+    """
+    def deco(fn):
+        signature = inspect.signature(fn)
+
+        @functools.wraps(fn)
+        def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+            bound = signature.bind(df, *args, **kwargs)
+            bound.apply_defaults()
+            names = df.columns
+            safe = [f"in_{i}" for i in range(len(names))]
+            for p in named:
+                bound.arguments[p] = safe[names.index(bound.arguments[p])]
+            bound.arguments[next(iter(signature.parameters))] = df.toDF(*safe)
+            out = fn(*bound.args, **bound.kwargs)
+            back = dict(zip(safe, names, strict=True))
+            added = {c.lower() for c in out.columns if c not in back}
+            return out.select(*(F.col(c).alias(back.get(c, c)) for c in out.columns if c not in back or back[c].lower() not in added))
+        return run
+    return deco
+
+
 def quoted(text: str) -> str:
     """``text`` as an SQL string literal without escapes."""
     return "'" + text.replace("'", "''") + "'"

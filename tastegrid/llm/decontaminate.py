@@ -34,8 +34,6 @@ from tastegrid.sources.tables import read_table
 MAX_EDITS = 0.10
 #: Shorter items are found as exact copies only.
 SHORT = 20
-#: Items of fewer letters and digits are not searched.
-MIN_LETTERS = 4
 #: Characters of the items that are sent to the tasks at once.
 BLOCK_CHARS = 8_000_000
 #: Characters of texts and places that are searched at once, candidates compared at once.
@@ -128,7 +126,7 @@ class Items:
         for item_id, text in rows:
             spelled = " ".join(normal_words(text))
             n = len(spelled)
-            if n - spelled.count(" ") < MIN_LETTERS:
+            if not n:
                 continue
             limit = min(int(max_edits * n), n - 1) if n >= SHORT else 0
             cuts = [j * n // (limit + 1) for j in range(limit + 2)]
@@ -272,9 +270,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """Rows (doc_id, item_id, edits, first_word, item_chars), one for each item found in a document.
 
     edits is the least number of character edits, first_word the word of the document in which the
-    best place starts (of equals the first).  Null and empty texts hold nothing; null items and those of
-    fewer than ``MIN_LETTERS`` letters and digits are found nowhere, items under ``SHORT`` characters only
-    as exact copies between word borders.  Repeated rows of either
+    best place starts (of equals the first).  Null and empty texts hold nothing; null items and those
+    without a letter or digit are found nowhere, items under ``SHORT`` characters only as exact copies between word borders.  Repeated rows of either
     table give one result; documents that share an id are one document; null ids are kept as null.  An empty table
     on either side gives an empty table.
     """

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tastegrid.llm.common import documents, query, saved, text_or_empty
+from tastegrid.llm.common import documents, query, saved, shielded, text_or_empty
 
 MIN_KEY_CHARS = 10
 #: Keys that may be heavy, items of the sketch, blocks of a heavy key; heavy is a key with at least one
@@ -76,6 +76,7 @@ def drop_bitmaps(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return sparse.select("doc", "version", dense.alias("drops"))
 
 
+@shielded("doc_id", "text")
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 min_chars: int = MIN_KEY_CHARS) -> DataFrame:
     """``df`` with its repeated lines gone from ``text``, and columns n_lines, n_dropped, drops.
@@ -84,13 +85,13 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stays only in the document with the least id, there as often as it occurs.  Rows that share an
     id are one document; a null id is one document after all others.  Null and empty texts are one
     empty line, which stays; the text becomes empty, not null.  Every row stays, and other columns
-    are carried; columns of the added names are replaced.  An empty table gives an empty table.
+    are carried; columns of the added names are replaced, no other name clashes.  An empty table gives an empty table.
     """
     df = df.drop("n_lines", "n_dropped", "drops")
     bitmaps = drop_bitmaps(df, doc_id, text, min_chars).select(
         F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.col("drops").alias("drops"))
     docs = df.withColumn(text, text_or_empty(text)).withColumn("_own", F.xxhash64(text))
-    joined = docs.join(bitmaps.hint("shuffle_hash"),
+    joined = docs.join(bitmaps,
                        docs[doc_id].eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_version")), "left")
     lines = F.split(text, "\n")
     bit = lambda i: F.getbit(

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tastegrid.llm.common import documents, query, saved, text_or_empty
+from tastegrid.llm.common import documents, query, saved, shielded, text_or_empty
 
 BANDS, BAND_ROWS = 24, 4
 REGISTERS = 128
@@ -401,11 +401,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+@shielded("doc_id", "text")
 def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5,
                          percent: int = 80) -> DataFrame:
     """``df`` with one document of each component, the one with the least id; rows with equal id and text are one.
 
-    Null and empty texts stay; see ``near_duplicates`` for null and shared ids.
+    Null and empty texts stay; see ``near_duplicates`` for null and shared ids.  Other columns are carried, whatever their names.
     """
     key = ["_id", "_no_id", "_version"]
     found = near_duplicates(df, doc_id, text, k, percent).where("kept")
@@ -420,7 +421,7 @@ def _sets(df: DataFrame, members: DataFrame, base: DataFrame, k: int, doc_id: st
     """Rows (digest, hashes): the full set of each member, from the text of one document that has it."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     wanted = (base.join(members, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
-    found = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("digest", "text")
+    found = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(k)

@@ -24,7 +24,7 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tastegrid.llm.common import SPACE, documents, query, saved, text_or_empty, words
+from tastegrid.llm.common import SPACE, documents, query, saved, shielded, text_or_empty, words
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -66,6 +66,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
             "n_upper", "n_exclaim", "n_distinct_words", "n_not_words")
 
 
+@shielded("text")
 def measures(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the columns of ``MEASURES`` (long); columns of these names are replaced.
 
@@ -237,6 +238,7 @@ def judge_measured(counted: DataFrame, rows: DataFrame, rules: Sequence[Vote] =
             .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)))
 
 
+@shielded("text")
 def judge(df: DataFrame, text: str = "text", rules: Sequence[Vote] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with the measures, ``vote_<rule>``, ``base_failed``, ``posterior`` and ``kept``.
 

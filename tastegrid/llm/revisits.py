@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tastegrid.llm.common import query
+from tastegrid.llm.common import query, shielded
 from tastegrid.llm.url_filter import url_parts
 from tastegrid.sources.tables import read_table
 
@@ -68,6 +68,7 @@ def _lower_names(headers: Column) -> Column:
     return F.coalesce(made, F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>")))
 
 
+@shielded("record_id", "url", "time", "kind", "headers")
 def resolve(records: DataFrame, record_id: str = "record_id", url: str = "url", time: str = "time",
             kind: str = "kind", headers: str = "headers") -> DataFrame:
     """One row for each revisit in ``records``, with all its columns and canonical_url, response_id, outcome, merged.
@@ -77,7 +78,7 @@ def resolve(records: DataFrame, record_id: str = "record_id", url: str = "url",
     times); "mismatch" (an entity tag, or without one a date of change, that differs from the response's or that
     the response lacks); or "no_validator" (the revisit has neither).  Only a resolved one has response_id
     and merged.  Responses at the revisit's own time are not earlier; of several at one time the greatest id counts.
-    Every revisit stays, repeated rows too; null headers are empty.  Columns of the added names are replaced;
+    Every revisit stays, repeated rows too; null headers are empty.  Columns of the added names are replaced, others are carried whatever their names;
     an empty table gives an empty table.
     """
     records = records.drop("canonical_url", "response_id", "outcome", "merged")

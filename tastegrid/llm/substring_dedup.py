@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tastegrid.llm.common import documents, query, saved, text_or_empty
+from tastegrid.llm.common import documents, query, saved, shielded, text_or_empty
 
 LENGTH = 400
 GRAM = 16
@@ -345,7 +345,7 @@ def repeated_spans(docs: DataFrame, base: DataFrame, length: int = LENGTH, keep_
     def ask(rows: DataFrame) -> tuple[DataFrame, tuple[int, ...]]:
         wanted = (rows.groupBy(F.col("doc").alias("_of"), F.col("version").alias("_in"))
                   .agg(F.collect_list(F.struct("key", "place")).alias("_wanted")))
-        asked = base.join(wanted.hint("shuffle_hash"),
+        asked = base.join(wanted,
                           base["_doc"].eqNullSafe(wanted["_of"]) & (base["_version"] == wanted["_in"])).drop("_of", "_in")
         return asked, tuple(asked.columns.index(c) for c in ("_doc", "_version", "_text", "_wanted"))
 
@@ -356,6 +356,7 @@ def repeated_spans(docs: DataFrame, base: DataFrame, length: int = LENGTH, keep_
     return found.union(sorted_).union(fine)
 
 
+@shielded("doc_id", "text")
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
                    keep_first: bool = False) -> DataFrame:
     """``df`` with columns kept (binary), n_bytes, n_removed (long) and spans (array of start and end).
@@ -365,7 +366,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     ``keep_first`` from all but the first by (id, place).  Rows with the same id and text are
     indistinguishable: each is a place of its own, and with ``keep_first`` equal rows are treated alike (the
     first place stays in all).  Null ids come after all others.  spans are the removed bytes, maximal and in
-    order; kept may cut characters.  Columns of the added names are replaced, others carried.  Every row
+    order; kept may cut characters.  Columns of the added names are replaced, others carried, whatever their names.  Every row
     stays; an empty table gives an empty table.
     """
     if length < 2 * RUN:
@@ -378,7 +379,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     spans = repeated_spans(docs, base, length, keep_first)
     by_doc = (spans.groupBy(F.col("doc").alias("_of"), F.col("version").alias("_in"))
               .agg(F.collect_list(F.struct("start", "end")).alias("_found")))
-    joined = base.join(by_doc.hint("shuffle_hash"),
+    joined = base.join(by_doc,
                        base["_doc"].eqNullSafe(by_doc["_of"]) & (base["_version"] == by_doc["_in"]), "left").drop("_of", "_in")
     at = [joined.columns.index(c) for c in ("_text", "_found")]
     carried = [joined.columns.index(c) for c in names]

@@ -67,7 +67,8 @@ def test_edges(spark):
     rows = [(1, None), (2, ""), (3, item), (3, item), (None, item), (4, prose(rnd, 30_000) + " " + item), (5, "a b c"), (6, item[: len(item) // 2])]
     items = [(1, item), (1, item), (2, None), (3, ""), (4, "a b c"), (None, item)]
     got = sorted((str(r["doc_id"]), str(r["item_id"]), r["edits"]) for r in dc.find_items(docs(spark, rows), bench(spark, items)).collect())
-    assert got == sorted((d, i, 0) for d in ("3", "4", "None") for i in ("1", "None"))
+    # every item with a letter is searched, so three letters are found as well
+    assert got == sorted([(d, i, 0) for d in ("3", "4", "None") for i in ("1", "None")] + [("5", "4", 0)])
     assert dc.find_items(docs(spark, []), bench(spark, items)).count() == 0
     assert dc.find_items(docs(spark, rows), bench(spark, [])).count() == 0
     assert dc.drop_contaminated(docs(spark, rows), bench(spark, [])).count() == len(rows)
@@ -142,3 +143,9 @@ def test_short_items_and_scripts_without_blanks_are_found(spark):
     assert got == {(1, 1, 0, 30), (2, 2, 0, 1), (5, 3, 0, 0), (6, 4, 2, 0), (8, 5, 0, 1), (9, 1, 2, 0)}
     clean = dc.drop_contaminated(docs(spark, rows), bench(spark, items))
     assert {r["doc_id"] for r in clean.collect()} == {3, 4, 7, 10}
+
+
+def test_items_of_one_letter(spark):
+    rows = [(1, "a cat"), (2, "cats"), (3, "A."), (4, "x 7 y"), (5, ""), (6, "77")]
+    got = {(r["doc_id"], r["item_id"]) for r in dc.find_items(docs(spark, rows), bench(spark, [(1, "a"), (2, "7"), (3, "?")])).collect()}
+    assert got == {(1, 1), (3, 1), (4, 2)}
