@@ -10,14 +10,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tastegrid import constants as K
 from tastegrid.operators.blocked import ScoreSpec, grid_top_k
+from tastegrid.operators.svd import MAX_STEPS, OVERSAMPLE, truncated_svd
 
 
 def ratings(interactions: DataFrame, user_col: str = "user_id", item_col: str = "business_id",
@@ -135,246 +134,24 @@ def fit_given(interactions: DataFrame, user_factors: DataFrame | None, item_fact
     return CFModel(mu, ub, ib, user_factors, item_factors, r.select("user_id", "business_id"))
 
 
-# ---------------------------------------------------------------------------
-# Truncated SVD of the residual matrix by block subspace iteration
-# ---------------------------------------------------------------------------
-
-
-# The item basis Q (n_items x (rank + oversampling)) is broadcast each pass;
-# it is model-sized, and its size is checked against this bound.
-MAX_BASIS_BYTES = 1 << 30
-ITEM_CHUNK = 2048
-
-
 def effective_rank(n_components: int, n_users: int, n_items: int) -> int:
     """max(1, min(n_components, min(n_users, n_items) - 1))."""
     return max(1, min(n_components, min(n_users, n_items) - 1))
 
 
-def _stream_users(it, on_user_block):
-    """Feed complete users (rows sorted by user within the partition) to ``on_user_block``.
+def fit_svd(spark, resid: DataFrame, n_components: int = K.N_COMPONENTS, n_iter: int = MAX_STEPS,
+            oversample: int = OVERSAMPLE, seed: int = K.SEED) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Rank-r truncated SVD of the residual matrix (block Krylov, at most ``n_iter`` steps).
 
-    A user's rows may span Arrow batches; the trailing user of each batch is
-    carried into the next one.
+    Returns (user_factors = U * S, item_factors = V, singular values); factors stay partitioned tables.
     """
-    carry = None
-    for pdf in it:
-        if pdf.empty:
-            continue
-        if carry is not None:
-            pdf = pd.concat([carry, pdf], ignore_index=True)
-        users = pdf["user_id"].to_numpy()
-        last = users[-1]
-        tail = users == last
-        carry = pdf[tail]
-        if (~tail).any():
-            on_user_block(pdf[~tail])
-    if carry is not None and not carry.empty:
-        on_user_block(carry)
-
-
-def _user_products(block: pd.DataFrame, Q: np.ndarray):
-    """Rows of whole users -> (user ids, item idx, values, per-row user code, Z = R_block Q)."""
-    users = block["user_id"].to_numpy()
-    items = block["iidx"].to_numpy(dtype=np.int64)
-    vals = block["residual"].to_numpy(dtype=np.float64)
-    starts = np.flatnonzero(np.r_[True, users[1:] != users[:-1]])
-    codes = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(users)]))
-    Z = np.add.reduceat(vals[:, None] * Q[items], starts, axis=0)
-    return users[starts], items, vals, codes, Z
-
-
-def _rtrq_pass(spark, R: DataFrame, Q: np.ndarray) -> np.ndarray:
-    """Y = R^T (R Q), reduced by item chunk in Spark."""
-    n_items, width = Q.shape
-    bq = spark.sparkContext.broadcast(Q)
-
-    def fn(it):
-        Qv = bq.value
-        Y = np.zeros_like(Qv)
-        seen = [False]
-
-        def acc(block):
-            seen[0] = True
-            _, items, vals, codes, Z = _user_products(block, Qv)
-            for j in range(Qv.shape[1]):
-                Y[:, j] += np.bincount(items, weights=vals * Z[codes, j], minlength=Qv.shape[0])
-
-        _stream_users(it, acc)
-        if seen[0]:
-            for c0 in range(0, Qv.shape[0], ITEM_CHUNK):
-                yield pd.DataFrame({"chunk": [c0 // ITEM_CHUNK], "data": [Y[c0:c0 + ITEM_CHUNK].tobytes()]})
-
-    def reduce_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for b in pdf["data"]:
-            arr = np.frombuffer(b, dtype=np.float64)
-            total = arr.copy() if total is None else total + arr
-        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "data": [total.tobytes()]})
-
-    schema = "chunk int, data binary"
-    parts = R.mapInPandas(fn, schema).groupBy("chunk").applyInPandas(reduce_chunk, schema).collect()
-    Y = np.zeros_like(Q)
-    for row in parts:
-        c0 = row["chunk"] * ITEM_CHUNK
-        blk = np.frombuffer(row["data"], dtype=np.float64).reshape(-1, width)
-        Y[c0:c0 + blk.shape[0]] = blk
-    bq.unpersist()
-    return Y
-
-
-def _gram_pass(spark, R: DataFrame, Q: np.ndarray) -> np.ndarray:
-    """G = (R Q)^T (R Q), an (l x l) matrix."""
-    bq = spark.sparkContext.broadcast(Q)
-
-    def fn(it):
-        Qv = bq.value
-        G = np.zeros((Qv.shape[1], Qv.shape[1]))
-        seen = [False]
-
-        def acc(block):
-            seen[0] = True
-            _, _, _, _, Z = _user_products(block, Qv)
-            G[:] += Z.T @ Z
-
-        _stream_users(it, acc)
-        if seen[0]:
-            yield pd.DataFrame({"data": [G.tobytes()]})
-
-    rows = R.mapInPandas(fn, "data binary").collect()
-    bq.unpersist()
-    G = np.zeros((Q.shape[1], Q.shape[1]))
-    for r in rows:
-        G += np.frombuffer(r["data"], dtype=np.float64).reshape(G.shape)
-    return G
-
-
-HOT_USER_ROWS = 1_000_000      # users above this many ratings take the skew-safe path
-
-
-def _hot_z(spark, R_hot: DataFrame, Q: np.ndarray) -> dict:
-    """z_u = r_u Q for the few hot users: partial vectors per task, summed per user (tiny), on the driver."""
-    bq = spark.sparkContext.broadcast(Q)
-
-    def partial(it):
-        Qv = bq.value
-        for pdf in it:
-            if pdf.empty:
-                continue
-            users, inv = np.unique(pdf["user_id"].to_numpy().astype(str), return_inverse=True)
-            items = pdf["iidx"].to_numpy(dtype=np.int64)
-            vals = pdf["residual"].to_numpy(dtype=np.float64)
-            Z = np.zeros((len(users), Qv.shape[1]))
-            for j in range(Qv.shape[1]):
-                Z[:, j] = np.bincount(inv, weights=vals * Qv[items, j], minlength=len(users))
-            yield pd.DataFrame({"user_id": users, "z": [z.tobytes() for z in Z]})
-
-    out: dict = {}
-    for r in R_hot.mapInPandas(partial, "user_id string, z binary").collect():   # hot users x tasks rows
-        z = np.frombuffer(r["z"], dtype=np.float64)
-        out[r["user_id"]] = out.get(r["user_id"], 0.0) + z
-    bq.unpersist()
-    return out
+    n_users, n_items = (resid.select(c).distinct().count() for c in ("user_id", "business_id"))
+    rank = effective_rank(n_components, n_users, n_items)
+    users, items, singular, _ = truncated_svd(resid, "user_id", "business_id", "residual", rank, seed, max_steps=n_iter, oversample=oversample)
+    return users, items, singular
 
 
-def _hot_rtrq(spark, R_hot: DataFrame, Q: np.ndarray, zh: dict) -> np.ndarray:
-    """R_hot^T (R_hot Q) with the hot users' z broadcast (bounded: few users x rank)."""
-    bz = spark.sparkContext.broadcast((Q.shape, zh))
-
-    def fn(it):
-        (n_items, width), zmap = bz.value
-        Y = np.zeros((n_items, width))
-        seen = False
-        for pdf in it:
-            if pdf.empty:
-                continue
-            seen = True
-            items = pdf["iidx"].to_numpy(dtype=np.int64)
-            vals = pdf["residual"].to_numpy(dtype=np.float64)
-            Zr = np.stack([zmap[u] for u in pdf["user_id"].to_numpy()])
-            for j in range(width):
-                Y[:, j] += np.bincount(items, weights=vals * Zr[:, j], minlength=n_items)
-        if seen:
-            yield pd.DataFrame({"data": [Y.tobytes()]})
-
-    Y = np.zeros_like(Q)
-    for r in R_hot.mapInPandas(fn, "data binary").collect():
-        Y += np.frombuffer(r["data"], dtype=np.float64).reshape(Q.shape)
-    bz.unpersist()
-    return Y
-
-
-def fit_svd(spark, resid: DataFrame, n_components: int = K.N_COMPONENTS, n_iter: int = 6,
-            oversample: int = 10, seed: int = K.SEED) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """Rank-r truncated SVD of the residual matrix by block subspace iteration.
-
-    Returns (user_factors = U * S, item_factors = V, singular values).  Only the
-    item basis (model-sized, checked) is broadcast.  Ordinary users' rows are
-    hash-partitioned and sorted by user and streamed; users with more than
-    HOT_USER_ROWS ratings are spread round-robin and handled with partial sums,
-    so no task ever holds one huge user.
-    """
-    items = resid.select("business_id").distinct()
-    item_idx = items.withColumn("iidx", (F.row_number().over(Window.orderBy("business_id")) - 1).cast("int"))
-    item_idx = item_idx.persist(StorageLevel.MEMORY_AND_DISK)
-    n_items = item_idx.count()
-    counts = resid.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
-    n_users = counts.count()
-    hot_ids = [r.user_id for r in counts.filter(F.col("_n") > HOT_USER_ROWS).select("user_id").collect()]
-    rank = effective_rank(n_components, n_users, n_items)
-    width = min(rank + oversample, n_items)
-    if n_items * width * 8 > MAX_BASIS_BYTES:
-        raise ValueError("item basis too large to broadcast; reduce n_components or split the catalogue")
-    n_parts = max(1, spark.sparkContext.defaultParallelism)
-    base = (resid.join(item_idx, "business_id")
-            .select("user_id", "iidx", "residual"))
-    hot = F.col("user_id").isin(*hot_ids) if hot_ids else F.lit(False)
-    R = (base.filter(~hot).repartition(n_parts, "user_id").sortWithinPartitions("user_id")
-         .persist(StorageLevel.MEMORY_AND_DISK))
-    R_hot = base.filter(hot).repartition(n_parts).persist(StorageLevel.MEMORY_AND_DISK) if hot_ids else None
-    rng = np.random.RandomState(seed)
-    Q, _ = np.linalg.qr(rng.normal(size=(n_items, width)))
-    for _ in range(n_iter):
-        Y = _rtrq_pass(spark, R, Q)
-        if R_hot is not None:
-            Y += _hot_rtrq(spark, R_hot, Q, _hot_z(spark, R_hot, Q))
-        Q, _ = np.linalg.qr(Y)
-    G = _gram_pass(spark, R, Q)
-    zh = _hot_z(spark, R_hot, Q) if R_hot is not None else {}
-    for z in zh.values():
-        G += np.outer(z, z)
-    evals, W = np.linalg.eigh(G)
-    order = np.argsort(evals)[::-1][:rank]
-    evals, W = np.clip(evals[order], 0.0, None), W[:, order]
-    V = Q @ W                                   # item factors (n_items x rank)
-    bqw = spark.sparkContext.broadcast((Q, W))
-
-    def user_fn(it):
-        Qv, Wv = bqw.value
-        out = []
-
-        def emit(block):
-            users, _, _, _, Z = _user_products(block, Qv)
-            out.append(pd.DataFrame({"user_id": users, "factors": list(Z @ Wv)}))
-
-        _stream_users(it, emit)
-        for o in out:
-            yield o
-
-    schema = T.StructType([T.StructField("user_id", T.StringType()),
-                           T.StructField("factors", T.ArrayType(T.DoubleType()))])
-    user_factors = R.mapInPandas(user_fn, schema)
-    if zh:
-        hot_rows = [(str(u), [float(x) for x in (z @ W)]) for u, z in zh.items()]
-        user_factors = user_factors.unionByName(spark.createDataFrame(hot_rows, schema))
-    ids = item_idx.orderBy("iidx").select("business_id").toPandas()["business_id"].to_numpy()
-    # model-sized (items x rank); plain Python rows work with or without Arrow conversion
-    item_rows = [(str(b), [float(x) for x in v]) for b, v in zip(ids, V)]
-    item_factors = spark.createDataFrame(item_rows, "business_id string, factors array<double>")
-    return user_factors, item_factors, np.sqrt(evals)
-
-
-def fit(spark, interactions: DataFrame, n_components: int = K.N_COMPONENTS, n_iter: int = 6,
+def fit(spark, interactions: DataFrame, n_components: int = K.N_COMPONENTS, n_iter: int = MAX_STEPS,
         seed: int = K.SEED) -> CFModel:
     """A8 -> A9 -> A10 -> C2, plus the seen pairs."""
     r = ratings(interactions).persist(StorageLevel.MEMORY_AND_DISK)

@@ -98,8 +98,9 @@ def history_weights_or_mean(history: DataFrame, item_tfidf: DataFrame, weight_co
     h = history.join(known, "business_id", "left_semi")
     if weight_col is None:
         return h.withColumn("_w", F.lit(1.0))
-    total = F.sum(F.col(weight_col)).over(Window.partitionBy("user_id"))
-    return h.withColumn("_w", F.when(total > 0, F.col(weight_col).cast("double")).otherwise(F.lit(1.0)))
+    total = h.groupBy("user_id").agg(F.sum(F.col(weight_col)).alias("_total"))
+    return (h.join(total, "user_id")
+            .withColumn("_w", F.when(F.col("_total") > 0, F.col(weight_col).cast("double")).otherwise(F.lit(1.0))).drop("_total"))
 
 
 def user_profiles(history: DataFrame, item_tfidf: DataFrame, weight_col: str | None = None) -> DataFrame:

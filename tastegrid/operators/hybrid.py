@@ -3,7 +3,7 @@ explanations and the paged full-catalogue ranking (H1-H12, U2, U4, U5, J8-J10, J
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastegrid import constants as K
@@ -12,6 +12,7 @@ from tastegrid.operators import cf as cfm
 from tastegrid.operators import content as ct
 from tastegrid.operators import profiles as pf
 from tastegrid.operators.blocked import ScoreSpec, generate_top_k, grid_top_k
+from tastegrid.operators.positions import with_positions
 from tastegrid.operators.ranking import top_k_of_global_order
 from tastegrid.session import cut_lineage
 
@@ -38,9 +39,8 @@ def popularity_fallback(users: DataFrame, biz_index: DataFrame, history: DataFra
 
 def history_order(history: DataFrame) -> DataFrame:
     """Adds ``pos`` (1 = oldest) and ``n_hist``: date ascending (nulls last), then business_id."""
-    w = Window.partitionBy("user_id").orderBy(F.col("date").asc_nulls_last(), F.col("business_id"))
-    return (history.withColumn("pos", F.row_number().over(w))
-            .withColumn("n_hist", F.count(F.lit(1)).over(Window.partitionBy("user_id"))))
+    out = with_positions(history, ["user_id"], [F.col("date").asc_nulls_last(), F.col("business_id")], "pos", "n_hist")
+    return out.withColumn("pos", F.col("pos").cast("int"))
 
 
 def alpha_by_user(history: DataFrame) -> DataFrame:
@@ -62,9 +62,11 @@ def history_weights(history: DataFrame, e_fold: float = K.RECENCY_E_FOLD,
     pref = F.greatest(F.lit(0.0), (F.col("stars").cast("double") - F.lit(lo)) / F.lit(rng))
     w = F.when(F.col("stars").isNull(), recency).otherwise(recency * pref)
     out = h.withColumn("steps", steps).withColumn("_w", w).withColumn("_rec", recency)
-    total = F.sum("_w").over(Window.partitionBy("user_id"))
-    return (out.withColumn("weight", F.when(total > 0, F.col("_w")).otherwise(F.col("_rec")))
-            .drop("_w", "_rec"))
+    # summed before the shuffle; the join can split a user with very many rows, a window over the user cannot
+    total = out.groupBy(F.col("user_id").alias("_of")).agg(F.sum("_w").alias("_total"))
+    out = out.join(total, F.col("user_id").eqNullSafe(F.col("_of")))
+    return (out.withColumn("weight", F.when(F.col("_total") > 0, F.col("_w")).otherwise(F.col("_rec")))
+            .drop("_w", "_rec", "_of", "_total"))
 
 
 def prior_scores(priors: DataFrame) -> DataFrame:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tastegrid.functions.exprs import round6
 from tastegrid.operators import content
 from tastegrid.operators.blocked import ScoreSpec, grid_top_k
+from tastegrid.operators.positions import with_positions
 from tastegrid.plans.context import Ctx
 from tastegrid.plans.registry import query
 from tastegrid.plans.sql_views import with_views
@@ -25,8 +25,7 @@ def catalogue_tfidf(c: Ctx):
 
 def history_in_order(c: Ctx):
     """Interactions with their history position: date ascending (nulls last), then business_id."""
-    w = Window.partitionBy("user_id").orderBy(F.col("date").asc_nulls_last(), F.col("business_id"))
-    return c.interactions.withColumn("pos", F.row_number().over(w))
+    return with_positions(c.interactions, ["user_id"], [F.col("date").asc_nulls_last(), F.col("business_id")], "pos")
 
 
 @query("tokens_ngrams", "M1", with_views("""
@@ -78,8 +77,9 @@ def item_similarity(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     item, _ = catalogue_tfidf(c)
     h = history_in_order(c)
-    pairs = (h.withColumn("business_a", F.lag("business_id").over(Window.partitionBy("user_id").orderBy("pos")))
-             .filter(F.col("business_a").isNotNull())
+    # the previous row by position: keys (user, position) are even, whatever a user's share of the rows
+    before = h.select(F.col("user_id").alias("_u"), (F.col("pos") + 1).alias("_p"), F.col("business_id").alias("business_a"))
+    pairs = (h.join(before, (F.col("user_id") == F.col("_u")) & (F.col("pos") == F.col("_p")))
              .select("user_id", "business_a", F.col("business_id").alias("business_b")))
     out = content.pair_similarity(item, pairs)
     return out.select("user_id", "business_a", "business_b", round6("similarity").alias("similarity"))

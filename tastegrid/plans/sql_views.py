@@ -7,6 +7,7 @@ Used only by ``oracle_sql()`` to check the Spark jobs.  Each entry is a CTE;
 from __future__ import annotations
 
 from tastegrid import constants as K
+from tastegrid.functions.permute import sql_permuted
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in K.STOP_WORDS)
 
@@ -375,17 +376,20 @@ _view("neg_excl", ("train", "relevant", "eval_users"), """
 SELECT DISTINCT user_id, business_id FROM (SELECT user_id, business_id FROM train UNION ALL
                                            SELECT user_id, business_id FROM relevant)
 WHERE user_id IN (SELECT user_id FROM eval_users)""")
-_view("negatives", ("tr_ratings", "neg_excl", "eval_users"), f"""
+_view("neg_dom", ("tr_ratings",), """
+SELECT nu.n, f.a, f.b FROM (SELECT COUNT(DISTINCT business_id) AS n FROM tr_ratings) nu,
+  LATERAL (SELECT g.a, (nu.n + g.a - 1) // g.a AS b
+           FROM (SELECT unnest(range(ceil(sqrt(nu.n))::BIGINT, 2 * ceil(sqrt(nu.n))::BIGINT + 1)) AS a) g
+           ORDER BY g.a * ((nu.n + g.a - 1) // g.a) - nu.n, g.a LIMIT 1) f""")
+_view("negatives", ("tr_ratings", "neg_excl", "eval_users", "neg_dom"), f"""
 SELECT user_id, business_id FROM (
   SELECT s.user_id, pm.business_id, ROW_NUMBER() OVER (PARTITION BY s.user_id ORDER BY s.j) AS r
-  FROM (SELECT u.user_id, j, (u.b + j) % u.n AS p FROM (
-          SELECT e.user_id, COALESCE(x.ne, 0) AS ne, nu.n,
-                 ('0x' || substring(md5('{K.SEED}|' || e.user_id), 1, 8))::BIGINT % nu.n AS b
-          FROM eval_users e
-          CROSS JOIN (SELECT COUNT(DISTINCT business_id) AS n FROM tr_ratings) nu
+  FROM (SELECT u.user_id, j, {sql_permuted("j", "u.k", "u.n", "u.a", "u.b")} AS p FROM (
+          SELECT e.user_id, COALESCE(x.ne, 0) AS ne, d.n, d.a, d.b, md5('{K.SEED}|' || e.user_id) AS k
+          FROM eval_users e CROSS JOIN neg_dom d
           LEFT JOIN (SELECT user_id, COUNT(*) AS ne FROM neg_excl GROUP BY user_id) x ON x.user_id = e.user_id) u,
         LATERAL (SELECT unnest(range(0, LEAST(u.n, {K.N_NEGATIVES} + u.ne))) AS j)) s
-  JOIN (SELECT business_id, ROW_NUMBER() OVER (ORDER BY md5('{K.SEED}|' || business_id), business_id) - 1 AS p
+  JOIN (SELECT business_id, ROW_NUMBER() OVER (ORDER BY business_id) - 1 AS p
         FROM (SELECT DISTINCT business_id FROM tr_ratings)) pm ON pm.p = s.p
   WHERE NOT EXISTS (SELECT 1 FROM neg_excl x WHERE x.user_id = s.user_id AND x.business_id = pm.business_id))
 WHERE r <= {K.N_NEGATIVES}""")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tastegrid.operators import cf
+from tastegrid.operators import cf, svd
 
 
 @pytest.fixture(scope="module")
@@ -83,12 +83,60 @@ def test_unknown_user_ranks_by_item_bias(spark, fitted):
     assert [r.business_id for r in top] == [b.business_id for b in best]
 
 
-def test_svd_hot_user_path_matches(spark, interactions, monkeypatch):
-    r = cf.ratings(interactions)
-    mu, ub, ib = cf.fit_biases(r)
-    res = cf.residuals(r, mu, ub, ib)
-    _, _, s_plain = cf.fit_svd(spark, res, n_components=3, n_iter=20)
-    monkeypatch.setattr(cf, "HOT_USER_ROWS", 3)          # every user with 4 ratings becomes "hot"
-    uf, itf, s_hot = cf.fit_svd(spark, res, n_components=3, n_iter=20)
-    assert np.allclose(s_plain, s_hot, atol=1e-6)
-    assert uf.count() == 4 and itf.count() == 10
+def _against_dense(spark, dense, rank, **kw):
+    """Singular values and product of the distributed SVD of the non-zero cells against NumPy."""
+    rows = [(f"u{i}", f"b{j}", float(dense[i, j])) for i, j in zip(*np.nonzero(dense))]
+    df = spark.createDataFrame(rows, "u string, b string, x double").repartition(3)
+    u, v, s, residual = svd.truncated_svd(df, "u", "b", "x", rank, **kw)
+    U, S, Vt = np.linalg.svd(dense, full_matrices=False)
+    P, Q = np.zeros((dense.shape[0], len(s))), np.zeros((dense.shape[1], len(s)))
+    for r in u.collect():
+        P[int(r["u"][1:])] = r["factors"]
+    for r in v.collect():
+        Q[int(r["b"][1:])] = r["factors"]
+    assert np.allclose(Q.T @ Q, np.eye(len(s)), atol=1e-8)
+    return s, S[:rank], P @ Q.T, (U[:, :rank] * S[:rank]) @ Vt[:rank], residual
+
+
+def test_svd_of_a_flat_spectrum_with_a_hot_user(spark, monkeypatch):
+    monkeypatch.setattr(svd, "BLOCK", 32)                # many blocks
+    monkeypatch.setattr(svd, "ENTRIES", 17)              # and tiles multiplied in pieces
+    monkeypatch.setattr(svd, "SLICE", 5)
+    rnd = np.random.default_rng(4)
+    dense = rnd.normal(size=(150, 120)) * (rnd.random((150, 120)) < 0.08)
+    dense[7] = rnd.normal(size=120)                      # one user with every item
+    got, want, product, exact, residual = _against_dense(spark, dense, 8, oversample=4)
+    assert np.abs(got / want - 1).max() < 1e-3 and residual <= svd.TOLERANCE
+    got, want, product, exact, _ = _against_dense(spark, dense, 8, oversample=4, tolerance=1e-9, max_steps=30)
+    assert np.allclose(got, want, rtol=1e-9) and np.allclose(product, exact, atol=1e-5)
+
+
+def test_svd_of_low_rank_and_wide_gaps(spark):
+    rnd = np.random.default_rng(5)
+    dense = (rnd.normal(size=(40, 3)) * [1e3, 1.0, 1e-1]) @ rnd.normal(size=(3, 30))
+    got, want, product, exact, _ = _against_dense(spark, dense, 6, tolerance=1e-9)
+    assert len(got) == 3 and np.allclose(got, want[:3], rtol=1e-6) and np.allclose(product, exact, atol=1e-4)
+
+
+def test_svd_of_nothing(spark):
+    none = spark.createDataFrame([], "u string, b string, x double")
+    u, v, s, _ = svd.truncated_svd(none, "u", "b", "x", 3)
+    assert u.count() == 0 and v.count() == 0 and len(s) == 0
+
+
+def test_top_k_over_written_factors_in_sql(spark, fitted, interactions, tmp_path):
+    """The fitted model's ranking is what SQL gives over its written tables."""
+    import duckdb
+    for name in ("user_bias", "item_bias", "user_factors", "item_factors", "seen"):
+        getattr(fitted, name).write.parquet(f"{tmp_path}/{name}")
+    t = lambda n: f"read_parquet('{tmp_path}/{n}/*.parquet')"
+    want = duckdb.sql(f"""
+        SELECT user_id, business_id, score FROM (
+          SELECT ub.user_id, ib.business_id, round(least(5.0, greatest(1.0, {fitted.mu} + ub.bias + ib.bias
+                 + list_inner_product(uf.factors, f.factors))), 6) AS score
+          FROM {t("user_bias")} ub JOIN {t("user_factors")} uf USING (user_id)
+          CROSS JOIN {t("item_bias")} ib JOIN {t("item_factors")} f USING (business_id)
+          WHERE NOT EXISTS (SELECT 1 FROM {t("seen")} s WHERE s.user_id = ub.user_id AND s.business_id = ib.business_id))
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, business_id) <= 3""").fetchall()
+    got = cf.recommend_top_k(fitted, fitted.user_bias.select("user_id"), 3).collect()
+    assert sorted((r.user_id, r.business_id, round(r.score, 6)) for r in got) == sorted(want)
