@@ -98,3 +98,13 @@ STOP_WORDS = (
     "wouldn't shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's "
     "there's what's when's where's who's why's would"
 ).split()
+
+
+# FIXED VALUES: columns of a profile that an account row decides, and the aliases that account rows carry.
+ACCOUNT_COLUMNS = (
+    "name", "yelping_since", "review_count_profile", "average_stars_profile", "fans", "useful_votes", "funny_votes", "cool_votes",
+    "elite_year_count", "friends_count", "compliment_hot", "compliment_more", "compliment_profile", "compliment_cute", "compliment_list",
+    "compliment_note", "compliment_plain", "compliment_cool", "compliment_funny", "compliment_writer", "compliment_photos",
+)
+ACCOUNT_ALIASES = {"review_count_profile": "review_count", "average_stars_profile": "average_stars", "useful_votes": "useful",
+                   "funny_votes": "funny", "cool_votes": "cool"}

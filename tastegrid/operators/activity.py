@@ -81,7 +81,30 @@ def demo_subset(users_with_history: DataFrame, local_users: DataFrame, first_n:
 
 
 def demo_ready_users(events_users: DataFrame | None, history_users: DataFrame) -> DataFrame:
-    """Users having events, else users having histories."""
-    if events_users is not None and events_users.take(1):
-        return events_users.select("user_id").distinct()
-    return history_users.select("user_id").distinct()
+    """Users having events, else users having histories; which of them is settled inside the plan."""
+    histories = history_users.select("user_id").distinct()
+    if events_users is None:
+        return histories
+    return events_users.select("user_id").distinct().union(histories.where(~events_users.select("user_id").exists()))
+
+
+EVENT_BUCKETS = 64
+
+
+def user_bucket(user: str = "user_id"):
+    return F.pmod(F.crc32(F.col(user)), F.lit(EVENT_BUCKETS)).cast("int")
+
+
+def write_events_by_user(events: DataFrame, path: str) -> None:
+    """J15's layout: events in folders by a bucket of the user, so that reading some users' events opens their folders only."""
+    events.withColumn("bucket", user_bucket()).write.partitionBy("bucket").parquet(path)
+
+
+def events_of_users(events: DataFrame, users: DataFrame) -> DataFrame:
+    """``events`` (read from that layout) of the chosen users.
+
+    The buckets of the chosen users come from a subquery and restrict the scan's partitions before the semi join.
+    """
+    chosen = users.select(F.col("user_id").alias("_u"), user_bucket().alias("_b")).distinct()
+    on = (F.col("bucket") == F.col("_b")) & (F.col("user_id") == F.col("_u"))
+    return events.join(chosen, on, "left_semi").drop("bucket")

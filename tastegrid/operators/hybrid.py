@@ -15,6 +15,7 @@ from tastegrid.operators.blocked import ScoreSpec, generate_top_k, grid_top_k
 from tastegrid.operators.positions import with_positions
 from tastegrid.operators.ranking import top_k_of_global_order
 from tastegrid.session import cut_lineage
+from tastegrid.sources.files import load_model, save_model
 
 
 def fallback_scores(biz_index: DataFrame) -> DataFrame:
@@ -84,7 +85,9 @@ class HybridInputs:
         self.vocab_idx = cut_lineage(ct.vocab_index(vocab))
         self.priors = cut_lineage(prior_scores(priors))
         self.history = history.select("user_id", "business_id", "stars", "date")
-        self.catalogue = catalogue.select("business_id")
+        # Where the catalogue is empty, the items of the CF model take its place
+        ids = catalogue.select("business_id")
+        self.catalogue = cut_lineage(ids.union(model.item_bias.select("business_id").where(~ids.exists())))
         self.prior_weight = float(min(max(prior_weight, 0.0), 0.5))
         self._memo: dict[str, DataFrame] = {}
 
@@ -138,17 +141,13 @@ def save_inputs(inp: HybridInputs, path: str) -> None:
     spark = inp.history.sparkSession
     tables["scalars"] = spark.createDataFrame([(m.mu, m.lo, m.hi, inp.prior_weight)],
                                               "mu double, lo double, hi double, prior_weight double")
-    for name, df in tables.items():
-        if df is not None:
-            df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+    save_model(tables, path, {"n_businesses": inp.catalogue.count(), "n_users_with_history": inp.history.select("user_id").distinct().count()})
 
 
 def load_inputs(spark, path: str) -> HybridInputs:
     """The scorer of ``save_inputs``, read from its files."""
-    from tastegrid.sources.files import path_exists
-
-    base = path.rstrip("/")
-    table = lambda n: spark.read.parquet(f"{base}/{n}") if path_exists(spark, f"{base}/{n}") else None
+    parts = load_model(spark, path)
+    table = parts.get
     one = table("scalars").first()
     model = cfm.CFModel(one["mu"], table("user_bias"), table("item_bias"), table("user_factors"), table("item_factors"),
                         table("seen"), one["lo"], one["hi"])

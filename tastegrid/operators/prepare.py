@@ -148,8 +148,8 @@ def add_business_priors(biz: DataFrame, tip_count: DataFrame | None = None,
                         checkin_count: DataFrame | None = None) -> DataFrame:
     """J6 + A5 + A6: joined counts win, else existing column, else 0; then the prior.
 
-    Min and max of each input come from one global aggregate evaluated as a
-    scalar subquery, so no row moves to a single partition.
+    Min and max of each input come from one global aggregate, whose single row
+    is sent to all businesses.
     """
     out = biz
     for name, side in (("tip_count", tip_count), ("checkin_count", checkin_count)):
@@ -168,18 +168,17 @@ def add_business_priors(biz: DataFrame, tip_count: DataFrame | None = None,
         "_n_chk": F.log1p(F.col("checkin_count")),
     }
     out = out.withColumns(feats)
-    # One global aggregate; referenced as a single scalar subquery (reused by the planner).
-    stats = out.agg(F.struct(*[F.min(c).alias("lo" + c) for c in feats],
-                             *[F.max(c).alias("hi" + c) for c in feats]).alias("s")).scalar()
+    # one global aggregate, one row, joined to every business
+    stats = out.agg(*[F.min(c).alias("lo" + c) for c in feats], *[F.max(c).alias("hi" + c) for c in feats])
+    out = out.crossJoin(F.broadcast(stats))
     normed = []
     for c in feats:
-        lo = stats.getField("lo" + c)
-        hi = stats.getField("hi" + c)
+        lo, hi = F.col("lo" + c), F.col("hi" + c)
         normed.append(F.when(lo.isNull() | hi.isNull() | (hi <= lo), F.lit(0.0))
                       .otherwise((F.col(c) - lo) / (hi - lo)))
     prior = (F.lit(K.PRIOR_W_REVIEWS) * normed[0] + F.lit(K.PRIOR_W_STARS) * normed[1]
              + F.lit(K.PRIOR_W_TIPS) * normed[2] + F.lit(K.PRIOR_W_CHECKINS) * normed[3])
-    return out.withColumn("popularity_prior", prior.cast("double")).drop(*feats)
+    return out.withColumn("popularity_prior", prior.cast("double")).drop(*feats, *stats.columns)
 
 
 def choose_prior_source(biz: DataFrame) -> str:
@@ -192,6 +191,27 @@ def choose_prior_source(biz: DataFrame) -> str:
     return "scan"
 
 
+def with_prior(biz: DataFrame, tips: DataFrame | None = None, checkins: DataFrame | None = None) -> DataFrame:
+    """``biz`` with popularity_prior and prior_source, the source chosen inside the plan.
+
+    A stored prior counts if any business has one ("stored", nulls stay); else the prior is computed from stored counts of tips
+    and check-ins where both columns exist ("counts"), else from ``tips`` and ``checkins`` rows ("scan").  Whether one is stored is a
+    one-row subquery, known before the other rows are read: where it holds, the filters on it leave nothing of tips and check-ins.
+    """
+    by_counts = {"tip_count", "checkin_count"} <= set(biz.columns)
+    names = [c for c in biz.columns if c != "popularity_prior"]
+    stored = F.col("popularity_prior").cast("double") if "popularity_prior" in biz.columns else F.lit(None).cast("double")
+    has_stored = biz.select(stored.alias("p")).agg((F.count("p") > 0).alias("any")).scalar()
+    kept = biz.withColumn("_stored", stored).drop("popularity_prior")
+    if by_counts:
+        computed = add_business_priors(kept)
+    else:
+        sides = [side if side is None else count(side.where(~has_stored), biz) for side, count in ((tips, tip_counts), (checkins, checkin_counts))]
+        computed = add_business_priors(kept, *sides)
+    return computed.select(*names, F.when(has_stored, F.col("_stored")).otherwise(F.col("popularity_prior")).alias("popularity_prior"),
+                           F.when(has_stored, "stored").otherwise("counts" if by_counts else "scan").alias("prior_source"))
+
+
 def local_log_rows(log: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
     """P12 + P17 + J7: validated local interactions restricted to the catalogue."""
     out = log.select(F.col("user_id").cast("string"), F.col("business_id").cast("string"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tastegrid import constants as K
@@ -10,7 +12,8 @@ from tastegrid.operators import hybrid, prepare
 from tastegrid.plans.context import Ctx
 from tastegrid.plans.registry import query
 from tastegrid.plans.sql_views import with_views
-from tastegrid.sources import catalog
+from tastegrid.session import ensure_checkpoint_dir
+from tastegrid.sources import catalog, files
 from tastegrid.sources.tables import read_table
 
 KEYWORD = "brand#1"   # P2 demo keyword: a case-insensitive regex (matches Brand#1, Brand#10..19)
@@ -142,7 +145,9 @@ def run_summary(spark, sf_dir):
     out = parts[0]
     for p in parts[1:]:
         out = out.crossJoin(p)   # single-row aggregates only
-    return out
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/summary-{uuid.uuid4().hex}"
+    files.run_summary({"min_user_reviews": K.MIN_USER_REVIEWS, "min_item_reviews": K.MIN_ITEM_REVIEWS}, out, path)
+    return spark.read.schema(out.schema).json(path)
 
 
 @query("region_filter", "P3, F3", """

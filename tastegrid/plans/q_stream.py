@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tastegrid.functions.exprs import round6
 from tastegrid.plans.context import Ctx
 from tastegrid.plans.registry import query
 from tastegrid.plans.sql_views import with_views
+from tastegrid.operators import prepare
+from tastegrid.session import ensure_checkpoint_dir
+from tastegrid.sources import files
 from tastegrid.streaming import streams
 
 @query("stream_ingest", "ST1, S13, S14", with_views("""
 SELECT user_id, business_id, ROUND(stars, 6) AS stars, date, source FROM local_log
 WHERE business_id IN (SELECT business_id FROM catalogue)""", "local_log", "catalogue"))
 def stream_ingest(spark, sf_dir):
+    """The interaction log as JSON lines, with broken and blank ones between them, read as a stream."""
     c = Ctx(spark, sf_dir)
-    s = streams.ingest(streams.table_stream(spark, sf_dir, "events"), c.catalogue)
-    out = streams.run_available_now(s, "ingest")
-    return out.select("user_id", "business_id", round6("stars").alias("stars"), "date", "source")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    files.append_log(c.local_log, path)
+    views = c.request_events.where("algorithm = 'view'")
+    views.select(F.concat(F.lit('{"user_id": "'), "user_id", F.when(F.col("latency_ms") > 50, F.lit('", "stars"')).otherwise(F.lit("\n\n")))).write.mode("append").text(path)
+    rows, _ = streams.run_log(files.log_stream(spark, path), "ingest")
+    out = prepare.local_log_rows(rows, c.catalogue)
+    return out.select("user_id", "business_id", round6("stars").alias("stars"), F.col("date").cast("timestamp_ntz").alias("date"), "source")
 
 
 @query("stream_hourly", "ST2", """

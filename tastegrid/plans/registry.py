@@ -36,7 +36,7 @@ def query(name: str, covers: str, sql: str | None = None):
 def load_all() -> None:
     # Importing the modules registers their queries.
     from tastegrid.plans import q_prepare  # noqa: F401
-    for mod in ("q_content", "q_cf", "q_hybrid", "q_eval", "q_profiles", "q_activity", "q_stream"):
+    for mod in ("q_content", "q_cf", "q_hybrid", "q_eval", "q_profiles", "q_activity", "q_stream", "q_files"):
         try:
             __import__(f"tastegrid.plans.{mod}")
         except ModuleNotFoundError as exc:

@@ -158,3 +158,34 @@ def _given_factors(spark, sf_dir, keys: DataFrame, key: str) -> DataFrame:
     # The embedding table is a fixed-size lookup (rows = n); the join is an equi join on vec_id.
     k = keys.select(key).distinct().withColumn("vec_id", F.pmod(F.col(key).cast("long"), n))
     return k.join(vecs, "vec_id").select(key, "factors")
+
+
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole account table: customers with counts of their orders; a friends column that readers must not load."""
+    c, o = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "orders")
+    votes = {name: F.count(F.when(F.col("o_orderstatus") == status, 1)).alias(name) for name, status in (("useful", "O"), ("funny", "F"), ("cool", "P"))}
+    per = o.groupBy("o_custkey").agg(F.min("o_orderdate").alias("yelping_since"), F.count(F.lit(1)).alias("review_count"), *votes.values())
+    n = F.col("c_custkey")
+    counters = [F.pmod(n * (i + 2), F.lit(7)).alias(name) for i, name in enumerate(x for x in K.ACCOUNT_COLUMNS if x.startswith("compliment_"))]
+    rows = c.join(per, c["c_custkey"] == per["o_custkey"], "left")
+    return rows.select(n.cast("string").alias("user_id"), F.col("c_name").alias("name"), "yelping_since", "review_count", F.col("c_acctbal").alias("average_stars"),
+                       "useful", "funny", "cool", F.col("c_nationkey").cast("long").alias("fans"),
+                       F.when(n % 3 == 0, F.col("c_mktsegment")).otherwise(F.lit(" ")).alias("elite"), F.pmod(n, F.lit(4)).alias("elite_year_count"),
+                       F.concat_ws(",", n - 1, n + 1).alias("friends"), F.pmod(n, F.lit(50)).alias("friends_count"), *counters)
+
+
+def raw_businesses(spark: SparkSession, sf_dir: str, review: DataFrame) -> DataFrame:
+    """JSON lines of the businesses, with attributes that are an object, text, a number or null, and hours that may lack."""
+    p = read_table(spark, sf_dir, "part")
+    b = businesses(spark, sf_dir, review).select("business_id", "name", "address", "latitude", "longitude", "stars", "review_count", "is_open", "categories")
+    key = F.col("p_partkey")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    attributes = (F.when(key % 4 == 0, F.concat(F.lit('{"type": "'), F.col("p_type"), F.lit('", "size": '), F.col("p_size").cast("string"), F.lit(', "open": null}')))
+                  .when(key % 4 == 1, quoted(F.col("p_type"))).when(key % 4 == 2, F.col("p_size").cast("string")).otherwise(F.lit("null")))
+    text = F.concat((F.col("p_size") % 24).cast("string"), F.lit(":0-"), ((F.col("p_size") * 7) % 24).cast("string"), F.lit(":0"))
+    hours = F.when(key % 5 == 0, F.lit("null")).otherwise(F.concat(
+        F.lit('{"Monday": '), quoted(text), F.lit(', "Friday": '), F.when(key % 3 == 0, F.lit('" "')).otherwise(quoted(text)), F.lit(', "Sunday": null}')))
+    plain = F.to_json(F.struct("business_id", "name", "address", F.col("p_brand").alias("city"), F.lit("OH").alias("state"), "latitude", "longitude", "stars",
+                               "review_count", "is_open", "categories"))
+    line = F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), F.lit(', "attributes": '), attributes, F.lit(', "hours": '), hours, F.lit("}"))
+    return b.join(p.select("p_partkey", "p_brand", "p_type", "p_size"), F.col("business_id") == key.cast("string")).select(line.alias("value"))

@@ -114,3 +114,25 @@ def run_updates(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     latest = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
     return latest.select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+
+def run_log(stream: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """ST1 + S14: a log stream (``files.log_stream``) to its end; (rows, bad lines), both read back as tables.
+
+    Lines that are no row go to a side output with their text.  A micro-batch that runs again overwrites its own folders.
+    """
+    spark = stream.sparkSession
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tastegrid-streams/{name}-{uuid.uuid4().hex}"
+    names = [c for c in stream.columns if c != "bad"]
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        batch.where("bad IS NULL").select(*names).write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
+        batch.where("bad IS NOT NULL").select("bad").write.mode("overwrite").parquet(f"{root}/bad/batch={batch_id}")
+        batch.unpersist()
+
+    q = (stream.writeStream.foreachBatch(split).option("checkpointLocation", f"{root}/checkpoint").queryName(f"{name}_{uuid.uuid4().hex[:8]}")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return tuple(spark.read.schema(stream.select(*cols).schema).option("basePath", f"{root}/{part}").parquet(f"{root}/{part}")
+                 for part, cols in (("rows", names), ("bad", ["bad"])))
