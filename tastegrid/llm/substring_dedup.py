@@ -1,4 +1,4 @@
-"""Removal of repeated substrings by longest-previous-factor arrays.
+"""Removal of repeated substrings by window equality in suffix order.
 
 A byte is removed if a string of ``LENGTH`` bytes that covers it (a window) also starts elsewhere.
 
@@ -9,9 +9,9 @@ from it; all windows of a run contain the run's core of ``LENGTH - RUN + 1`` byt
 have equal anchors at equal offsets, so they lie in runs with equal cores: a run whose core occurs
 once holds no repeated window.  Runs with equal cores and equal edges repeat as a whole and are settled
 by counting.  What is left are runs with equal cores and different edges: one run of each kind sends its
-edges (under 2 * RUN bytes) to the task of the core, which sorts the suffixes at the window starts by
-prefix doubling.  Suffixes that agree over the window's length stand in text order, so the previous
-smaller position of each (its predecessor) gives its longest previous factor, the next one the later copy.
+edges (under 2 * RUN bytes) to the task of the core, which ranks the stretches at the window starts by
+prefix doubling.  Windows that are equal over the whole length stand in text order: whether one has an equal before or
+behind it is all that a byte's fate depends on, so no factor lengths are computed.
 
 A core with more than ``HOT`` kinds of edges is not sorted in one task: its runs are cut into runs
 of ``FINE`` starts, settled the same way, and the rest window by window with aggregates.
@@ -161,13 +161,13 @@ def _ranks(data: np.ndarray, width: int) -> np.ndarray:
     return rank
 
 
-def previous_factors(edges: list[bytes], keys: np.ndarray, lo: np.ndarray, hi: np.ndarray,
+def equal_windows(edges: list[bytes], keys: np.ndarray, lo: np.ndarray, hi: np.ndarray,
                      run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For the windows of runs, given by their edges in text order: (run, offset, earlier, later).
 
     The windows of a run are its offsets 0 to hi - lo; they differ from others with the same key and place
-    by the run - 1 bytes of the edges from there on.  earlier says that an equal window stands before
-    (its longest previous factor reaches the window's length), later that one stands behind.
+    by the run - 1 bytes of the edges from there on.  earlier says that an equal window stands before, later that one
+    stands behind.
     """
     width = 1 << (run - 1).bit_length() - 1  # two stretches of this width cover run - 1 bytes
     begin = np.cumsum([0] + [len(e) for e in edges])
@@ -226,7 +226,7 @@ def _sorted_spans(edges: DataFrame, length: int, keep_first: bool) -> DataFrame:
         rows.sort(key=lambda r: (r[1] is None, r[1] or 0, r[2], r[3]))  # text order
         key, place = (np.array([r[c] for r in rows], np.int64) for c in (0, 3))
         core, lo, hi = place >> 16, place >> 8 & 255, place & 255
-        of, offset, earlier, later = previous_factors([r[4] for r in rows], key, lo, hi)
+        of, offset, earlier, later = equal_windows([r[4] for r in rows], key, lo, hi)
         of, a, z = _spans(of, offset, earlier if keep_first else earlier | later)
         start = core[of] - hi[of]
         return pa.RecordBatch.from_pydict({
@@ -413,7 +413,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
 
 @query("op5_substring_dedup")
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's bytes, removed bytes and runs, and the digest of what is left."""
+    """Every document's bytes, removed and kept bytes, removed runs, and the digest of what is left."""
     out = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+    return out.select("doc_id", "n_bytes", "n_removed", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
