@@ -54,7 +54,7 @@ def user_profile(spark, sf_dir):
                       "activity_level", "activity_summary")
 
 
-@query("user_tier", "A16, J16, S12", with_views("""
+@query("user_tier", "A16", with_views("""
 SELECT h.user_id, h.interaction_count, a.name, ROUND(a.average_stars, 6) AS average_stars_profile, a.elite,
        strftime(h.first_date, '%Y-%m-%d') AS member_since,
        (COALESCE(a.elite_year_count, 0) > 0 OR trim(COALESCE(a.elite, '')) <> '') AS is_elite_user,
@@ -162,23 +162,31 @@ def open_now_q(spark, sf_dir):
 
 
 @query("geo_fill", "J12, S11", with_views("""
-SELECT r.user_id, r.business_id, g.latitude, g.longitude, g.address
-FROM (SELECT user_id, business_id FROM (
+SELECT r.user_id, r.business_id,
+       CASE WHEN r.have AND r.latitude IS NOT NULL THEN r.latitude + 1.0 ELSE g.latitude END AS latitude,
+       CASE WHEN r.have AND r.latitude IS NOT NULL THEN r.longitude ELSE g.longitude END AS longitude,
+       CASE WHEN r.have THEN COALESCE(r.address, CASE WHEN r.latitude IS NULL THEN g.address END) ELSE g.address END AS address
+FROM (SELECT t.user_id, t.business_id, CAST(t.business_id AS BIGINT) % 3 = 0 AS have, o.latitude, o.longitude,
+             CASE WHEN CAST(t.business_id AS BIGINT) % 2 = 0 THEN o.address END AS address FROM (SELECT user_id, business_id FROM (
         SELECT u.user_id, s.business_id,
                ROW_NUMBER() OVER (PARTITION BY u.user_id ORDER BY ROUND(s.score, 6) DESC, s.business_id) AS rank
         FROM (SELECT DISTINCT user_id FROM interactions) u
         CROSS JOIN (SELECT business_id, 0.7 * COALESCE(popularity_prior, 0.0) + 0.3 * COALESCE(stars, 0.0) / 5.0 AS score
                     FROM biz_prior) s
         WHERE NOT EXISTS (SELECT 1 FROM interactions i WHERE i.user_id = u.user_id AND i.business_id = s.business_id))
-      WHERE rank <= 10) r
+      WHERE rank <= 10) t LEFT JOIN business o ON o.business_id = t.business_id) r
 LEFT JOIN (SELECT business_id, latitude, longitude, address FROM business
            WHERE latitude IS NOT NULL AND longitude IS NOT NULL) g ON g.business_id = r.business_id""",
     "interactions", "biz_prior", "business"))
 def geo_fill(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     recs = hybrid.popularity_fallback(c.interactions.select("user_id"), c.biz_prior, c.interactions, 10)
-    recs = recs.select("user_id", "business_id", F.lit(None).cast("double").alias("latitude"),
-                       F.lit(None).cast("double").alias("longitude"), F.lit(None).cast("string").alias("address"))
+    # every third business brings its own coordinates (null for some), every sixth an address too
+    have = F.col("business_id").cast("long") % 3 == 0
+    own = catalog.business_base(spark, sf_dir).select("business_id", "latitude", "longitude", "address")
+    recs = recs.select("user_id", "business_id").join(own, "business_id", "left").select(
+        "user_id", "business_id", F.when(have, F.col("latitude") + 1.0).alias("latitude"), F.when(have, F.col("longitude")).alias("longitude"),
+        F.when(F.col("business_id").cast("long") % 6 == 0, F.col("address")).alias("address"))
     geo = (catalog.business_base(spark, sf_dir).select("business_id", "latitude", "longitude", "address")
            .dropna(subset=["latitude", "longitude"]))                        # S11
     g = geo.select("business_id", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), F.col("address").alias("_adr"))
@@ -193,7 +201,7 @@ def geo_fill(spark, sf_dir):
     return out.select("user_id", "business_id", "latitude", "longitude", "address")
 
 
-@query("user_sample", "W10, W12", with_views("""
+@query("user_sample", "W10", with_views("""
 SELECT user_id, name, short_id, CASE WHEN is_elite_user THEN 'Elite | ' ELSE '' END || name || ' - ' || short_id AS label,
        is_elite_user, CASE WHEN is_elite_user THEN 'elite' ELSE 'regular' END AS user_tier
 FROM (SELECT u.user_id, COALESCE(NULLIF(trim(COALESCE(a.c_name, '')), ''), 'User') AS name, substr(u.user_id, 1, 6) AS short_id,
