@@ -86,7 +86,7 @@ def test_planted_texts_are_told_apart(spark):
 
 def test_odd_tables(spark):
     rows, labels = corpus(160)
-    rows += [(None, "worthless"), (500, None), (501, ""), (502, "worthless " * 20_000), (3, rows[3][1]), (3, rows[3][1])]
+    rows += [(None, "moronic"), (500, None), (501, ""), (502, "moronic " * 20_000), (3, rows[3][1]), (3, rows[3][1])]
     lab = spark.createDataFrame([*labels, (0, 0), (None, 1), (700, 1), (4, None)], "doc_id bigint, toxic int")
     df = docs(spark, rows).withColumns({c: F.lit("x") for c in ("of", "y", "hits", "n_words", "word", "score", "l_of")})
     out = tx.score(df, lab, F.lit(True))
