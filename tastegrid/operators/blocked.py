@@ -79,17 +79,19 @@ class ScoreSpec:
 
 
 def _dense(series: pd.Series, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Stack an array column into a matrix; null rows -> zeros, returned with a presence mask."""
-    present = series.notna().to_numpy()
+    """Stack an array column into a matrix; null and empty rows -> zeros, returned with a presence mask."""
     vals = series.to_numpy()
+    size = np.fromiter((0 if v is None or isinstance(v, float) else len(v) for v in vals), np.int64, len(vals))
     if width is None:
-        width = next((len(v) for v in vals if v is not None and not (isinstance(v, float))), 0)
+        width = int(size.max(initial=0))
     out = np.zeros((len(series), width), dtype=np.float64)
-    for i in np.flatnonzero(present):
-        v = vals[i]
-        if len(v):
-            out[i, :len(v)] = np.asarray(v, dtype=np.float64)
-    return out, present
+    whole = np.flatnonzero((size == width) & (size > 0))
+    if len(whole):
+        out[whole] = np.concatenate(vals[whole]).reshape(-1, width)
+    for i in np.flatnonzero((size != width) & (size > 0)):
+        n = min(size[i], width)
+        out[i, :n] = vals[i][:n]
+    return out, size > 0
 
 
 def _csr(idx: pd.Series, val: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -431,8 +433,16 @@ def _grid(users: DataFrame, items: DataFrame, pairs: list[tuple[int, DataFrame]]
     left = users.withColumn("_ub", ub).withColumn("_kind", F.lit(0)).withColumn("business_id", F.lit(None).cast("string"))
     if "_ib" not in users.columns:
         left = left.withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(n_ib - 1))))
+    # Arrow's writer walks back over a run of null arrays at every row, which makes a long run of pairs or of cold users
+    # quadratic: empty arrays stand for null ones here
+    def arrays(df):
+        return {f.name: F.array().cast(f.dataType) for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)}
+
+    blank = arrays(users)
+    left = left.withColumns({c: F.coalesce(c, empty) for c, empty in blank.items()})
+    items = items.withColumns({c: F.coalesce(c, empty) for c, empty in arrays(items).items()})
     for kind, rows in pairs:
-        rows = rows.select("user_id", "business_id", "_ib").withColumn("_ub", ub).withColumn("_kind", F.lit(kind))
+        rows = (rows.select("user_id", "business_id", "_ib").withColumns({"_ub": ub, "_kind": F.lit(kind), **blank}))
         left = left.unionByName(rows, allowMissingColumns=True)
     right = items.withColumn("_ub", F.explode(F.sequence(F.lit(0), F.lit(n_ub - 1))))
     return left.groupBy("_ub", "_ib").cogroup(right.groupBy("_ub", "_ib")).applyInPandas(fn, schema)
