@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from tastegrid.operators import blocked, cf, content, hybrid
@@ -103,3 +105,24 @@ def test_multi_block_content_equals_single_block(spark, businesses, interactions
     assert single.keys() == multi.keys()
     for key, (b, s) in single.items():
         assert multi[key][0] == b and multi[key][1] == pytest.approx(s, abs=1e-6)
+
+
+def test_vectors_null_and_empty_are_absent():
+    rows = pd.Series([np.array([1.0, 2.0]), None, np.array([]), np.array([3.0, 4.0])], dtype=object)
+    out, present = blocked._dense(rows)
+    assert out.tolist() == [[1, 2], [0, 0], [0, 0], [3, 4]] and present.tolist() == [True, False, False, True]
+    out, present = blocked._dense(pd.Series([None, np.array([])], dtype=object))
+    assert out.shape == (2, 0) and not present.any()
+    out, _ = blocked._dense(rows, 3)
+    assert out[3].tolist() == [3, 4, 0]
+
+
+def test_cold_users_and_unknown_items_in_the_grid(spark):
+    """Null vectors, null biases and pairs travel together; excluded pairs stay out."""
+    users = spark.createDataFrame([("u1", [1.0, 0.0], 0.5), ("u2", None, None)], "user_id string, u_vec array<double>, u_bias double")
+    items = spark.createDataFrame([("a", [1.0, 0.0], 0.0), ("b", [0.0, 1.0], 0.2), ("c", [0.5, 0.0], 0.1)],
+                                  "business_id string, i_vec array<double>, i_bias double")
+    seen = spark.createDataFrame([("u1", "a"), ("u2", "b")], "user_id string, business_id string")
+    out = blocked.grid_top_k(users, items, 5, blocked.ScoreSpec("cf", mu=2.0), seen=seen)
+    got = sorted((r.user_id, r["rank"], r.business_id, round(r.score, 6)) for r in out.collect())
+    assert got == [("u1", 1, "c", 3.1), ("u1", 2, "b", 2.7), ("u2", 1, "c", 2.1), ("u2", 2, "a", 2.0)]
