@@ -11,10 +11,20 @@ aggregate shuffles, by term, after partial aggregation.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tastegrid import constants as K
+from tastegrid.session import cut_lineage
+
+#: Rows of history whose vectors one task unfolds.
+PROFILE_ROWS = 100_000
 
 
 def tokens(text: Column) -> Column:
@@ -77,45 +87,71 @@ def tfidf(docs: DataFrame, id_col: str = "business_id", text_col: str = "soup",
     return item, vocab
 
 
-def pair_similarity(item_tfidf: DataFrame, pairs: DataFrame, a: str = "business_a", b: str = "business_b") -> DataFrame:
-    """M4: cosine of two items (vectors are unit length); unknown ids or no shared term -> 0."""
-    va = item_tfidf.select(F.col("business_id").alias(a), "term", F.col("weight").alias("_wa"))
-    vb = item_tfidf.select(F.col("business_id").alias(b), "term", F.col("weight").alias("_wb"))
-    keys = pairs.select(a, b).distinct()
-    dots = (keys.join(va, a).join(vb, [b, "term"])
-            .groupBy(a, b).agg(F.sum(F.col("_wa") * F.col("_wb")).alias("similarity")))
-    return (pairs.join(dots, [a, b], "left")
-            .withColumn("similarity", F.coalesce(F.col("similarity"), F.lit(0.0))))
+def packed_items(item_tfidf: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(business_id, t_idx, t_val) with one row per item, and the (term, tid) of its ids; both written once.
 
+    Expects one row per (business_id, term).
+    """
+    ids = cut_lineage(vocab_index(item_tfidf.select("term").distinct()), "terms")
+    return cut_lineage(sparse_item_arrays(item_tfidf, ids), "items"), ids
+
+
+def _pair_dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last four columns, the sorted sparse vectors of two items, give way to their dot product."""
+    for b in batches:
+        ia, va, ib, vb = b.columns[-4:]
+        keys = []
+        for idx in (ia, ib):
+            row = np.repeat(np.arange(b.num_rows, dtype=np.int64), pc.list_value_length(idx).fill_null(0).to_numpy(zero_copy_only=False))
+            keys.append(row << 32 | idx.flatten().to_numpy(zero_copy_only=False))
+        x, y = (v.flatten().to_numpy(zero_copy_only=False) for v in (va, vb))
+        out = np.zeros(b.num_rows)
+        if len(keys[0]) and len(keys[1]):
+            at = np.minimum(np.searchsorted(keys[1], keys[0]), len(keys[1]) - 1)
+            hit = keys[1][at] == keys[0]
+            out = np.bincount(keys[0][hit] >> 32, weights=x[hit] * y[at[hit]], minlength=b.num_rows)
+        yield pa.RecordBatch.from_arrays([*b.columns[:-4], pa.array(out, pa.float64())], names=[*b.schema.names[:-4], "similarity"])
 
-def history_weights_or_mean(history: DataFrame, item_tfidf: DataFrame, weight_col: str | None) -> DataFrame:
-    """Rows of the user's history that resolve to a catalogue vector (J18), with the weight to use.
 
-    M5 rule: the given weights, unless they are missing or sum to <= 0 over the
-    resolved rows; then every resolved row weighs 1 (plain mean).
+def pair_similarity(item_tfidf: DataFrame, pairs: DataFrame, a: str = "business_a", b: str = "business_b") -> DataFrame:
+    """M4: cosine of two items (vectors are unit length); unknown ids or no shared term -> 0.
+
+    Each pair takes both items' vectors along, packed: rows stay as many as pairs until the products are summed.
     """
-    known = item_tfidf.select("business_id").distinct()
-    h = history.join(known, "business_id", "left_semi")
-    if weight_col is None:
-        return h.withColumn("_w", F.lit(1.0))
-    total = h.groupBy("user_id").agg(F.sum(F.col(weight_col)).alias("_total"))
-    return (h.join(total, "user_id")
-            .withColumn("_w", F.when(F.col("_total") > 0, F.col(weight_col).cast("double")).otherwise(F.lit(1.0))).drop("_total"))
+    items, _ = packed_items(item_tfidf)
+    out = pairs
+    for key, side in ((a, "a"), (b, "b")):
+        # one row per item: the side to hash, so that the wide rows of the pairs need no sort
+        vec = items.select(F.col("business_id").alias(f"_of_{side}"), F.col("t_idx").alias(f"_i{side}"), F.col("t_val").alias(f"_v{side}"))
+        out = out.join(vec.hint("shuffle_hash"), F.col(key) == F.col(f"_of_{side}"), "left").drop(f"_of_{side}")
+    schema = T.StructType([*pairs.schema.fields, T.StructField("similarity", T.DoubleType())])
+    return out.select(*pairs.columns, "_ia", "_va", "_ib", "_vb").mapInArrow(_pair_dots, schema)
 
 
 def user_profiles(history: DataFrame, item_tfidf: DataFrame, weight_col: str | None = None) -> DataFrame:
     """M5: weighted mean of the history's item vectors -> (user_id, term, weight).
 
-    History repeats count.  Users whose history resolves to nothing get no rows.
+    History repeats count.  Users whose history resolves to nothing (J18) get no rows.  The given weights count unless they are
+    missing or sum to <= 0 over the resolved rows; then every resolved row weighs 1 (plain mean).
+
+    Item vectors travel packed to their users and are unfolded there, in as many partitions as the rows ask for: unfolded before
+    the shuffle, or in partitions sized by the packed rows, the sums outgrow a task's memory.
     """
-    h = history_weights_or_mean(history.select("user_id", "business_id", *( [weight_col] if weight_col else [])),
-                                item_tfidf, weight_col)
-    h = h.select("user_id", "business_id", "_w")
-    wsum = h.groupBy("user_id").agg(F.sum("_w").alias("_wsum"))
-    contrib = (h.join(item_tfidf.select("business_id", "term", "weight"), "business_id")
-               .groupBy("user_id", "term").agg(F.sum(F.col("_w") * F.col("weight")).alias("_s")))
-    return (contrib.join(wsum, "user_id")
-            .select("user_id", "term", (F.col("_s") / F.col("_wsum")).alias("weight")))
+    items, ids = packed_items(item_tfidf)
+    weight = F.lit(1.0) if weight_col is None else F.col(weight_col).cast("double")
+    h = history.where("user_id IS NOT NULL").select("user_id", "business_id", weight.alias("_w"))
+    spark = history.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-h.count() // PROFILE_ROWS))
+    # each vector gets an entry more, whose sums are the weights and the number of the rows
+    entry = F.arrays_zip(F.concat("t_idx", F.array(F.lit(-1))).alias("tid"), F.concat("t_val", F.array(F.lit(1.0))).alias("x"))
+    sums = (h.join(items, "business_id").select("user_id", "_w", "t_idx", "t_val").repartition(parts, "user_id")
+            .select("user_id", "_w", F.inline(entry).alias("tid", "x"))
+            .groupBy("user_id", "tid").agg(F.sum(F.col("_w") * F.col("x")).alias("_s"), F.sum("x").alias("_plain")))
+    user = Window.partitionBy("user_id")
+    sums = sums.withColumns({"_total": F.max(F.when(F.col("tid") < 0, F.col("_s"))).over(user),
+                             "_n": F.max(F.when(F.col("tid") < 0, F.col("_plain"))).over(user)})
+    value = F.when(F.col("_total") > 0, F.col("_s") / F.col("_total")).otherwise(F.col("_plain") / F.col("_n"))
+    return sums.join(ids, "tid").select("user_id", "term", value.alias("weight"))
 
 
 def profile_norms(profiles: DataFrame) -> DataFrame:
@@ -127,8 +163,10 @@ def score_pairs(profiles: DataFrame, item_tfidf: DataFrame, pairs: DataFrame) ->
 
     Linear in pairs x item terms; used for candidate sets, not the full catalogue.
     """
-    p = profiles.select("user_id", "term", F.col("weight").alias("_p"))
     keys = pairs.select("user_id", "business_id").distinct()
+    # of the profiles only those of the pairs' users are moved
+    profiles = profiles.join(keys.select("user_id").distinct(), "user_id", "left_semi")
+    p = profiles.select("user_id", "term", F.col("weight").alias("_p"))
     dots = (keys.join(item_tfidf.select("business_id", "term", F.col("weight").alias("_x")), "business_id")
             .join(p, ["user_id", "term"])
             .groupBy("user_id", "business_id").agg(F.sum(F.col("_p") * F.col("_x")).alias("_dot")))

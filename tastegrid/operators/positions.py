@@ -8,12 +8,11 @@ partition that holds it: as many as keys plus partitions.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tastegrid.session import ensure_checkpoint_dir
+from tastegrid.session import cut_lineage
 
 #: ``monotonically_increasing_id`` counts rows in the low 33 bits and partitions above them.
 _PARTITION_SHIFT = 33
@@ -21,9 +20,7 @@ _PARTITION_SHIFT = 33
 
 def written(df: DataFrame, label: str = "rows") -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder, read back."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut_lineage(df, label)
 
 
 def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], position: str = "position",

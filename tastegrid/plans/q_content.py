@@ -12,6 +12,7 @@ from tastegrid.operators.positions import with_positions
 from tastegrid.plans.context import Ctx
 from tastegrid.plans.registry import query
 from tastegrid.plans.sql_views import with_views
+from tastegrid.session import cut_lineage
 from tastegrid.sources.tables import read_table
 
 
@@ -96,7 +97,7 @@ def user_profile_terms(spark, sf_dir):
 
 def content_scorer_inputs(c: Ctx, profiles):
     item, vocab = catalogue_tfidf(c)
-    vidx = content.vocab_index(vocab)
+    vidx = cut_lineage(content.vocab_index(vocab))
     users = content.sparse_profile_arrays(profiles, vidx)
     items = c.catalogue.select("business_id").join(content.sparse_item_arrays(item, vidx), "business_id", "left")
     return users, items

@@ -83,3 +83,37 @@ def test_grid_matches_pair_scoring(spark, model, interactions):
     direct = {(r.user_id, r.business_id): r.content_score for r in content.score_pairs(prof, item, pairs).collect()}
     for r in grid:
         assert r.score == pytest.approx(direct[(r.user_id, r.business_id)], abs=1e-6)
+
+
+def test_profiles_fall_back_and_keep_null_weights_out(spark, model):
+    item, _ = model
+    rows = [("w", "b01", 3.0), ("w", "b05", 1.0), ("w", "b05", None), ("w", "gone", 9.0), ("z", "b01", 0.0), ("z", "b02", 0.0), ("n", "b03", None),
+            ("none", "gone", 5.0), (None, "b01", 5.0), ("w", None, 5.0)]
+    got = {}
+    for r in content.user_profiles(spark.createDataFrame(rows, "user_id string, business_id string, stars double"), item, "stars").collect():
+        got.setdefault(r.user_id, {})[r.term] = r.weight
+    vec = {}
+    for r in item.collect():
+        vec.setdefault(r.business_id, {})[r.term] = r.weight
+
+    def mean(*weighted):
+        terms = {t for b, _ in weighted for t in vec[b]}
+        return pytest.approx({t: sum(w * vec[b].get(t, 0.0) for b, w in weighted) / sum(w for _, w in weighted) for t in terms})
+
+    assert set(got) == {"w", "z", "n"}
+    assert got["w"] == mean(("b01", 3.0), ("b05", 1.0)) and got["z"] == mean(("b01", 1.0), ("b02", 1.0)) and got["n"] == mean(("b03", 1.0))
+
+
+def test_pairs_keep_their_rows_and_meet_each_vector_packed(spark, model):
+    item, _ = model
+    rows = [("u", "b01", "b05"), ("u", "b01", "b05"), ("v", "b05", "b01"), ("v", None, "b01"), ("x", "b01", "gone")]
+    pairs = spark.createDataFrame(rows, "user_id string, business_a string, business_b string")
+    out = content.pair_similarity(item, pairs)
+    got = {}
+    for r in out.collect():
+        got.setdefault((r.user_id, r.business_a, r.business_b), []).append(r.similarity)
+    same = sum(a.weight * b.weight for a in item.where("business_id = 'b01'").collect() for b in item.where("business_id = 'b05'").collect() if a.term == b.term)
+    assert got[rows[0]] == pytest.approx([same, same]) and got[rows[2]] == pytest.approx([same]) and got[rows[3]] == got[rows[4]] == [0.0]
+    # no row for each term of a pair, and no sort of rows that carry vectors
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("strategy=shuffle_hash") == 2
