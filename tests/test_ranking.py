@@ -126,3 +126,34 @@ def test_cold_users_and_unknown_items_in_the_grid(spark):
     out = blocked.grid_top_k(users, items, 5, blocked.ScoreSpec("cf", mu=2.0), seen=seen)
     got = sorted((r.user_id, r["rank"], r.business_id, round(r.score, 6)) for r in out.collect())
     assert got == [("u1", 1, "c", 3.1), ("u1", 2, "b", 2.7), ("u2", 1, "c", 2.1), ("u2", 2, "a", 2.0)]
+
+
+def test_factor_blocks_rank_like_all_cells_sorted():
+    rng = np.random.default_rng(3)
+    items = pd.DataFrame({"business_id": [f"{i:04d}" for i in range(900)], "i_bias": [None if i % 97 == 0 else rng.normal() for i in range(900)],
+                          "i_vec": [rng.normal(size=4) if i % 50 else np.array([]) for i in range(900)]})
+    # users with very many clipped scores at either end, unknown ones, ones without a vector
+    users = pd.DataFrame({"user_id": [f"u{i}" for i in range(60)], "u_bias": [None if i % 31 == 0 else float(i % 3 - 1) * 6 for i in range(60)],
+                          "u_vec": [rng.normal(size=4) if i % 20 else np.array([]) for i in range(60)], "_kind": 0})
+    seen = pd.DataFrame({"user_id": [f"u{i}" for i in rng.integers(0, 60, 900)], "business_id": [f"{i:04d}" for i in rng.integers(0, 900, 900)], "_kind": 1})
+    got = blocked._make_block_fn(blocked.ScoreSpec("cf", mu=3.0), 10)(pd.concat([users, seen], ignore_index=True), items)
+    gone = set(zip(seen["user_id"], seen["business_id"], strict=True))
+    for u in users.itertuples():
+        rows = []
+        for i in items.itertuples():
+            dot = float(u.u_vec @ i.i_vec) if len(u.u_vec) and len(i.i_vec) else 0.0
+            raw = 3.0 + (0.0 if pd.isna(i.i_bias) else i.i_bias) + (0.0 if pd.isna(u.u_bias) else u.u_bias + dot)
+            if (u.user_id, i.business_id) not in gone:
+                rows.append((-round(min(5.0, max(1.0, raw)), 6), i.business_id))
+        mine = got[got["user_id"] == u.user_id]
+        assert sorted(zip(-mine["score"], mine["business_id"], strict=True)) == sorted(rows)[:10]
+
+
+def test_rows_with_factors_alone_go_to_larger_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocked, "ITEMS_PER_BLOCK", 3)
+    seen = {}
+    monkeypatch.setattr(blocked, "_grid", lambda users, items, pairs, n_ub, n_ib, fn, schema: seen.update(n_ib=n_ib) or users.sparkSession.createDataFrame([], schema))
+    items = spark.createDataFrame([(f"b{i}", 0.0, [1.0]) for i in range(12)], "business_id string, i_bias double, i_vec array<double>")
+    users = spark.createDataFrame([("u", 0.0, [1.0])], "user_id string, u_bias double, u_vec array<double>")
+    blocked.grid_top_k(users, items, 2, blocked.ScoreSpec("cf"))
+    assert seen["n_ib"] == 1
