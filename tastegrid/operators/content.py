@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,8 @@ from tastegrid.session import cut_lineage
 
 #: Rows of history whose vectors one task unfolds.
 PROFILE_ROWS = 100_000
+#: Characters of text whose words and pairs of words one task unfolds.
+TEXT_CHARS = 4_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -44,11 +47,17 @@ def terms(text: Column, ngram_max: int = 2) -> Column:
     return F.concat(toks, bigrams(toks)) if ngram_max >= 2 else toks
 
 
+def _parts(df: DataFrame, size: int, each: int) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-size // each))
+
+
 def term_counts(docs: DataFrame, id_col: str = "business_id", text_col: str = "soup",
                 ngram_max: int = 2) -> DataFrame:
     """(id, term, tf) for every document; clustered by document id."""
-    return (docs.select(F.col(id_col).alias("business_id"), F.col(text_col).alias("_text"))
-            .repartition("business_id")
+    texts = docs.select(F.col(id_col).alias("business_id"), F.col(text_col).alias("_text"))
+    # dealt out by what the texts unfold to: partitions sized by the packed texts outgrow a task's memory
+    chars = texts.agg(F.sum(F.length("_text"))).first()[0] or 0
+    return (texts.repartition(_parts(docs, chars, TEXT_CHARS), "business_id")
             .select("business_id", F.explode(terms(F.col("_text"), ngram_max)).alias("term"))
             .groupBy("business_id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
@@ -59,7 +68,7 @@ def vocabulary(tf: DataFrame, min_df: int = K.MIN_DF, max_features: int | None =
     Ties in corpus count are broken by term.  The retry is a scalar subquery,
     not a driver round trip.
     """
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).persist(StorageLevel.MEMORY_AND_DISK)
     top_df = stats.agg(F.max("df")).scalar()
     eff_min = F.when(top_df >= min_df, F.lit(min_df)).otherwise(F.lit(1))
     vocab = stats.filter(F.col("df") >= eff_min)
@@ -76,7 +85,8 @@ def tfidf(docs: DataFrame, id_col: str = "business_id", text_col: str = "soup",
     also empty ones.  The vocabulary is at most ``max_features`` rows, which
     bounds the broadcast.
     """
-    tf = term_counts(docs, id_col, text_col, ngram_max)
+    # kept: texts are cut into terms once, for the vocabulary and for the weights, and stay dealt out by document
+    tf = term_counts(docs, id_col, text_col, ngram_max).persist(StorageLevel.MEMORY_AND_DISK)
     vocab = vocabulary(tf, min_df, max_features)
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     vocab = vocab.withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
@@ -140,8 +150,7 @@ def user_profiles(history: DataFrame, item_tfidf: DataFrame, weight_col: str | N
     items, ids = packed_items(item_tfidf)
     weight = F.lit(1.0) if weight_col is None else F.col(weight_col).cast("double")
     h = history.where("user_id IS NOT NULL").select("user_id", "business_id", weight.alias("_w"))
-    spark = history.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-h.count() // PROFILE_ROWS))
+    parts = _parts(h, h.count(), PROFILE_ROWS)
     # each vector gets an entry more, whose sums are the weights and the number of the rows
     entry = F.arrays_zip(F.concat("t_idx", F.array(F.lit(-1))).alias("tid"), F.concat("t_val", F.array(F.lit(1.0))).alias("x"))
     sums = (h.join(items, "business_id").select("user_id", "_w", "t_idx", "t_val").repartition(parts, "user_id")

@@ -117,3 +117,11 @@ def test_pairs_keep_their_rows_and_meet_each_vector_packed(spark, model):
     # no row for each term of a pair, and no sort of rows that carry vectors
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and plan.count("strategy=shuffle_hash") == 2
+
+
+def test_texts_are_dealt_out_by_their_length(spark, monkeypatch):
+    monkeypatch.setattr(content, "TEXT_CHARS", 10)
+    docs = spark.createDataFrame([(str(i), "alpha beta alpha") for i in range(40)] + [("none", None)], "business_id string, soup string")
+    counts = content.term_counts(docs)
+    assert counts.rdd.getNumPartitions() == 64
+    assert sorted({(r.term, r.tf) for r in counts.collect()}) == [("alpha", 2), ("alpha beta", 1), ("beta", 1), ("beta alpha", 1)]
