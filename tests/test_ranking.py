@@ -157,3 +157,77 @@ def test_rows_with_factors_alone_go_to_larger_blocks(spark, monkeypatch):
     users = spark.createDataFrame([("u", 0.0, [1.0])], "user_id string, u_bias double, u_vec array<double>")
     blocked.grid_top_k(users, items, 2, blocked.ScoreSpec("cf"))
     assert seen["n_ib"] == 1
+
+
+def _block(rng, n_items, n_users, n_terms):
+    """A block of a content and factor grid: items without terms, bias or factors, users without, ties, excluded pairs."""
+    def sparse(p_none, most):
+        some = [np.sort(rng.choice(n_terms, rng.integers(1, most), replace=False)) if rng.random() > p_none else np.array([], int)
+                for _ in range(max(n_items, n_users))]
+        return some, [rng.integers(1, 4, len(t)) / 4 for t in some]
+
+    t_idx, t_val = (x[:n_items] for x in sparse(0.05, 5))
+    items = pd.DataFrame({"business_id": [f"{i:05d}" for i in range(n_items)], "t_idx": t_idx, "t_val": t_val,
+                          "i_bias": [None if i % 41 == 0 else rng.normal() / 4 for i in range(n_items)],
+                          "i_vec": [rng.normal(size=4) / 4 if i % 37 else np.array([]) for i in range(n_items)],
+                          "prior": rng.random(n_items), "in_cat": rng.random(n_items) > 0.1, "prior_top": rng.random(n_items) > 0.99})
+    p_idx, p_val = (x[:n_users] for x in sparse(0.1, 30))
+    users = pd.DataFrame({"user_id": [f"u{i}" for i in range(n_users)], "p_idx": p_idx, "p_val": p_val, "alpha": rng.random(n_users),
+                          "u_bias": [None if i % 13 == 0 else float(rng.normal()) * (9 if i % 17 == 0 else 0.3) for i in range(n_users)],
+                          "u_vec": [rng.normal(size=4) if i % 11 else np.array([]) for i in range(n_users)], "_kind": 0, "_ib": 0})
+    pairs = [pd.DataFrame({"user_id": [f"u{i}" for i in rng.integers(0, n_users, 3_000)],
+                           "business_id": [f"{i:05d}" for i in rng.integers(0, n_items, 3_000)], "_kind": kind}).drop_duplicates() for kind in (1, 4)]
+    return users, items, pairs
+
+
+@pytest.mark.parametrize("emit", ["topk", "candidates"])
+def test_cells_over_the_floor_rank_like_all_cells(monkeypatch, emit):
+    rng = np.random.default_rng(5)
+    users, items, pairs = _block(rng, 3_000, 60, 50)
+    monkeypatch.setattr(blocked, "TILE", 700)
+    spec = blocked.ScoreSpec("hybrid_gen", mu=3.0, cf_limit=40, content_limit=30, emit=emit)
+    left = pd.concat([users, *pairs], ignore_index=True)
+
+    def rows(out):
+        return sorted((r.user_id, r.business_id, round(r.score, 6), round(r.content_score, 6)) for r in out.itertuples())
+
+    def run():
+        content = blocked._make_block_fn(blocked.ScoreSpec("content"), 10)(left, items)
+        one = blocked._make_block_fn(blocked.replace(spec, one_block=True), 10)(left, items)
+        halves = [items[:1_400], items[1_400:]]
+        gates = pd.concat([blocked._make_block_fn(blocked.replace(spec, mode="gates"), 10)(left.assign(_ib=i), half) for i, half in enumerate(halves)])
+        bounds = []
+        for user, mine in gates.groupby("user_id"):
+            parts = {name: blocked._bounds([np.frombuffer(b) for b in mine[name]], limit) for name, limit in (("cf", 40), ("ct", 30))}
+            bounds += [{"user_id": user, "_ib": b, "cf_bound": parts["cf"][0], "cf_ties": parts["cf"][1][i], "ct_bound": parts["ct"][0],
+                        "ct_ties": parts["ct"][1][i]} for i, b in enumerate(mine["_ib"])]
+        bounds = pd.DataFrame(bounds)
+        two = []
+        for i, half in enumerate(halves):
+            given = pd.concat([users.drop(columns="_ib").merge(bounds[bounds["_ib"] == i], on="user_id"), *pairs], ignore_index=True)
+            two.append(blocked._make_block_fn(spec, 10)(given, half))
+        two = pd.concat(two).query("spare == 0")
+        if emit == "topk":
+            two = two.sort_values(["score", "business_id"], ascending=[False, True]).groupby("user_id").head(10)
+        return rows(content), rows(one), rows(two)
+
+    monkeypatch.setattr(blocked, "FAST_SHARE", 10 ** 9)
+    want = run()
+    assert want[1] == want[2]
+    monkeypatch.setattr(blocked, "FAST_SHARE", 16)
+    calls = []
+    over = blocked._GroupedTerms.over
+    monkeypatch.setattr(blocked._GroupedTerms, "over", lambda *a: calls.append(1) or over(*a))
+    assert run() == want and calls
+    monkeypatch.setattr(blocked, "DENSE_TERM_CELLS", 20_000)    # groups of dense items that are not kept
+    assert run() == want
+
+
+def test_profiles_go_to_large_blocks(spark, monkeypatch):
+    """A user's profile is copied to every block of items: blocks of items alone must be few."""
+    seen = {}
+    monkeypatch.setattr(blocked, "_grid", lambda users, items, pairs, n_ub, n_ib, fn, schema: seen.update(n_ib=n_ib) or users.sparkSession.createDataFrame([], schema))
+    items = spark.createDataFrame([("b", [0], [1.0])], "business_id string, t_idx array<int>, t_val array<double>")
+    users = spark.createDataFrame([("u", [0], [1.0])], "user_id string, p_idx array<int>, p_val array<double>")
+    blocked.grid_top_k(users, items, 2, blocked.ScoreSpec("content"), n_users=1, n_items=1_200_000)
+    assert seen["n_ib"] <= 6
