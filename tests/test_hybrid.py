@@ -86,3 +86,18 @@ def test_explanations(spark, inputs, interactions, businesses):
     assert len(rows) == 8
     assert all("Hybrid blend uses alpha=" in r.explanation for r in rows)
     assert all(r.activity_level == "low" for r in rows)
+
+
+def test_a_ranking_is_computed_once(spark, businesses, interactions, monkeypatch):
+    """Fallback and explanations read ranked rows several times: the grid must stand in the plans once, or not at all."""
+    item, vocab = content.tfidf(businesses, min_df=1, max_features=500, ngram_max=1)
+    priors = businesses.select("business_id", F.lit(0.5).alias("popularity_prior"))
+    inp = hybrid.HybridInputs(cf.fit_given(interactions, None, None), item, vocab, priors, interactions, businesses)
+    index = (businesses.join(priors, "business_id").withColumns({c: F.lit(None).cast("string") for c in ("city", "state", "address")})
+             .withColumns({c: F.lit(1.0) for c in ("latitude", "longitude", "stars")}).withColumn("review_count", F.lit(3)))
+    users = interactions.select("user_id").distinct().unionByName(spark.createDataFrame([("new",)], "user_id string"))
+    grids = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("CoGroup")
+    ranked = hybrid.recommend(inp, users, 3)
+    assert grids(ranked) == 1
+    assert grids(hybrid.explain(inp, ranked, index)) == 1
+    assert grids(hybrid.with_fallback(ranked, users, index, interactions, 3)) == 0
