@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from tastegrid import constants as K
@@ -18,7 +19,7 @@ from tastegrid.plans.q_eval import split_parts
 from tastegrid.plans.q_hybrid import given_inputs
 from tastegrid.plans.registry import query
 from tastegrid.plans.sql_views import _NORM, with_views
-from tastegrid.session import ensure_checkpoint_dir
+from tastegrid.session import cut_lineage, ensure_checkpoint_dir
 from tastegrid.sources import catalog, files
 
 CHUNK, CHUNKS = 2_000, 4
@@ -30,22 +31,32 @@ def _folder(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def raw_reviews(c: Ctx):
+def raw_reviews(c: Ctx, ordered: bool = True):
     """Reviews with a text, in the order in which they are written."""
     rows = c.review.withColumn("text", F.concat(F.lit("stars "), F.col("stars").cast("int").cast("string"), F.lit(" for "), "business_id"))
-    return rows.select(*_ORDER).repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
+    rows = rows.select(*_ORDER)
+    return rows.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER) if ordered else rows
 
 
-def raw_folder(c: Ctx, formats: tuple[str, ...]) -> str:
-    """Raw files of the asked formats, with the names that the loaders look for."""
+def written_reviews(c: Ctx) -> Ctx:
+    """The context with its reviews joined and written once: statistics, catalogue and raw files all start from them."""
+    c.review = cut_lineage(c.review, "reviews")
+    return c
+
+
+def raw_folder(c: Ctx, formats: tuple[str, ...], ordered: bool = True) -> str:
+    """Raw files of the asked formats, with the names that the loaders look for; reviews in no order where none is asked for."""
     out = _folder(c.spark, "raw")
+    # dealt out and sorted once for all formats
+    reviews = raw_reviews(c).persist(StorageLevel.MEMORY_AND_DISK) if ordered and len(formats) > 1 else raw_reviews(c, ordered)
     if "json" in formats:
         catalog.raw_businesses(c.spark, c.sf_dir, c.review).write.text(f"{out}/business.json")
-        raw_reviews(c).withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss")).write.json(f"{out}/reviews.json")
+        reviews.withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss")).write.json(f"{out}/reviews.json")
     if "parquet" in formats:
         c.business.write.parquet(f"{out}/business_main.parquet")
         catalog.wide_attributes(c.spark, c.sf_dir).write.parquet(f"{out}/business_attributes.parquet")
-        raw_reviews(c).write.parquet(f"{out}/reviews.parquet")
+        reviews.write.parquet(f"{out}/reviews.parquet")
+    reviews.unpersist()
     return out
 
 
@@ -114,7 +125,7 @@ SELECT 'parquet', * FROM (
   SELECT {", ".join(_ORDER)} FROM ({_TEXT_REVIEW}) WHERE business_id IN (SELECT business_id FROM catalogue WHERE categories ILIKE '%brand#1%')
   ORDER BY {", ".join(_ORDER)} LIMIT {CHUNK * CHUNKS})""", "review", "catalogue"))
 def reviews_capped(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
+    c = written_reviews(Ctx(spark, sf_dir))
     base = raw_folder(c, ("json", "parquet"))
     biz = prepare.filter_businesses(c.business, K.MIN_BUSINESS_REVIEWS, "brand#1")
     out = None
@@ -128,9 +139,9 @@ def reviews_capped(spark, sf_dir):
 @query("interactions_from_files", "S2, S3, S6, S7, S18, A1, A2", with_views(
     "SELECT user_id, business_id, ROUND(stars, 6) AS stars, date FROM interactions", "interactions"))
 def interactions_from_files(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
+    c = written_reviews(Ctx(spark, sf_dir))
     config = {"source_format": "auto", "min_reviews": K.MIN_BUSINESS_REVIEWS, "category_keyword": None}
-    _, _, pairs = run_preparation(spark, raw_folder(c, ("json", "parquet")), config)
+    _, _, pairs = run_preparation(spark, raw_folder(c, ("json", "parquet"), ordered=False), config)
     return pairs.select("user_id", "business_id", round6("stars").alias("stars"), "date")
 
 

@@ -127,3 +127,21 @@ def test_fallback_of_a_heavy_user_in_two_rounds(spark, monkeypatch):
     want = {u: [f"i{j:03d}" for j in range(120) if j not in set(own.get(u, ()))][:5] for u in ("all", "most", "few", "none", "head")}
     assert {u: [b for _, b in sorted(v)] for u, v in got.items()} == {u: v for u, v in want.items() if v}
     assert sorted(got["most"]) == [(1, "i118"), (2, "i119")]
+
+
+def test_raw_reviews_are_dealt_out_once(spark, monkeypatch, tmp_path):
+    """Both formats come from one sorted table; without an order nothing is sorted."""
+    from tastegrid.plans import q_files
+    from tastegrid.plans.context import Ctx
+    c = Ctx(spark, str(tmp_path))
+    c.review = spark.createDataFrame([(f"u{i % 7}", f"b{i % 5}", 3.0, None) for i in range(40)], "user_id string, business_id string, stars double, date timestamp_ntz")
+    assert "RepartitionByExpression" not in q_files.raw_reviews(c, False)._jdf.queryExecution().optimizedPlan().toString()
+    made = []
+    real = q_files.raw_reviews
+    monkeypatch.setattr(q_files, "raw_reviews", lambda *a: made.append(a) or real(*a))
+    monkeypatch.setattr(q_files.catalog, "raw_businesses", lambda *a: spark.createDataFrame([("{}",)], "value string"))
+    monkeypatch.setattr(q_files.catalog, "wide_attributes", lambda *a: c.review)
+    c.business = c.review
+    out = q_files.raw_folder(c, ("json", "parquet"))
+    assert len(made) == 1
+    assert spark.read.json(f"{out}/reviews.json").count() == spark.read.parquet(f"{out}/reviews.parquet").count() == 40
