@@ -49,7 +49,8 @@ def drop_bitmaps(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     drops is a sparse bitmap: an array of (word, bits), bit b of a word standing for line 64 * word + b.
     version is a hash of the text, so that different texts under one id keep their own bitmaps.
     """
-    rows = _lines(df, doc_id, text, min_chars)
+    # read by the sketch, by the sample of the ranges and by the ranges: texts are cut into lines once
+    rows = saved(_lines(df, doc_id, text, min_chars))
     seen = rows.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h1, {HEAVY_KEYS}, {SKETCH_ITEMS})").alias("top"))
     # at most HEAVY_KEYS numbers, without bearing on the result
     heavy = [r["h1"] for r in seen.select("n", F.explode("top").alias("x"))

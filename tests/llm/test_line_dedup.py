@@ -57,3 +57,8 @@ def test_bitmaps_and_edges(spark):
     assert [(r["doc"], list(r["drops"])) for r in bits] == [(2, [2])]
     df = spark.createDataFrame([(1, "t" * 12, 5, "z")], "doc_id bigint, text string, n_lines int, drops string")
     assert ld.dedup_lines(df).columns == ["doc_id", "text", "n_lines", "n_dropped", "drops"]
+
+
+def test_texts_are_cut_into_lines_once(spark):
+    plan = ld.drop_bitmaps(docs(spark, ROWS))._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
