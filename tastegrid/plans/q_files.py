@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from tastegrid import constants as K
 from tastegrid.functions.exprs import round6, soup_expr
 from tastegrid.operators import activity, evaluate, hybrid, prepare, profiles
-from tastegrid.plans.context import Ctx
+from tastegrid.plans.context import Ctx, written_reviews
 from tastegrid.plans.q_eval import split_parts
 from tastegrid.plans.q_hybrid import given_inputs
 from tastegrid.plans.registry import query
 from tastegrid.plans.sql_views import _NORM, with_views
-from tastegrid.session import cut_lineage, ensure_checkpoint_dir
+from tastegrid.session import ensure_checkpoint_dir
 from tastegrid.sources import catalog, files
 
 CHUNK, CHUNKS = 2_000, 4
@@ -38,12 +38,6 @@ def raw_reviews(c: Ctx, ordered: bool = True):
     return rows.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER) if ordered else rows
 
 
-def written_reviews(c: Ctx) -> Ctx:
-    """The context with its reviews joined and written once: statistics, catalogue and raw files all start from them."""
-    c.review = cut_lineage(c.review, "reviews")
-    return c
-
-
 def raw_folder(c: Ctx, formats: tuple[str, ...], ordered: bool = True) -> str:
     """Raw files of the asked formats, with the names that the loaders look for; reviews in no order where none is asked for."""
     out = _folder(c.spark, "raw")

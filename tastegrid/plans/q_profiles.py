@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tastegrid import constants as K
 from tastegrid.functions.exprs import fixed, hour_token_minutes, is_elite, open_now, round6, split_categories
 from tastegrid.operators import hybrid, profiles
-from tastegrid.plans.context import Ctx
+from tastegrid.plans.context import Ctx, written_reviews
 from tastegrid.plans.registry import query
 from tastegrid.plans.sql_views import _view, fixed_sql, with_views
 from tastegrid.sources import catalog
@@ -44,7 +44,7 @@ FROM (SELECT user_id, COUNT(*) AS interaction_count, AVG(stars) AS avg_given_sta
       FROM interactions GROUP BY user_id) h
 LEFT JOIN top_cat_text t ON t.user_id = h.user_id""", "interactions", "top_cat_text"))
 def user_profile(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
+    c = written_reviews(Ctx(spark, sf_dir))
     hist = profiles.user_history(c.interactions)
     ev = profiles.user_events(c.interactions)
     out = profiles.user_profile(hist, c.catalogue, ev)
