@@ -25,7 +25,7 @@ from tastegrid.llm.common import documents, query
 
 RANKS_NAME = "byte_bpe_50k.tiktoken"
 #: Distinct matches whose ids a task keeps at most; beyond it the memory is emptied and filled anew.
-MEMORY_ENTRIES = 400_000
+MEMORY_ENTRIES = 200_000
 #: Text characters (in decoding: tokens) handled and returned at once within an Arrow batch.
 SLICE_CHARS = 1_000_000
 

@@ -45,6 +45,8 @@ _CONST = np.random.default_rng(20_240_607).integers(1, 2**63, size=(2, REGISTERS
 _MULTIPLY, _ADD = (_CONST[0] << _U(1)) | _U(1), _CONST[1]
 _MULTIPLY32, _ADD32 = (_CONST[0] >> _U(31)).astype(np.uint32) | np.uint32(1), _CONST[1].astype(np.uint32)
 _MIX, _MIX32 = _U(0xBF58476D1CE4E5B9), np.uint32(0x85EBCA6B)
+#: Words whose hashes a task keeps.
+KNOWN_WORDS = 250_000
 ROWS_AT_ONCE = 128  # the working arrays stay in the processor's cache
 
 
@@ -62,7 +64,7 @@ class Shingler:
         if not words:
             return np.empty(0, np.uint64)
         known, digest = self.known, self.digest
-        if len(known) > 1_000_000:
+        if len(known) > KNOWN_WORDS:
             known.clear()
         for w in set(words).difference(known):
             known[w] = digest(w)

@@ -98,3 +98,12 @@ def test_components_of_chains(spark):
     edges = [(bytes([i]), bytes([i + 1])) for i in range(0, 40)] + [(bytes([100]), bytes([90])), (bytes([95]), bytes([100])), (bytes([7]), bytes([7]))]
     got = {bytes(r["digest"])[0]: bytes(r["label"])[0] for r in nd.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+
+
+def test_known_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(nd, "KNOWN_WORDS", 100)
+    few, many = nd.Shingler(3), nd.Shingler(3)
+    for i in range(40):
+        text = " ".join(f"w{i * 10 + j}" for j in range(50))
+        assert few(text).tolist() == many(text).tolist() and len(few.known) <= 150
+        many.known.clear()
