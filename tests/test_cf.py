@@ -140,3 +140,12 @@ def test_top_k_over_written_factors_in_sql(spark, fitted, interactions, tmp_path
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, business_id) <= 3""").fetchall()
     got = cf.recommend_top_k(fitted, fitted.user_bias.select("user_id"), 3).collect()
     assert sorted((r.user_id, r.business_id, round(r.score, 6)) for r in got) == sorted(want)
+
+
+def test_basis_blocks_are_gathered_once_a_step(spark, monkeypatch):
+    """Each pass over the basis reads the kept blocks; it does not move them by block again."""
+    plans, total = [], svd._total
+    monkeypatch.setattr(svd, "_total", lambda m, shape: plans.append(m._jdf.queryExecution().withCachedData().toString()) or total(m, shape))
+    rows = [(f"u{i}", f"b{j}", float((7 * i + 3 * j) % 5)) for i in range(12) for j in range(9)]
+    svd.truncated_svd(spark.createDataFrame(rows, "u string, b string, v double"), "u", "b", "v", 3)
+    assert len(plans) > 2 and all("InMemoryRelation" in p and "FlatMapGroups" not in p.split("InMemoryRelation")[0] for p in plans)
