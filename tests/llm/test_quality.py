@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tastegrid.llm import quality as q
+from tastegrid.session import ensure_checkpoint_dir
 
 from .helpers import docs, prose
 
@@ -121,3 +122,15 @@ def test_texts_are_measured_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "ExistingRDD" in plan and "regexp_replace" not in plan and "xxhash64" not in plan
     assert out.count() == 20
+
+
+def test_measures_leave_no_files_in_the_shared_folder(spark, tmp_path):
+    """They are read twice, from kept blocks: texts are measured once, and no partition writes files but the result's."""
+    rnd = random.Random(6)
+    docs(spark, [(i, prose(rnd, 60)) for i in range(20)]).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = q.op4_quality_rules(spark, str(tmp_path))
+    assert out.count() == 20 and set(os.listdir(folder)) == before
+    plan = out._jdf.queryExecution().withCachedData().toString()
+    assert "InMemoryRelation" in plan and "xxhash64" not in plan.split("InMemoryRelation")[0]
