@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tastegrid.operators import blocked, cf, content, hybrid
@@ -231,3 +232,48 @@ def test_profiles_go_to_large_blocks(spark, monkeypatch):
     users = spark.createDataFrame([("u", [0], [1.0])], "user_id string, p_idx array<int>, p_val array<double>")
     blocked.grid_top_k(users, items, 2, blocked.ScoreSpec("content"), n_users=1, n_items=1_200_000)
     assert seen["n_ib"] <= 6
+
+
+def test_users_stream_by_in_chunks_and_items_are_copied_few_times(spark, monkeypatch):
+    users = spark.createDataFrame([(f"u{i:02}", 0.1, [float(i), 1.0]) for i in range(40)], "user_id string, u_bias double, u_vec array<double>")
+    items = spark.createDataFrame([(f"b{i:02}", 0.01 * i, [0.01, i / 50]) for i in range(30)], "business_id string, i_bias double, i_vec array<double>")
+    seen = spark.createDataFrame([(f"u{i:02}", f"b{j:02}") for i in range(40) for j in range(i % 7)] + [("none", "b01"), (None, "b02")],
+                                 "user_id string, business_id string")
+    spec = blocked.ScoreSpec("cf", mu=2.0)
+    rows = lambda: sorted(tuple(r) for r in blocked.grid_top_k(users, items, 5, spec, seen=seen).select("user_id", "business_id", "score", "rank").collect())
+    want = rows()
+    assert len(want) == 200
+    monkeypatch.setattr(blocked, "CHUNK_USERS", 3)
+    monkeypatch.setattr(blocked, "ITEMS_PER_BLOCK", 4)
+    assert rows() == want
+    sizes = []
+
+    def fn(left, right):
+        assert len(right) == 30 and left["user_id"].is_monotonic_increasing
+        sizes.append(left["user_id"].nunique())
+        return left[["user_id"]].drop_duplicates()
+    left = pd.DataFrame({"user_id": [None] * 30 + [f"u{i // 4:02}" for i in range(40)], "_kind": [-1] * 30 + [0, 1, 1, 4] * 10})
+    schema = pa.schema([("user_id", pa.string())])
+    # batches end within the items and within a user
+    batches = pa.RecordBatch.from_pandas(left)
+    parts = [batches.slice(a, 7) for a in range(0, 70, 7)]
+    got = [x for b in blocked._streamed(fn, ["user_id", "_kind"], schema)(iter(parts)) for x in b.column(0).to_pylist()]
+    assert got == [f"u{i:02}" for i in range(10)] and sizes == [3, 3, 3, 1]
+    # 900,000 users and 1.2 million items: 45 copies of each item before, 450 where candidates are asked for
+    grids = []
+    monkeypatch.setattr(blocked, "ITEMS_PER_BLOCK", 20_000)
+    monkeypatch.setattr(blocked, "_grid", lambda users, items, pairs, n_ub, n_ib, fn, schema: grids.append((n_ub, n_ib)) or users.sparkSession.createDataFrame([], schema))
+    blocked.grid_top_k(users, items, 2, blocked.ScoreSpec("hybrid"), n_users=900_000, n_items=1_200_000)
+    assert grids == [(9, 15)]
+
+
+def test_candidates_are_not_shuffled(spark):
+    items = spark.createDataFrame([(f"b{i}", 0.0, [1.0], [0], [1.0], 0.1, True, True) for i in range(4)],
+                                  "business_id string, i_bias double, i_vec array<double>, t_idx array<int>, t_val array<double>, prior double, in_cat boolean, prior_top boolean")
+    users = spark.createDataFrame([("u", 0.0, [1.0], [0], [1.0], 0.5)],
+                                  "user_id string, u_bias double, u_vec array<double>, p_idx array<int>, p_val array<double>, alpha double")
+    none = spark.createDataFrame([("u", "b0")], "user_id string, business_id string")
+    out = blocked.generate_top_k(users, items, 2, blocked.ScoreSpec("hybrid_gen", mu=3.0, emit="candidates"), none, none)
+    assert sorted(r["business_id"] for r in out.collect()) == ["b1", "b2", "b3"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.index("MapInArrow") < plan.index("RepartitionBy")
