@@ -124,3 +124,52 @@ def test_batches_of_more_pages_than_are_parsed_at_once(spark):
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, n_chars string").coalesce(1)
     got = {r["page_id"]: r["text"] for r in he.extract(df).collect()}
     assert all(got[i] == f"{'word ' * (i % 7)}{i}" for i in range(1203) if i % 3) and all(got[i] == f"plain {i}" for i in range(0, 1203, 3))
+
+
+def test_boilerplate_blocks_inside_articles_go_and_content_stays(spark, monkeypatch):
+    rnd = random.Random(11)
+    call, passage, short = "join our list of readers and get a letter every week", prose(rnd, 12), "Read on"
+    pages, want = [], {}
+    for i in range(40):
+        own = [prose(rnd, 30) for _ in range(3)]
+        # a passage within a block is content, as is a short block
+        own[1] = f"{own[1]} {passage} {i}"
+        pages.append([own[0], short, own[1], call, own[2]] if i % 3 else own)
+        want[i] = " ".join(p for p in pages[-1] if p != call)
+    # copies and a near-copy of an article that has the call: their text stays, the call goes
+    for i, source, last in ((40, 1, None), (41, 1, "and one more line that stands in this copy alone today")):
+        pages.append([*pages[source], *([last] if last else [])])
+        want[i] = " ".join(p for p in pages[-1] if p != call)
+    frame = lambda ps, i: f"<body><p>{i}</p><article>{''.join(f'<p>{p}</p>' for p in ps)}</article></body>"
+    rows = [(i, "http://h.net/", frame(p, i), "x") for i, p in enumerate(pages)]
+    # another host's articles that say it once, and an article of nothing but the call
+    rows += [(50, "http://other.net/", frame([call], 50), "x"), (51, "http://h.net/", frame([call], 51), "x"), (52, None, frame([call], 52), "x")]
+    want |= {50: call, 51: call, 52: call}
+    assert extracted(spark, rows) == want
+    monkeypatch.setattr(he, "SHARD_PAGES", 4)
+    assert extracted(spark, rows) == want
+
+
+def test_windows_of_articles_against_brute_force():
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(12)
+    runs = [prose(rnd, rnd.choice([3, 6, 7, 15])) for _ in range(12)]
+    pages = [None if i % 9 == 8 else [rnd.choice(runs) if rnd.random() < 0.4 else prose(rnd, rnd.randint(1, 20)) for _ in range(rnd.randint(1, 6))]
+             for i in range(60)]
+    pages.append(pages[0])
+    articles = sorted({tuple(p) for p in pages if p})
+    windows = lambda b: [tuple(b.split()[i:i + 6]) for i in range(len(b.split()) - 5)]
+    held = {}
+    for a in articles:
+        for w in {w for b in a for w in windows(b)}:
+            held[w] = held.get(w, 0) + 1
+    want = []
+    for p in pages:
+        if p:
+            n = sorted(held[w] for b in p for w in windows(b))
+            want.append([bool(windows(b)) and all(held[w] > n[(len(n) - 1) // 2] for w in windows(b)) for b in p])
+    got = he.ArticleWindows(pa.array(pages, pa.list_(pa.string())))
+    assert [list(g) for g in got.dropped(np.zeros(len(got.count), np.int64))] == want and any(any(w) for w in want)
+    assert len(np.unique(got.hashes())) == len(held) == len(got.count)
