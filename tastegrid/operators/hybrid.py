@@ -200,7 +200,9 @@ def score_pairs(inp: HybridInputs, pairs: DataFrame, history_count: DataFrame |
     ``history_count`` (user_id, n_history) overrides the history length used for alpha.
     """
     p = pairs.select("user_id", "business_id").distinct()
-    withc = ct.score_pairs(inp.profiles(), inp.item_tfidf, p)
+    # a user's weights and profile come from their own history: that of other users need not be moved
+    mine = inp.history.join(p.select("user_id").distinct(), "user_id", "left_semi")
+    withc = ct.score_pairs(cut_lineage(ct.user_profiles(history_weights(mine), inp.item_tfidf, "weight"), "profiles"), inp.item_tfidf, p)
     withc = cfm.predict_pairs(inp.model, withc)
     counts = history_count if history_count is not None else alpha_by_user(inp.history).select("user_id", "n_history")
     out = (withc.join(inp.priors, "business_id", "left").join(counts, "user_id", "left")

@@ -101,3 +101,19 @@ def test_a_ranking_is_computed_once(spark, businesses, interactions, monkeypatch
     assert grids(ranked) == 1
     assert grids(hybrid.explain(inp, ranked, index)) == 1
     assert grids(hybrid.with_fallback(ranked, users, index, interactions, 3)) == 0
+
+
+def test_pairs_move_only_the_histories_of_their_users(spark, businesses, interactions, monkeypatch):
+    from types import SimpleNamespace
+
+    item, _ = content.tfidf(businesses, min_df=1)
+    model = cf.fit_given(interactions, None, None)
+    priors = businesses.select("business_id", F.lit(0.5).alias("prior"))
+    weighed = []
+    monkeypatch.setattr(hybrid, "history_weights", lambda h, f=hybrid.history_weights: weighed.append(h) or f(h))
+    inp = SimpleNamespace(history=interactions, item_tfidf=item, model=model, priors=priors, prior_weight=0.1)
+    of = lambda users: {(r["user_id"], r["business_id"]): (round(r["content_score"], 9), round(r["hybrid_score"], 9)) for r in hybrid.score_pairs(
+        inp, spark.createDataFrame([(u, b) for u in users for b in ("b01", "b06", "none")], "user_id string, business_id string")).collect()}
+    one, every = of(["u1"]), of(["u1", "u2", "u3", "u4", "nobody"])
+    assert all(every[k] == v for k, v in one.items()) and len(every) == 15
+    assert [h.select("user_id").distinct().count() for h in weighed] == [1, 4]
