@@ -33,9 +33,12 @@ def _folder(spark, name: str) -> str:
 
 def raw_reviews(c: Ctx, ordered: bool = True):
     """Reviews with a text, in the order in which they are written."""
-    rows = c.review.withColumn("text", F.concat(F.lit("stars "), F.col("stars").cast("int").cast("string"), F.lit(" for "), "business_id"))
-    rows = rows.select(*_ORDER)
-    return rows.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER) if ordered else rows
+    rows = c.review
+    if ordered:
+        # the text follows from other columns: it orders nothing and need not be moved
+        rows = rows.repartitionByRange(*_ORDER[:-1]).sortWithinPartitions(*_ORDER[:-1])
+    text = F.concat(F.lit("stars "), F.col("stars").cast("int").cast("string"), F.lit(" for "), "business_id")
+    return rows.withColumn("text", text).select(*_ORDER)
 
 
 def raw_folder(c: Ctx, formats: tuple[str, ...], ordered: bool = True) -> str:
@@ -45,7 +48,7 @@ def raw_folder(c: Ctx, formats: tuple[str, ...], ordered: bool = True) -> str:
     reviews = raw_reviews(c).persist(StorageLevel.MEMORY_AND_DISK) if ordered and len(formats) > 1 else raw_reviews(c, ordered)
     if "json" in formats:
         catalog.raw_businesses(c.spark, c.sf_dir, c.review).write.text(f"{out}/business.json")
-        reviews.withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss")).write.json(f"{out}/reviews.json")
+        reviews.withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss")).write.option("compression", "gzip").json(f"{out}/reviews.json")
     if "parquet" in formats:
         c.business.write.parquet(f"{out}/business_main.parquet")
         catalog.wide_attributes(c.spark, c.sf_dir).write.parquet(f"{out}/business_attributes.parquet")

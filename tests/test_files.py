@@ -145,3 +145,26 @@ def test_raw_reviews_are_dealt_out_once(spark, monkeypatch, tmp_path):
     out = q_files.raw_folder(c, ("json", "parquet"))
     assert len(made) == 1
     assert spark.read.json(f"{out}/reviews.json").count() == spark.read.parquet(f"{out}/reviews.parquet").count() == 40
+
+
+def test_ordered_reviews_move_no_text_and_lines_are_compressed(spark, tmp_path, monkeypatch):
+    import datetime as dt
+    import types
+
+    from tastegrid.plans import q_files
+
+    review = spark.createDataFrame([(f"u{i % 7}", f"b{i % 5}", float(i % 5), dt.datetime(2024, 1, 1 + i % 20)) for i in range(60)],
+                                   "user_id string, business_id string, stars double, date timestamp_ntz")
+    rows = q_files.raw_reviews(types.SimpleNamespace(review=review))
+    exchange = next(x for x in rows._jdf.queryExecution().optimizedPlan().toString().split("\n") if "RepartitionByExpression" in x)
+    assert "text" not in exchange
+    got = [tuple(r) for r in rows.collect()]
+    assert got == sorted(got) and all(r[4] == f"stars {int(r[2])} for {r[1]}" for r in got) and len(got) == 60
+    biz = spark.createDataFrame([("b1",)], "business_id string")
+    c = types.SimpleNamespace(review=review, spark=spark, sf_dir="", business=biz)
+    monkeypatch.setattr(q_files, "_folder", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(q_files.catalog, "raw_businesses", lambda *a: spark.createDataFrame([("{}",)], "value string"))
+    base = q_files.raw_folder(c, ("json",))
+    assert list((tmp_path / "raw" / "reviews.json").glob("*.json.gz")) and not list((tmp_path / "raw" / "reviews.json").glob("*.json"))
+    kept = q_files.files.load_reviews(spark, base, biz, "json", True, 10, 2)
+    assert sorted((r["user_id"], r["business_id"], r["stars"]) for r in kept.collect()) == sorted(r[:3] for r in got[:20] if r[1] == "b1")
