@@ -57,13 +57,14 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 
 def with_positions_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], position: str = "position",
-                          total: str | None = None) -> DataFrame:
+                          total: str | None = None, previous: tuple[str, str] | None = None) -> DataFrame:
     """``with_positions`` for keys of which few, or none, have very many rows.
 
     Rows are clustered by key and numbered by a window, without an exchange where ``df`` is clustered so already; the result
     stays clustered.  Keys that a sketch names as heavy (``HEAVY_ROWS``) are numbered by ranges; the sketch only decides how rows are
     dealt out.  Of rows that ``order`` does not tell apart the other columns decide, so that reading twice numbers
     alike.  ``df`` is read once more for the sketch, and once more for heavy keys if there are any.
+    ``previous`` (column, name) adds the column's value in the row before, null in a key's first row.
     """
     kept = [c for c in df.columns if c not in (position, total)]
     key = F.xxhash64(*(F.col(k) for k in keys))
@@ -77,5 +78,16 @@ def with_positions_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Co
     group = Window.partitionBy(*keys)
     out = light.select(*(F.col(f"`{c}`") for c in kept),
                        F.row_number().over(group.orderBy(*order, *ties)).cast("long").alias(position),
-                       *([F.count(F.lit(1)).over(group).alias(total)] if total else []))
-    return out.union(with_positions(df.where(is_heavy), keys, [*order, *ties], position, total)) if heavy else out
+                       *([F.count(F.lit(1)).over(group).alias(total)] if total else []),
+                       *([F.lag(previous[0]).over(group.orderBy(*order, *ties)).alias(previous[1])] if previous else []))
+    if not heavy:
+        return out
+    rest = with_positions(df.where(is_heavy), keys, [*order, *ties], position, total)
+    if previous:
+        # by position: keys and position are even, whatever a key's share of the rows
+        before = rest.select(*(F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)), (F.col(position) + 1).alias("_at"), F.col(previous[0]).alias(previous[1]))
+        on = F.col(position) == F.col("_at")
+        for i, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"_b{i}"))
+        rest = rest.join(before, on, "left").select(*rest.columns, previous[1])
+    return out.union(rest)

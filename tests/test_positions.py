@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from tastegrid.operators import hybrid, positions, prepare, profiles
+from tastegrid.operators import positions
 from tastegrid.operators.positions import with_positions, with_positions_by_key
 
 
@@ -112,3 +113,18 @@ def test_interactions_read_their_pairs_once(spark, no_broadcast):
     got = prepare.build_interactions(spark.createDataFrame(rows, "user_id string, business_id string, stars double, date int"), 5, 5)
     assert "InMemoryTableScan" in got._jdf.queryExecution().executedPlan().toString()
     assert got.count() == 81 and got.where("user_id = 'one' OR business_id = 'only'").count() == 0
+
+
+def test_previous_rows_and_no_exchange_of_clustered_rows(spark, monkeypatch):
+    rows = [(f"u{u}", i, f"b{(i * 7) % 50}") for u in range(5) for i in range(u * 10)] + [(None, 1, "x"), (None, 2, "y")]
+    df = spark.createDataFrame(rows, "user_id string, day int, b string").repartition("user_id")
+    want = sorted(((u or "", d, x, None if i == 0 else mine[i - 1][2]) for k in {r[0] for r in rows}
+                   for mine in [sorted(r for r in rows if r[0] == k)] for i, (u, d, x) in enumerate(mine)), key=str)
+    def got():
+        out = positions.with_positions_by_key(df, ["user_id"], [F.col("day")], "pos", previous=("b", "before"))
+        return out, sorted(((r["user_id"] or "", r["day"], r["b"], r["before"]) for r in out.collect()), key=str)
+    out, found = got()
+    assert found == want
+    assert exchanges(out) == []
+    monkeypatch.setattr(positions, "HEAVY_ROWS", 25)
+    assert got()[1] == want
