@@ -267,13 +267,14 @@ def test_users_stream_by_in_chunks_and_items_are_copied_few_times(spark, monkeyp
     assert grids == [(9, 15)]
 
 
-def test_candidates_are_not_shuffled(spark):
+def test_candidates_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(blocked, "CHUNK_USERS", 1)      # streamed
     items = spark.createDataFrame([(f"b{i}", 0.0, [1.0], [0], [1.0], 0.1, True, True) for i in range(4)],
                                   "business_id string, i_bias double, i_vec array<double>, t_idx array<int>, t_val array<double>, prior double, in_cat boolean, prior_top boolean")
-    users = spark.createDataFrame([("u", 0.0, [1.0], [0], [1.0], 0.5)],
+    users = spark.createDataFrame([(u, 0.0, [1.0], [0], [1.0], 0.5) for u in "uv"],
                                   "user_id string, u_bias double, u_vec array<double>, p_idx array<int>, p_val array<double>, alpha double")
     none = spark.createDataFrame([("u", "b0")], "user_id string, business_id string")
     out = blocked.generate_top_k(users, items, 2, blocked.ScoreSpec("hybrid_gen", mu=3.0, emit="candidates"), none, none)
-    assert sorted(r["business_id"] for r in out.collect()) == ["b1", "b2", "b3"]
+    assert sorted((r["user_id"], r["business_id"]) for r in out.collect()) == [*(("u", f"b{i}") for i in (1, 2, 3)), *(("v", f"b{i}") for i in range(4))]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.index("MapInArrow") < plan.index("RepartitionBy")
